@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP3_SQL, op3_decontamination
+from .mixing import op7_mixing, op7_sql
+from .quality_rules import op4_quality_rules
 from .token_counts import op5_token_counts
 from .token_files import op2_token_ids
 
@@ -13,9 +16,12 @@ from .token_files import op2_token_ids
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_ids": op2_token_ids,
+        "op3_decontamination": op3_decontamination,
+        "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
+        "op7_mixing": op7_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL, "op7_mixing": op7_sql()}
