@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ def unspool(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now instead of at the driver's next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """df marked for broadcast if it has at most max_rows rows; else df as it is, for a shuffled join.
 

@@ -67,16 +67,13 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared) for each item that a document contains to the threshold or more."""
     percent = round(threshold * 100)
-    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_t")).where("item_id is not null and _t is not null")
-    tests = _strings(tests.distinct(), "_t", width, "_s").where(F.size("_s") > 0).withColumn("_m", F.size("_s"))
-    tests = spool(tests.withColumn("_item", F.xxhash64("item_id", "_s")), "benchmark-items")
+    # No filter stands on a computed array: Catalyst would push it down and evaluate the array again, inside lambdas too.
     source = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_t")).where("item_id is not null and _t is not null").distinct()
-    hashes = _hashed(source, "_t", width, "item_id").select("item_id", F.array_sort(F.array_distinct("_h")).alias("_h")).where(F.size("_h") > 0)
+    tests = spool(_strings(source, "_t", width, "_s").withColumn("_m", F.size("_s")), "benchmark-items")
+    hashes = spool(_hashed(source, "_t", width, "item_id").select("item_id", F.array_sort(F.array_distinct("_h")).alias("_h")), "benchmark-hashes")
     m = F.size("_h")
     k = m - F.ceil(m * percent / 100).cast("int") + 1
-    sketches = spool(
-        hashes.select("item_id", _size_class(m).alias("_class"), F.explode(F.slice("_h", 1, k)).alias("_h")).distinct(), "benchmark-sketches"
-    )
+    sketches = spool(hashes.where(m > 0).select("item_id", _size_class(m).alias("_class"), F.explode(F.slice("_h", 1, k)).alias("_h")).distinct(), "benchmark-sketches")
     # One bound for each size partition; there are as many as the logarithm of the longest item.
     bounds = [r["b"] for r in sketches.groupBy("_class").agg(F.max("_h").alias("b")).collect()]
     if not bounds:
@@ -86,7 +83,7 @@ def leaks(
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("_t")).where("doc_id is not null and _t is not null")
     probes = _hashed(texts, "_t", width, "doc_id").select("doc_id", F.filter("_h", lambda h: h <= bound).alias("_h"))
-    probes = probes.select("doc_id", F.explode("_h").alias("_h"))
+    probes = probes.select("doc_id", F.explode_outer("_h").alias("_h"))
     found = probes.join(small(sketches.select("_h", "item_id"), BROADCAST_ROWS), "_h").select("doc_id", "item_id").distinct()
     found = spool(found, "leak-candidates")
 
@@ -96,10 +93,9 @@ def leaks(
     held = _strings(held, "_t", width, "_d").select("doc_id", "_d", F.explode("_items").alias("item_id"))
     pairs = held.join(small(tests.select("item_id", "_s", "_m"), BROADCAST_ROWS // 10), "item_id")
     counted = pairs.select("doc_id", "item_id", F.col("_m").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("_s", "_d")).cast("long").alias("n_shared"))
-    best = counted.where(100 * F.col("n_shared") >= percent * F.col("n_item_shingles"))
-    return best.groupBy("doc_id", "item_id").agg(
-        F.max_by("n_item_shingles", "n_shared").alias("n_item_shingles"), F.max("n_shared").alias("n_shared")
-    )
+    hit = 100 * F.col("n_shared") >= percent * F.col("n_item_shingles")
+    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct(hit.alias("hit"), "n_shared", "n_item_shingles")).alias("_b"))
+    return best.where("_b.hit").select("doc_id", "item_id", "_b.n_item_shingles", "_b.n_shared")
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -115,10 +111,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
-b AS (SELECT item_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
-bs AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b),
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
+bs AS (SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
 m AS (SELECT id, count(*) AS m FROM bs GROUP BY id)
 SELECT ds.id AS doc_id, bs.id AS item_id, CAST(any_value(m.m) AS BIGINT) AS n_item_shingles, count(*) AS n_shared
 FROM ds JOIN bs ON ds.s = bs.s JOIN m ON m.id = bs.id

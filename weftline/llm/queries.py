@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import OP3_SQL, op3_decontamination
 from .mixing import op7_mixing, op7_sql
 from .quality_rules import op4_quality_rules
+from .substring_dedup import op9_substring_dedup
 from .token_counts import op5_token_counts
 from .token_files import op2_token_ids
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
         "op7_mixing": op7_mixing,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
