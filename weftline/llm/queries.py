@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP3_SQL, op3_decontamination
+from .jaccard_join import op6_jaccard_join
 from .mixing import op7_mixing, op7_sql
 from .quality_rules import op4_quality_rules
 from .substring_dedup import op9_substring_dedup
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,
         "op9_substring_dedup": op9_substring_dedup,
     }
