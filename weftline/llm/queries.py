@@ -7,23 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP3_SQL, op3_decontamination
+from .html_text import op10_html_text
 from .jaccard_join import op6_jaccard_join
 from .mixing import op7_mixing, op7_sql
+from .quality_pu import op8_quality_pu
 from .quality_rules import op4_quality_rules
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op5_token_counts
 from .token_files import op2_token_ids
+from .tool_calls import op1_tool_calls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tool_calls": op1_tool_calls,
         "op2_token_ids": op2_token_ids,
         "op3_decontamination": op3_decontamination,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,
+        "op8_quality_pu": op8_quality_pu,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_html_text": op10_html_text,
     }
 
 
