@@ -1,8 +1,65 @@
-"""A training-corpus pipeline of the library's operators, each stage a written table."""
+"""A training-corpus pipeline of the library's operators, each stage a written table.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; docs is what the stage
+before it returned, read again from Parquet.  All but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import decontamination, jaccard_join, mixing, quality_rules, token_files
+from weftline.llm.common import new_path, spool
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned list keep."""
+    stats = spool(quality_rules.text_stats(docs, keep=["doc_id"]), "quality-stats")
+    rules = quality_rules.learn(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    gone = stats.where(quality_rules.base_failed() | ~rules.kept()).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard_join.one_of_each(docs).select(COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that source, language and topic meet their target shares."""
+    return mixing.mix(docs).where("_sampled").select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, read back."""
+    out_dir = new_path(spark, "token-files")
+    manifest = token_files.write_token_files(docs, out_dir, token_files.default_tokenizer())
+    return token_files.read_token_files(spark, out_dir, manifest)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_free),
+    ("mixing sources", mixed),
+    ("token output", tokens),
+]
+
+#: The learned rules have no SQL form; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = spool(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return docs
