@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,18 +54,19 @@ def clique_reads(edges: DataFrame, *, min_size: int = 3, max_component: int = 10
     """component, clique, members of maximal cliques in components of at most max_component nodes."""
     comp = connected_components(edges)
     sized = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= max_component)
-    rows = edges.join(comp.withColumnRenamed("node", "a"), "a").join(sized, "component", "left_semi").select("component", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    rows = edges.join(comp.withColumnRenamed("node", "a"), "a").join(sized, "component", "left_semi").select(F.col("component").cast("string").alias("component"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
-    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+    def run(t: pa.Table) -> pa.Table:
         near: dict = {}
-        for a, b in zip(t["a"], t["b"], strict=True):
+        for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True):
             if a != b:
                 near.setdefault(a, set()).add(b)
                 near.setdefault(b, set()).add(a)
         got = sorted(c for c in _cliques(near) if len(c) >= min_size)
-        return pd.DataFrame({"component": [str(key[0])] * len(got), "clique": range(len(got)), "members": pd.Series(got, dtype=object)})
+        component = t["component"][0].as_py()
+        return pa.table({"component": pa.array([component] * len(got), pa.string()), "clique": pa.array(range(len(got)), pa.int64()), "members": pa.array(got, pa.list_(pa.string()))})
 
-    return rows.groupBy("component").applyInPandas(run, "component string, clique long, members array<string>")
+    return rows.groupBy("component").applyInArrow(run, "component string, clique long, members array<string>")
 
 
 def fitness(tours: DataFrame, sizes: DataFrame, edges: DataFrame) -> DataFrame:
