@@ -192,21 +192,36 @@ def learn(
     )
     tests = [Test(f, k, c, above) for f in FEATURES for k, c in enumerate(cuts[f]) for above in (True, False)]
 
-    def sums(where: Column, candidates: list[Column], prune: bool) -> list[tuple[int, int]]:
-        """(bad, good) rows that each candidate picks out among those where holds."""
+    def counts(where: Column, prune: bool, *keys: Column) -> DataFrame:
         part = cells.where(where & (F.col("_prune") == prune))
-        both = [F.sum(F.when((F.col("_y") == y) & c, F.col("count")).otherwise(0)) for c in candidates for y in (0, 1)]
-        got = [int(x or 0) for x in part.groupBy().agg(*both).first()]
-        return list(zip(got[::2], got[1::2], strict=True))
+        bad = F.sum(F.when(F.col("_y") == 0, F.col("count")).otherwise(0)).alias("bad")
+        return part.groupBy(*keys).agg(bad, (F.sum("count") - bad).alias("good"))
+
+    def both(where: Column, prune: bool) -> tuple[int, int]:
+        """(bad, good) rows where the condition holds."""
+        got = counts(where, prune).first()
+        return int(got["bad"] or 0), int(got["good"] or 0)
+
+    def picked(where: Column) -> dict[Test, tuple[int, int]]:
+        """(bad, good) rows that each test picks out among those where holds, from one count by feature and bin."""
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in FEATURES])).alias("x")
+        part = cells.where(where & ~F.col("_prune")).select("_y", "count", pairs)
+        bad = F.sum(F.when(F.col("_y") == 0, F.col("count")).otherwise(0))
+        got = part.groupBy("x.f", "x.b").agg(bad.alias("bad"), (F.sum("count") - bad).alias("good")).collect()
+        out = {}
+        for t in tests:
+            rows_ = [r for r in got if r["f"] == t.feature and (r["b"] > t.place) == t.above]
+            out[t] = sum(r["bad"] for r in rows_), sum(r["good"] for r in rows_)
+        return out
 
     rules: list[tuple[Test, ...]] = []
     left = F.lit(True)
     while tests and len(rules) < max_rules:
         grown: list[Test] = []
         here = left
-        (p0, n0), = sums(here, [F.lit(True)], False)
+        p0, n0 = both(here, False)
         while p0 and n0 and len(grown) < max_tests:
-            scored = [(_gain(p, n, p0, n0), p, n, t) for (p, n), t in zip(sums(here, [t.binned() for t in tests], False), tests, strict=True)]
+            scored = [(_gain(p, n, p0, n0), p, n, t) for t, (p, n) in picked(here).items()]
             gain, p, n, best = max(scored, key=lambda x: (x[0], -x[2]))
             if gain <= 0:
                 break
@@ -216,7 +231,7 @@ def learn(
         if not grown:
             break
         heads = [grown[: k + 1] for k in range(len(grown))]
-        pruned = sums(left, [_all([t.binned() for t in h]) for h in heads], True)
+        pruned = [both(left & _all([t.binned() for t in h]), True) for h in heads]
         (p, n), rule = max(zip(pruned, heads, strict=True), key=lambda x: ((x[0][0] - x[0][1]) / max(1, sum(x[0])), -len(x[1])))
         if p < min_covered or p < min_precision * (p + n):
             break
