@@ -6,7 +6,8 @@ there is a shift below 13 that takes both to cover places.  So two equal windows
 at a cover place in both.  Only anchors at cover places (4 of 13) are hashed and
 shuffled.  Windows that hold an anchor seen in another document are then hashed
 whole, the smallest document id with each window keeps it, and every other
-document removes it; repeats inside one document are settled within its task.
+document removes it; repeats inside one document are settled within its task.  Exact
+copies of a text after the first lose all words and hash no windows.
 
 A passage in a third of all documents is a counted key, never a group: both the
 anchors and the windows are aggregated before the shuffle and joined back, and such
@@ -110,7 +111,8 @@ def _emit_kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets, words = word_hashes(texts)
             owner, place = _owners(offsets, WINDOW)
             hashes = window_hashes(words, WINDOW)[place] if len(place) else np.zeros(0, np.uint64)
-            gone = ~_first_in_text(owner, hashes) | _members(owner, hashes, _lists(batch.column(2).slice(begin, stop - begin)))
+            copy = np.asarray(batch.column(4).slice(begin, stop - begin))
+            gone = ~_first_in_text(owner, hashes) | _members(owner, hashes, _lists(batch.column(2).slice(begin, stop - begin))) | copy[owner]
             edges = np.zeros(len(words) + 1, dtype=np.int32)
             np.add.at(edges, place[gone], 1)
             np.add.at(edges, place[gone] + WINDOW, -1)
@@ -148,14 +150,19 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     marked = spool(_shared(anchors, repeated), "anchor-marks")
     unspool(anchors)
     free(docs.sparkSession)
-    near = rows.select("key", "text").join(marked, "key")
+    # Every window of an exact copy starts earlier in the first of its kind.
+    same = rows.where("text is not null").select("key", F.md5(F.col("text").cast("binary")).alias("t"))
+    copies = same.join(same.groupBy("t").agg(F.min("key").alias("low")), "t").where("key > low")
+    copies = spool(copies.select("key", F.lit(True).alias("copy")).distinct(), "text-copies")
+    near = rows.select("key", "text").join(marked.join(copies, "key", "left_anti"), "key")
     windows = spool(near.mapInArrow(_emit_windows, "h long, key long"), "windows")
+    unspool(marked)
     free(docs.sparkSession)
     first = windows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h", "low")
     later = spool(_shared(windows, first, "key > low"), "window-removals")
-    unspool(windows, marked)
+    unspool(windows)
     free(docs.sparkSession)
-    whole = rows.join(later, "key", "left").select("key", "text", "hs", "doc_id")
+    whole = rows.join(later.join(copies, "key", "full"), "key", "left").select("key", "text", "hs", "doc_id", F.coalesce("copy", F.lit(False)).alias("copy"))
     return whole.mapInArrow(_emit_kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
