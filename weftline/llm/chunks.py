@@ -23,12 +23,28 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """A dictionary that is emptied when full: a bound on memory, never on results."""
+    """A dictionary of two generations: when the young one is full it becomes the old one, and what is asked for again moves over.
+
+    A bound on memory, never on results.
+    """
 
     def __init__(self, most: int) -> None:
         super().__init__()
-        self.most = most
-
-    def make_room(self, n: int) -> None:
-        if len(self) + n > self.most:
-            self.clear()
+        self.half = most // 2
+        self.old: dict = {}
+
+    def make_room(self, n: int) -> bool:
+        """Whether the generations moved on, to make room for n entries."""
+        if len(self) + n <= self.half:
+            return False
+        self.old = dict(self)
+        self.clear()
+        return True
+
+    def recall(self, key):
+        """The old generation's value, which becomes young again; None if it has none."""
+        value = self.old.get(key)
+        if value is not None:
+            self.make_room(1)
+            self[key] = value
+        return value

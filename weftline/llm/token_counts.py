@@ -97,7 +97,7 @@ class MergeCounter:
     def chunk(self, chunk: str) -> int:
         total = 0
         for piece in self.pretokens(chunk):
-            n = self.words.get(piece)
+            n = self.words.get(piece) or self.words.recall(piece)
             if n is None:
                 self.words.make_room(1)
                 n = self.words[piece] = self.merges(piece.encode())
@@ -109,6 +109,8 @@ class MergeCounter:
         total = 0
         for piece in chunks(text):
             n = memo.get(piece)
+            if n is None:
+                n = memo.recall(piece)
             if n is None:
                 memo.make_room(1)
                 n = memo[piece] = self.chunk(piece)

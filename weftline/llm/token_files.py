@@ -65,11 +65,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
-        new = {p for row in pieces if row for p in row}.difference(self.memo)
-        self.memo.make_room(len(new))
-        if not self.memo:
-            new = {p for row in pieces if row for p in row}
-        new = list(new)
+        wanted = {p for row in pieces if row for p in row}
+        new = wanted.difference(self.memo)
+        if self.memo.make_room(len(new)):
+            new = wanted
+        old = self.memo.old
+        known = [p for p in new if p in old]
+        self.memo.update((p, old[p]) for p in known)
+        new = list(new.difference(known))
         for begin in range(0, len(new), 20_000):
             part = new[begin : begin + 20_000]
             self.memo.update(zip(part, self.library(part), strict=True))
