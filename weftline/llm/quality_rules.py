@@ -20,7 +20,7 @@ names first.  An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,7 +172,10 @@ def learn(
     min_precision: float = 0.9,
     min_covered: int = 5,
 ) -> DecisionList:
-    """Learn a decision list from the rows of stats (with _stats) that have a label 0 (bad) or 1 (good)."""
+    """Learn a decision list from the rows of stats (with _stats) that have a label 0 (bad) or 1 (good).
+
+    Give it the rows that base rules leave, as those are what the list decides on.
+    """
     marks = labels.select(F.col(label_id).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     named = features()
     rows = stats.select(F.col(id_col).cast("long").alias("_id"), *[named[f].alias(f) for f in FEATURES]).join(marks, "_id")
@@ -238,13 +241,25 @@ def learn(
         rules.append(tuple(rule))
         left = left & ~_all([t.binned() for t in rule])
     unspool(cells)
-    return DecisionList(tuple(rules))
+    return _centred(DecisionList(tuple(rules)), rows)
+
+
+def _centred(found: DecisionList, rows: DataFrame) -> DecisionList:
+    """Each cut moves to the middle between the labelled values next to it, so a value just past the last one seen isn't rejected."""
+    tests = sorted({(t.feature, t.cut) for r in found.rules for t in r})
+    if not tests:
+        return found
+    below = [F.max(F.when(F.col(f) <= c, F.col(f))) for f, c in tests]
+    above = [F.min(F.when(F.col(f) > c, F.col(f))) for f, c in tests]
+    got = rows.groupBy().agg(*[x.alias(f"_{k}") for k, x in enumerate(below + above)]).first()
+    middle = {t: t[1] if lo is None or hi is None else (lo + hi) / 2 for t, lo, hi in zip(tests, got[: len(tests)], got[len(tests) :], strict=True)}
+    return DecisionList(tuple(tuple(replace(t, cut=middle[t.feature, t.cut]) for t in r) for r in found.rules))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document; the texts are read once."""
     stats = spool(text_stats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"]), "quality-stats")
-    rules = learn(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rules = learn(stats.where(~base_failed()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return stats.select(
         "doc_id", *[F.col("_stats")[c].alias(c) for c in BASE], base_failed().alias("base_failed"), (~base_failed() & rules.kept()).alias("kept")
     )
