@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep."""
     stats = spool(quality_rules.text_stats(docs, keep=["doc_id"]), "quality-stats")
-    rules = quality_rules.learn(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rules = quality_rules.learn(stats.where(~quality_rules.base_failed()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     gone = stats.where(quality_rules.base_failed() | ~rules.kept()).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(COLUMNS)
 
