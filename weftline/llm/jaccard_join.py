@@ -13,10 +13,11 @@ or more.  No link is lost and no group of copies is expanded into pairs:
    id with the band, and each document is searched for in a block that holds its
    pivots.  The links make first components, which take in nearly all of a large
    group of near copies through stars instead of pairs.
-4. Second search, between different components only: a document is sent to each
-   block that holds enough of its marked prefix hashes in other components.  Blocks
-   hold a bounded number of documents, and the documents searched for in a block
-   come in bounded parts.
+4. Second search, between different components only.  Documents with too few hashes
+   in other components drop out, first by their prefixes, then by their whole sets.
+   The rest are sent to each block that holds enough of their rarest hashes in other
+   components.  Blocks hold a bounded number of documents, and the documents searched
+   for in a block come in bounded parts.
 5. The search is DivideSkip: the inverted lists of a block that belong to the sought
    set are ordered by length; the longest are put aside, the short ones are merged
    with a heap, whatever occurs T - L times in them is looked up in the long ones by
@@ -38,7 +39,7 @@ from heapq import merge
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free, small, spool, unspool
@@ -70,6 +71,28 @@ def least_marked(n):
     return F.greatest(F.lit(1), F.ceil(F.ceil(F.col(n) * PERCENT / 100) / 10))
 
 
+def need_of(n: str) -> Column:
+    """need() as a column."""
+    return F.floor((F.col(n) * PERCENT + 99) / 100)
+
+
+def _narrow(tokens: DataFrame, least: Column) -> DataFrame:
+    """Rows (id, comp, n, h) whose hash is in two components, of documents with at least so many of them; df: rows of the hash.
+
+    Documents that link across components share what they share with two components,
+    so both stay.
+    """
+    counts = tokens.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("df"))
+    between = spool(counts.where("low < high").select("h", "df"), "set-between")
+    left = tokens.join(between.hint("shuffle_hash"), "h")
+    enough = left.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least).select(F.col("id").alias("_id"), F.col("n").alias("_n"))
+    return left.join(enough, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n")), "left_semi")
+
+
+def _docs(tokens: DataFrame) -> DataFrame:
+    return tokens.select("id", "comp", "n").distinct()
+
+
 def _summary(width: int):
     """key, n, two class numbers and the prefix of each text."""
 
@@ -207,11 +230,14 @@ def _search(held: DataFrame, members: DataFrame, routes: DataFrame) -> DataFrame
     held: id, comp, set.  members: id, block.  routes: id, block.  A block whose routes
     are many is repeated for parts of them.
     """
+    routes = spool(routes, "set-routes")
     parts = routes.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    sought = routes.join(parts, "block").select("id", "block", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    sought = spool(routes.join(parts, "block").select("id", "block", F.pmod(F.xxhash64("id"), "parts").alias("part")), "set-sought")
     blocks = members.join(parts, "block").select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-    left = blocks.join(held, "id").select("block", "part", "id", "comp", "set")
-    right = sought.join(held, "id").select(F.col("block").alias("to"), F.col("part").alias("piece"), F.col("comp").alias("from"), F.col("set").alias("sought"))
+    blocks = spool(blocks, "set-members")
+    # Sets are long: where the ids are few they are broadcast, so that a set is shuffled once, to its block.
+    left = held.join(small(blocks, BROADCAST_ROWS), "id").select("block", "part", "id", "comp", "set")
+    right = held.join(small(sought, BROADCAST_ROWS), "id").select(F.col("block").alias("to"), F.col("part").alias("piece"), F.col("comp").alias("from"), F.col("set").alias("sought"))
     return left.groupBy("block", "part").cogroup(right.groupBy("to", "piece")).applyInArrow(_probe, "a long, b long")
 
 
@@ -221,13 +247,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     summary = spool(rows.mapInArrow(_summary(width), "id long, n long, c1 long, c2 long, prefix array<long>"), "set-summaries")
     full = summary.where("id is not null and n > 0")
-    classes = full.groupBy("n", "c1", "c2").agg(F.min("id").alias("rep"))
+    # Written first, an aggregate doesn't tie the join back to its own shuffle, so a hot key can be split there.
+    classes = spool(full.groupBy("n", "c1", "c2").agg(F.min("id").alias("rep")), "set-representatives")
     member = spool(full.select("id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).select("id", "rep").distinct(), "set-classes")
 
     # Which documents can have links at all?
     postings = full.select("id", "n", F.explode("prefix").alias("h"))
-    common = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+    common = spool(postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "set-common")
+    free(spark)
     marks = spool(postings.join(common.hint("shuffle_hash"), "h").groupBy("id", "n").agg(F.collect_set("h").alias("hs")), "set-marks")
+    wide, summary = summary, spool(summary.select("id", "n"), "set-sizes")
+    unspool(wide)
     free(spark)
     reps = member.select(F.col("rep").alias("id")).distinct()
     active = spool(marks.where(F.size("hs") >= least_marked("n")).join(reps, "id", "left_semi"), "set-active")
@@ -246,21 +276,35 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     routes = starred.select("id", block_of("pivot").alias("block")).distinct()
     own = sets.select("id", F.col("id").alias("comp"), "set")
     first = spool(components(_search(own, members, routes)), "first-components")
+    free(spark)
 
     # Second search: between components.
     comp = F.coalesce("component", "id").alias("comp")
-    held = sets.select("id", "set").join(first, F.col("id") == F.col("node"), "left").select("id", comp, "set")
-    named = active.join(first, F.col("id") == F.col("node"), "left").select("id", comp, "n", F.explode("hs").alias("h"))
-    between = named.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
-    tokens = spool(named.join(between.hint("shuffle_hash"), "h").select("id", "comp", "n", "h"), "set-tokens")
+    first_small = small(first, BROADCAST_ROWS)
+    held = sets.select("id", "set").join(first_small, F.col("id") == F.col("node"), "left").select("id", comp, "set")
+    named = active.join(first_small, F.col("id") == F.col("node"), "left").select("id", comp, "n", F.explode("hs").alias("h"))
+    likely = spool(_docs(_narrow(named, least_marked("n"))), "set-likely")
+    full = held.join(small(likely.select("id", "n"), BROADCAST_ROWS), "id").select("id", "comp", "n", F.explode("set").alias("h"))
+    tokens = spool(_narrow(full, need_of("n")), "set-tokens")
+    free(spark)
+    wide, tokens = tokens, spool(_narrow(tokens.select("id", "comp", "n", "h"), need_of("n")), "set-tokens")
+    unspool(wide)
+    n_blocks = max(1, math.ceil(_docs(tokens).count() / BLOCK))
+    # Of each set the rarest hashes: linked sets share the first k of their common ones inside both cuts.
+    order = F.sort_array(F.collect_list(F.struct("df", "h")))
+    rare = tokens.groupBy("id", "comp", "n").agg(order.alias("a"))
+    rare = rare.select("id", "comp", "n", F.explode(F.slice("a", F.lit(1), (F.size("a") - need_of("n") + F.ceil(F.col("n") / 10)).cast("int"))).alias("x"))
+    rare = spool(rare.select("id", "comp", "n", "x.h"), "set-rare")
     # Block of a document: by component, so that a group of copies is together; a large one is cut.
-    sizes = tokens.select("id", "comp").distinct().groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
-    placed = tokens.select("id", "comp").distinct().join(sizes, "comp")
+    sizes = _docs(tokens).groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    placed = _docs(tokens).join(sizes, "comp")
     placed = placed.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
     placed = spool(placed.select("id", "comp", F.pmod(F.xxhash64("comp", "cut"), F.lit(n_blocks)).alias("block")), "set-blocks")
-    at = tokens.join(placed.select("id", "block"), "id").groupBy("h", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    met = tokens.join(at, "h").where("low <> comp or high <> comp").groupBy("id", "n", "block").agg(F.count_distinct("h").alias("met"))
+    at = rare.join(placed.select("id", "block"), "id").groupBy("h", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    met = rare.join(at, "h").where("low <> comp or high <> comp").groupBy("id", "n", "block").agg(F.count_distinct("h").alias("met"))
     routes = met.where(F.col("met") >= least_marked("n")).select("id", "block").distinct()
+    routes = spool(routes, "set-routes")
+    free(spark)
     second = components(_search(held, placed.select("id", "block"), routes))
 
     # Document -> class -> first component -> second component.

@@ -146,21 +146,25 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"), doc_id.alias("doc_id"))
     anchors = spool(rows.select("key", "text").mapInArrow(_emit_anchors, "h long, key long"), "anchors")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first, the counts don't tie the join to their own shuffle, so a hot hash can be split there.
+    repeated = spool(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-repeated")
+    free(docs.sparkSession)
     marked = spool(_shared(anchors, repeated), "anchor-marks")
-    unspool(anchors)
+    unspool(anchors, repeated)
     free(docs.sparkSession)
     # Every window of an exact copy starts earlier in the first of its kind.
     same = rows.where("text is not null").select("key", F.md5(F.col("text").cast("binary")).alias("t"))
-    copies = same.join(same.groupBy("t").agg(F.min("key").alias("low")), "t").where("key > low")
+    lows = spool(same.groupBy("t").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("t", "low"), "text-firsts")
+    copies = same.join(lows, "t").where("key > low")
     copies = spool(copies.select("key", F.lit(True).alias("copy")).distinct(), "text-copies")
     near = rows.select("key", "text").join(marked.join(copies, "key", "left_anti"), "key")
     windows = spool(near.mapInArrow(_emit_windows, "h long, key long"), "windows")
     unspool(marked)
     free(docs.sparkSession)
-    first = windows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h", "low")
+    first = spool(windows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h", "low"), "windows-first")
+    free(docs.sparkSession)
     later = spool(_shared(windows, first, "key > low"), "window-removals")
-    unspool(windows)
+    unspool(windows, first)
     free(docs.sparkSession)
     whole = rows.join(later.join(copies, "key", "full"), "key", "left").select("key", "text", "hs", "doc_id", F.coalesce("copy", F.lit(False)).alias("copy"))
     return whole.mapInArrow(_emit_kept, "doc_id long, n_words long, n_removed long, kept string")
