@@ -46,7 +46,11 @@ from .shingling import slices
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 NULL_ID = -(1 << 63)
+#: How byte-level vocabularies write a leading space and a leading new line.
+OPENERS = ("\u0120", "\u010a")
 _MEMO_ENTRIES = 1_200_000
+#: Chunks that are encoded in a row.
+_ROW = 4_000
 _state: dict = {}
 
 
@@ -59,24 +63,60 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(_MEMO_ENTRIES)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether the token of each id starts with a space or a new line.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(OPENERS)]] = True
+        self.joinable = not any(" " in s or "\n" in s for s in self.special)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """New chunks and their ids.
+
+        Chunks of a space or new line and a word are encoded in a row, as one text, and
+        cut again where a token starts with either: they meet where a token can't cross.
+        """
+        words, rest = [], []
+        for c in new:
+            (words if c[0] in " \n" and c.split() == [c[1:]] else rest).append(c)
+        if not self.joinable:
+            words, rest = [], new
+        for begin in range(0, len(words), _ROW):
+            part = words[begin : begin + _ROW]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(cuts) != len(part):
+                rest += part
+                continue
+            raw = ids.tobytes()
+            yield from zip(part, [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True)
+        for begin in range(0, len(rest), 20_000):
+            part = rest[begin : begin + 20_000]
+            yield from zip(part, self.library(part), strict=True)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
-        wanted = {p for row in pieces if row for p in row}
-        new = wanted.difference(self.memo)
-        if self.memo.make_room(len(new)):
-            new = wanted
-        old = self.memo.old
-        known = [p for p in new if p in old]
-        self.memo.update((p, old[p]) for p in known)
-        new = list(new.difference(known))
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            self.memo.update(zip(part, self.library(part), strict=True))
-        get = self.memo.__getitem__
+        memo, old = self.memo, self.memo.old
+        #: What these texts need, apart from the memo: a table that fits the cache.
+        here = {"": b""}
+        recalled, new = {}, []
+        for p in {p for row in pieces if row for p in row}:
+            ids = memo.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is None:
+                    if p:
+                        new.append(p)
+                    continue
+                recalled[p] = ids
+            here[p] = ids
+        recalled.update(self.learn(new))
+        here.update(recalled)
+        memo.make_room(len(recalled))
+        memo.update(recalled)
+        get = here.__getitem__
         return [self.library([t])[0] if row is None else b"".join(map(get, row)) for t, row in zip(texts, pieces, strict=True)]
 
 
