@@ -329,6 +329,32 @@ def test_html_common_page(spark):
     assert html_text.extract(t).first().text.split("\n") == ["A title", "One <two> three four", ("Long text, with words. " * 8).strip()]
 
 
+def test_html_wide_family():
+    """Places, tags and neighbours among 100 siblings, with a comment block after the 64th."""
+    from weftline.llm import dom
+
+    inner = "".join(f"<p>t{k}</p>" for k in range(80)) + "<div class=comments>c</div>" + "".join(f"<h2>t{k}</h2>" for k in range(19))
+    nodes = dom.parse(f"<article>{inner}</article>")
+    x = dom.features(nodes)[:, -8:]
+    family = nodes[1].children
+    assert len(family) == 100
+    for k, node in enumerate(family):
+        assert x[node.order][:3].tolist() == [100, k, 100 - k]
+        assert x[node.order][6] == (80 if k < 80 else 1 if k == 80 else 19) and x[node.order][7] == 1
+
+
+def test_html_wide_held_out():
+    from weftline.llm.html_pages import page
+
+    made = [page(60_000 + k, wide=True) for k in range(60)]
+    got = html_text.main_texts([h for h, _ in made], html_text.train())
+    wrong = 0
+    for g, (_, b) in zip(got, made, strict=True):
+        x, y = Counter(g.split("\n")), Counter(b)
+        wrong += sum((x - y).values()) + sum((y - x).values())
+    assert 200 * wrong <= sum(len(b) for _, b in made)
+
+
 def chat(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 

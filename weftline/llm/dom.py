@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -177,6 +178,14 @@ def features(nodes: list[Node]) -> np.ndarray:
     above_tags: list[frozenset[int]] = [frozenset()] * n
     above_groups: list[frozenset[int]] = [frozenset()] * n
     position = [0] * n
+    # Of each node its place among its siblings and how many share its tag; of each parent, whether a child is a comment or share part.
+    place, same = [0] * n, [0] * n
+    social = [False] * n
+    for node in nodes:
+        tags = Counter(c.tag for c in node.children)
+        social[node.order] = any(7 in c.groups or 6 in c.groups for c in node.children)
+        for k, c in enumerate(node.children):
+            place[c.order], same[c.order] = k, tags[c.tag]
     for node in nodes:
         i = node.order
         position[i] = before
@@ -215,15 +224,14 @@ def features(nodes: list[Node]) -> np.ndarray:
         at += len(TAGS)
         if p is not None:
             family = p.children
-            k = family.index(node) if len(family) < 64 else 0
             row[at] = len(family)
-            row[at + 1] = k
-            row[at + 2] = len(family) - k
+            row[at + 1] = place[i]
+            row[at + 2] = len(family) - place[i]
             row[at + 3] = chars[i] / max(1, chars[p.order])
             row[at + 4] = linked[p.order] / max(1, chars[p.order])
             row[at + 5] = chars[p.order] / max(1, blocks[p.order])
-            row[at + 6] = sum(c.tag == node.tag for c in family[:64])
-            row[at + 7] = any(7 in c.groups or 6 in c.groups for c in family[:64])
+            row[at + 6] = same[i]
+            row[at + 7] = social[p.order]
     return x
 
 

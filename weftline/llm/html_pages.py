@@ -85,8 +85,8 @@ class _Maker:
             body = f"<label>{escape(self.words(1, 6))}</label><input name=q><button>{escape(self.words(1, 2))}</button>"
         return f"<{tag}{name}>{body}</{tag}>"
 
-    def main(self) -> tuple[str, list[str]]:
-        """Markup of the main text, and its blocks."""
+    def main(self, wide: bool = False) -> tuple[str, list[str]]:
+        """Markup of the main text, and its blocks; wide: 64 to 200 of them side by side."""
         r = self.rng
         blocks: list[str] = []
 
@@ -105,7 +105,7 @@ class _Maker:
             head = f"<h1>{text(2, 14)}</h1>"
             out.append(f"<header>{head}</header>" if r.random() < 0.15 else head)
         long = r.random()
-        for _ in range(1 if long < 0.15 else r.randint(2, 14)):
+        for _ in range(r.randint(64, 200) if wide else 1 if long < 0.15 else r.randint(2, 14)):
             k = r.random()
             if k < 0.72:
                 size = (1, 6) if r.random() < 0.15 else (8, 90)
@@ -130,11 +130,11 @@ class _Maker:
         return "".join(out), blocks
 
 
-def page(seed: int) -> tuple[str, list[str]]:
-    """(html, blocks of main text) of one made-up page."""
+def page(seed: int, wide: bool = False) -> tuple[str, list[str]]:
+    """(html, blocks of main text) of one made-up page; wide: its main text is a long flat list of blocks."""
     r = random.Random(seed)
     m = _Maker(r)
-    body, blocks = m.main()
+    body, blocks = m.main(wide)
     tag = r.choice(("article", "article", "main", "div", "section"))
     name = m.name("main")
     while tag in ("div", "section") and not name:

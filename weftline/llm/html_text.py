@@ -1,7 +1,7 @@
 """HTML extraction: boosted trees over features of DOM nodes, then hierarchical decoding.
 
-The trees are trained at the driver on n_pages made-up pages with known main text (a
-fixed bound, no corpus data), each node labelled by whether it holds main text.  In a
+The trees are trained at the driver on n_pages made-up pages and n_wide wide ones with
+known main text (fixed bounds, no corpus data), each node labelled by whether it holds main text.  In a
 task each page is parsed into blocks, all nodes of a slice of pages are scored at
 once, and the likeliest consistent choice is taken: nothing below a dropped node is
 kept, so an ancestor and a descendant never contradict each other.  Scripts, styles
@@ -28,6 +28,8 @@ from .html_pages import page
 from .shingling import slices
 
 N_PAGES = 700
+#: Pages with long flat lists of blocks, besides.
+N_WIDE = 140
 
 
 def _labels(nodes, blocks: list[str]) -> np.ndarray:
@@ -53,10 +55,10 @@ def _labels(nodes, blocks: list[str]) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def train(n_pages: int = N_PAGES) -> Trees:
+def train(n_pages: int = N_PAGES, n_wide: int = N_WIDE) -> Trees:
     xs, ys = [], []
-    for seed in range(n_pages):
-        html, blocks = page(seed)
+    for seed in range(n_pages + n_wide):
+        html, blocks = page(seed, wide=seed >= n_pages)
         nodes = parse(html)
         xs.append(features(nodes))
         ys.append(_labels(nodes, blocks))
