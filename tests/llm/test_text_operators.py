@@ -398,6 +398,26 @@ def test_tool_call_cycle(spark, monkeypatch):
     assert any(r.depth is None for r in got.values()) and all(r.n_unknown in (0, 1) for r in got.values())
 
 
+def test_tool_call_order_is_exact(spark):
+    """All members of cycles and only these have no depth; a chain of 70 messages in reverse is placed to its end."""
+    link = lambda conv, turn, id_, needs: (conv, turn, "assistant", json.dumps({"tool_calls": [call(id_, "calculator", {"expression": [{"$result": n} for n in needs]})]}))
+    result = lambda conv, turn, id_: (conv, turn, "tool", json.dumps({"tool_call_id": id_}))
+    # a and b need each other, so do e and f; c needs b and d nothing; e needs c: c lies between two cycles, g after both.
+    needs = {"a": ["b"], "b": ["a"], "c": ["b"], "d": [], "e": ["f", "c"], "f": ["e"], "g": ["e", "d"]}
+    rows = [r for k, i in enumerate(needs) for r in (link(1, 2 * k, i, needs[i]), result(1, 2 * k + 1, i))]
+    chain = 35
+    for k in range(chain):  # the result of a call stands before it, and the call that needs it before both
+        rows += [result(2, 2 * (chain - 1 - k), str(k)), link(2, 2 * (chain - 1 - k) + 1, str(k), [str(k - 1)] if k else [])]
+    got = {(r.conv_id, r.turn): (r.anchor, r.depth) for r in tool_calls.format_chats(chat(spark, rows)).collect()}
+    cyclic = {2 * k + j for k, i in enumerate(needs) if i in "abef" for j in (0, 1)}
+    assert {t for (c, t), (_, depth) in got.items() if c == 1 and depth is None} == cyclic
+    assert all(got[1, t][0] == t for t in cyclic)
+    assert got[1, 12] == (12, 0) and got[1, 4] == (4, 0)
+    # The first call stands last; all else follows it there, in order.
+    assert sorted(depth for (c, _), (_, depth) in got.items() if c == 2) == list(range(2 * chain))
+    assert {anchor for (c, _), (anchor, _) in got.items() if c == 2} == {2 * chain - 1}
+
+
 def test_schemas():
     schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"enum": [1, 2]}}}, "required": ["a"]}
     assert tool_calls.valid({"a": 3, "b": [1, 2]}, schema) and tool_calls.valid({"a": 3.0, "x": 1}, schema)

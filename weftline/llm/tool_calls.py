@@ -9,8 +9,9 @@ the result of that call.
 Order: each message gets an anchor (the latest turn among itself and all it depends on)
 and a depth (how many dependencies moved it there); sorting a conversation by anchor,
 depth, turn is a topological order that leaves messages in place where it can.  Anchors
-are found by repeated joins of links, so a conversation of any size is never gathered.
-Messages in a cycle keep depth null and their own turn.
+are found by repeated joins of links, so a conversation of any size is never gathered,
+until nothing moves.  Messages in a cycle are found before; they keep depth null and
+their own turn, and messages that depend on them follow that turn.
 
 Validation: arguments are checked against the schema of the tool (required names, types,
 enumerations, unknown names where additionalProperties is false; objects and arrays in
@@ -33,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spool, unspool
+from .common import free, spool, unspool
 
+#: Rounds of joins after which shuffle files are freed; no bound of a chain.
 MAX_DEPTH = 64
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -161,9 +163,9 @@ def format_chats(chats: DataFrame, schemas: Mapping[str, Mapping] | None = None,
 
     # Dependencies between messages: result after its call, call after the results its arguments name.
     both = linked.where("c is not null and r is not null")
-    after_call = both.select(F.col("r.row").alias("row"), F.col("r.turn").alias("turn"), F.col("c.row").alias("on"), F.col("c.turn").alias("on_turn"))
+    after_call = both.select("conv_id", F.col("r.row").alias("row"), F.col("r.turn").alias("turn"), F.col("c.row").alias("on"), F.col("c.turn").alias("on_turn"))
     named = keyed.select("conv_id", "row", "turn", F.explode("needs").alias("call")).join(both, ["conv_id", "call"])
-    after_result = named.select("row", "turn", F.col("r.row").alias("on"), F.col("r.turn").alias("on_turn"))
+    after_result = named.select("conv_id", "row", "turn", F.col("r.row").alias("on"), F.col("r.turn").alias("on_turn"))
     edges = spool(after_call.union(after_result).where("row <> on").distinct(), "chat-edges")
     placed = _anchors(edges)
 
@@ -177,27 +179,80 @@ def format_chats(chats: DataFrame, schemas: Mapping[str, Mapping] | None = None,
     )
 
 
+def _trimmed(live: DataFrame) -> DataFrame:
+    """Links (row, on) without messages that wait for nothing or that nothing waits for, again and again: what is left lies on or between cycles."""
+    before, rounds = live.count(), 0
+    while before:
+        rounds += 1
+        inner = live.select("row").intersect(live.select(F.col("on").alias("row")))
+        after = live.join(inner, "row", "left_semi").join(inner.select(F.col("row").alias("on")), "on", "left_semi")
+        after = spool(after.select("row", "on"), "chat-live")
+        unspool(live)
+        live, n = after, after.count()
+        if n == before:
+            break
+        before = n
+        if rounds % MAX_DEPTH == 0:
+            free(live.sparkSession)
+    return live
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    """row of each message in a cycle: strongly connected components of two or more, by the largest name that each message reaches."""
+    # A cycle needs a message before one that it depends on.
+    suspects = edges.where("on_turn >= turn").select("conv_id").distinct()
+    live = _trimmed(spool(edges.join(suspects, "conv_id", "left_semi").select("row", "on").distinct(), "chat-live"))
+    found = live.select("row").limit(0)
+    while live.limit(1).count():
+        label = spool(live.select("row").union(live.select("on")).distinct().select("row", F.col("row").alias("c")), "chat-reach")
+        moved, rounds = 1, 0
+        while moved:
+            rounds += 1
+            best = live.join(label.select(F.col("row").alias("on"), F.col("c").alias("m")), "on").groupBy("row").agg(F.max("m").alias("m"))
+            after = spool(label.join(best, "row", "left").select("row", F.greatest("c", "m").alias("c"), F.coalesce(F.col("m") > F.col("c"), F.lit(False)).alias("moved")), "chat-reach")
+            moved = after.where("moved").limit(1).count()
+            unspool(label)
+            label = after.drop("moved")
+            label._spool_path = after._spool_path
+            if rounds % MAX_DEPTH == 0:
+                free(live.sparkSession)
+        # Of the messages that reach the same largest one, those that it reaches in turn.
+        ends = label.select(F.col("row").alias("on"), F.col("c").alias("to"))
+        inside = spool(live.join(label, "row").join(ends, "on").where(F.col("c") == F.col("to")).select("row", "on", "c"), "chat-inside")
+        held = new = spool(label.where(F.col("row") == F.col("c")), "chat-held")
+        while new.limit(1).count():
+            new = spool(inside.join(new.select("row"), "row").select(F.col("on").alias("row"), "c").distinct().join(held.select("row"), "row", "left_anti"), "chat-new")
+            held = spool(held.unionByName(new), "chat-held")
+        large = held.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+        found = spool(found.union(held.join(large, "c").select("row")), "chat-cycles")
+        rest = live.join(held.select("row"), "row", "left_anti").join(held.select(F.col("row").alias("on")), "on", "left_anti")
+        live = _trimmed(spool(rest.select("row", "on"), "chat-live"))
+    return found
+
+
 def _anchors(edges: DataFrame) -> DataFrame:
-    """row, anchor, depth, cycle for messages with dependencies: rounds of relaxation, one for each step of the longest chain."""
+    """row, anchor, depth, cycle for messages with dependencies: rounds of relaxation until nothing moves; messages in cycles stay."""
     own = edges.select("row", "turn").union(edges.select(F.col("on").alias("row"), F.col("on_turn").alias("turn"))).distinct()
-    now = spool(own.select("row", "turn", F.col("turn").alias("anchor"), F.lit(0).alias("depth")), "chat-anchors")
-    changed, rounds = now.limit(1).count(), 0
-    while changed and rounds < MAX_DEPTH:
+    cycles = _cycles(edges).withColumn("cycle", F.lit(True))
+    now = spool(own.join(cycles, "row", "left").select("row", F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.coalesce("cycle", F.lit(False)).alias("cycle")), "chat-anchors")
+    edges = spool(edges.select("row", "on").join(cycles, "row", "left_anti"), "chat-acyclic")
+    changed, rounds = edges.limit(1).count(), 0
+    while changed:
         rounds += 1
         before = now.select(F.col("row").alias("on"), F.col("anchor").alias("a"), F.col("depth").alias("d"))
-        best = edges.select("row", "on").join(before, "on").groupBy("row").agg(F.max(F.struct("a", (F.col("d") + 1).alias("d"))).alias("b"))
+        best = edges.join(before, "on").groupBy("row").agg(F.max(F.struct("a", (F.col("d") + 1).alias("d"))).alias("b"))
         joined = now.join(best, "row", "left")
         # A dependency at an earlier anchor leaves the message where it is.
         later = (F.col("b.a") > F.col("anchor")) | ((F.col("b.a") == F.col("anchor")) & (F.col("b.d") > F.col("depth")))
         moved = F.coalesce(later, F.lit(False))
-        after = spool(joined.select("row", "turn", F.when(moved, F.col("b.a")).otherwise(F.col("anchor")).alias("anchor"), F.when(moved, F.col("b.d")).otherwise(F.col("depth")).alias("depth"), moved.alias("moved")), "chat-anchors")
+        after = spool(joined.select("row", F.when(moved, F.col("b.a")).otherwise(F.col("anchor")).alias("anchor"), F.when(moved, F.col("b.d")).otherwise(F.col("depth")).alias("depth"), "cycle", moved.alias("moved")), "chat-anchors")
         changed = after.where("moved").limit(1).count()
         unspool(now)
         now = after.drop("moved")
-        last = after
-    cycle = F.col("moved") if rounds >= MAX_DEPTH and changed else F.lit(False)
-    final = last if rounds else now
-    return final.select("row", F.when(cycle, F.col("turn")).otherwise(F.col("anchor")).alias("anchor"), "depth", cycle.alias("cycle"))
+        now._spool_path = after._spool_path
+        if rounds % MAX_DEPTH == 0:
+            free(now.sparkSession)
+    return now
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
