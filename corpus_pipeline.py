@@ -8,7 +8,6 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import decontamination, jaccard_join, mixing, quality_rules, token_files
 from weftline.llm.common import new_path, spool
@@ -17,20 +16,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep."""
-    stats = spool(quality_rules.text_stats(docs, keep=["doc_id"]), "quality-stats")
-    rules = quality_rules.learn(stats.where(~quality_rules.base_failed()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = stats.where(quality_rules.base_failed() | ~rules.kept()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(COLUMNS)
+    """Rows that the base rules and the learned list keep, each judged by its own text."""
+    stats = spool(quality_rules.text_stats(docs, keep=COLUMNS), "quality-stats")
+    rules = quality_rules.learn(stats.where(~quality_rules.base_failed()).select("doc_id", "_stats"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return stats.where(~quality_rules.base_failed() & rules.kept()).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One row of each group of near duplicates, repeated rows and rows without an id among them."""
     return jaccard_join.one_of_each(docs).select(COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows that hold no benchmark item, whatever their ids."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 

@@ -471,6 +471,29 @@ def test_pipeline_against_plain(spark, tmp_path):
     assert {r.doc_id for r in last.collect()} == after["mixing sources"]
 
 
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Null and repeated ids: each row is kept or dropped by its own text."""
+    import corpus_pipeline as P
+
+    d, marks = labelled(spark, 120)
+    base = {r.doc_id: r.text for r in d.collect()}
+    item = " ".join(base[1].split()[5:35])
+    bad, leak = "word " * 3, "lead " + base[6][:40] + " " + item
+    rows = [(None, bad), (2, bad), (None, base[3]), (4, base[4]), (4, base[4]), (None, leak), (7, leak + " end")]
+    d.union(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).write.parquet(str(tmp_path / "documents.parquet"))
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    after = []
+    for _, stage in P.STAGES[:3]:
+        now = stage(spark, now, str(tmp_path))
+        after.append(Counter((r.doc_id, r.text) for r in now.collect()))
+    first, second, third = after
+    assert not first[None, bad] and not first[2, bad] and first[2, base[2]] and first[4, base[4]] == 3
+    assert not second[None, base[3]] and second[3, base[3]] == 1 and second[4, base[4]] == 1 and second[7, base[7]] == 1
+    assert not any(item in t for _, t in third) and third[7, base[7]] == 1 and (None, leak) not in third
+
+
 def test_digest_of_kept_words(spark, tmp_path):
     documents(spark, ["a b", None]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.kept_sha256 for r in substring_dedup.op9_substring_dedup(spark, str(tmp_path)).collect()}

@@ -42,6 +42,11 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of its own for each row, _row, written so that it stays the same."""
+    return spool(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def unspool(*frames: DataFrame) -> None:
     """Delete tables of spool() that nothing reads any more."""
     for df in frames:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shingles, small, spool, unspool, words
+from .common import ascii_lower, keyed, shingles, small, spool, unspool, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -99,11 +99,10 @@ def leaks(
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; all columns and other rows stay."""
-    key = options.get("doc_id", "doc_id")
-    hit = leaks(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    hit = spool(hit, "leaks")
-    return docs.join(hit, docs[key].cast("long") == hit["_leak"], "left_anti")
+    """docs without the rows that hold a benchmark item, whatever their ids; all columns and other rows stay."""
+    rows = keyed(docs, "leak-rows")
+    hit = spool(leaks(rows, items, **{**options, "doc_id": "_row"}).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return rows.join(hit, "_row", "left_anti").drop("_row")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

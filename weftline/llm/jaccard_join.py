@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, small, spool, unspool
+from .common import free, keyed, small, spool, unspool
 from .components import components
 from .shingling import mix, shingle_sets, slices, word_hashes
 
@@ -317,10 +317,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the smallest id; rows with a null id stay."""
-    out = spool(jaccard_components(docs, id_col=id_col, text_col=text_col), "jaccard-components")
-    gone = out.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """docs with one row of each component, that with the smallest id; null ids come last, and repeated ids are rows of their own."""
+    rows = keyed(docs, "jaccard-rows")
+    out = spool(jaccard_components(rows, id_col="_row", text_col=text_col), "jaccard-components").select(F.col("doc_id").alias("_row"), "component_id")
+    grouped = out.join(out.where("_row <> component_id").select("component_id").distinct(), "component_id", "left_semi")
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    order = rows.select("_row", F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64(text).alias("text"), F.col("_row").alias("row")).alias("place"))
+    members = spool(grouped.join(order, "_row"), "jaccard-members")
+    stays = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = spool(members.join(stays, "component_id").where("place.row <> first.row").select("_row"), "jaccard-gone")
+    return rows.join(gone, "_row", "left_anti").drop("_row")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
