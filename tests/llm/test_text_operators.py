@@ -244,6 +244,14 @@ def test_substring_dedup(spark, seed):
     assert substring_dedup.dedup(documents(spark, [])).count() == 0
 
 
+def test_substring_copy_and_other_text_of_one_id(spark):
+    """Rows (1, A), (5, A), (5, B): only A is removed of id 5, and a later copy of B's passage is found."""
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (6, "x " + b + " y"), (7, None)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in got) == [(1, 0, a), (5, 0, b), (5, 30, ""), (6, 30, "x y"), (7, 0, "")]
+
+
 def test_substring_every_shift(spark):
     """A passage of just 20 words at any two alignments is found; one of 19 isn't."""
     passage = [f"p{k}" for k in range(20)]

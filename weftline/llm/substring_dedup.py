@@ -155,9 +155,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     # Every window of an exact copy starts earlier in the first of its kind.
     same = rows.where("text is not null").select("key", F.md5(F.col("text").cast("binary")).alias("t"))
     lows = spool(same.groupBy("t").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("t", "low"), "text-firsts")
-    copies = same.join(lows, "t").where("key > low")
-    copies = spool(copies.select("key", F.lit(True).alias("copy")).distinct(), "text-copies")
-    near = rows.select("key", "text").join(marked.join(copies, "key", "left_anti"), "key")
+    copies = spool(same.join(lows, "t").where("key > low").select("key", "t").distinct(), "text-copies")
+    # A copy is a text, not an id: rows that share its id and hold other texts are searched like all others.
+    mixed = same.join(copies.select("key").distinct(), "key").join(copies, ["key", "t"], "left_anti").select("key").distinct()
+    copies = spool(copies.join(mixed.withColumn("mixed", F.lit(True)), "key", "left"), "text-copies")
+    copies = copies.groupBy("key").agg(F.collect_set("t").alias("ts"), F.max("mixed").alias("mixed"))
+    is_copy = F.coalesce(F.array_contains("ts", F.md5(F.col("text").cast("binary"))), F.lit(False))
+    near = marked.join(copies.where("mixed is null"), "key", "left_anti").join(copies.where("mixed").select("key", "ts"), "key", "left")
+    near = rows.select("key", "text").join(near, "key").where(~is_copy).select("key", "text", "hs")
     windows = spool(near.mapInArrow(_emit_windows, "h long, key long"), "windows")
     unspool(marked)
     free(docs.sparkSession)
@@ -166,7 +171,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     later = spool(_shared(windows, first, "key > low"), "window-removals")
     unspool(windows, first)
     free(docs.sparkSession)
-    whole = rows.join(later.join(copies, "key", "full"), "key", "left").select("key", "text", "hs", "doc_id", F.coalesce("copy", F.lit(False)).alias("copy"))
+    whole = rows.join(later.join(copies, "key", "full"), "key", "left").select("key", "text", "hs", "doc_id", is_copy.alias("copy"))
     return whole.mapInArrow(_emit_kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
