@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
+from ..functions.scratch import cut
 
 
-def connected_components(edges: DataFrame, *, most: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of edges (a, b): least labels of neighbours, then of labels."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
-    for _ in range(most):
+    while True:
         near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         hooked = labels.join(near, "a").select("a", F.least("l", "m").alias("n"), "l")
         jump = hooked.select(F.col("a").alias("n"), F.col("n").alias("up"))
