@@ -8,37 +8,54 @@ the result of that call.
 
 Order: each message gets an anchor (the latest turn among itself and all it depends on)
 and a depth (how many dependencies moved it there); sorting a conversation by anchor,
-depth, turn is a topological order that leaves messages in place where it can.  Anchors
-are found by repeated joins of links, so a conversation of any size is never gathered,
-until nothing moves.  Messages in a cycle are found before; they keep depth null and
-their own turn, and messages that depend on them follow that turn.
+depth, turn is a topological order that leaves messages in place where it can.  The links
+of a conversation of at most GROUP_LINKS are ordered in one task; a larger conversation is
+never gathered: its anchors are found by repeated joins of links until nothing moves.
+Both ways give the same.  Messages in a cycle keep depth null and their own turn, and
+messages that depend on them follow that turn.
 
-Validation: arguments are checked against the schema of the tool (required names, types,
-enumerations, unknown names where additionalProperties is false; objects and arrays in
-depth).  Canonical JSON: sorted keys, no spaces, UTF-8 as it is, shortest numbers.
+Validation: arguments are checked against the JSON schema of the tool.  KEYWORDS lists
+the schema words that are supported; words that only describe are ignored, and a schema
+with any other word is refused before anything runs.
+
+Canonical JSON: keys sorted by code points, no spaces, UTF-8 as it is.  Whole numbers
+below 1e21 are written as integers (1, 1.0 and 1e0 are the same), integers of any length
+digit by digit, other numbers with the fewest digits that read back the same.
 
 Defined cases: a null text is "", a null role is JSON null; null ids or turns are keys
 like others for plain messages but carry no links.  Text that isn't such an object is
-plain content.  Calls with the same id in one conversation: the first (by turn and place)
-is linked, later ones are counted as duplicates; so are results.  Tools without a schema
-are not validated (counted as unknown).  Repeated rows give repeated rows.  Other columns
-are ignored, whatever their names.  An empty table gives no rows.
+plain content; so is text that nests more than MAX_NEST levels, holds a number beyond the
+range of doubles, or NaN or Infinity (arguments given as such a JSON string are null).
+Lone surrogates become U+FFFD.  Calls with the same id in one conversation: the first
+(by turn and place) is linked, later ones are counted as duplicates; so are results.
+Tools without a schema are not validated (counted as unknown).  Repeated rows give
+repeated rows.  Other columns are ignored, whatever their names.  Texts of any length
+are read whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, spool, unspool
+from .common import spool, unspool
 
-#: Rounds of joins after which shuffle files are freed; no bound of a chain.
-MAX_DEPTH = 64
+#: Links of a conversation up to which one task orders it.
+GROUP_LINKS = 100_000
+#: Levels of arrays and objects in a text.
+MAX_NEST = 200
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: Words of JSON schema that are checked, and words that only describe.
+KEYWORDS = {
+    "type", "enum", "const", "properties", "required", "additionalProperties", "minProperties", "maxProperties", "items", "minItems", "maxItems", "uniqueItems",
+    "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "allOf", "anyOf", "oneOf", "not",
+}
+NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "format", "$schema", "$id", "$comment"}
 
 #: Schemas of the query's tools.
 SCHEMAS: dict[str, dict] = {
@@ -47,14 +64,72 @@ SCHEMAS: dict[str, dict] = {
 }
 
 
+def _number(value: float) -> str:
+    if value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    digits, _, power = repr(abs(value)).partition("e")
+    whole, _, part = digits.partition(".")
+    part = "" if part == "0" else part
+    sign, point = "-" * (value < 0), len(whole) + int(power or 0)
+    figures = (whole + part).lstrip("0")
+    point -= len(whole + part) - len(figures)
+    figures = figures.rstrip("0")
+    if -6 < point <= 0:
+        return f"{sign}0.{'0' * -point}{figures}"
+    if 0 < point < len(figures):
+        return f"{sign}{figures[:point]}.{figures[point:]}"
+    return f"{sign}{figures[0]}{'.' * (len(figures) > 1)}{figures[1:]}e{point - 1:+d}"
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, float):
+        return _number(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _whole(text: str) -> str:
+    """text with U+FFFD for lone surrogates."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[{]|[\]}]', re.S)
+
+
+def _too_deep(text: str) -> bool:
+    if text.count("[") + text.count("{") <= MAX_NEST:
+        return False
+    depth = 0
+    for m in _BRACKETS.finditer(text):
+        c = m[0][0]
+        depth += 1 if c in "[{" else -1 if c in "]}" else 0
+        if depth > MAX_NEST:
+            return True
+    return False
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _double(text: str) -> float:
+    value = float(text)
+    return value if abs(value) != float("inf") else _refuse(text)
 
 
 def _loads(text: str):
+    if _too_deep(text):
+        return None
     try:
-        return json.loads(text, parse_constant=lambda _: None)
-    except (ValueError, RecursionError):
+        return json.loads(text, parse_constant=_refuse, parse_float=_double)
+    except ValueError:
         return None
 
 
@@ -63,38 +138,77 @@ def _is(value, kind: str) -> bool:
         return isinstance(value, int) and not isinstance(value, bool) or isinstance(value, float) and value.is_integer()
     if kind == "number":
         return isinstance(value, (int, float)) and not isinstance(value, bool)
-    return isinstance(value, _TYPES.get(kind, object))
+    return isinstance(value, _TYPES[kind])
+
+
+def check_schema(schema) -> None:
+    """Raise ValueError for words and types that valid() doesn't know."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, Mapping) or (unknown := set(schema) - KEYWORDS - NOTES):
+        raise ValueError(f"schema words not supported: {sorted(unknown) if isinstance(schema, Mapping) else schema!r}")
+    kinds = schema.get("type", [])
+    if bad := set([kinds] if isinstance(kinds, str) else kinds) - set(_TYPES) - {"integer", "number"}:
+        raise ValueError(f"schema types not known: {sorted(bad)}")
+    inner = [*schema.get("properties", {}).values(), *schema.get("allOf", ()), *schema.get("anyOf", ()), *schema.get("oneOf", ())]
+    for s in inner + [schema[k] for k in ("items", "additionalProperties", "not") if k in schema]:
+        check_schema(s)
 
 
-def valid(value, schema: Mapping) -> bool:
+def valid(value, schema) -> bool:
     """Whether value meets the schema; a reference to a result meets any."""
     if isinstance(value, dict) and set(value) == {"$result"}:
         return True
+    if isinstance(schema, bool):
+        return schema
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
+        return False
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        return False
+    if not all(valid(value, s) for s in schema.get("allOf", ())):
+        return False
+    if "anyOf" in schema and not any(valid(value, s) for s in schema["anyOf"]):
+        return False
+    if "oneOf" in schema and sum(valid(value, s) for s in schema["oneOf"]) != 1:
         return False
+    if "not" in schema and valid(value, schema["not"]):
+        return False
+    if isinstance(value, str):
+        fits = schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))
+        return fits and ("pattern" not in schema or re.search(schema["pattern"], value) is not None)
+    if _is(value, "number"):
+        low, high = schema.get("minimum", value), schema.get("maximum", value)
+        inside = low <= value <= high and not ("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]) and not ("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"])
+        return inside and ("multipleOf" not in schema or value % schema["multipleOf"] == 0)
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", ())):
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
+        if any(k not in value for k in schema.get("required", ())) or not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return False
+        return all(valid(v, known.get(k, others)) for k, v in value.items())
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
             return False
-        if schema.get("additionalProperties") is False and any(k not in known for k in value):
+        if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
             return False
-        return all(valid(v, known[k]) for k, v in value.items() if k in known)
-    if isinstance(value, list) and "items" in schema:
-        return all(valid(v, schema["items"]) for v in value)
+        return all(valid(v, schema.get("items", True)) for v in value)
     return True
 
 
 def _references(value) -> set[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$result"}:
-            return {str(value["$result"])}
-        return set().union(*map(_references, value.values())) if value else set()
-    if isinstance(value, list):
-        return set().union(*map(_references, value)) if value else set()
-    return set()
+    found, stack = set(), [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            if set(v) == {"$result"}:
+                found.add(_whole(str(v["$result"])))
+            else:
+                stack += v.values()
+        elif isinstance(v, list):
+            stack += v
+    return found
 
 
 def format_message(role: str | None, text: str | None, schemas: Mapping[str, Mapping]) -> dict:
@@ -116,14 +230,14 @@ def format_message(role: str | None, text: str | None, schemas: Mapping[str, Map
             out[verdict] += 1
             needs |= _references(args)
             if call.get("id") is not None:
-                out["calls"].append(str(call["id"]))
+                out["calls"].append(_whole(str(call["id"])))
             calls.append({"id": call.get("id"), "name": name, "arguments": args})
         body = {"role": role, "content": loaded.get("content"), "tool_calls": calls}
         out["needs"] = sorted(needs)
     elif role == "tool" and isinstance(loaded, dict) and loaded.get("tool_call_id") is not None:
-        out["result"] = str(loaded["tool_call_id"])
+        out["result"] = _whole(str(loaded["tool_call_id"]))
         body = {"role": role, "tool_call_id": loaded["tool_call_id"], "content": loaded.get("content")}
-    out["json"] = canonical(body)
+    out["json"] = _whole(canonical(body))
     return out
 
 
@@ -133,6 +247,8 @@ _SCHEMA = "row string, conv_id long, turn long, role string, json string, calls
 def format_chats(chats: DataFrame, schemas: Mapping[str, Mapping] | None = None, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each message: conv_id, turn, role, anchor, depth, counts of calls and links, and its canonical JSON."""
     schemas = dict(schemas or {})
+    for schema in schemas.values():
+        check_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +261,8 @@ def format_chats(chats: DataFrame, schemas: Mapping[str, Mapping] | None = None,
             yield pa.RecordBatch.from_pydict(columns)
 
     source = chats.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    messages = spool(source.withColumn("mark", F.xxhash64("role", "text")).mapInArrow(run, _SCHEMA), "chat-messages")
+    # xxhash64 skips nulls, so it gets the places of nulls, too.
+    messages = spool(source.withColumn("mark", F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text")).mapInArrow(run, _SCHEMA), "chat-messages")
 
     # Hash join of calls and results by conversation and identifier; first of each identifier.
     keyed = messages.where("conv_id is not null and turn is not null")
@@ -167,7 +284,13 @@ def format_chats(chats: DataFrame, schemas: Mapping[str, Mapping] | None = None,
     named = keyed.select("conv_id", "row", "turn", F.explode("needs").alias("call")).join(both, ["conv_id", "call"])
     after_result = named.select("conv_id", "row", "turn", F.col("r.row").alias("on"), F.col("r.turn").alias("on_turn"))
     edges = spool(after_call.union(after_result).where("row <> on").distinct(), "chat-edges")
-    placed = _anchors(edges)
+    # Conversations of few links are ordered in one task each, larger ones by joins.
+    sizes = edges.groupBy("conv_id").agg(F.count("*").alias("n"))
+    few = edges.join(sizes.where(F.col("n") <= GROUP_LINKS), "conv_id", "left_semi")
+    placed = few.groupBy("conv_id").applyInArrow(_ordered, "row string, anchor long, depth int, cycle boolean")
+    large = spool(edges.join(sizes.where(F.col("n") > GROUP_LINKS), "conv_id", "left_semi"), "chat-large")
+    if large.limit(1).count():
+        placed = placed.unionByName(_anchors(large))
 
     out = messages.join(call_side, "row", "left").join(result_side, "row", "left").join(placed, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -179,11 +302,56 @@ def format_chats(chats: DataFrame, schemas: Mapping[str, Mapping] | None = None,
     )
 
 
+def _ordered(links: pa.Table) -> pa.Table:
+    """row, anchor, depth, cycle of the messages of one conversation, by its strongly connected components.
+
+    A component is complete after all that it depends on.
+    """
+    turn: dict[str, int] = {}
+    on: dict[str, list[str]] = {}
+    columns = (links[c].to_pylist() for c in ("row", "turn", "on", "on_turn"))
+    for row, t, other, other_turn in zip(*columns, strict=True):
+        turn[row], turn[other] = t, other_turn
+        on.setdefault(row, []).append(other)
+    number, low, place = {}, {}, {}
+    stack: list[str] = []
+    held: set[str] = set()
+    for root in turn:
+        work = [] if root in number else [(root, iter(on.get(root, ())))]
+        while work:
+            row, ahead = work[-1]
+            if row not in number:
+                number[row] = low[row] = len(number)
+                stack.append(row)
+                held.add(row)
+            for other in ahead:
+                if other not in number:
+                    work.append((other, iter(on.get(other, ()))))
+                    break
+                if other in held:
+                    low[row] = min(low[row], number[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[row])
+                if low[row] == number[row]:
+                    at = stack.index(row) if stack[-1] != row else len(stack) - 1
+                    members, stack[at:] = stack[at:], []
+                    held.difference_update(members)
+                    if len(members) > 1:
+                        place.update((m, (turn[m], 0, True)) for m in members)
+                    else:
+                        anchor, depth = max([(turn[row], 0), *((place[o][0], place[o][1] + 1) for o in on.get(row, ()))])
+                        place[row] = anchor, depth, False
+    rows = [(row, *place[row]) for row in turn]
+    kinds = (("row", pa.string()), ("anchor", pa.int64()), ("depth", pa.int32()), ("cycle", pa.bool_()))
+    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
+
+
 def _trimmed(live: DataFrame) -> DataFrame:
     """Links (row, on) without messages that wait for nothing or that nothing waits for, again and again: what is left lies on or between cycles."""
-    before, rounds = live.count(), 0
+    before = live.count()
     while before:
-        rounds += 1
         inner = live.select("row").intersect(live.select(F.col("on").alias("row")))
         after = live.join(inner, "row", "left_semi").join(inner.select(F.col("row").alias("on")), "on", "left_semi")
         after = spool(after.select("row", "on"), "chat-live")
@@ -192,8 +360,6 @@ def _trimmed(live: DataFrame) -> DataFrame:
         if n == before:
             break
         before = n
-        if rounds % MAX_DEPTH == 0:
-            free(live.sparkSession)
     return live
 
 
@@ -205,17 +371,14 @@ def _cycles(edges: DataFrame) -> DataFrame:
     found = live.select("row").limit(0)
     while live.limit(1).count():
         label = spool(live.select("row").union(live.select("on")).distinct().select("row", F.col("row").alias("c")), "chat-reach")
-        moved, rounds = 1, 0
+        moved = 1
         while moved:
-            rounds += 1
             best = live.join(label.select(F.col("row").alias("on"), F.col("c").alias("m")), "on").groupBy("row").agg(F.max("m").alias("m"))
             after = spool(label.join(best, "row", "left").select("row", F.greatest("c", "m").alias("c"), F.coalesce(F.col("m") > F.col("c"), F.lit(False)).alias("moved")), "chat-reach")
             moved = after.where("moved").limit(1).count()
             unspool(label)
             label = after.drop("moved")
             label._spool_path = after._spool_path
-            if rounds % MAX_DEPTH == 0:
-                free(live.sparkSession)
         # Of the messages that reach the same largest one, those that it reaches in turn.
         ends = label.select(F.col("row").alias("on"), F.col("c").alias("to"))
         inside = spool(live.join(label, "row").join(ends, "on").where(F.col("c") == F.col("to")).select("row", "on", "c"), "chat-inside")
@@ -236,9 +399,8 @@ def _anchors(edges: DataFrame) -> DataFrame:
     cycles = _cycles(edges).withColumn("cycle", F.lit(True))
     now = spool(own.join(cycles, "row", "left").select("row", F.col("turn").alias("anchor"), F.lit(0).alias("depth"), F.coalesce("cycle", F.lit(False)).alias("cycle")), "chat-anchors")
     edges = spool(edges.select("row", "on").join(cycles, "row", "left_anti"), "chat-acyclic")
-    changed, rounds = edges.limit(1).count(), 0
+    changed = edges.limit(1).count()
     while changed:
-        rounds += 1
         before = now.select(F.col("row").alias("on"), F.col("anchor").alias("a"), F.col("depth").alias("d"))
         best = edges.join(before, "on").groupBy("row").agg(F.max(F.struct("a", (F.col("d") + 1).alias("d"))).alias("b"))
         joined = now.join(best, "row", "left")
@@ -250,8 +412,6 @@ def _anchors(edges: DataFrame) -> DataFrame:
         unspool(now)
         now = after.drop("moved")
         now._spool_path = after._spool_path
-        if rounds % MAX_DEPTH == 0:
-            free(now.sparkSession)
     return now
 
 
