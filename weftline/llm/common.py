@@ -2,42 +2,48 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The ASCII white space that separates words.
-SPACES = "\t\n\x0b\x0c\r"
+from ..functions.scratch import new_path, shared_dir
 
+__all__ = ["SPACES", "ascii_lower", "free_name", "held_filter", "keyed", "new_path", "numbered", "shared_dir", "shingles", "small", "spool", "unspool", "words"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (as in tests on one machine) a temporary
-    local folder is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: The ASCII white space that separates words.
+SPACES = "\t\n\x0b\x0c\r"
+#: Files of a table whose names are broadcast; a table of more is copied to get row numbers.
+NUMBERED_FILES = 100_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession):
+    """Shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there.
 
-    A lost executor costs a re-read, not a recomputation.
+    A lost executor costs a re-read, not a recomputation.  The shuffle files of the write
+    are removed when it ends.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._spool_path = path
     return out
 
@@ -47,6 +53,23 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return spool(docs.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with _row, as keyed(), without a copy of the rows.
+
+    docs must be a plain read of Parquet files.  A row's number is made of the number of
+    its file and its place in the file, so every scan gives the same.  Where rows have no
+    such places, keyed() is used.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return keyed(docs, name)
+    files = spool(placed.select("_file").distinct().coalesce(1).withColumn("_number", F.monotonically_increasing_id()), name)
+    if files.limit(NUMBERED_FILES + 1).count() > NUMBERED_FILES:
+        return keyed(docs, name)
+    return placed.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 38) + F.col("_place")).drop("_file", "_place", "_number")
+
+
 def unspool(*frames: DataFrame) -> None:
     """Delete tables of spool() that nothing reads any more."""
     for df in frames:
@@ -57,10 +80,21 @@ def unspool(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now instead of at the driver's next garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free_name(wanted: str, columns: list[str]) -> str:
+    """wanted, with underscores put before it until no column has that name, in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def held_filter(df: DataFrame, keep: Column) -> DataFrame:
+    """The rows of df where keep holds, by a generator instead of a filter.
+
+    A filter would be pushed below the computed columns that it reads, and compute them again.
+    """
+    mark = free_name("_kept", df.columns)
+    return df.select("*", F.explode_outer(F.array(keep)).alias(mark)).where(F.col(mark)).drop(mark)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -2,37 +2,54 @@
 
 Tokens are counted by cell (source, language, topic).  Raking multiplies the cell
 weights in turn so that their sums meet the target of each source, each language and
-each topic, until the rounds are used up.  A cell's weight over its tokens gives the
-probability of its documents, scaled (and held at 1 where need be) so that the
-expected tokens are the wanted share.  A document stays if the hash of its id falls
-below its probability, so a rerun, another partitioning or another engine picks the
-same documents.
-
-Only cells are shuffled again and again, never documents: a source that holds a
-third of all rows is a handful of cells, summed before the shuffle.
+each topic.  Its state is one factor for each value of each margin.  A round is one job:
+the factor of a source needs only the source's own cells, and sums by language and topic
+(PAIRS combinations at most, else an error) then give the factors of these two.  It ends
+when a round changes no factor by more than TOLERANCE, relatively, so that all margins
+are met; targets that contradict each other end in an error after MAX_ROUNDS.  A cell's
+weight over its tokens gives the probability of its documents, scaled (and held at 1
+where need be) so that the expected tokens are the wanted share.  A document stays if
+the hash of its id falls below its probability, so a rerun, another partitioning or
+another engine picks the same documents.
+
+Only cells are shuffled again and again, never documents, and they are aggregated before
+the shuffle: a source that holds a third of all rows is a handful of cells, and no task
+holds all cells, however many sources there are.
+
+The topic is any column (topic_of); the default tells a few kinds of text by substrings
+(topics), and stands in where no classifier has marked the documents.
 
 Defined cases: a null source, language or topic is a value of its own.  Documents
 without words have no tokens and the probability of their cell (1 if the cell has
 none).  A null id is hashed as the empty string.  Repeated rows each count and share
-their fate.  Targets for values that don't occur are ignored and the rest rescaled; values without a target
-keep their observed share.  Other columns stay; an empty table gives no rows.
+their fate.  Texts of any length count whole.  Targets for values that don't occur are
+ignored and the rest rescaled; values without a target keep their observed share.  Other
+columns stay, but those with a name of the result (_source, _lang, _topic, _n_tokens,
+_p, _sampled, in any case) give way.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, small, spool
+from .common import SPACES, free_name, small, spool, unspool
 
 MARGINS = ("_source", "_lang", "_topic")
-ROUNDS = 12
+RESULT = (*MARGINS, "_n_tokens", "_p", "_sampled")
+#: Relative change of a factor in a round at which raking ends, and rounds after which it fails.
+TOLERANCE = 1e-13
+MAX_ROUNDS = 500
+#: Combinations of language and topic.
+PAIRS = 20_000
+#: Rounds of the SQL form, which has no test of convergence.
+SQL_ROUNDS = 40
 ALPHA = 0.7
 SHARE = 0.8
 #: Substrings by which the default topic is told, first match first.
-TOPICS = (("legal", ("license", "copyright", "warranty")), ("contact", ("@", "http://", "https://")), ("markup", ("|", "***", "&&&")))
+TOPICS = (("legal", ("license", "copyright", "warranty")), ("contact", ("@", "http://", "https://")), ("markup", ("|", "</", "{", "}")))
 CELLS_BROADCAST = 100_000
 _SPAN = 4294967296
 
@@ -43,10 +60,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(plain, F.lit("[^ ]+")).cast("long")
 
 
-def topic(text: Column) -> Column:
+def topic(text: Column, topics: Sequence[tuple[str, Sequence[str]]] = TOPICS) -> Column:
     out = F.lit("prose")
     low = F.lower(F.coalesce(text, F.lit("")))
-    for name, marks in reversed(TOPICS):
+    for name, marks in reversed(topics):
         hit = F.lit(False)
         for m in marks:
             hit = hit | F.contains(low, F.lit(m))
@@ -59,64 +76,98 @@ def draw(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(_SPAN))
 
 
-def _targets(cells: DataFrame, margin: str, wanted: Mapping[str | None, float] | None, alpha: float) -> Column:
-    """Target weight of a cell's value in this margin, as a share of all tokens.
+def _target(share: float, value: str | None, wanted: Mapping[str | None, float] | None, alpha: float) -> float:
+    """The weight of a value before rescaling: as given, else its observed share; without any given, the share tempered."""
+    return share**alpha if wanted is None else float(wanted.get(value, share))
 
-    Given weights are used as they are, for other values the observed share; without
-    any, observed shares are tempered: share ** alpha.  Rescaled to sum to 1.
-    """
-    whole = F.sum("_tokens").over(Window.partitionBy())
-    share = F.sum("_tokens").over(Window.partitionBy(margin)) / whole
-    if wanted is None:
-        return F.pow(share, F.lit(alpha))
-    out = share
-    for value, weight in wanted.items():
-        out = F.when(F.col(margin).eqNullSafe(F.lit(value)), F.lit(float(weight))).otherwise(out)
-    return out
 
+def _source_targets(base: DataFrame, wanted: Mapping[str | None, float] | None, alpha: float) -> DataFrame:
+    seen = base.groupBy("_source").agg(F.sum("_share").alias("_s"))
+    weight = F.pow("_s", F.lit(alpha)) if wanted is None else F.col("_s")
+    for value, w in (wanted or {}).items():
+        weight = F.when(F.col("_source").eqNullSafe(F.lit(value)), F.lit(float(w))).otherwise(weight)
+    out = spool(seen.select(F.col("_source").alias("_value"), weight.alias("_t")), "mix-targets")
+    whole = out.agg(F.sum("_t")).first()[0]
+    return out.withColumn("_t", F.col("_t") / F.lit(whole or 1.0))
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str | None, float]] | None = None, *, alpha: float = ALPHA, rounds: int = ROUNDS, cut_every: int = 4) -> DataFrame:
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str | None, float]] | None = None, *, alpha: float = ALPHA, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (the margins and _tokens) with _weight, whose sums over each margin fit its targets."""
     targets = targets or {}
-    out = cells.where("_tokens > 0")
-    for m in MARGINS:
-        out = out.withColumn(f"_t{m}", _targets(out, m, targets.get(m.lstrip("_")), alpha))
-        # Every value counts once in the total of its margin's targets.
-        once = F.when(F.row_number().over(Window.partitionBy(m).orderBy(*MARGINS)) == 1, F.col(f"_t{m}")).otherwise(F.lit(0.0))
-        out = out.withColumn("_once", once)
-        out = out.withColumn(f"_t{m}", F.col(f"_t{m}") / F.sum("_once").over(Window.partitionBy())).drop("_once")
-    out = spool(out.withColumn("_weight", F.col("_tokens") / F.sum("_tokens").over(Window.partitionBy())), "raked")
-    for k in range(rounds):
-        for m in MARGINS:
-            total = F.sum("_weight").over(Window.partitionBy(m))
-            out = out.withColumn("_weight", F.when(total > 0, F.col("_weight") * F.col(f"_t{m}") / total).otherwise(F.lit(0.0)))
-        if (k + 1) % cut_every == 0 and k + 1 < rounds:
-            out = spool(out, "raked")
-    return out.select(*MARGINS, "_tokens", "_weight")
+    some = cells.where("_tokens > 0")
+    whole = some.agg(F.sum("_tokens")).first()[0]
+    if not whole:
+        return some.withColumn("_weight", F.lit(0.0))
+    base = some.withColumn("_share", F.col("_tokens") / F.lit(float(whole)))
+    pairs = spool(base.groupBy("_lang", "_topic").agg(F.sum("_share").alias("_s")).coalesce(1).withColumn("_pair", F.monotonically_increasing_id()), "mix-pairs")
+    known = pairs.limit(PAIRS + 1).collect()
+    if len(known) > PAIRS:
+        raise ValueError(f"more than {PAIRS} combinations of language and topic")
+    known.sort(key=lambda r: r["_pair"])
+    of_source = _source_targets(base, targets.get("source"), alpha)
+    named = pairs.select(F.col("_lang").alias("_l"), F.col("_topic").alias("_k"), "_pair")
+    base = base.join(of_source, F.col("_source").eqNullSafe(F.col("_value"))).join(F.broadcast(named), F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_topic").eqNullSafe(F.col("_k")))
+    base = spool(base.select(*MARGINS, "_tokens", "_share", "_t", "_pair"), "mix-base")
+    unspool(pairs, of_source)
+
+    values, aims = {}, {}
+    for margin in ("lang", "topic"):
+        values[margin] = [r[f"_{margin}"] for r in known]
+        shares: dict = {}
+        for v, r in zip(values[margin], known, strict=True):
+            shares[v] = shares.get(v, 0.0) + r["_s"]
+        raw = {v: _target(s, v, targets.get(margin), alpha) for v, s in shares.items()}
+        aims[margin] = {v: t / (sum(raw.values()) or 1.0) for v, t in raw.items()}
+    factors = {m: dict.fromkeys(aims[m], 1.0) for m in aims}
+
+    def of_pairs() -> list[float]:
+        return [factors["lang"][a] * factors["topic"][b] for a, b in zip(values["lang"], values["topic"], strict=True)]
+
+    def with_source(by_pair: list[float]) -> DataFrame:
+        """base with _f, the factor of its source; a source has PAIRS cells at most."""
+        held = F.sum(F.col("_share") * F.get(F.lit(by_pair), F.col("_pair").cast("int"))).over(Window.partitionBy("_source"))
+        return base.withColumn("_f", F.when(held > 0, F.col("_t") / held).otherwise(F.lit(0.0)))
+
+    for _ in range(MAX_ROUNDS):
+        before = of_pairs()
+        sums = [0.0] * len(known)
+        for r in with_source(before).groupBy("_pair").agg(F.sum(F.col("_share") * F.col("_f")).alias("s")).collect():
+            sums[r["_pair"]] = r["s"]
+        change = 0.0
+        for m, other in (("lang", "topic"), ("topic", "lang")):
+            held = dict.fromkeys(aims[m], 0.0)
+            for v, o, s in zip(values[m], values[other], sums, strict=True):
+                held[v] += s * factors[other][o]
+            new = {v: aims[m][v] / h if h > 0 else 0.0 for v, h in held.items()}
+            change = max([change, *(abs(f / factors[m][v] - 1) if factors[m][v] else f for v, f in new.items())])
+            factors[m] = new
+        if change <= tolerance:
+            break
+    else:
+        raise ValueError(f"the targets of sources, languages and topics can't be met together: after {MAX_ROUNDS} rounds factors still change by {change:.3g}")
+    weight = F.col("_share") * F.col("_f") * F.get(F.lit(of_pairs()), F.col("_pair").cast("int"))
+    out = spool(with_source(before).select(*MARGINS, "_tokens", weight.alias("_weight")), "raked")
+    unspool(base)
+    return out
 
 
 def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
-    """Adds _p = min(1, c * weight / tokens) with the expected tokens share * total.
+    """The margins and _p = min(1, c * weight / tokens) with the expected tokens share * total.
 
-    Cells in order of weight / tokens fill up first: with the first j at 1, c is what the
-    rest still needs over the rest's weight, and j is the first for which the next cell
-    stays at 1 or less.  Windows over cells only.
+    c is what the cells below 1 need over their weight.  Scaling takes some cells over 1;
+    they are held there and c grows, until no more cells are.  Each step is one row of sums.
     """
     ratio = F.col("_weight") / F.col("_tokens")
-    order = Window.orderBy(F.desc("_r"), *MARGINS)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    ranked = cells.withColumn("_r", ratio).select(
-        "*",
-        F.coalesce(F.sum("_tokens").over(before), F.lit(0)).alias("_full"),
-        F.sum("_weight").over(onward).alias("_rest"),
-        (F.sum("_tokens").over(every) * F.lit(float(share))).alias("_want"),
-    )
-    ranked = ranked.withColumn("_c", F.when(F.col("_rest") > 0, (F.col("_want") - F.col("_full")) / F.col("_rest")))
-    ok = (F.col("_c") >= 0) & (F.col("_c") * F.col("_r") <= 1.0)
-    ranked = ranked.withColumn("_c", F.max(F.when(ok, F.col("_c"))).over(every))
-    return ranked.select(*MARGINS, F.when(F.col("_c").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_c") * F.col("_r"))).alias("_p"))
+    c, n_full = None, -1
+    while True:
+        full = ratio * c >= 1 if c is not None else F.lit(False)
+        sums = [F.sum("_tokens"), F.sum(F.when(full, F.col("_tokens")).otherwise(0)), F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("_weight"))), F.count_if(full)]
+        whole, filled, rest, n = cells.agg(*sums).first()
+        if not rest or n == n_full:
+            break
+        c, n_full = max(0.0, whole * share - filled) / rest, n
+    chance = F.lit(1.0) if c is None or not rest else F.least(F.lit(1.0), F.lit(c) * ratio)
+    return cells.select(*MARGINS, chance.alias("_p"))
 
 
 def mix(
@@ -127,27 +178,30 @@ def mix(
     source: Column | None = None,
     lang: Column | None = None,
     topic_of: Column | None = None,
+    topics: Sequence[tuple[str, Sequence[str]]] = TOPICS,
     tokens: Column | None = None,
     alpha: float = ALPHA,
     share: float = SHARE,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     text_col: str = "text",
 ) -> DataFrame:
     """docs with _source, _lang, _topic, _n_tokens, _p (probability) and _sampled."""
     marked = docs.select(
-        "*",
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT],
         (F.col("source") if source is None else source).alias("_source"),
         (F.col("lang") if lang is None else lang).alias("_lang"),
-        (topic(F.col(text_col)) if topic_of is None else topic_of).alias("_topic"),
+        (topic(F.col(text_col), topics) if topic_of is None else topic_of).alias("_topic"),
         (n_words(F.col(text_col)) if tokens is None else tokens).alias("_n_tokens"),
     )
     cells = spool(marked.groupBy(*MARGINS).agg(F.sum("_n_tokens").alias("_tokens")), "mix-cells")
-    chances = spool(calibrate(rake(cells, targets, alpha=alpha, rounds=rounds), share), "mix-chances")
-    named = chances.select(*[F.col(m).alias(f"_c{m}") for m in MARGINS], "_p")
-    same = [F.col(m).eqNullSafe(F.col(f"_c{m}")) for m in MARGINS]
-    joined = marked.join(small(named, CELLS_BROADCAST), same[0] & same[1] & same[2], "left").drop(*[f"_c{m}" for m in MARGINS])
-    chance = F.coalesce(F.col("_p"), F.lit(1.0))
-    return joined.withColumn("_p", chance).withColumn("_sampled", draw(F.col(id_col)) < F.col("_p"))
+    raked = rake(cells, targets, alpha=alpha, tolerance=tolerance)
+    chances = spool(calibrate(raked, share), "mix-chances")
+    unspool(cells, raked)
+    names = {m: free_name(f"_c{m}", marked.columns) for m in MARGINS}
+    named = chances.select(*[F.col(m).alias(names[m]) for m in MARGINS], "_p")
+    same = [F.col(m).eqNullSafe(F.col(names[m])) for m in MARGINS]
+    joined = marked.join(small(named, CELLS_BROADCAST), same[0] & same[1] & same[2], "left").drop(*names.values())
+    return joined.withColumn("_p", F.coalesce("_p", F.lit(1.0))).withColumn("_sampled", draw(F.col(id_col)) < F.col("_p"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +217,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op7_sql(rounds: int = ROUNDS, alpha: float = ALPHA, share: float = SHARE) -> str:
+def op7_sql(rounds: int = SQL_ROUNDS, alpha: float = ALPHA, share: float = SHARE) -> str:
     """The same mixing in SQL, its rounds written out."""
     topics = "".join(f" WHEN {' OR '.join(f"contains(lower(text), '{m}')" for m in marks)} THEN '{name}'" for name, marks in TOPICS)
     steps = [
