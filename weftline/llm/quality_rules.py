@@ -13,8 +13,8 @@ Defined cases: a null or empty text has no words (all statistics 0, base_failed
 true, kept false).  Null or repeated ids stay rows of their own; a label that is
 null or whose id is null or unknown is not used; several labels for one id all
 count.  Without usable labels the list is empty and only the base rules hold.
-Other columns are carried, and never replaced: statistics are made under reserved
-names first.  An empty table gives no rows.
+Other columns are carried whatever their names; one named _stats gives way.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, spool, unspool, words
+from .common import SPACES, free_name, spool, unspool, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -68,25 +68,26 @@ def _span(p: Column) -> Column:
 
 def text_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns named in keep) with one column _stats, a struct of counts."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "_stats"]
+    t, w, l, c, h, o, p = (free_name(x, keep) for x in ("_t", "_w", "_l", "_c", "_h", "_o", "_p"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " " + SPACES, "")) > 0)
-    carried = [F.col(f"`{c}`") for c in keep]
-    a = docs.select(*carried, text.alias("_t"), words(text).alias("_w"), lines.alias("_l"))
-    b = a.select("*", F.translate("_t", " " + SPACES, "").alias("_c"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
-    c = b.select("*", _windows(F.col("_h")).alias("_o"))
-    d = c.select("*", _repeated(F.col("_o")).alias("_p"))
+    carried = [F.col(f"`{x}`") for x in keep]
+    out = docs.select(*carried, text.alias(t), words(text).alias(w), lines.alias(l))
+    out = out.select("*", F.translate(t, " " + SPACES, "").alias(c), F.transform(w, lambda x: F.xxhash64(x)).alias(h))
+    out = out.select("*", _windows(F.col(h)).alias(o))
+    out = out.select("*", _repeated(F.col(o)).alias(p))
     stats = F.struct(
-        F.size("_w").cast("long").alias("n_words"),
-        F.length("_c").cast("long").alias("word_chars"),
-        _count_of(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _span(F.col("_p")).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        _count_of(F.col("_c"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        _count_of(F.col("_c"), "!?").cast("long").alias("n_marks"),
+        F.size(w).cast("long").alias("n_words"),
+        F.length(c).cast("long").alias("word_chars"),
+        _count_of(F.col(t), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+        _span(F.col(p)).alias("n_repeat_words"),
+        F.size(l).cast("long").alias("n_lines"),
+        _count_of(F.col(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
+        _count_of(F.col(c), "!?").cast("long").alias("n_marks"),
     )
-    return d.select(*carried, stats.alias("_stats"))
+    return out.select(*carried, stats.alias("_stats"))
 
 
 def _share(a: str, b: str) -> Column:
