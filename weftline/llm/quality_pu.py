@@ -12,7 +12,7 @@ estimate.  Then a logistic model is trained on the non-negative unbiased risk
 where a batch with a negative second part is stepped back instead.
 
 The model is fitted at the driver on features of a bounded sample (max_rows of each
-kind, by hash of the id); every document is scored, whole text, in its own task.
+kind, by hash of the id, rows of one id included); every document is scored, whole text, in its own task.
 
 Defined cases: a null or empty text has zero features and gets the model's score for
 them.  A null id is never held out and never trains.  Several labels of an id: the
@@ -181,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def sample(ids: DataFrame) -> np.ndarray:
         chosen = ids.select("id").orderBy(order, "id").limit(max_rows)
-        got = rows.join(F.broadcast(chosen), "id").mapInArrow(_features, "x array<float>").collect()
+        made = rows.join(F.broadcast(chosen), "id").mapInArrow(_features, "id long, x array<float>")
+        # An id may have any number of rows: the limit holds for rows, too.
+        got = made.orderBy(order, "id", "x").limit(max_rows).select("x").collect()
         return np.array([r["x"] for r in got], dtype=float).reshape(-1, WIDTH)
 
     positive = sample(known.where((F.col("y") == 1) & (fold(F.col("id")) != 0)))
@@ -202,7 +204,8 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, stop in slices(texts):
             x = text_features(texts.slice(begin, stop - begin)).astype(np.float32)
             flat = pa.array(x.ravel())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), flat)], ["x"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), lists], ["id", "x"])
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
