@@ -13,8 +13,9 @@ A passage in a third of all documents is a counted key, never a group: both the
 anchors and the windows are aggregated before the shuffle and joined back, and such
 a join's large partitions can be split.
 
-Defined cases: a null text has no words; its kept text is empty.  A null id takes
-part under a hash of its text.  Rows that share an id aren't compared with each
+Defined cases: a null text has no words; its kept text is empty.  A null id takes part under a
+negative number made of a hash of its text, so such rows count as earlier than all ids
+from 0 on.  Rows that share an id aren't compared with each
 other; each gets its own result.  Texts under 20 words lose nothing.  Other columns
 are ignored, whatever their names.  An empty table gives no rows.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, spool, unspool
+from .common import spool, unspool
 from .shingling import slices, window_hashes, word_hashes
 
 WINDOW = 20
@@ -144,14 +145,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) for each row of docs."""
     text = F.col(text_col).cast("string")
     doc_id = F.col(id_col).cast("long")
-    rows = docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"), doc_id.alias("doc_id"))
+    rows = docs.select(F.coalesce(doc_id, F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)))).alias("key"), text.alias("text"), doc_id.alias("doc_id"))
     anchors = spool(rows.select("key", "text").mapInArrow(_emit_anchors, "h long, key long"), "anchors")
     # Written first, the counts don't tie the join to their own shuffle, so a hot hash can be split there.
     repeated = spool(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors-repeated")
-    free(docs.sparkSession)
     marked = spool(_shared(anchors, repeated), "anchor-marks")
     unspool(anchors, repeated)
-    free(docs.sparkSession)
     # Every window of an exact copy starts earlier in the first of its kind.
     same = rows.where("text is not null").select("key", F.md5(F.col("text").cast("binary")).alias("t"))
     lows = spool(same.groupBy("t").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("t", "low"), "text-firsts")
@@ -165,12 +164,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     near = rows.select("key", "text").join(near, "key").where(~is_copy).select("key", "text", "hs")
     windows = spool(near.mapInArrow(_emit_windows, "h long, key long"), "windows")
     unspool(marked)
-    free(docs.sparkSession)
     first = spool(windows.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h", "low"), "windows-first")
-    free(docs.sparkSession)
     later = spool(_shared(windows, first, "key > low"), "window-removals")
     unspool(windows, first)
-    free(docs.sparkSession)
     whole = rows.join(later.join(copies, "key", "full"), "key", "left").select("key", "text", "hs", "doc_id", is_copy.alias("copy"))
     return whole.mapInArrow(_emit_kept, "doc_id long, n_words long, n_removed long, kept string")
 
