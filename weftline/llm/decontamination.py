@@ -2,19 +2,24 @@
 
 Items are short and documents long, so the similarity of their whole sets says
 little; what counts is containment, the share of an item's shingles that a document
-holds.  Items are partitioned by size.  For an item of m shingles and threshold t,
-its sketch is the k = m - ceil(t m) + 1 smallest of its shingle hashes (the bottom-k
-MinHash): a document that holds at least ceil(t m) of the m shingles holds one of any
-k of them, so probing with sketches loses no leak.  Each size partition has a bound,
-the largest hash in its sketches; document shingles above the largest bound are
-dropped before anything is exploded or joined.  The candidates are then verified by
-the exact shingle strings.
+holds.  Items are partitioned by size into classes (powers of two).  For an item of m
+shingles, threshold t and class of least size c, the sketch is the
+k = m - ceil(t m) + 1 + r smallest of its shingle hashes (the bottom-k MinHash), with
+r = c / 16: a document that holds ceil(t m) of the m shingles holds r + 1 of any such k,
+so probing for r + 1 hits loses no leak, and a large item needs several.
+
+Each class has its own gate for document hashes: a class of few sketch hashes lets
+through just these; a larger class lets through hashes up to its largest one, and what
+passes no gate is dropped before anything is exploded or joined.  So a few small items,
+whose sketches reach over nearly all hash values, don't open the gate of the large
+classes.  Candidates are then verified by the exact shingle strings, joined one by one.
 
 Defined cases: words are lower-cased (A-Z) runs without ASCII white space; an item
 with fewer words than a shingle is its whole sequence, as is a document.  Items or
-documents without words, or with null ids or texts, match nothing.  Repeated
-(id, text) rows count once; one id with several texts is matched text by text and
-reported once with its highest count.  Other columns are ignored.  Empty tables give
+documents without words, or with null ids or texts, match nothing in leaks(); clean()
+judges rows whatever their ids, so a row with a null id that holds an item goes.
+Repeated (id, text) rows count once; one id with several texts is matched text by text
+and reported once with its highest count.  Other columns are ignored.  Empty tables give
 no rows.
 """
 
@@ -23,12 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, shingles, small, spool, unspool, words
+from .common import ascii_lower, keyed, shingles, small, spool, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Rows of sketches or items that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Sketch hashes of a size class up to which its gate is their set; beyond it, their largest.
+SET_HASHES = 2_000
+#: Least size of a class over the hits that its items need besides one.
+HITS = 16
 
 
 def _hashes(hashed_words: Column, width: int) -> Column:
@@ -69,40 +78,63 @@ def leaks(
     percent = round(threshold * 100)
     # No filter stands on a computed array: Catalyst would push it down and evaluate the array again, inside lambdas too.
     source = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_t")).where("item_id is not null and _t is not null").distinct()
+    source = source.withColumn("_i", F.xxhash64("_t"))
     tests = spool(_strings(source, "_t", width, "_s").withColumn("_m", F.size("_s")), "benchmark-items")
-    hashes = spool(_hashed(source, "_t", width, "item_id").select("item_id", F.array_sort(F.array_distinct("_h")).alias("_h")), "benchmark-hashes")
+    hashes = spool(_hashed(source, "_t", width, "item_id", "_i").select("item_id", "_i", F.array_sort(F.array_distinct("_h")).alias("_h")), "benchmark-hashes")
     m = F.size("_h")
-    k = m - F.ceil(m * percent / 100).cast("int") + 1
-    sketches = spool(hashes.where(m > 0).select("item_id", _size_class(m).alias("_class"), F.explode(F.slice("_h", 1, k)).alias("_h")).distinct(), "benchmark-sketches")
-    # One bound for each size partition; there are as many as the logarithm of the longest item.
-    bounds = [r["b"] for r in sketches.groupBy("_class").agg(F.max("_h").alias("b")).collect()]
-    if not bounds:
+    class_ = _size_class(m)
+    more = F.floor(F.pow(F.lit(2.0), class_) / HITS).cast("int")
+    k = m - F.ceil(m * percent / 100).cast("int") + 1 + more
+    sketches = spool(hashes.where(m > 0).select("item_id", "_i", class_.alias("_class"), (more + 1).alias("_need"), F.explode(F.slice("_h", 1, k)).alias("_h")), "benchmark-sketches")
+    gate = _gate(sketches)
+    if gate is None:
         empty = "doc_id long, item_id long, n_item_shingles long, n_shared long"
         return docs.sparkSession.createDataFrame([], empty)
-    bound = max(bounds)
-
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("_t")).where("doc_id is not null and _t is not null")
-    probes = _hashed(texts, "_t", width, "doc_id").select("doc_id", F.filter("_h", lambda h: h <= bound).alias("_h"))
-    probes = probes.select("doc_id", F.explode_outer("_h").alias("_h"))
-    found = probes.join(small(sketches.select("_h", "item_id"), BROADCAST_ROWS), "_h").select("doc_id", "item_id").distinct()
-    found = spool(found, "leak-candidates")
-
-    # Verification: the texts of candidate documents only, against the items they may hold.
-    wanted = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("_items"))
-    held = texts.join(small(wanted, BROADCAST_ROWS // 10), "doc_id")
-    held = _strings(held, "_t", width, "_d").select("doc_id", "_d", F.explode("_items").alias("item_id"))
-    pairs = held.join(small(tests.select("item_id", "_s", "_m"), BROADCAST_ROWS // 10), "item_id")
-    counted = pairs.select("doc_id", "item_id", F.col("_m").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("_s", "_d")).cast("long").alias("n_shared"))
-    hit = 100 * F.col("n_shared") >= percent * F.col("n_item_shingles")
-    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct(hit.alias("hit"), "n_shared", "n_item_shingles")).alias("_b"))
-    return best.where("_b.hit").select("doc_id", "item_id", "_b.n_item_shingles", "_b.n_shared")
-
-
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the rows that hold a benchmark item, whatever their ids; all columns and other rows stay."""
-    rows = keyed(docs, "leak-rows")
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("_t")).where("doc_id is not null and _t is not null").withColumn("_d", F.xxhash64("_t"))
+    probes = _hashed(texts, "_t", width, "doc_id", "_d").select("doc_id", "_d", F.expr(gate).alias("_h"))
+    probes = probes.select("doc_id", "_d", F.explode_outer("_h").alias("_h"))
+    hits = probes.join(small(sketches, BROADCAST_ROWS), "_h").groupBy("doc_id", "_d", "item_id", "_i", "_need").agg(F.count_distinct("_h").alias("_k"))
+    found = spool(hits.where("_k >= _need").select("doc_id", "_d").distinct(), "leak-candidates")
+
+    # Verification: the shingles of candidate documents, one by one, against those of the items.
+    held = texts.join(small(found, BROADCAST_ROWS), ["doc_id", "_d"]).dropDuplicates(["doc_id", "_d"])
+    held = _strings(held, "_t", width, "_s").select("doc_id", "_d", F.explode_outer("_s").alias("_s"))
+    parts = tests.select("item_id", "_i", "_m", F.explode("_s").alias("_s"))
+    counted = held.join(small(parts, BROADCAST_ROWS // 5), "_s").groupBy("doc_id", "_d", "item_id", "_i", "_m").agg(F.count("*").alias("n_shared"))
+    hit = counted.where(100 * F.col("n_shared") >= percent * F.col("_m"))
+    best = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", F.col("_m").cast("long").alias("m"))).alias("_b"))
+    return best.select("doc_id", "item_id", F.col("_b.m").alias("n_item_shingles"), F.col("_b.n_shared").alias("n_shared"))
+
+
+def _gate(sketches: DataFrame) -> str | None:
+    """SQL for the hashes in _h that some class lets through; None without sketches.
+
+    What reaches the driver is a row for each class, of which there are as many as the
+    logarithm of the longest item, and SET_HASHES hashes for each of them at most.
+    """
+    classes = sketches.groupBy("_class").agg(F.count("*").alias("n"), F.max("_h").alias("bound")).collect()
+    if not classes:
+        return None
+    few = [c["_class"] for c in classes if c["n"] <= SET_HASHES]
+    bounds = [c["bound"] for c in classes if c["n"] > SET_HASHES]
+    tests = [f"h <= {max(bounds)}L"] if bounds else []
+    if few:
+        known = sorted({r["_h"] for r in sketches.where(F.col("_class").isin(few)).select("_h").collect()})
+        # The least 64-bit number can't be written as a literal.
+        tests.append("h IN (" + ", ".join(f"{h}L" if h > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for h in known) + ")")
+    return f"filter(_h, h -> {' OR '.join(tests)})"
+
+
+def clean(docs: DataFrame, items: DataFrame, *, row_col: str | None = None, **options) -> DataFrame:
+    """docs without the rows that hold a benchmark item, whatever their ids; all columns and other rows stay.
+
+    row_col: a number of each row that stays the same in every scan, if docs has one; it
+    is dropped.  Else docs is copied with one.
+    """
+    rows = docs.withColumnRenamed(row_col, "_row") if row_col else keyed(docs, "leak-rows")
     hit = spool(leaks(rows, items, **{**options, "doc_id": "_row"}).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
-    return rows.join(hit, "_row", "left_anti").drop("_row")
+    return rows.join(small(hit, BROADCAST_ROWS), "_row", "left_anti").drop("_row")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
