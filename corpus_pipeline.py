@@ -10,26 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontamination, jaccard_join, mixing, quality_rules, token_files
-from weftline.llm.common import new_path, spool
+from weftline.llm.common import held_filter, new_path, numbered, small, spool, unspool
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids of labelled documents that are broadcast; more of them are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the base rules and the learned list keep, each judged by its own text."""
-    stats = spool(quality_rules.text_stats(docs, keep=COLUMNS), "quality-stats")
-    rules = quality_rules.learn(stats.where(~quality_rules.base_failed()).select("doc_id", "_stats"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return stats.where(~quality_rules.base_failed() & rules.kept()).select(COLUMNS)
+    """Rows that the base rules and the learned list keep, each judged by its own text.
+
+    The list is learned from all labelled documents in a first pass; the second judges and
+    filters every document where it is read, so no text is shuffled or copied.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = small(labels.select("doc_id").where("doc_id is not null").distinct(), BROADCAST_ROWS)
+    stats = spool(quality_rules.text_stats(docs.join(known, "doc_id", "left_semi"), keep=["doc_id"]), "quality-stats")
+    rules = quality_rules.learn(stats.where(~quality_rules.base_failed()), labels)
+    unspool(stats)
+    judged = quality_rules.text_stats(docs, keep=COLUMNS)
+    return held_filter(judged, ~quality_rules.base_failed() & rules.kept()).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, repeated rows and rows without an id among them."""
-    return jaccard_join.one_of_each(docs).select(COLUMNS)
+    return jaccard_join.one_of_each(numbered(docs, "document-files"), row_col="_row").select(COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, whatever their ids."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    rows = numbered(docs, "document-files")
+    return decontamination.clean(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_col="_row").select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = spool(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        after = spool(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        unspool(docs)
+        docs = after
     return docs

@@ -16,8 +16,9 @@ or more.  No link is lost and no group of copies is expanded into pairs:
 4. Second search, between different components only.  Documents with too few hashes
    in other components drop out, first by their prefixes, then by their whole sets.
    The rest are sent to each block that holds enough of their rarest hashes in other
-   components.  Blocks hold a bounded number of documents, and the documents searched
-   for in a block come in bounded parts.
+   components.  Blocks are as many as the hashes of their documents need, and the documents
+   searched for in a block come in parts bounded by their hashes, so a task holds a
+   bounded number of bytes besides one document.
 5. The search is DivideSkip: the inverted lists of a block that belong to the sought
    set are ordered by length; the longest are put aside, the short ones are merged
    with a heap, whatever occurs T - L times in them is looked up in the long ones by
@@ -42,15 +43,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, keyed, small, spool, unspool
+from .common import keyed, small, spool, unspool
 from .components import components
 from .shingling import mix, shingle_sets, slices, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
 BANDS, BAND_ROWS = 6, 3
-#: Documents in a block of the index, and documents searched for at a time in one.
-BLOCK, PART = 1_000, 2_000
+#: Hashes in a block of the index, and of the documents searched for at a time in one.
+BLOCK, PART = 250_000, 250_000
 #: Weight of list length in DivideSkip's choice of long lists.
 MU = 0.0085
 BROADCAST_ROWS = 500_000
@@ -227,56 +228,69 @@ def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
 def _search(held: DataFrame, members: DataFrame, routes: DataFrame) -> DataFrame:
     """Links between components: each route's document is searched for in the block it names.
 
-    held: id, comp, set.  members: id, block.  routes: id, block.  A block whose routes
-    are many is repeated for parts of them.
+    held: id, comp, set.  members: id, block.  routes: id, n, block.  A block whose routes
+    hold many hashes is repeated for parts of them.
     """
     routes = spool(routes, "set-routes")
-    parts = routes.groupBy("block").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    sought = spool(routes.join(parts, "block").select("id", "block", F.pmod(F.xxhash64("id"), "parts").alias("part")), "set-sought")
-    blocks = members.join(parts, "block").select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-    blocks = spool(blocks, "set-members")
+    parts = spool(routes.groupBy("block").agg(F.ceil(F.sum("n") / PART).cast("long").alias("parts")), "set-parts")
+    sought = routes.join(parts, "block").select("id", "block", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    blocks = members.join(parts, "block").select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    sought, blocks = spool(sought, "set-sought"), spool(blocks, "set-members")
     # Sets are long: where the ids are few they are broadcast, so that a set is shuffled once, to its block.
     left = held.join(small(blocks, BROADCAST_ROWS), "id").select("block", "part", "id", "comp", "set")
     right = held.join(small(sought, BROADCAST_ROWS), "id").select(F.col("block").alias("to"), F.col("part").alias("piece"), F.col("comp").alias("from"), F.col("set").alias("sought"))
-    return left.groupBy("block", "part").cogroup(right.groupBy("to", "piece")).applyInArrow(_probe, "a long, b long")
+    links = spool(left.groupBy("block", "part").cogroup(right.groupBy("to", "piece")).applyInArrow(_probe, "a long, b long"), "set-links")
+    unspool(routes, parts, sought, blocks)
+    return links
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
-    spark = docs.sparkSession
+def _written_components(links: DataFrame, name: str) -> DataFrame:
+    found = components(links)
+    out = spool(found, name)
+    unspool(links, found)
+    return out
+
+
+def _blocks(hashes: int | None) -> int:
+    return max(1, math.ceil((hashes or 0) / BLOCK))
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, tables: list[DataFrame] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    tables gets the written tables that the result reads, for unspool() once it is used up.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     summary = spool(rows.mapInArrow(_summary(width), "id long, n long, c1 long, c2 long, prefix array<long>"), "set-summaries")
     full = summary.where("id is not null and n > 0")
     # Written first, an aggregate doesn't tie the join back to its own shuffle, so a hot key can be split there.
     classes = spool(full.groupBy("n", "c1", "c2").agg(F.min("id").alias("rep")), "set-representatives")
     member = spool(full.select("id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).select("id", "rep").distinct(), "set-classes")
+    unspool(classes)
 
     # Which documents can have links at all?
     postings = full.select("id", "n", F.explode("prefix").alias("h"))
     common = spool(postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "set-common")
-    free(spark)
     marks = spool(postings.join(common.hint("shuffle_hash"), "h").groupBy("id", "n").agg(F.collect_set("h").alias("hs")), "set-marks")
     wide, summary = summary, spool(summary.select("id", "n"), "set-sizes")
-    unspool(wide)
-    free(spark)
+    unspool(wide, common)
     reps = member.select(F.col("rep").alias("id")).distinct()
     active = spool(marks.where(F.size("hs") >= least_marked("n")).join(reps, "id", "left_semi"), "set-active")
     unspool(marks)
     texts = rows.join(small(active.select("id").distinct(), BROADCAST_ROWS), "id")
     sets = spool(texts.mapInArrow(_whole_sets(width), "id long, set array<long>, bands array<long>"), "sets")
-    free(spark)
 
     # First search: blocks of pivots.
-    n_blocks = max(1, math.ceil(sets.count() / BLOCK))
-    banded = sets.select("id", F.explode("bands").alias("band"))
+    n_blocks = _blocks(sets.agg(F.sum(F.size("set"))).first()[0])
+    banded = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot < high").select("band", "pivot")
-    starred = spool(banded.join(pivots, "band").where("id <> pivot").select("id", "pivot").distinct(), "set-pivots")
+    starred = spool(banded.join(pivots, "band").where("id <> pivot").select("id", "n", "pivot").distinct(), "set-pivots")
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
     members = starred.select(F.col("pivot").alias("id")).distinct().withColumn("block", block_of("id"))
-    routes = starred.select("id", block_of("pivot").alias("block")).distinct()
+    routes = starred.select("id", "n", block_of("pivot").alias("block")).distinct()
     own = sets.select("id", F.col("id").alias("comp"), "set")
-    first = spool(components(_search(own, members, routes)), "first-components")
-    free(spark)
+    first = _written_components(_search(own, members, routes), "first-components")
+    unspool(starred)
 
     # Second search: between components.
     comp = F.coalesce("component", "id").alias("comp")
@@ -286,26 +300,28 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     likely = spool(_docs(_narrow(named, least_marked("n"))), "set-likely")
     full = held.join(small(likely.select("id", "n"), BROADCAST_ROWS), "id").select("id", "comp", "n", F.explode("set").alias("h"))
     tokens = spool(_narrow(full, need_of("n")), "set-tokens")
-    free(spark)
+    unspool(active, likely)
     wide, tokens = tokens, spool(_narrow(tokens.select("id", "comp", "n", "h"), need_of("n")), "set-tokens")
     unspool(wide)
-    n_blocks = max(1, math.ceil(_docs(tokens).count() / BLOCK))
+    left = spool(_docs(tokens), "set-left")
+    n_blocks = _blocks(left.agg(F.sum("n")).first()[0])
     # Of each set the rarest hashes: linked sets share the first k of their common ones inside both cuts.
-    order = F.sort_array(F.collect_list(F.struct("df", "h")))
+    order = F.sort_array(F.collect_set(F.struct("df", "h")))
     rare = tokens.groupBy("id", "comp", "n").agg(order.alias("a"))
     rare = rare.select("id", "comp", "n", F.explode(F.slice("a", F.lit(1), (F.size("a") - need_of("n") + F.ceil(F.col("n") / 10)).cast("int"))).alias("x"))
     rare = spool(rare.select("id", "comp", "n", "x.h"), "set-rare")
+    unspool(tokens)
     # Block of a document: by component, so that a group of copies is together; a large one is cut.
-    sizes = _docs(tokens).groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
-    placed = _docs(tokens).join(sizes, "comp")
-    placed = placed.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
-    placed = spool(placed.select("id", "comp", F.pmod(F.xxhash64("comp", "cut"), F.lit(n_blocks)).alias("block")), "set-blocks")
-    at = rare.join(placed.select("id", "block"), "id").groupBy("h", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    met = rare.join(at, "h").where("low <> comp or high <> comp").groupBy("id", "n", "block").agg(F.count_distinct("h").alias("met"))
-    routes = met.where(F.col("met") >= least_marked("n")).select("id", "block").distinct()
-    routes = spool(routes, "set-routes")
-    free(spark)
-    second = components(_search(held, placed.select("id", "block"), routes))
+    sizes = left.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts"))
+    placed = left.join(sizes, "comp").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    placed = spool(placed.select("id", F.pmod(F.xxhash64("comp", "cut"), F.lit(n_blocks)).alias("block")).distinct(), "set-blocks")
+    unspool(left)
+    at = spool(rare.join(placed, "id").groupBy("h", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "set-places")
+    # A set has each hash once, so rows are distinct hashes; a hot one's partition can be split.
+    met = rare.join(at, "h").where("low <> comp or high <> comp").groupBy("id", "n", "block").agg(F.count("*").alias("met"))
+    routes = met.where(F.col("met") >= least_marked("n")).select("id", "n", "block")
+    second = _written_components(_search(held, placed, routes), "second-components")
+    unspool(sets, rare, placed, at)
 
     # Document -> class -> first component -> second component.
     named = first.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
@@ -313,20 +329,32 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     whole = member.join(named, "rep", "left").withColumn("c1", F.coalesce("c1", "rep")).join(final, "c1", "left")
     found = whole.groupBy(F.col("id").alias("_id")).agg(F.min(F.coalesce("c2", "c1")).alias("component_id"))
     out = summary.select("id", "n").join(found, F.col("id") == F.col("_id"), "left")
+    if tables is not None:
+        tables += [summary, member, first, second]
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that with the smallest id; null ids come last, and repeated ids are rows of their own."""
-    rows = keyed(docs, "jaccard-rows")
-    out = spool(jaccard_components(rows, id_col="_row", text_col=text_col), "jaccard-components").select(F.col("doc_id").alias("_row"), "component_id")
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """docs with one row of each component, that with the smallest id; null ids come last, and repeated ids are rows of their own.
+
+    row_col: a number of each row that stays the same in every scan, if docs has one; it
+    is dropped.  Else docs is copied with one.
+    """
+    rows = docs.withColumnRenamed(row_col, "_row") if row_col else keyed(docs, "jaccard-rows")
+    tables: list[DataFrame] = []
+    out = jaccard_components(rows, id_col="_row", text_col=text_col, tables=tables)
+    out = spool(out.select(F.col("doc_id").alias("_row"), "component_id"), "jaccard-components")
+    unspool(*tables)
     grouped = out.join(out.where("_row <> component_id").select("component_id").distinct(), "component_id", "left_semi")
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     order = rows.select("_row", F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64(text).alias("text"), F.col("_row").alias("row")).alias("place"))
     members = spool(grouped.join(order, "_row"), "jaccard-members")
+    unspool(out)
     stays = members.groupBy("component_id").agg(F.min("place").alias("first"))
     gone = spool(members.join(stays, "component_id").where("place.row <> first.row").select("_row"), "jaccard-gone")
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    unspool(members)
+    # Where the removed rows are few, the texts aren't shuffled.
+    return rows.join(small(gone, BROADCAST_ROWS), "_row", "left_anti").drop("_row")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
