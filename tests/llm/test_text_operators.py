@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import components, decontamination, html_text, jaccard_join, mixing, quality_pu, quality_rules, substring_dedup, token_counts, token_files, tool_calls
 from weftline.llm.common import new_path
@@ -186,8 +187,8 @@ def test_jaccard(spark, seed):
 
 def test_jaccard_small_blocks(spark, monkeypatch):
     """A chain of near copies over many blocks and parts is one component."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    monkeypatch.setattr(jaccard_join, "PART", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 170)
+    monkeypatch.setattr(jaccard_join, "PART", 110)
     words = [f"w{k}" for k in range(60)]
     texts = []
     for i in range(25):
@@ -394,26 +395,16 @@ def test_tool_calls(spark):
     assert tool_calls.format_chats(chat(spark, [])).count() == 0
 
 
-def test_tool_call_cycle(spark, monkeypatch):
-    monkeypatch.setattr(tool_calls, "MAX_DEPTH", 6)
-    rows = [
-        (1, 0, "assistant", json.dumps({"tool_calls": [call("a", "calculator", {"expression": {"$result": "b"}})]})),
-        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": 1})),
-        (1, 2, "assistant", json.dumps({"tool_calls": [call("b", "calculator", {"expression": {"$result": "a"}})]})),
-        (1, 3, "tool", json.dumps({"tool_call_id": "b", "content": 2})),
-    ]
-    got = {r.turn: r for r in tool_calls.format_chats(chat(spark, rows)).collect()}
-    assert any(r.depth is None for r in got.values()) and all(r.n_unknown in (0, 1) for r in got.values())
-
-
-def test_tool_call_order_is_exact(spark):
-    """All members of cycles and only these have no depth; a chain of 70 messages in reverse is placed to its end."""
+@pytest.mark.parametrize("group", [tool_calls.GROUP_LINKS, 0])
+def test_tool_call_order_is_exact(spark, monkeypatch, group):
+    """Both ways, in one task and by joins.  All members of cycles and only these have no depth; a chain of 70 messages in reverse is placed to its end."""
     link = lambda conv, turn, id_, needs: (conv, turn, "assistant", json.dumps({"tool_calls": [call(id_, "calculator", {"expression": [{"$result": n} for n in needs]})]}))
     result = lambda conv, turn, id_: (conv, turn, "tool", json.dumps({"tool_call_id": id_}))
+    monkeypatch.setattr(tool_calls, "GROUP_LINKS", group)
     # a and b need each other, so do e and f; c needs b and d nothing; e needs c: c lies between two cycles, g after both.
     needs = {"a": ["b"], "b": ["a"], "c": ["b"], "d": [], "e": ["f", "c"], "f": ["e"], "g": ["e", "d"]}
     rows = [r for k, i in enumerate(needs) for r in (link(1, 2 * k, i, needs[i]), result(1, 2 * k + 1, i))]
-    chain = 35
+    chain = 250 if group else 8
     for k in range(chain):  # the result of a call stands before it, and the call that needs it before both
         rows += [result(2, 2 * (chain - 1 - k), str(k)), link(2, 2 * (chain - 1 - k) + 1, str(k), [str(k - 1)] if k else [])]
     got = {(r.conv_id, r.turn): (r.anchor, r.depth) for r in tool_calls.format_chats(chat(spark, rows)).collect()}
@@ -506,3 +497,173 @@ def test_digest_of_kept_words(spark, tmp_path):
     documents(spark, ["a b", None]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.kept_sha256 for r in substring_dedup.op9_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {0: hashlib.sha256(b"a b").hexdigest(), 1: hashlib.sha256(b"").hexdigest()}
+
+
+def plain_order(links, turns):
+    """(anchor, depth) of each message by relaxation, depth None for members of cycles."""
+    reach = {m: {o for r, o in links if r == m} for m in turns}
+    for k in turns:
+        for m in turns:
+            if k in reach[m]:
+                reach[m] |= reach[k]
+    cyclic = {m for m in turns if m in reach[m]}
+    at = {m: (turns[m], 0) for m in turns}
+    for _ in turns:
+        for m, o in links:
+            if m not in cyclic:
+                at[m] = max(at[m], (at[o][0], at[o][1] + 1))
+    return {m: (turns[m], None) if m in cyclic else at[m] for m in turns}
+
+
+@pytest.mark.parametrize("group", [tool_calls.GROUP_LINKS, 0])
+def test_tool_call_order_of_random_chats(spark, monkeypatch, group):
+    """One task or joins, against relaxation in plain Python."""
+    monkeypatch.setattr(tool_calls, "GROUP_LINKS", group)
+    r = random.Random(12)
+    rows, want = [], {}
+    for conv in range(12 if group else 4):
+        n = r.randint(2, 7)
+        needs = {k: [j for j in range(n) if j != k and r.random() < 0.25] for k in range(n)}
+        turns = r.sample(range(4 * n), 2 * n)
+        for k in range(n):
+            rows.append((conv, turns[2 * k], "assistant", json.dumps({"tool_calls": [call(str(k), "calculator", {"expression": [{"$result": str(j)} for j in needs[k]]})]})))
+            rows.append((conv, turns[2 * k + 1], "tool", json.dumps({"tool_call_id": str(k), "content": k})))
+        links = [((conv, turns[2 * k + 1]), (conv, turns[2 * k])) for k in range(n)] + [((conv, turns[2 * k]), (conv, turns[2 * j + 1])) for k in range(n) for j in needs[k]]
+        want |= plain_order(links, {(conv, t): t for t in turns})
+    got = {(x.conv_id, x.turn): (x.anchor, x.depth) for x in tool_calls.format_chats(chat(spark, rows)).collect()}
+    assert got == want
+
+
+def test_tool_call_odd_texts(spark):
+    """Lone surrogates, deep and long texts, numbers out of range, repeated rows, clashing columns."""
+    deep = "[" * 3000 + "]" * 3000
+    rows = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":"\\ud800x","name":"calculator","arguments":{"expression":"\\ud800"}}]}'),
+        (1, 1, "tool", '{"tool_call_id":"\\ud800x","content":"\\ud83d\\ude00"}'),
+        (2, 0, "assistant", '{"tool_calls":[{"id":"a","name":"calculator","arguments":' + deep + "}]}"),
+        (2, 1, "assistant", json.dumps({"tool_calls": [call("b", "calculator", deep)]})),
+        (3, 0, "tool", '{"tool_call_id":1,"content":1e999}'),
+        (3, 1, "tool", '{"tool_call_id":1.0,"content":[1.0,1e0,1,-0.0,1e21,1.5e-7,0.000001,0.1,123456789012345678901234567890]}'),
+        (4, 0, "tool", '{"tool_call_id":"' + "y" * 300_000 + '"}'),
+        (5, 0, None, "x"), (5, 0, "x", None), (6, 0, "user", "same"), (6, 0, "user", "same"),
+    ]
+    d = chat(spark, rows).withColumn("json", F.lit(1)).withColumn("row", F.lit(2)).withColumn("n_calls", F.lit(3))
+    got = tool_calls.format_chats(d, tool_calls.SCHEMAS).collect()
+    assert len(got) == len(rows)
+    by = {(x.conv_id, x.turn): x for x in got}
+    assert by[1, 0].n_linked == 1 and "\ufffd" in by[1, 0].json and by[1, 1].json == '{"content":"\U0001f600","role":"tool","tool_call_id":"\ufffdx"}'
+    assert by[2, 0].n_calls == 0 and by[2, 1].n_invalid == 1 and '"arguments":null' in by[2, 1].json
+    assert json.loads(by[3, 0].json)["content"].endswith("1e999}")
+    assert '"content":[1,1,1,0,1e+21,1.5e-7,0.000001,0.1,123456789012345678901234567890]' in by[3, 1].json
+    assert len(by[4, 0].json) > 300_000
+    assert {x.json for x in got if x.conv_id == 5} == {'{"content":"x","role":null}', '{"content":"","role":"x"}'}
+    assert sum(x.conv_id == 6 for x in got) == 2
+
+
+def test_schema_words():
+    ok = tool_calls.valid
+    assert not ok(True, {"enum": [1]}) and ok(1.0, {"enum": [1]}) and ok("b", {"anyOf": [{"const": "a"}, {"pattern": "^b"}]})
+    assert not ok({"x": "y"}, {"additionalProperties": {"type": "integer"}}) and not ok(5, {"oneOf": [{"minimum": 1}, {"maximum": 9}]}) and ok([1, 2], {"uniqueItems": True, "maxItems": 2})
+    tool_calls.check_schema(tool_calls.SCHEMAS["search"])
+    for bad in ({"$ref": "#/x"}, {"properties": {"a": {"if": {}}}}, {"type": "date"}):
+        with pytest.raises(ValueError):
+            tool_calls.check_schema(bad)
+
+
+@pytest.mark.parametrize("most", [0, 40, 2000])
+def test_decontamination_gates(spark, monkeypatch, most):
+    """Classes gated by their sets, by their largest hash, or some of each, find the same; long items need several hits."""
+    monkeypatch.setattr(decontamination, "SET_HASHES", most)
+    r = random.Random(3)
+    items = [" ".join(f"w{r.randrange(500)}" for _ in range(n)) for n in (1, 4, 5, 6, 9, 20, 24, 60, 150, 400)]
+    texts = []
+    for k in range(120):
+        w = r.choice(items).split()
+        for _ in range(r.choice((0, 0, 1, 2, 6))):
+            w[r.randrange(len(w))] = "other"
+        texts.append(" ".join([f"x{r.randrange(50)}" for _ in range(r.randrange(40))] + w))
+    want = {(i, j): (len(shingle_set(s)), len(shingle_set(t) & shingle_set(s))) for i, t in enumerate(texts) for j, s in enumerate(items) if 100 * len(shingle_set(t) & shingle_set(s)) >= 80 * len(shingle_set(s))}
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1), (0, "nothing of it", 1), (None, items[-1], 1), (None, "clean text", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _h int").withColumn("_s", F.lit(1)).withColumn("_m", F.lit(2)).withColumn("item_id", F.lit(3))
+    got = {(x.doc_id, x.item_id): (x.n_item_shingles, x.n_shared) for x in decontamination.leaks(d, b).collect()}
+    assert got == want and len(want) > 20
+    kept = decontamination.clean(d, b)
+    assert kept.columns == d.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(i, t) for i, t in enumerate(texts) if not any(k == i for k, _ in want)] + [(0, "nothing of it"), (None, "clean text")])
+
+
+def test_names_that_clash(spark):
+    names = ["_t", "_w", "_stats", "_p", "_Source", "_c_source", "_f", "_row", "n", "h", "x", "key", "id"]
+    d = spark.createDataFrame([(1, "a b c d e f", "en", "s"), (2, "a b c d e f", "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    for k in names:
+        d = d.withColumn(k, F.lit(7))
+    stats = quality_rules.text_stats(d)
+    assert stats.columns == [*[c for c in d.columns if c != "_stats"], "_stats"] and {r["_stats"].n_words for r in stats.collect()} == {6, 0} and stats.first()["_t"] == 7
+    out = mixing.mix(d)
+    assert out.columns == [*[c for c in d.columns if c not in ("_p", "_Source")], *mixing.RESULT] and out.count() == 3 and out.first()["_f"] == 7
+    assert quality_pu.score(d, None).count() == token_counts.count_tokens(d, token_files.default_tokenizer()).count() == substring_dedup.dedup(d).count() == 3
+    assert sorted(r.doc_id or 0 for r in jaccard_join.one_of_each(d.drop("_row")).collect()) == [0, 1]
+
+
+def test_mixing_meets_all_margins(spark):
+    r = random.Random(2)
+    rows = [(i, "w " * r.randint(1, 30) + ("license" if r.random() < 0.3 else ""), r.choice(("en", "de", "fr")), r.choice("abcdefgh"), 0) for i in range(2000)]
+    target = {"source": {c: 1.0 for c in "abcdefgh"}, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2}, "topic": {"legal": 0.25, "prose": 0.75}}
+    out = mixing.mix(documents(spark, []).union(spark.createDataFrame(rows, DOC)), target, share=0.3).collect()
+    whole = sum(x._p * x._n_tokens for x in out)
+    assert abs(whole / sum(x._n_tokens for x in out) - 0.3) < 1e-9
+    for m in ("source", "lang", "topic"):
+        by = Counter()
+        for x in out:
+            by[x[f"_{m}"]] += x._p * x._n_tokens / whole
+        total = sum(target[m].values())
+        assert all(abs(by[v] - t / total) < 1e-9 for v, t in target[m].items())
+
+
+def test_pu_sample_is_bounded(spark):
+    """An id of many rows doesn't make the sample larger."""
+    d, marks = labelled(spark, 300)
+    d = d.union(d.where("doc_id = 1").crossJoin(spark.range(2000).select()))
+    seen = []
+    real = quality_pu.fit
+    quality_pu.fit = lambda p, u, **k: seen.append((len(p), len(u))) or real(p, u, **k)
+    try:
+        quality_pu.train(d, marks.where("doc_id % 2 = 1"), max_rows=60)
+    finally:
+        quality_pu.fit = real
+    assert seen and max(seen[0]) <= 60
+
+
+def test_substring_null_ids(spark):
+    a = " ".join(f"a{k}" for k in range(25))
+    got = substring_dedup.dedup(spark.createDataFrame([(3, a), (None, a), (None, "x y")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (-1, 0), (3, 25)]
+
+
+def test_rows_of_files_are_numbered(spark, tmp_path):
+    """The same number for a row in every scan, and no number twice."""
+    from weftline.llm.common import numbered
+
+    spark.range(5000).repartition(7).withColumn("text", F.col("id").cast("string")).write.parquet(str(tmp_path / "t"))
+    one, two = (numbered(spark.read.parquet(str(tmp_path / "t")), "files") for _ in range(2))
+    a = {r["_row"]: r.id for r in one.collect()}
+    assert len(a) == 5000 and a == {r["_row"]: r.id for r in two.select("id", "_row").where("id >= 0").collect()}
+    equal = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(None, "a b c d e f")], "doc_id long, text string")
+    equal.write.parquet(str(tmp_path / "e"))
+    kept = jaccard_join.one_of_each(numbered(spark.read.parquet(str(tmp_path / "e")), "files"), row_col="_row")
+    assert [tuple(r) for r in kept.collect()] == [(1, "a b c d e f")]
+
+
+def test_empty_tables_and_stages(spark, tmp_path):
+    """Every stage of the pipeline on an empty table keeps the columns and gives no rows."""
+    import corpus_pipeline as P
+
+    documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == P.COLUMNS and out.count() == 0
+    assert P.run(spark, str(tmp_path)).count() == 0
