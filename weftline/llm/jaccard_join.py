@@ -50,8 +50,8 @@ from .shingling import mix, shingle_sets, slices, word_hashes
 SHINGLE = 5
 PERCENT = 80
 BANDS, BAND_ROWS = 6, 3
-#: Hashes in a block of the index, and of the documents searched for at a time in one.
-BLOCK, PART = 250_000, 250_000
+#: Hashes in a block of the index, and of the documents searched for at a time in one; each document weighs DOCUMENT more.
+BLOCK, PART, DOCUMENT = 250_000, 250_000, 250
 #: Weight of list length in DivideSkip's choice of long lists.
 MU = 0.0085
 BROADCAST_ROWS = 500_000
@@ -90,6 +90,11 @@ def _narrow(tokens: DataFrame, least: Column) -> DataFrame:
     return left.join(enough, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n")), "left_semi")
 
 
+def _weight() -> Column:
+    """What the documents of a group weigh: searches among many short ones cost, too."""
+    return F.sum(F.col("n") + DOCUMENT)
+
+
 def _docs(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "comp", "n").distinct()
 
@@ -232,7 +237,7 @@ def _search(held: DataFrame, members: DataFrame, routes: DataFrame) -> DataFrame
     hold many hashes is repeated for parts of them.
     """
     routes = spool(routes, "set-routes")
-    parts = spool(routes.groupBy("block").agg(F.ceil(F.sum("n") / PART).cast("long").alias("parts")), "set-parts")
+    parts = spool(routes.groupBy("block").agg(F.ceil(_weight() / PART).cast("long").alias("parts")), "set-parts")
     sought = routes.join(parts, "block").select("id", "block", F.pmod(F.xxhash64("id"), "parts").alias("part"))
     blocks = members.join(parts, "block").select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     sought, blocks = spool(sought, "set-sought"), spool(blocks, "set-members")
@@ -251,8 +256,8 @@ def _written_components(links: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _blocks(hashes: int | None) -> int:
-    return max(1, math.ceil((hashes or 0) / BLOCK))
+def _blocks(weight: int | None) -> int:
+    return max(1, math.ceil((weight or 0) / BLOCK))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, tables: list[DataFrame] | None = None) -> DataFrame:
@@ -281,7 +286,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = spool(texts.mapInArrow(_whole_sets(width), "id long, set array<long>, bands array<long>"), "sets")
 
     # First search: blocks of pivots.
-    n_blocks = _blocks(sets.agg(F.sum(F.size("set"))).first()[0])
+    n_blocks = _blocks(sets.select(F.size("set").alias("n")).agg(_weight()).first()[0])
     banded = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("bands").alias("band"))
     pivots = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot < high").select("band", "pivot")
     starred = spool(banded.join(pivots, "band").where("id <> pivot").select("id", "n", "pivot").distinct(), "set-pivots")
@@ -304,7 +309,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     wide, tokens = tokens, spool(_narrow(tokens.select("id", "comp", "n", "h"), need_of("n")), "set-tokens")
     unspool(wide)
     left = spool(_docs(tokens), "set-left")
-    n_blocks = _blocks(left.agg(F.sum("n")).first()[0])
+    n_blocks = _blocks(left.agg(_weight()).first()[0])
     # Of each set the rarest hashes: linked sets share the first k of their common ones inside both cuts.
     order = F.sort_array(F.collect_set(F.struct("df", "h")))
     rare = tokens.groupBy("id", "comp", "n").agg(order.alias("a"))
@@ -312,7 +317,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rare = spool(rare.select("id", "comp", "n", "x.h"), "set-rare")
     unspool(tokens)
     # Block of a document: by component, so that a group of copies is together; a large one is cut.
-    sizes = left.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts"))
+    sizes = left.groupBy("comp").agg(F.ceil(_weight() / BLOCK).cast("int").alias("cuts"))
     placed = left.join(sizes, "comp").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
     placed = spool(placed.select("id", F.pmod(F.xxhash64("comp", "cut"), F.lit(n_blocks)).alias("block")).distinct(), "set-blocks")
     unspool(left)
