@@ -667,3 +667,53 @@ def test_empty_tables_and_stages(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == P.COLUMNS and out.count() == 0
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+#: Pages written by hand after layouts that are common on the web, with the main text that a reader sees.
+HAND_PAGES = [
+    (
+        '<html><body class="single"><div id="page"><div id="masthead"><a href="/">My Blog</a><div class="menu"><a href="/a">About</a> <a href="/c">Contact</a></div></div>'
+        '<div id="content"><div class="post"><h2>How we baked bread</h2><div class="entry-content"><p>We started with flour, water and salt, and let the dough rest for a night.</p>'
+        "<p>In the morning it had doubled, so we shaped two loaves and heated the oven.</p><blockquote>Patience is an ingredient.</blockquote></div></div>"
+        '<div id="comments"><h3>2 comments</h3><ol class="commentlist"><li>Great post, thanks a lot for sharing this recipe!</li><li>Mine came out flat.</li></ol></div></div>'
+        '<div id="sidebar"><h3>Archives</h3><ul><li><a href="/1">May</a></li><li><a href="/2">June</a></li></ul></div><div id="footer">Powered by a blog engine</div></div></body></html>',
+        ["How we baked bread", "We started with flour, water and salt, and let the dough rest for a night.", "In the morning it had doubled, so we shaped two loaves and heated the oven.", "Patience is an ingredient."],
+    ),
+    (
+        '<!doctype html><html lang=en><head><title>News</title><script>var a = "<p>no</p>";</script></head><body><header><nav><ul><li><a href=/>Home</a></li><li><a href=/w>World</a></li></ul></nav></header>'
+        '<main><article><h1>River level falls after dry month</h1><p>The river fell to its lowest level in ten years, officials said on Monday.</p><div class="ad-slot"><p>Buy cheap boots today, now with free delivery</p></div>'
+        "<p>Boats may still pass, but loads are limited until the rain returns.</p></article><aside class='related'><h3>More stories</h3><ul><li><a href=/x>Bridge closed for repairs</a></li></ul></aside></main>"
+        "<div class=cookie-consent><p>We use cookies to improve this site.</p><button>Accept</button></div><footer><p>&copy; The Paper</p></footer></body></html>",
+        ["River level falls after dry month", "The river fell to its lowest level in ten years, officials said on Monday.", "Boats may still pass, but loads are limited until the rain returns."],
+    ),
+    (
+        '<html><body><div class="navbar"><a href="/docs">Docs</a><a href="/api">API</a></div><div class="container"><nav class="toc"><ul><li><a href="#i">Install</a></li><li><a href="#u">Use</a></li></ul></nav>'
+        '<main class="content"><h1>Getting started</h1><p>Install the package first, then create a project folder.</p><pre>tool init   demo</pre><h2>Use</h2><p>Run the tool in the folder; it prints what it changed.</p>'
+        "<ul><li>Fast runs need no setup.</li><li>Slow runs keep a log.</li></ul></main></div><footer>Built with care</footer></body></html>",
+        ["Getting started", "Install the package first, then create a project folder.", "tool init demo", "Use", "Run the tool in the folder; it prints what it changed.", "Fast runs need no setup.", "Slow runs keep a log."],
+    ),
+    (
+        '<table width="100%"><tr><td class="menu"><a href="1.html">One</a><br><a href="2.html">Two</a><br><a href="3.html">Three</a></td><td><div class="text"><h1>Old page</h1><p>This page was written long ago, when tables held whole sites together.</p>'
+        "<p>Its text still reads well &amp; loads at once.</div></td></tr></table><div class=footer>Last changed 1999</div>",
+        ["Old page", "This page was written long ago, when tables held whole sites together.", "Its text still reads well & loads at once."],
+    ),
+]
+
+
+def test_html_pages_by_hand():
+    got = html_text.main_texts([h for h, _ in HAND_PAGES], html_text.train())
+    for g, (_, blocks) in zip(got, HAND_PAGES, strict=True):
+        assert g.split("\n") == blocks
+
+
+def test_html_odd_pages(spark):
+    """Deep, long, repeated and broken pages, clashing columns; training in a task gives the same trees."""
+    import numpy as np
+
+    deep, long = "<div>" * 5000 + "x", "<article><p>" + "word, " * 200_000 + "</p></article>"
+    rows = [(1, "u", deep), (2, "u", long), (2, "u", long), (3, None, "<p>a<b"), (None, "u", "<![CDATA["), (4, "u", "</div></p>&#xD800;&nope;")]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1))
+    got = html_text.extract(t).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got) and max(r.n_chars for r in got) > 1_000_000
+    a, b = html_text.trained(spark, 30, 5), html_text.train(30, 5)
+    assert np.array_equal(a.features, b.features) and np.allclose(a.leaves, b.leaves) and a.start == b.start

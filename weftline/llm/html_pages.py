@@ -1,4 +1,9 @@
-"""Made-up pages with known main text, to train and test extraction.  Bounded by their number."""
+"""Made-up pages with known main text, to train and test extraction.  Bounded by their number.
+
+Layouts, names, markup faults and text are drawn at random from what is common on the
+web: one column, two columns, documentation with a table of contents, portals with
+teasers, and layout by tables.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +29,7 @@ class _Maker:
     def __init__(self, rng: random.Random) -> None:
         self.rng = rng
         self.parts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüß") for _ in range(rng.randint(1, 4))) for _ in range(60)]
-        self.noise = rng.choice(["", "", "", "***", "!!", "&&&", " |"])
+        self.noise = "" if rng.random() < 0.6 else rng.choice("!?*#~=+|&^$%") * rng.randint(1, 4)
 
     def words(self, low: int, high: int) -> str:
         r = self.rng
@@ -111,9 +116,12 @@ class _Maker:
                 size = (1, 6) if r.random() < 0.15 else (8, 90)
                 out.append(f"<p>{text(*size)}" + ("</p>" if r.random() < 0.85 else ""))
             elif k < 0.78:
-                out.append(f"<p><b>{text(3, 40)}<br>")
+                # An inline element that isn't closed, and line breaks.
+                t = r.choice(("b", "i", "em", "strong", "span", "font"))
+                out.append(f"<p><{t}>{text(3, 40)}" + r.choice(("<br>", "<br/>", "<br><br>", "")) + r.choice(("</p>", "")))
             elif k < 0.84:
-                out.append(f"<h{r.randint(2, 3)}>{text(2, 8)}" + "</h2>" if False else f"<h2>{text(2, 8)}</h2>")
+                t = r.choice(("h2", "h2", "h3", "h4"))
+                out.append(f"<{t}>{text(2, 8)}</{t}>")
             elif k < 0.9:
                 t = r.choice(("ul", "ol"))
                 out.append(f"<{t}>{''.join(f'<li>{text(2, 25)}</li>' for _ in range(r.randint(2, 5)))}</{t}>")
@@ -130,6 +138,44 @@ class _Maker:
         return "".join(out), blocks
 
 
+def _head(m: _Maker) -> str:
+    r = m.rng
+    rules = " ".join(f"{r.choice(('body', '.a', '#x', 'h1', 'ul li', 'p'))} {{ {r.choice(('color', 'margin', 'font-size', 'display'))}: {r.choice(('0', '1em', 'none', '#333'))} }}" for _ in range(r.randint(0, 4)))
+    scripts = (f"var x{r.randint(0, 99)} = '<div>' + y + '</div>';", "if (a < b && c > d) { load(); }", '{"@type": "NewsArticle", "headline": "x"}', "document.write('<p>' + t)", "/* <li> */ go();")
+    parts = [f"<title>{escape(m.words(2, 8))}</title>"]
+    if rules:
+        parts.append(f"<style>{rules}</style>")
+    parts += [f"<script{r.choice(('', ' async', ' type=module'))}>{r.choice(scripts)}</script>" for _ in range(r.choice((0, 1, 1, 2)))]
+    parts += [r.choice(('<meta name="viewport" content="width=device-width">', '<link rel="stylesheet" href="/s.css">', "<meta charset=utf-8>")) for _ in range(r.randint(0, 3))]
+    r.shuffle(parts)
+    return f"<head>{''.join(parts)}</head>"
+
+
+def _laid_out(m: _Maker, core: str) -> str:
+    """The main text among the other parts, in one of several layouts."""
+    r = m.rng
+
+    def some(*kinds: tuple[str, float]) -> str:
+        return "".join(m.part(k) for k, c in kinds if r.random() < c)
+
+    top = some(("notice", 0.25), ("header", 0.45), ("nav", 0.7), ("form", 0.15), ("ad", 0.5))
+    end = some(("comment", 0.3), ("side", 0.3), ("ad", 0.25), ("form", 0.2), ("notice", 0.1), ("footer", 0.85))
+    layout = r.choice(("column", "column", "column", "columns", "docs", "portal", "table"))
+    if layout == "columns":
+        side = f"<div class='{r.choice(('side', 'sidebar', 'right-rail', 'col side'))}'>{some(('side', 0.9), ('ad', 0.5), ('form', 0.3), ('nav', 0.2))}</div>"
+        both = [f"<div class='{r.choice(('left', 'col', 'main-col', 'content'))}'>{core}</div>", side]
+        core = f"<div class={r.choice(('row', 'wrap', 'grid'))}>{''.join(both if r.random() < 0.7 else both[::-1])}</div>"
+    elif layout == "docs":
+        toc = f"<nav class='{r.choice(('toc', 'menu', 'sidebar'))}'>{m.links('nav')}</nav>"
+        core = f"<div class={r.choice(('layout', 'docs', 'container'))}>{toc}{core}</div>" + (f"<div class=pager>{m.links('nav')}</div>" if r.random() < 0.5 else "")
+    elif layout == "portal":
+        teasers = "".join(f"<div class='{r.choice(('related', 'trending', 'more', 'popular'))}'><h3>{escape(m.words(1, 3))}</h3><p><a href='/t{k}'>{escape(m.words(3, 12))}</a></p></div>" for k in range(r.randint(1, 4)))
+        core = core + f"<section class='{r.choice(('recommended', 'related', 'popular'))}'>{teasers}</section>"
+    elif layout == "table":
+        core = f"<table width=100%><tr><td class={r.choice(('menu', 'nav', 'side'))}>{m.links('nav')}</td><td>{core}</td></tr></table>"
+    return top + core + end
+
+
 def page(seed: int, wide: bool = False) -> tuple[str, list[str]]:
     """(html, blocks of main text) of one made-up page; wide: its main text is a long flat list of blocks."""
     r = random.Random(seed)
@@ -143,8 +189,6 @@ def page(seed: int, wide: bool = False) -> tuple[str, list[str]]:
     tail = "".join(m.part(k) for k in ("share", "comment") if r.random() < 0.35) if inside else ""
     core = f"<{tag}{name}>{body}{tail}</{tag}>"
     for _ in range(r.choice((0, 0, 1, 1, 2))):
-        core = f"<{r.choice(('div', 'main', 'div', 'section'))}{r.choice(('', m.name('main')))}>{core}</div>" if False else f"<div{r.choice(('', m.name('main')))}>{core}{m.part('side') if r.random() < 0.2 else ''}</div>"
-    top = "".join(m.part(k) for k, c in (("notice", 0.25), ("header", 0.45), ("nav", 0.7), ("form", 0.15), ("ad", 0.5)) if r.random() < c)
-    end = "".join(m.part(k) for k, c in (("comment", 0.3), ("side", 0.4), ("ad", 0.25), ("form", 0.2), ("notice", 0.1), ("footer", 0.85)) if r.random() < c)
-    head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{escape(m.words(2, 8))}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"
-    return head + top + core + end + ("</body></html>" if r.random() < 0.9 else ""), blocks
+        core = f"<div{r.choice(('', m.name('main')))}>{core}{m.part('side') if r.random() < 0.2 else ''}</div>"
+    start = r.choice(("<!DOCTYPE html>", "<!doctype html>\n", "")) + r.choice(("<html>", '<html lang="en">', "<html>\n"))
+    return f"{start}{_head(m)}<body{r.choice(('', ' class=page'))}>{_laid_out(m, core)}" + ("</body></html>" if r.random() < 0.9 else ""), blocks

@@ -1,8 +1,8 @@
 """HTML extraction: boosted trees over features of DOM nodes, then hierarchical decoding.
 
-The trees are trained at the driver on n_pages made-up pages and n_wide wide ones with
-known main text (fixed bounds, no corpus data), each node labelled by whether it holds main text.  In a
-task each page is parsed into blocks, all nodes of a slice of pages are scored at
+The trees are trained once a session, in one task, on n_pages made-up pages and n_wide
+wide ones with known main text (fixed bounds, no corpus data), each node labelled by
+whether it holds main text.  In a task each page is parsed into blocks, all nodes of a slice of pages are scored at
 once, and the likeliest consistent choice is taken: nothing below a dropped node is
 kept, so an ancestor and a descendant never contradict each other.  Scripts, styles
 and other elements that are never shown have no text at all.
@@ -65,6 +65,27 @@ def train(n_pages: int = N_PAGES, n_wide: int = N_WIDE) -> Trees:
     return fit_trees(np.vstack(xs), np.concatenate(ys))
 
 
+_trained: dict[tuple, Trees] = {}
+
+
+def trained(spark: SparkSession, n_pages: int = N_PAGES, n_wide: int = N_WIDE) -> Trees:
+    """train() in a task; the trees, of fixed size, are kept for the session."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = train(n_pages, n_wide)
+                columns = {"features": [t.features.tolist()], "cuts": [t.cuts.tolist()], "leaves": [t.leaves.tolist()], "start": [t.start]}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    key = (spark.sparkContext.applicationId, n_pages, n_wide)
+    if key not in _trained:
+        schema = "features array<array<long>>, cuts array<array<double>>, leaves array<array<double>>, start double"
+        r = spark.range(1, numPartitions=1).mapInArrow(run, schema).first()
+        _trained[key] = Trees(np.array(r["features"], dtype=np.int64), np.array(r["cuts"]), np.array(r["leaves"]), r["start"])
+    return _trained[key]
+
+
 def main_texts(pages: list[str], trees: Trees) -> list[str]:
     parsed = [parse(p) for p in pages]
     if not parsed:
@@ -80,7 +101,7 @@ def main_texts(pages: list[str], trees: Trees) -> list[str]:
 
 def extract(pages: DataFrame, trees: Trees | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars for each row of pages."""
-    trees = trees or train()
+    trees = trees or trained(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
