@@ -208,17 +208,17 @@ def test_pqs_and_pairs_round_trip(spark, tmp_path):
     assert key(readers.read_pairs(spark, str(tmp_path / "txt" / "rows"))) == key(t)
 
 
-def _bam(path, rows):
+def _bam(path, rows, block=50):
     body = b"BAM\1" + struct.pack("<i", 4) + b"@HD\t" + struct.pack("<i", 1) + struct.pack("<i", 2) + b"t\0" + struct.pack("<i", 1000)
     for name, flag, pos, seq in rows:
         packed = bytes((bam.BASES.index(a) << 4) | (bam.BASES.index(b) if b else 0) for a, b in zip(seq[::2], list(seq[1::2]) + [None] * (len(seq) % 2)))
         d = struct.pack("<iiBBHHHiiii", 0, pos - 1, len(name) + 1, 30, 0, 1, flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + struct.pack("<I", len(seq) << 4) + packed + bytes([20] * len(seq)) + b"NMi" + struct.pack("<i", 2) + b"MLBC" + struct.pack("<I2B", 2, 7, 9)
         body += struct.pack("<i", len(d)) + d
     out = b""
-    for k in range(0, len(body), 50):
+    for k in range(0, len(body), block):
         part = zlib.compressobj(6, zlib.DEFLATED, -15)
-        data = part.compress(body[k : k + 50]) + part.flush()
-        out += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(data) + 25) + data + struct.pack("<II", zlib.crc32(body[k : k + 50]), len(body[k : k + 50]))
+        data = part.compress(body[k : k + block]) + part.flush()
+        out += b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(data) + 25) + data + struct.pack("<II", zlib.crc32(body[k : k + block]), len(body[k : k + block]))
     path.write_bytes(out)
 
 
@@ -240,3 +240,83 @@ def test_stream_of_pairs(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, contacts.count_contacts(t, q=0).collect()))
+
+
+def test_bam_ranges(spark, tmp_path):
+    """Every record is read once, whatever the ranges; records may go over blocks and ranges."""
+    r = random.Random(11)
+    rows = [(f"read{i}", r.choice((0, 16, 4)), r.randint(1, 900), "".join(r.choice("ACGT") for _ in range(r.choice((3, 40, 700, 5000))))) for i in range(200)]
+    _bam(tmp_path / "a.bam", rows, block=2000)
+    spark.dataSource.register(bam.BamSource)
+    for split in (1 << 30, 20_000, 1_500):
+        t = spark.read.format("bam_records").option("split_bytes", split).load(str(tmp_path / "a.bam"))
+        assert sorted((x.name, x.pos, x.seq) for x in t.select("name", "pos", "seq").collect()) == sorted((n, p, q) for n, _, p, q in rows)
+        assert split > 1 << 20 or t.rdd.getNumPartitions() > 5
+    got = readers.with_modifications(t).select("reverse", "ml").distinct().collect()
+    assert {(x.reverse, tuple(x.ml)) for x in got} == {(False, (7, 9)), (True, (7, 9))}
+
+
+def test_fastq_of_many_splits(spark, tmp_path):
+    """Plain files cut anywhere, gzip files, quality lines that begin with @, CRLF and bare headers."""
+    import gzip
+
+    r = random.Random(5)
+    reads = [(f"r{i}", "".join(r.choice("ACGT") for _ in range(r.randint(1, 90)))) for i in range(2000)]
+    text = "".join(f"@{n} x\n{q}\n+\n{'@' * len(q)}\n" for n, q in reads)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fastq").write_text(text)
+    with gzip.open(tmp_path / "in" / "b.fastq.gz", "wt") as f:
+        f.write(text.replace("@r", "@z"))
+    (tmp_path / "in" / "c.fastq").write_bytes(b"@\r\nAC\r\n+\r\n!!\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = sorted(map(tuple, readers.read_fastq(spark, str(tmp_path / "in")).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([("", "AC", "!!")] + [(a + n[1:], q, "@" * len(q)) for n, q in reads for a in "rz"])
+
+
+def test_bam_pairs_order(spark):
+    """Along the read as sequenced, clips of a reverse record counted from its end; ends swap with their strands."""
+    rows = [("q", 0, "B", 50, 9, "10S20M70H"), ("q", 16, "A", 5, 7, "60S30M10S"), ("q", 2048, "B", 40, 8, "40H20M5I35S"), ("q", 256, "A", 1, 9, "100M"), ("q", 0, "A", 1, 0, "100M"), ("one", 0, "A", 1, 9, "10M")]
+    t = spark.createDataFrame(rows, "name string, flag int, rname string, pos long, mapq int, cigar string")
+    got = sorted(tuple(r) for r in pairs.bam_pairs(t, q=1).collect())
+    assert got == [("q", "A", 5, "B", 40, "-", "+", 7), ("q", "A", 5, "B", 50, "-", "+", 7), ("q", "B", 40, "B", 50, "+", "+", 8)]
+
+
+def test_methylation_support_is_consistency(spark):
+    r = random.Random(8)
+    rows, sites = [], {p for p in range(0, 400) if r.random() < 0.4}
+    for i in range(40):
+        seq = "".join(r.choice("ACGT") for _ in range(r.randint(1, 80)))
+        cigar = f"{len(seq)}M" if len(seq) < 9 else f"3S{len(seq) - 8}M2I1D3M"
+        rows.append((i // 2, i % 2, i % 2 == 0, 50, 0, "t", r.randint(0, 300), seq, cigar, r.random() < 0.5, "C+m,1,0,2;A+a,0;", [r.choice((10, 250)) for _ in range(4)]))
+    t = spark.createDataFrame(rows, "group long, ordinal long, primary boolean, score long, mapq int, target string, start long, seq string, cigar string, reverse boolean, mm string, ml array<int>")
+    s = spark.createDataFrame([("t", p) for p in sites] + [("u", 1), ("t", 7), ("t", 7)], "chrom string, start long")
+    got = {(x.group, x.ordinal): (x.matches, x.read_missing, x.ref_missing) for x in rescue.methylation_support(t, s).collect()}
+    for g, o, _, _, _, _, start, seq, cigar, reverse, mm, ml in rows:
+        read = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1] if reverse else seq
+        assert got[g, o] == rescue.consistency(seq, cigar, start, reverse, rescue.methylated_sites(read, mm, ml), sites | {7})
+    assert rescue.methylation_rescue(t, s, match=1).count() == 40
+
+
+def test_large_samples_are_the_same(spark, monkeypatch):
+    t = some_pairs(spark, 300, 4)
+    small = {n: sorted(map(tuple, pairs.sample_number(t, n).collect())) for n in (1, 77, 299, 300, 500)}
+    monkeypatch.setattr(pairs, "TOP_ROWS", 0)
+    assert {n: sorted(map(tuple, pairs.sample_number(t, n).collect())) for n in small} == small
+
+
+def test_methods_of_normalisation(spark):
+    import pytest
+
+    c = spark.createDataFrame([("a", "a", 5), ("a", "b", 2)], "contig1 string, contig2 string, count long")
+    assert {r.value for r in contacts.normalize(c, "cis_unique").collect()} == {0.0}
+    with pytest.raises(ValueError):
+        contacts.normalize(c, "nothing of the kind")
+
+
+def test_long_component(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(150)], "a long, b long")
+    assert {r.component for r in graph.connected_components(e).collect()} == {0}

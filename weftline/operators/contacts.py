@@ -71,7 +71,10 @@ def _both(contacts: DataFrame, per: DataFrame, column: str, default: Column) ->
 
 
 def normalize(contacts: DataFrame, method: str = "cis", *, re_counts: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """contig1, contig2, value.  RE counts force the method re.  NaN and negative values become 0."""
+    """contig1, contig2, value.  RE counts force the method re.  NaN and negative values become 0.
+
+    cis_unique is known by name only: its values are 0.
+    """
     if re_counts is not None:
         method = "re"
     n = F.col("count").cast("double")
@@ -110,9 +113,12 @@ def normalize(contacts: DataFrame, method: str = "cis", *, re_counts: DataFrame
         d = lambda k: (F.col(f"cis{k}") + 1) / (F.least(F.col(f"len{k}"), F.lit(50000.0)) + 1000)
         plain = n / F.sqrt((F.col("cis1") + 1) * (F.col("cis2") + 1))
         value = F.when(same, 0.0).when((F.col("len1") == 0) | (F.col("len2") == 0), plain).otherwise(n / F.sqrt(d(1) * d(2)))
+    elif method == "none":
+        t, value = contacts, n
+    elif method == "cis_unique":
+        t, value = contacts, zero
     else:
-        t = contacts
-        value = n if method == "none" else F.when(same, 0.0).otherwise(n)
+        raise ValueError(f"no such normalisation: {method}")
     clean = F.when(value.isNull() | F.isnan(value) | (value < 0), 0.0).otherwise(value)
     return t.select("contig1", "contig2", clean.alias("value"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import draw, midpoint
 from ..functions.intervals import disjoint, inside, locate, overlap_filter
 
+#: Rows of a sample that each task holds as its top list.
+TOP_ROWS = 10_000
 PAIR = ["read_idx", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2", "mapq"]
 
 
@@ -36,6 +38,34 @@ def virtual_pairs(pieces: DataFrame, *, q: int = 1, min_order: int = 2, max_orde
     )
 
 
+def bam_pairs(sam: DataFrame, *, q: int = 1) -> DataFrame:
+    """All pairs of the alignments of each read name, in their order along the read, canonical by (chrom, pos).
+
+    sam: name, flag, rname, pos, mapq, cigar.  Unmapped, secondary, duplicate and failed
+    records (flag 0x704) and those with mapq < q don't count.  The order is that of the
+    first aligned base of the read as sequenced, ties by place.  Ends are swapped with
+    their strands so that (chrom1, pos1) <= (chrom2, pos2).  A read's alignments are one array.
+    """
+    op = lambda k: F.expr(f"regexp_extract_all(cigar, '([0-9]+)[{k}]', 1)")
+    total = lambda a: F.aggregate(a.cast("array<bigint>"), F.lit(0).cast("long"), lambda x, y: x + y)
+    clip = lambda p: F.expr(f"regexp_extract(cigar, '{p}', 0)")
+    ahead = lambda c: total(F.regexp_extract_all(c, F.lit("([0-9]+)[SH]"), F.lit(1)))
+    reverse = F.col("flag").bitwiseAND(16) != 0
+    good = sam.where((F.col("flag").bitwiseAND(0x704) == 0) & (F.col("mapq") >= q) & (F.length(F.concat_ws("", op("MIX="))) > 0))
+    start = F.when(reverse, ahead(clip("([0-9]+[SH])*$"))).otherwise(ahead(clip("^([0-9]+[SH])*")))
+    item = F.struct(start.alias("at"), F.col("rname").alias("chrom"), "pos", F.when(reverse, "-").otherwise("+").alias("strand"), "mapq")
+    reads = good.groupBy("name").agg(F.sort_array(F.collect_list(item)).alias("a")).where(F.size("a") > 1)
+    one = reads.select("name", "a", F.posexplode("a").alias("i", "x"))
+    both = one.select("name", "x", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("y"))
+    swap = F.struct("x.chrom", "x.pos") > F.struct("y.chrom", "y.pos")
+    first, second = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
+    ends = both.select("name", first.alias("p"), second.alias("s"))
+    return ends.select(
+        F.col("name").alias("read_idx"), F.col("p.chrom").alias("chrom1"), F.col("p.pos").alias("pos1"), F.col("s.chrom").alias("chrom2"), F.col("s.pos").alias("pos2"),
+        F.col("p.strand").alias("strand1"), F.col("s.strand").alias("strand2"), F.least("p.mapq", "s.mapq").alias("mapq"),
+    )
+
+
 def canonical(pairs: DataFrame) -> DataFrame:
     """Ends swapped, strands with them, so that chrom1 <= chrom2."""
     swap = F.col("chrom1") > F.col("chrom2")
@@ -189,11 +219,11 @@ def duplicate_pairs(pairs: DataFrame, collapsed: DataFrame, *, seed: int = 42) -
 
 
 def duplicate_pieces(pieces: DataFrame, collapsed: DataFrame, *, seed: int = 42) -> DataFrame:
-    """As duplicate_pairs, with one draw for each read and contig: contigs are told apart by their number in collapsed."""
+    """As duplicate_pairs, with one draw for each read and contig: contigs are told apart by a hash of their name."""
     names = collapsed.groupBy(F.col("contig").alias("target")).agg(F.sort_array(F.collect_set("duplicate")).alias("_d"))
     out = pieces.join(names, "target", "left")
     pool = F.concat(F.array("target"), F.coalesce("_d", F.array().cast("array<string>")))
-    number = F.crc32(F.col("target").cast("binary"))
+    number = F.conv(F.substring(F.md5(F.col("target").cast("binary")), 1, 7), 16, 10).cast("long")
     return out.withColumn("target", F.element_at(pool, (draw(seed, F.col("read_idx"), number) % F.size(pool)).cast("int") + 1)).select(pieces.columns)
 
 
@@ -210,9 +240,22 @@ def sample_fraction(pairs: DataFrame, p: float, *, q: int = 0, seed: int = 42) -
 
 
 def sample_number(pairs: DataFrame, n: int, *, q: int = 0, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if fewer) in the order of the draw."""
+    """Exactly n rows (all, if fewer) in the order of the draw, then of the columns.
+
+    Few rows are a bounded top list of each task.  For many, the draws are counted (a
+    bounded number of values), rows below the last draw that fits all stay where they are,
+    and only those with just that draw are ordered.
+    """
     d = draw(seed, F.col("read_idx"), F.col("pos1"), F.col("pos2"))
-    return pairs.where(F.col("mapq") >= q).orderBy(d, *pairs.columns).limit(n)
+    rows = pairs.where(F.col("mapq") >= q)
+    if n <= TOP_ROWS:
+        return rows.orderBy(d, *pairs.columns).limit(n)
+    per = rows.groupBy(d.alias("d")).agg(F.count("*").alias("k"))
+    running = per.select("d", "k", F.sum("k").over(Window.orderBy("d")).alias("upto"))
+    last = running.where(F.col("upto") >= n).orderBy("d").select("d", (n - F.col("upto") + F.col("k")).alias("rest")).first()
+    if last is None:
+        return rows
+    return rows.where(d < last["d"]).unionByName(rows.where(d == last["d"]).orderBy(*pairs.columns).limit(last["rest"]))
 
 
 def sample_reads(pieces: DataFrame, *, mode: str = "pairs", target: float = 0, q: int = 1, min_order: int = 2, max_order: int = 50, seed: int = 42) -> DataFrame:

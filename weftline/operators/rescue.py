@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
+
+
 def realign_paf(paf: DataFrame, *, q: int = 1, score_share: float = 1.0, identity_share: float = 0.9, off_anchor_only: bool = False) -> DataFrame:
     """Primary rows of each read, low-mapq ones replaced by the best candidate on the read's anchor.
 
@@ -109,6 +112,57 @@ def consistency(seq: str, cigar: str, start: int, reverse: bool, sites: dict[int
     return tuple(got)
 
 
+def aligned_sites(seq: str, cigar: str, start: int, reverse: bool, mm: str, ml: list[int], cutoff: int = 128) -> list[tuple[int, bool]]:
+    """(place in the reference, methylated) of each C of the read as sequenced that lies in an aligned stretch of the stored sequence."""
+    n = len(seq)
+    read = seq.translate(_COMPLEMENT)[::-1] if reverse else seq
+    sites = methylated_sites(read, mm, ml, cutoff)
+    out = []
+    q, t = 0, start
+    for length, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        length = int(length)
+        if op in "M=X":
+            for k in range(length):
+                called = sites.get(n - 1 - (q + k) if reverse else q + k)
+                if called is not None:
+                    out.append((t + k - 1 if reverse else t + k, called))
+        q += length * (op in "MIS=X")
+        t += length * (op in "MDN=X")
+    return out
+
+
+def methylation_support(alns: DataFrame, sites: DataFrame, *, cutoff: int = 128) -> DataFrame:
+    """alns with matches, read_missing and ref_missing: called sites of each alignment against the known ones.
+
+    alns: group, ordinal (together a key), target, start (0-based), seq, cigar, reverse, mm,
+    ml and others.  sites: chrom, start.  Calls are made row by row, found by a join on the
+    place, and counted before the shuffle.
+    """
+
+    def run(batches):
+        for t in batches:
+            rows = [
+                (g, o, target, place, called)
+                for g, o, target, start, seq, cigar, reverse, mm, ml in t.itertuples(index=False)
+                for place, called in aligned_sites(seq or "", cigar or "", start, reverse, mm or "", list(ml) if ml is not None else [], cutoff)
+            ]
+            yield pd.DataFrame(rows, columns=["group", "ordinal", "target", "place", "called"])
+
+    schema = f"group {dict(alns.dtypes)['group']}, ordinal {dict(alns.dtypes)['ordinal']}, target string, place long, called boolean"
+    calls = alns.select("group", "ordinal", "target", "start", "seq", "cigar", "reverse", "mm", "ml").mapInPandas(run, schema)
+    known = sites.select(F.col("chrom").alias("target"), F.col("start").alias("place")).distinct().withColumn("known", F.lit(True))
+    judged = calls.join(known, ["target", "place"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    kinds = (("matches", F.col("known") == F.col("called")), ("read_missing", F.col("known") & ~F.col("called")), ("ref_missing", ~F.col("known") & F.col("called")))
+    counts = judged.groupBy("group", "ordinal").agg(*[F.count_if(c).alias(name) for name, c in kinds])
+    out = alns.join(counts, ["group", "ordinal"], "left")
+    return out.withColumns({name: F.coalesce(name, F.lit(0).cast("long")) for name, _ in kinds})
+
+
+def methylation_rescue(alns: DataFrame, sites: DataFrame, *, cutoff: int = 128, match: int = 0, read_penalty: int = 2, ref_penalty: int = 2, mapq: int = 2) -> DataFrame:
+    """methylation_scores() of methylation_support()."""
+    return methylation_scores(methylation_support(alns, sites, cutoff=cutoff), match=match, read_penalty=read_penalty, ref_penalty=ref_penalty, mapq=mapq)
+
+
 def modified_reads(reads: DataFrame, min_prob: float = 0.75) -> DataFrame:
     """name, seq with modified bases replaced by m where (q + 0.5) / 256 >= min_prob.  reads: name, seq, reverse, mm, ml."""
 
@@ -116,7 +170,7 @@ def modified_reads(reads: DataFrame, min_prob: float = 0.75) -> DataFrame:
         for t in batches:
             out = []
             for seq, rev, mm, ml in zip(t["seq"], t["reverse"], t["mm"], t["ml"], strict=True):
-                s = seq.translate(str.maketrans("ACGTacgt", "TGCAtgca"))[::-1] if rev else seq
+                s = seq.translate(_COMPLEMENT)[::-1] if rev else seq
                 cut = int(np.ceil(min_prob * 256 - 0.5))
                 chars = list(s)
                 for i, on in methylated_sites(s, mm or "", list(ml) if ml is not None else [], cut).items():

@@ -138,12 +138,12 @@ def _(s, d):
     return R.drop_unordered(_mixed(s, d), roles.prune(s, d).where("contig1 < contig2")).select(*PAIR.split(", "))
 
 
-_SAM = "sam AS (SELECT concat(l_orderkey, '_', l_linenumber % 3) AS name, l_linenumber * 272 % 4096 AS flag, concat('ctg', l_suppkey) AS rname, l_partkey * 50 + 1 AS pos, CAST(l_quantity AS INT) AS mapq, concat(l_linenumber, 'S', CAST(l_quantity AS INT), 'M', l_suppkey % 5 + 1, 'I', CAST(l_quantity AS INT) + 7, 'M', l_partkey % 3 + 1, 'D', 9, 'M') AS cigar, l_suppkey % 5 + l_partkey % 3 + 4 AS nm, CAST(l_quantity AS BIGINT) * 2 AS as_score FROM lineitem)"
+_SAM = "sam AS (SELECT concat(l_orderkey, '_', l_linenumber % 3) AS name, CASE l_linenumber % 7 WHEN 0 THEN 4 WHEN 1 THEN 256 WHEN 2 THEN 1024 WHEN 3 THEN 512 WHEN 4 THEN 2048 ELSE 0 END + 16 * (l_partkey % 2) AS flag, concat('ctg', l_suppkey) AS rname, l_partkey * 50 + 1 AS pos, CAST(l_quantity AS INT) AS mapq, concat(l_linenumber, 'S', CAST(l_quantity AS INT), 'M', l_suppkey % 5 + 1, 'I', CAST(l_quantity AS INT) + 7, 'M', l_partkey % 3 + 1, 'D', 9, 'M') AS cigar, l_suppkey % 5 + l_partkey % 3 + 4 AS nm, CAST(l_quantity AS BIGINT) * 2 AS as_score FROM lineitem)"
 
 
 def _sam(s, d):
     return roles.table(s, d, "lineitem").selectExpr(
-        "concat(l_orderkey, '_', l_linenumber % 3) AS name", "l_linenumber * 272 % 4096 AS flag", "concat('ctg', l_suppkey) AS rname", "l_partkey * 50 + 1 AS pos", "CAST(l_quantity AS INT) AS mapq",
+        "concat(l_orderkey, '_', l_linenumber % 3) AS name", "CASE l_linenumber % 7 WHEN 0 THEN 4 WHEN 1 THEN 256 WHEN 2 THEN 1024 WHEN 3 THEN 512 WHEN 4 THEN 2048 ELSE 0 END + 16 * (l_partkey % 2) AS flag", "concat('ctg', l_suppkey) AS rname", "l_partkey * 50 + 1 AS pos", "CAST(l_quantity AS INT) AS mapq",
         "concat(l_linenumber, 'S', CAST(l_quantity AS INT), 'M', l_suppkey % 5 + 1, 'I', CAST(l_quantity AS INT) + 7, 'M', l_partkey % 3 + 1, 'D', 9, 'M') AS cigar", "l_suppkey % 5 + l_partkey % 3 + 4 AS nm", "CAST(l_quantity AS BIGINT) * 2 AS as_score",
     )
 
@@ -254,6 +254,7 @@ def _(s, d):
     return C.contacts_by_cluster(C.count_contacts(roles.pairs(s, d)), roles.clusters(s, d)).select("cluster", "contig1", "contig2", "count")
 
 
+_number = "('0x' || substr(md5(target), 1, 7))::BIGINT"
 _POOL = lambda k, seed: f"CASE WHEN chrom{k} IN (SELECT concat('ctg', s_suppkey) FROM supplier WHERE s_suppkey % 10 = 0) AND {draw_sql(seed, 'read_idx', 'pos1', 'pos2')} % 2 = 1 THEN concat(chrom{k}, '_d1') ELSE chrom{k} END AS chrom{k}"
 
 
@@ -263,7 +264,10 @@ def _(s, d):
     return R.duplicate_pairs(roles.pairs(s, d), roles.collapsed(s, d)).select(*PAIR.split(", "))
 
 
-@query("JOIN10_porec_dup")
+_TARGET_POOL = f"CASE WHEN target IN (SELECT concat('ctg', s_suppkey) FROM supplier WHERE s_suppkey % 10 = 0) AND {draw_sql(42, 'read_idx', _number)} % 2 = 1 THEN concat(target, '_d1') ELSE target END AS target"
+
+
+@query("JOIN10_porec_dup", sql(f"SELECT read_idx, ordinal, {_TARGET_POOL}, target_start, target_end, strand, mapq FROM paf", "paf"))
 def _(s, d):
     return R.duplicate_pieces(roles.pieces(s, d), roles.collapsed(s, d)).select(*PIECE.split(", "))
 
@@ -547,7 +551,14 @@ def _(s, d):
     return S.kmer_positions(roles.fasta(s, d), s.createDataFrame([("ACGTAA",), ("GATTAC",), ("TATTAA",)], "kmer string"), 6)
 
 
-@query("STR8_kmer_mask")
+_CHARS = "ch AS (SELECT name, seq, i - 1 AS p, substr(seq, i, 1) AS c FROM fasta, unnest(range(1, length(seq) + 1)) AS g(i))"
+_MANY = "many AS (SELECT kmer FROM (SELECT kmer, count(*) AS n FROM km GROUP BY 1 UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA'), count(*) FROM km GROUP BY 1) GROUP BY 1 HAVING sum(n) > 30), hid AS (SELECT DISTINCT name, i - 1 + j AS p FROM km JOIN many USING (kmer), unnest(range(0, 11)) AS h(j))"
+
+
+@query(
+    "STR8_kmer_mask",
+    sql("SELECT name, coalesce(m.seq, '') AS seq FROM fasta LEFT JOIN (SELECT ch.name, string_agg(CASE WHEN hid.p IS NULL THEN c ELSE 'N' END, '' ORDER BY ch.p) AS seq FROM ch LEFT JOIN hid ON hid.name = ch.name AND hid.p = ch.p GROUP BY 1) m USING (name)", "fasta", also=", ".join((_KMER(11), _CHARS, _MANY))),
+)
 def _(s, d):
     return S.mask_kmers(roles.fasta(s, d), 11, 30)
 
@@ -609,22 +620,36 @@ def _(s, d):
     return A.similarities(A.anchors(k), A.minimizer_counts(k))
 
 
-@query("STR15_modbam2fq")
+# The first and the sixth C of a read as sequenced are called with enough probability, the third isn't.
+_SEQUENCED = "rv AS (SELECT name, CASE WHEN length(seq) % 2 = 0 THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END AS seq FROM fasta), rc AS (SELECT name, i AS p, substr(seq, i, 1) AS c FROM rv, unnest(range(1, length(seq) + 1)) AS g(i)), nc AS (SELECT *, count(*) FILTER (c = 'C') OVER (PARTITION BY name ORDER BY p) AS k FROM rc)"
+
+
+@query(
+    "STR15_modbam2fq",
+    sql("SELECT name, coalesce(m.seq, '') AS seq FROM fasta LEFT JOIN (SELECT name, string_agg(CASE WHEN c = 'C' AND k IN (1, 6) THEN 'm' ELSE c END, '' ORDER BY p) AS seq FROM nc GROUP BY 1) m USING (name)", "fasta", also=_SEQUENCED),
+)
 def _(s, d):
     t = roles.fasta(s, d).withColumn("reverse", F.length("seq") % 2 == 0).withColumn("mm", F.lit("C+m,0,1,2;")).withColumn("ml", F.array(F.lit(250), F.lit(100), F.lit(200)))
     return X.modified_reads(t)
 
 
-@query("STR16_modfa")
+@query(
+    "STR16_modfa",
+    sql("SELECT name, coalesce(m.seq, '') AS seq FROM fasta LEFT JOIN (SELECT name, string_agg(CASE WHEN p BETWEEN 3 AND 300 AND (p - 3) % 7 = 0 AND p % 10 >= 5 AND substr(seq, p + 2, 1) = 'G' THEN 'm' ELSE c END, '' ORDER BY p) AS seq FROM ch GROUP BY 1) m USING (name)", "fasta", also=_CHARS),
+)
 def _(s, d):
     sites = roles.fasta(s, d).select(F.col("name").alias("chrom"), F.explode(F.expr("sequence(3L, 300L, 7L)")).alias("start")).withColumn("value", (F.col("start") % 10) / 10)
     return S.modify_sequence(roles.fasta(s, d), sites)
 
 
-@query("STR19_porec2reads")
+_ENDS = lambda k: f"substr(CASE WHEN strand{k} = '-' THEN translate(reverse(substr(f{k}.seq, pos{k} % 500 + 1, 40)), 'ACGT', 'TGCA') ELSE substr(f{k}.seq, pos{k} % 500 + 1, 40) END, 1, 30) AS seq{k}"
+
+
+# Contig k has the sequence of document k.
+@query("STR19_porec2reads", sql(f"SELECT read_idx, chrom1, chrom2, {_ENDS(1)}, {_ENDS(2)} FROM pairs JOIN fasta f1 ON f1.name = 'd' || substr(chrom1, 4) JOIN fasta f2 ON f2.name = 'd' || substr(chrom2, 4)", "pairs", "fasta"))
 def _(s, d):
     p = roles.pairs(s, d)
-    fa = s.range(1, 1).select(F.lit("").alias("name"), F.lit("").alias("seq")).union(roles.sizes(s, d).select(F.col("contig").alias("name"), F.expr("repeat('ACGGT', 200)").alias("seq")))
+    fa = roles.fasta(s, d).select(F.concat(F.lit("ctg"), F.expr("substring(name, 2)")).alias("name"), "seq")
     t = p.select("*", (F.col("pos1") % 500).alias("start1"), (F.col("pos1") % 500 + 40).alias("end1"), (F.col("pos2") % 500).alias("start2"), (F.col("pos2") % 500 + 40).alias("end2"))
     return S.pair_reads(t, fa, length=30).select("read_idx", "chrom1", "chrom2", "seq1", "seq2")
 
@@ -637,19 +662,31 @@ def _alternatives(s, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("read_idx", "piece").orderBy("ordinal", "target", "target_start")
-    return t.withColumn("ordinal", F.row_number().over(w)).withColumn("primary", F.col("ordinal") == 1).withColumn("target", F.concat(F.lit("c"), (F.length("target") + F.crc32(F.col("target").cast("binary")) % 4).cast("string")))
+    return t.withColumn("ordinal", F.row_number().over(w)).withColumn("primary", F.col("ordinal") == 1).withColumn("target", F.expr("concat('c', CAST(substring(target, 4) AS INT) % 8)"))
+
 
+_ALT = """alt AS (SELECT read_idx, ordinal % 3 AS piece, row_number() OVER (PARTITION BY read_idx, ordinal % 3 ORDER BY ordinal, target, target_start) AS ordinal, concat('c', CAST(substr(target, 4) AS INT) % 8) AS target, matches AS score, matches / aln_length::DOUBLE AS identity, mapq % 4 AS mapq, target_start FROM paf)"""
+_ANCHOR = """votes AS (SELECT read_idx, target, count(*) AS n FROM alt WHERE ordinal = 1 AND mapq >= 2 GROUP BY ALL),
+anchor AS (SELECT read_idx, arg_min(target, struct_pack(a := -n, b := target)) AS anchor FROM votes GROUP BY 1),
+one AS (SELECT read_idx, piece, score AS s1, identity AS i1, mapq AS m1 FROM alt WHERE ordinal = 1),
+fit AS (SELECT alt.*, coalesce(anchor IS NOT NULL AND m1 < 2 AND target = anchor AND (ordinal = 1 OR (score >= s1 AND identity >= 0.9::DOUBLE * i1)), false) AS ok FROM alt JOIN one USING (read_idx, piece) LEFT JOIN anchor USING (read_idx)),
+best AS (SELECT *, row_number() OVER (PARTITION BY read_idx, piece ORDER BY ok DESC, CASE WHEN ok THEN score END DESC, ordinal) AS r FROM fit WHERE ok OR ordinal = 1)"""
 
-@query("ALN1_realign_paf")
+
+@query("ALN1_realign_paf", sql("SELECT read_idx, piece, CAST(ordinal AS INT) AS ordinal, target, score, identity, CAST(CASE WHEN ok THEN 2 ELSE mapq END AS INT) AS mapq, target_start, true AS \"primary\" FROM best WHERE r = 1", "paf", also=_ALT + ", " + _ANCHOR))
 def _(s, d):
     return X.realign_paf(_alternatives(s, d), q=2)
 
 
-@query("ALN2_realign_contacts")
+_TWO = """two AS (SELECT read_idx, min(piece) AS p1, max(piece) AS p2 FROM alt GROUP BY 1 HAVING count(DISTINCT piece) = 2),
+mate AS (SELECT a.read_idx, a.ordinal AS o1, b.ordinal AS o2, a.target AS t1, b.target AS t2, 1.0::DOUBLE / (1 + abs(CAST(substr(a.target, 2) AS INT) - CAST(substr(b.target, 2) AS INT)))::DOUBLE + 0.05::DOUBLE * (a.mapq + b.mapq) AS value FROM two JOIN alt a ON a.read_idx = two.read_idx AND a.piece = p1 JOIN alt b ON b.read_idx = two.read_idx AND b.piece = p2)"""
+
+
+@query("ALN2_realign_contacts", sql("SELECT read_idx, arg_max(t1, struct_pack(v := value, x := -o1, y := -o2)) AS target1, arg_max(t2, struct_pack(v := value, x := -o1, y := -o2)) AS target2, round(max(value), 6) AS value FROM mate GROUP BY 1", "paf", also=_ALT + ", " + _TWO))
 def _(s, d):
     t = _alternatives(s, d)
-    scores = s.createDataFrame([(f"c{a}", f"c{b}", 1.0 / (1 + abs(a - b))) for a in range(4, 12) for b in range(4, 12) if f"c{a}" <= f"c{b}"], "contig1 string, contig2 string, score double")
-    return X.realign_by_contacts(t, scores)
+    scores = s.createDataFrame([(f"c{a}", f"c{b}", 1.0 / (1 + abs(a - b))) for a in range(8) for b in range(a, 8)], "contig1 string, contig2 string, score double")
+    return X.realign_by_contacts(t, scores).withColumn("value", F.round("value", 6))
 
 
 _METH = "al AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ordinal, CAST(l_quantity AS INT) AS score, l_linenumber % 3 AS mapq, l_partkey % 5 AS m, l_suppkey % 3 AS a, l_partkey % 2 AS b FROM lineitem), sc AS (SELECT *, ordinal = 1 AS pri, score + 1 * m - 2 * a - 2 * b AS new_score FROM al), t AS (SELECT *, max(new_score) OVER w AS top, count(*) OVER w AS n, max(CASE WHEN pri THEN mapq END) OVER w AS own FROM sc WINDOW w AS (PARTITION BY g)), u AS (SELECT *, count(*) FILTER (new_score = top) OVER (PARTITION BY g) AS tops FROM t), v AS (SELECT *, n > 1 AND own < 2 AND tops = 1 AS ch FROM u)"
@@ -661,13 +698,43 @@ def _(s, d):
     return X.methylation_scores(t.withColumn("primary", F.col("ordinal") == 1), match=1)
 
 
+_CALLS = """cs AS (SELECT name, p, row_number() OVER (PARTITION BY name ORDER BY p) - 1 AS k FROM ch WHERE c = 'C'),
+al AS (SELECT name, o, count(*) FILTER (((p + o - 1) % 3 = 0) = (k IN (0, 5))) AS m, count(*) FILTER ((p + o - 1) % 3 = 0 AND k NOT IN (0, 5)) AS a, count(*) FILTER ((p + o - 1) % 3 <> 0 AND k IN (0, 5)) AS b FROM cs, unnest([1, 2]) AS g(o) GROUP BY ALL),
+sc AS (SELECT name, o, 100 + coalesce(m, 0) - 2 * coalesce(a, 0) - 2 * coalesce(b, 0) AS new_score FROM (SELECT name, o FROM fasta, unnest([1, 2]) AS g(o)) x LEFT JOIN al USING (name, o)),
+t AS (SELECT *, max(new_score) OVER (PARTITION BY name) AS top, min(new_score) OVER (PARTITION BY name) AS low FROM sc)"""
+
+
+# Each sequence aligned whole at place 0 and at 1; every third place of the reference is methylated.  The first and the
+# sixth C of a read are called methylated, the third isn't, the others aren't called.
+@query("ALN3_methalign_calls", sql("SELECT name AS \"group\", o AS ordinal, CASE WHEN top > low THEN new_score = top ELSE o = 1 END AS \"primary\", 100 AS score, CASE WHEN top > low AND new_score = top THEN 2 ELSE 0 END AS mapq, CAST(new_score AS BIGINT) AS new_score FROM t", "fasta", also=_CHARS + ", " + _CALLS))
+def _(s, d):
+    fa = roles.fasta(s, d)
+    t = fa.select(F.col("name").alias("group"), F.explode(F.expr("array(1, 2)")).alias("ordinal"), "seq").selectExpr(
+        "group", "ordinal", "ordinal = 1 AS primary", "100 AS score", "0 AS mapq", "'r' AS target", "CAST(ordinal - 1 AS BIGINT) AS start", "seq", "concat(length(seq), 'M') AS cigar", "false AS reverse", "'C+m,0,1,2;' AS mm", "array(250, 100, 200) AS ml"
+    )
+    longest = fa.agg(F.max(F.length("seq")).cast("long").alias("n"))
+    sites = longest.select(F.lit("r").alias("chrom"), F.explode(F.expr("sequence(0L, n + 1, 3L)")).alias("start"))
+    return X.methylation_rescue(t, sites, match=1)
+
+
 @query("ALN4_aligner")
 def _(s, d):
     t = roles.fasta(s, d).select(F.crc32(F.col("name").cast("binary")).alias("group"), F.explode(F.expr("array(1L, 2L)")).alias("ordinal"), "seq", F.expr("substring(seq, 3)").alias("c1"))
     return X.realign_sequences(t.withColumn("candidate", F.when(F.col("ordinal") == 1, F.col("c1")).otherwise(F.reverse("c1"))))
 
 
-@query("ALN5_bam2pairs", sql(f"SELECT {PAIR} FROM pairs WHERE mapq >= 8", "pairs"))
+# The clips before a reverse read are those at the end of its CIGAR, of which _sam has none.
+_NAMED = """good AS (SELECT name, CASE WHEN flag & 16 <> 0 THEN 0 ELSE CAST(regexp_extract(cigar, '^([0-9]+)S', 1) AS BIGINT) END AS qs, rname AS chrom, pos, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, mapq FROM sam WHERE flag & 1796 = 0 AND mapq >= 5),
+placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY qs, chrom, pos, strand, mapq) AS rn FROM good),
+both_ AS (SELECT a.name, a.chrom AS c1, a.pos AS p1, a.strand AS s1, b.chrom AS c2, b.pos AS p2, b.strand AS s2, least(a.mapq, b.mapq) AS mapq, a.chrom > b.chrom OR (a.chrom = b.chrom AND a.pos > b.pos) AS swap FROM placed a JOIN placed b ON a.name = b.name AND a.rn < b.rn)"""
+
+
+@query("ALN5_bam2pairs", sql("SELECT name AS read_idx, CASE WHEN swap THEN c2 ELSE c1 END AS chrom1, CASE WHEN swap THEN p2 ELSE p1 END AS pos1, CASE WHEN swap THEN c1 ELSE c2 END AS chrom2, CASE WHEN swap THEN p1 ELSE p2 END AS pos2, CASE WHEN swap THEN s2 ELSE s1 END AS strand1, CASE WHEN swap THEN s1 ELSE s2 END AS strand2, mapq FROM both_", also=_SAM + ", " + _NAMED))
+def _(s, d):
+    return R.bam_pairs(_sam(s, d), q=5)
+
+
+@query("FIL7_canonical_filter", sql(f"SELECT {PAIR} FROM pairs WHERE mapq >= 8", "pairs"))
 def _(s, d):
     return R.filter_pairs(R.canonical(roles.pairs(s, d)), q=8).select(*PAIR.split(", "))
 
@@ -712,12 +779,12 @@ def _strong(s, d):
     return _counts(s, d).where("contig1 <> contig2").select(F.col("contig1").alias("a"), F.col("contig2").alias("b"))
 
 
-_EDGES = "ed AS (SELECT o_custkey AS a, o_custkey * 7 % 1000 AS b FROM orders WHERE o_orderkey % 11 = 0 AND o_custkey <> o_custkey * 7 % 1000), two AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT a AS node, a AS l FROM two UNION SELECT two.b, reach.l FROM reach JOIN two ON two.a = reach.node)"
+_EDGES = "ed AS (SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1000 AS b FROM orders WHERE o_custkey <> o_custkey * 7 % 1000), two AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT a AS node, a AS l FROM two UNION SELECT two.b, reach.l FROM reach JOIN two ON two.a = reach.node)"
 
 
 @query("GRF5_components", sql("SELECT node, min(l) AS component FROM reach GROUP BY 1", also=_EDGES))
 def _(s, d):
-    e = roles.table(s, d, "orders").where("o_orderkey % 11 = 0").selectExpr("o_custkey AS a", "o_custkey * 7 % 1000 AS b").where("a <> b")
+    e = roles.table(s, d, "orders").selectExpr("o_custkey AS a", "o_custkey * 7 % 1000 AS b").where("a <> b")
     return G.connected_components(e)
 
 
@@ -755,17 +822,20 @@ def _genome(s, d):
     return fa, vcf
 
 
-@query("SIM2_porec")
+_VARIED = "v AS (SELECT name, array_to_string(list_transform(string_split(seq, ''), lambda c, i: CASE WHEN (i - 1) % 20 = 10 THEN 'N' ELSE c END), '') AS seq FROM fasta)"
+
+
+@query("SIM2_porec", sql("SELECT CAST(substr(name, 2) AS BIGINT) AS read_idx, seq FROM v WHERE seq IS NOT NULL", "fasta", also=_VARIED))
 def _(s, d):
     fa, vcf = _genome(s, d)
     # Fragments of 90 bases side by side, the last one shorter: each read is its whole sequence.
-    f = fa.select(F.crc32(F.col("name").cast("binary")).alias("read_idx"), F.length("seq").cast("long").alias("n"), F.col("name").alias("chrom"))
+    f = fa.select(F.expr("CAST(substring(name, 2) AS BIGINT)").alias("read_idx"), F.length("seq").cast("long").alias("n"), F.col("name").alias("chrom"))
     f = f.select("read_idx", "n", "chrom", F.explode(F.expr("sequence(0, CAST(greatest(n - 1, 0) DIV 90 AS INT))")).alias("ordinal"))
     f = f.withColumn("start", F.col("ordinal").cast("long") * 90).withColumn("end", F.least(F.col("start") + 90, "n")).drop("n")
     return M.simulate_porec(f, fa, vcf)
 
 
-@query("SIM3_hic")
+@query("SIM3_hic", sql("SELECT name, substr(seq, 1, length(seq) // 2) AS seq1, translate(reverse(substr(seq, length(seq) // 2 + 1)), 'ACGT', 'TGCA') AS seq2 FROM v", "fasta", also=_VARIED))
 def _(s, d):
     fa, vcf = _genome(s, d)
     # The mates are the two halves of each sequence.
@@ -787,3 +857,6 @@ def _(s, d):
 )
 def _(s, d):
     return pipelines.paf_to_pairs(roles.paf(s, d), min_identity=0.93)
+
+
+from . import formats  # noqa: E402, F401  (its queries of readers and writers register themselves)

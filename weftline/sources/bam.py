@@ -1,7 +1,11 @@
 """BAM as a Spark data source: spark.dataSource.register(BamSource), then spark.read.format("bam_records").load(path).
 
-One file is one partition.  Blocks are inflated one after the other and records are
-decoded as they come; nothing but the block at hand is held.
+A file is cut into ranges of split_bytes (an option; 64 MiB by default), each one a
+partition.  A task looks for the first compressed block of its range and, in what that
+and the next blocks inflate to, for the first place from which records follow each other
+plausibly; it reads the records that start in blocks of its range.  Blocks are inflated
+one after the other and records are decoded as they come; nothing but the blocks of the
+record at hand is held.
 """
 
 from __future__ import annotations
@@ -20,27 +24,122 @@ _SIZES = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I",
 
 
 class _Inflated:
-    """The bytes of a BGZF stream, read forward."""
-
-    def __init__(self, raw) -> None:
-        self.raw, self.held, self.at = raw, b"", 0
+    """The bytes of a BGZF file from a block on, read forward, with the place of the block that each comes from."""
+
+    def __init__(self, raw, offset: int = 0) -> None:
+        self.raw, self.next = raw, offset
+        self.held, self.at = b"", 0
+        #: (where in held, place in the file) of each block that is held.
+        self.blocks: list[tuple[int, int]] = []
+        raw.seek(offset)
+
+    def more(self) -> bool:
+        """Inflate one more block."""
+        head = self.raw.read(12)
+        if len(head) < 12:
+            return False
+        extra = self.raw.read(struct.unpack_from("<H", head, 10)[0])
+        size = _block_size(extra)
+        data = self.raw.read(size - 12 - len(extra) - 8)
+        self.raw.read(8)
+        cut = max((k for k, (start, _) in enumerate(self.blocks) if start <= self.at), default=0)
+        drop = self.blocks[cut][0] if self.blocks else 0
+        self.blocks = [(start - drop, place) for start, place in self.blocks[cut:]] + [(len(self.held) - drop, self.next)]
+        self.held = self.held[drop:] + zlib.decompress(data, -15)
+        self.at -= drop
+        self.next += size
+        return True
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are at hand."""
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return False
+        return True
 
     def read(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            head = self.raw.read(18)
-            if len(head) < 18:
-                break
-            extra = struct.unpack_from("<H", head, 10)[0]
-            size = struct.unpack_from("<H", head, 16)[0] + 1
-            self.raw.read(extra - 6)
-            data = self.raw.read(size - extra - 20)
-            self.raw.read(8)
-            self.held = self.held[self.at :] + zlib.decompress(data, -15)
-            self.at = 0
+        self.fill(n)
         out = self.held[self.at : self.at + n]
         self.at += len(out)
         return out
 
+    def place(self) -> int | None:
+        """Place in the file of the block that the next byte is in; None at the end."""
+        if not self.fill(1):
+            return None
+        return max(place for start, place in self.blocks if start <= self.at)
+
+
+def _block_size(extra: bytes) -> int:
+    at = 0
+    while at + 6 <= len(extra):
+        n = struct.unpack_from("<H", extra, at + 2)[0]
+        if extra[at : at + 2] == b"BC":
+            return struct.unpack_from("<H", extra, at + 4)[0] + 1
+        at += 4 + n
+    raise ValueError("not a BGZF block")
+
+
+def _first_block(raw, begin: int, end: int) -> int | None:
+    """Place of the first block that starts in [begin, end): a header that inflates and is followed by another, or by the end."""
+    size = raw.size()
+    at = begin
+    while at < end:
+        raw.seek(at)
+        window = raw.read(1 << 17)
+        k = window.find(b"\x1f\x8b\x08\x04")
+        if k < 0:
+            if len(window) < 4:
+                return None
+            at += len(window) - 3
+            continue
+        at += k
+        if at >= end:
+            return None
+        try:
+            f = _Inflated(raw, at)
+            if f.more() and (f.next == size or f.more()):
+                return at
+        except (ValueError, struct.error, zlib.error):
+            pass
+        at += 1
+    return None
+
+
+def _plausible(held: bytes, at: int, n_refs: int) -> int | None:
+    """Where the next record starts, if one can start at at: len(held) or more if that isn't at hand."""
+    if at + 36 > len(held):
+        return len(held)
+    size, ref, pos, l_name, _, _, n_ops, _, l_seq, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", held, at)
+    if not (32 <= size < 1 << 28 and -1 <= ref < n_refs and -1 <= next_ref < n_refs and pos >= -1 and next_pos >= -1 and l_name > 0 and l_seq >= 0):
+        return None
+    if 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq > size:
+        return None
+    name = held[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    return at + 4 + size
+
+
+def _first_record(f: _Inflated, n_refs: int, chain: int = 8) -> bool:
+    """Move to the first place from which records follow each other: chain of them, or as far as the bytes at hand go."""
+    for _ in range(8):
+        if not f.more():
+            break
+    for at in range(len(f.held)):
+        step: int | None = at
+        for k in range(chain):
+            if step is not None and step >= len(f.held):
+                step = at if k else None
+                break
+            step = _plausible(f.held, step, n_refs)
+            if step is None:
+                break
+        if step is not None and _plausible(f.held, at, n_refs) != len(f.held):
+            f.at = at
+            return True
+    return False
+
 
 def _tags(data: bytes) -> dict[str, str]:
     out, at = {}, 0
@@ -60,9 +159,8 @@ def _tags(data: bytes) -> dict[str, str]:
     return out
 
 
-def records(raw) -> Iterator[tuple]:
-    """Rows of SCHEMA of one BAM stream."""
-    f = _Inflated(raw)
+def _header(f: _Inflated) -> list[str]:
+    """Names of the references; moves to the first record."""
     if f.read(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     f.read(struct.unpack("<i", f.read(4))[0])
@@ -70,8 +168,22 @@ def records(raw) -> Iterator[tuple]:
     for _ in range(struct.unpack("<i", f.read(4))[0]):
         names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode())
         f.read(4)
+    return names
+
+
+def records(raw, begin: int = 0, end: int | None = None) -> Iterator[tuple]:
+    """Rows of SCHEMA of the records of a seekable BAM file that start in blocks of [begin, end)."""
+    f = _Inflated(raw)
+    names = _header(f)
+    if begin:
+        first = _first_block(raw, begin, raw.size() if end is None else end)
+        if first is None:
+            return
+        f = _Inflated(raw, first)
+        if not _first_record(f, len(names)):
+            return
     name_of = lambda k: names[k] if k >= 0 else "*"
-    while len(size := f.read(4)) == 4:
+    while (place := f.place()) is not None and (end is None or place < end) and len(size := f.read(4)) == 4:
         d = f.read(struct.unpack("<i", size)[0])
         ref, pos, l_name, mapq, _, n_ops, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", d)
         at = 32
@@ -99,23 +211,27 @@ class BamSource(DataSource):
         return _Reader(self.options)
 
 
+class _Range(InputPartition):
+    def __init__(self, path: str, begin: int, end: int) -> None:
+        self.path, self.begin, self.end = path, begin, end
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.uri = options["path"]
+        self.split = int(options.get("split_bytes", 64 << 20))
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs as pafs
 
         fs, path = pafs.FileSystem.from_uri(self.uri)
         info = fs.get_file_info(path)
-        if info.is_file:
-            return [InputPartition(path)]
-        files = fs.get_file_info(pafs.FileSelector(path))
-        return [InputPartition(x.path) for x in files if x.path.endswith(".bam")]
+        files = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".bam")]
+        return [_Range(x.path, begin, min(begin + self.split, x.size)) for x in files for begin in range(0, x.size, self.split)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[tuple]:
         import pyarrow.fs as pafs
 
         fs, _ = pafs.FileSystem.from_uri(self.uri)
-        with fs.open_input_stream(partition.value, compression=None) as raw:
-            yield from records(raw)
+        with fs.open_input_file(partition.path) as raw:
+            yield from records(raw, partition.begin, partition.end)

@@ -6,7 +6,7 @@ parse: rows of PAF are dropped, Pore-C fields become 0, a missing mapq of pairs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIZES = "contig string, size long"
@@ -96,16 +96,23 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, qual of four-line records; a file is one task, as record borders can't be told from inside."""
-    import pandas as pd
-
-    def run(batches):
-        for t in batches:
-            for text in t["content"]:
-                lines = bytes(text).decode().splitlines()
-                yield pd.DataFrame({"name": [x[1:].split()[0] for x in lines[0::4] if x], "seq": lines[1::4][: len(lines) // 4], "qual": lines[3::4]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string, seq string, qual string")
+    """name, seq, qual of four-line records, plain or compressed, of any size.
+
+    Files are read by lines in Spark's splits.  Lines are counted by split, which gives each
+    split the number of its first line, and four lines with one quarter are a record; a
+    record over a split's border is put together like all others.  A header without a name
+    has the name "".
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select("value", place.alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("split").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    before = Window.partitionBy("split.file").orderBy("split.block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("split", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
+    numbered = lines.join(offsets, "split").select(F.col("split.file").alias("file"), (F.col("id") - F.col("least") + F.col("lines")).alias("k"), F.regexp_replace("value", "\\r$", "").alias("value"))
+    part = lambda k: F.max(F.when(F.col("k") % 4 == k, F.col("value")))
+    records = numbered.groupBy("file", F.floor(F.col("k") / 4).alias("record")).agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual"))
+    name = F.regexp_extract("head", r"^@(\S*)", 1)
+    return records.where("qual is not null").select(name.alias("name"), "seq", "qual")
 
 
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
@@ -183,8 +190,14 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     names = (("name", "string"), ("flag", "int"), ("rname", "string"), ("pos", "long"), ("mapq", "short"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string"))
     rows = f.select(*[F.get("f", F.lit(k)).try_cast(kind).alias(n) for k, (n, kind) in enumerate(names)], F.slice("f", 12, F.greatest(F.lit(0), F.size("f") - 11)).alias("tags"))
     first = lambda p: F.when(F.exists("tags", lambda t: F.startswith(t, F.lit(p))), F.get(F.filter("tags", lambda t: F.startswith(t, F.lit(p))), F.lit(0)))
-    value = lambda p: F.substring(first(p), 6, 1 << 20)
-    return rows.select("*", value("NM:i:").try_cast("long").alias("nm"), value("AS:i:").try_cast("long").alias("as_score"), value("MM:Z:").alias("mm"), F.split(value("ML:B:C,"), ",").alias("_ml")).drop("_ml")
+    value = lambda p: F.substring(first(p), len(p) + 1, 1 << 30)
+    return rows.select("*", value("NM:i:").try_cast("long").alias("nm"), value("AS:i:").try_cast("long").alias("as_score"), value("MM:Z:").alias("mm"), F.split(value("ML:B:C,"), ",").cast("array<int>").alias("ml"))
+
+
+def with_modifications(records: DataFrame) -> DataFrame:
+    """Rows of BamSource with reverse, mm and ml (array<int>) of their tags, as modified_reads() and methylation_support() take them."""
+    ml = F.split(F.regexp_replace(F.col("tags")["ML"], "^[cC],?", ""), ",")
+    return records.select("*", (F.col("flag").bitwiseAND(16) != 0).alias("reverse"), F.col("tags")["MM"].alias("mm"), F.filter(ml, lambda x: x != "").cast("array<int>").alias("ml"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+PAIRS = ("read_idx", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2", "mapq")
+
+
 def _tsv(df: DataFrame, path: str, *, sep: str = "\t", compression: str = "none", rows_per_file: int = 0) -> None:
     w = df.write.options(sep=sep, quote="", escape="", emptyValue="", compression=compression)
     (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).csv(path)
@@ -18,16 +21,21 @@ def write_pairs(pairs: DataFrame, sizes: DataFrame, path: str, *, compression: s
     first = spark.createDataFrame([("## pairs format v1.0",), ("#shape: upper triangle",)], "value string")
     last = spark.createDataFrame([("#columns: readID chrom1 pos1 chrom2 pos2 strand1 strand2 mapq",)], "value string")
     first.union(lines).union(last).coalesce(1).write.text(f"{path}/header")
-    _tsv(pairs.select("read_idx", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2", "mapq"), f"{path}/rows", compression=compression, rows_per_file=rows_per_file)
+    _tsv(pairs.select(*PAIRS), f"{path}/rows", compression=compression, rows_per_file=rows_per_file)
 
 
 def write_pqs(pairs: DataFrame, sizes: DataFrame, path: str, *, rows_per_file: int = 1_000_000) -> None:
-    """q0 (all), q1 (mapq >= 1), _contigsizes and _metadata_counts."""
+    """q0 (all), q1 (mapq >= 1), _contigsizes, _metadata_counts, _metadata and _readme."""
     pairs.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/q0")
     written = pairs.sparkSession.read.parquet(f"{path}/q0")
     written.where("mapq >= 1").write.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/q1")
     _tsv(sizes.orderBy("contig").select("contig", "size").coalesce(1), f"{path}/_contigsizes")
     _tsv(written.agg(F.count("*").alias("q0"), F.sum((F.col("mapq") >= 1).cast("long")).alias("q1")), f"{path}/_metadata_counts")
+    about = {"format": "pqs", "columns": ",".join(PAIRS), "rows_per_file": str(rows_per_file)}
+    spark = pairs.sparkSession
+    _tsv(spark.createDataFrame(list(about.items()), "key string, value string").coalesce(1), f"{path}/_metadata")
+    lines = ["q0: all pairs.  q1: pairs with mapq >= 1.  Both are Parquet with the columns of _metadata.", "_contigsizes: contig and size.  _metadata_counts: rows of q0 and of q1."]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/_readme")
 
 
 def write_table(df: DataFrame, path: str, **options) -> None:
@@ -56,6 +64,16 @@ def write_fastq(reads: DataFrame, path: str, *, rows_per_file: int = 0) -> None:
     (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).text(path)
 
 
+def write_paired_fastq(reads: DataFrame, path: str, *, rows_per_file: int = 0) -> None:
+    """path_R1 and path_R2: the mates (seq1, qual1 and seq2, qual2) of name, in the same order.
+
+    Rows are ordered by name first, so that mates stand at the same place of both.
+    """
+    ordered = reads.orderBy("name")
+    for k in ("1", "2"):
+        write_fastq(ordered.select("name", F.col(f"seq{k}").alias("seq"), F.col(f"qual{k}").alias("qual")), f"{path}_R{k}", rows_per_file=rows_per_file)
+
+
 def write_by_cluster(df: DataFrame, path: str, column: str = "cluster") -> None:
     """One folder a cluster."""
     df.write.partitionBy(column).options(sep="\t").csv(path)
