@@ -355,9 +355,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = rows.select("_row", F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64(text).alias("text"), F.col("_row").alias("row")).alias("place"))
     members = spool(grouped.join(order, "_row"), "jaccard-members")
     unspool(out)
-    stays = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    # Written first, as above: a large group's rows can be split in the join.
+    stays = spool(members.groupBy("component_id").agg(F.min("place").alias("first")), "jaccard-first")
     gone = spool(members.join(stays, "component_id").where("place.row <> first.row").select("_row"), "jaccard-gone")
-    unspool(members)
+    unspool(members, stays)
     # Where the removed rows are few, the texts aren't shuffled.
     return rows.join(small(gone, BROADCAST_ROWS), "_row", "left_anti").drop("_row")
 
