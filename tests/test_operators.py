@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from weftline.functions import intervals
 from weftline.operators import alleles, clm, contacts, depth, graph, ordering, pairs, prune, rescue, sequences, simulation
 from weftline.sources import bam, readers, writers
 
@@ -320,3 +321,52 @@ def test_methods_of_normalisation(spark):
 def test_long_component(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(150)], "a long, b long")
     assert {r.component for r in graph.connected_components(e).collect()} == {0}
+
+
+def test_segments_over_cells(spark, monkeypatch):
+    """Intervals longer than cells, nested, equal and empty ones: each place belongs to the interval that starts first."""
+    monkeypatch.setattr(intervals, "CELL", 64)
+    r = random.Random(9)
+    rows = [(r.choice("AB"), a, a + r.choice((0, 1, 5, 40, 300)), f"n{i}") for i, a in enumerate(r.randint(0, 900) for _ in range(80))]
+    rows += [rows[0], ("A", 0, 700, "long"), ("C", 5, 5, "none")]
+    got = {}
+    for x in intervals.disjoint(bed(spark, rows)).collect():
+        for p in range(x.seg_start, x.seg_end):
+            assert (x.chrom, p) not in got
+            got[x.chrom, p] = x.name
+    want = {}
+    for c, a, b, n in sorted(rows):
+        for p in range(a, b):
+            want.setdefault((c, p), n)
+    assert got == want
+    pieces = spark.createDataFrame([(i, r.choice("ABCD"), a, a + r.randint(0, 60)) for i, a in enumerate(r.randint(0, 1300) for _ in range(150))], "i int, chrom string, start long, end long")
+    touched = {x.i for x in pieces.collect() if any((x.chrom, p) in want for p in range(x.start, x.end))}
+    segments = intervals.disjoint(bed(spark, rows))
+    one, two = ([x.i for x in intervals.overlap_filter(pieces.where("start < end"), segments, "chrom", "start", "end", invert=v, width=32).collect()] for v in (False, True))
+    assert sorted(one) == sorted(touched) and sorted(one + two) == [x.i for x in pieces.where("start < end").orderBy("i").collect()]
+
+
+def test_virtual_pairs_of_large_reads_and_none(spark):
+    rows = [(1, k, "A", k, k + 2, "+", 5) for k in range(500)] + [(None, k, "A", k, k + 2, "+", 5) for k in range(3)] + [(2, k, "B", k, k + 2, "+", 5) for k in range(3)] + [(3, 0, "B", 1, 2, "+", 5)]
+    t = spark.createDataFrame(rows, "read_idx long, ordinal int, target string, target_start long, target_end long, strand string, mapq int")
+    assert [x.read_idx for x in pairs.virtual_pairs(t).collect()] == [2, 2, 2]
+    assert pairs.virtual_pairs(t, max_order=501).count() == 500 * 499 // 2 + 3
+
+
+def test_evolution_never_loses():
+    from itertools import permutations
+
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 6):
+        lengths = r.integers(100, 900, n).astype(float)
+        w = np.triu(r.integers(0, 30, (n, n)).astype(float), 1)
+        w = w + w.T
+        got = ordering.improve_order(lengths, w, generations=150)
+        assert sorted(got.tolist()) == list(range(n))
+        if n == 6:
+            best = min(ordering.tour_cost(np.array(p), lengths, w) for p in permutations(range(n)))
+            assert abs(ordering.tour_cost(got, lengths, w) - best) < 1e-9
+            cost = lambda o: ordering.tour_cost(o, lengths, w)
+            out = ordering.evolve(np.arange(n), cost, r, rate=0.5, population=2, stale=5)
+            assert sorted(out.tolist()) == list(range(n)) and cost(out) <= cost(np.arange(n))
+    assert ordering.greedy_chain(4, (np.array([0, 2]), np.array([3, 3]), np.array([5.0, 1.0]))).tolist() == [2, 3, 0, 1]

@@ -13,13 +13,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 4096
+#: Width of the cells of starts in which intervals are ordered.
+CELL = 1 << 20
 
 
 def disjoint(bed: DataFrame) -> DataFrame:
-    """bed (chrom, start, end[, name]) with seg_start, seg_end, and before: the end of the segments so far."""
+    """bed (chrom, start, end[, name]) with seg_start, seg_end, and before: the end of the segments so far.
+
+    The latest end so far is found inside cells of starts; the latest end of the cells
+    before comes from one row a cell, so no window holds the intervals of a chromosome.
+    """
     order = ["start", "end"] + (["name"] if "name" in bed.columns else [])
-    w = Window.partitionBy("chrom").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = bed.where("start < end").withColumn("before", F.max("end").over(w))
+    rows = bed.where("start < end").withColumn("_cell", F.floor(F.col("start") / CELL))
+    earlier = (Window.unboundedPreceding, -1)
+    tops = rows.groupBy(F.col("chrom").alias("_c"), F.col("_cell").alias("_k")).agg(F.max("end").alias("_top"))
+    carried = tops.select("_c", "_k", F.max("_top").over(Window.partitionBy("_c").orderBy("_k").rowsBetween(*earlier)).alias("_carried"))
+    within = F.max("end").over(Window.partitionBy("chrom", "_cell").orderBy(*order).rowsBetween(*earlier))
+    out = rows.withColumn("_within", within).join(carried, (F.col("chrom") == F.col("_c")) & (F.col("_cell") == F.col("_k")))
+    out = out.withColumn("before", F.greatest("_within", "_carried")).drop("_cell", "_within", "_c", "_k", "_carried")
     return out.withColumn("seg_start", F.greatest("start", F.coalesce("before", "start"))).withColumnRenamed("end", "seg_end").where("seg_start < seg_end").withColumn("end", F.col("seg_end"))
 
 
@@ -45,35 +56,30 @@ def inside(points: DataFrame, segments: DataFrame, chrom: str, pos: Column, name
     return out.withColumn(name, F.col("_in_start").isNotNull()).drop("_in_start", "_in_end")
 
 
-def overlaps(pieces: DataFrame, segments: DataFrame, chrom: str, start: str, end: str, name: str, *, width: int = BIN) -> DataFrame:
-    """pieces with a boolean column name: does [start, end) overlap any interval?
+def overlaps(pieces: DataFrame, segments: DataFrame, chrom: str, start: str, end: str, *, width: int = BIN) -> DataFrame:
+    """pieces of which [start, end) overlaps any interval.
 
     A piece is looked up under each bin it touches; only the first segment that it
     overlaps counts, in the first bin they share, so it matches once or not at all.
     """
-    w = Window.partitionBy("chrom").orderBy("seg_start")
-    side = _binned(segments.withColumn("prev", F.lag("seg_end").over(w)), width).select(
-        F.col("chrom").alias("_chrom"), F.col("bin").alias("_bin"), F.col("seg_start").alias("_s"), F.col("seg_end").alias("_e"), F.coalesce("prev", F.lit(-1)).alias("_p")
+    side = _binned(segments, width).select(
+        F.col("chrom").alias("_chrom"), F.col("bin").alias("_bin"), F.col("seg_start").alias("_s"), F.col("seg_end").alias("_e"), F.coalesce("before", F.lit(-1)).alias("_p")
     )
     lo, hi = F.floor(F.col(start) / width), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / width)
-    left = pieces.withColumn("_row", F.struct(*pieces.columns)).withColumn("_b", F.explode(F.sequence(lo, hi))).withColumn("_lo", lo)
+    left = pieces.withColumn("_b", F.explode(F.sequence(lo, hi))).withColumn("_lo", lo)
     on = (
         (F.col(chrom) == F.col("_chrom")) & (F.col("_b") == F.col("_bin")) & (F.col("_s") < F.col(end)) & (F.col("_e") > F.col(start)) & (F.col("_p") <= F.col(start))
         & (F.col("_b") == F.greatest(F.col("_lo"), F.floor(F.col("_s") / width)))
     )
-    joined = left.join(side, on, "left").withColumn("_hit", F.col("_s").isNotNull())
-    # A row is kept once: where it hit, or for its first bin if it hit nowhere in this bin set.
-    hits = joined.where("_hit").drop("_row", "_b", "_lo", "_chrom", "_bin", "_s", "_e", "_p", "_hit").withColumn(name, F.lit(True))
-    return hits
+    return left.join(side, on).drop("_b", "_lo", "_chrom", "_bin", "_s", "_e", "_p")
 
 
 def overlap_filter(pieces: DataFrame, segments: DataFrame, chrom: str, start: str, end: str, *, invert: bool = False, width: int = BIN) -> DataFrame:
     """pieces that overlap any interval (or none, if inverted), each once."""
     if not invert:
-        return overlaps(pieces, segments, chrom, start, end, "_hit", width=width).drop("_hit")
+        return overlaps(pieces, segments, chrom, start, end, width=width)
     # No overlap: the piece starts outside, and no segment starts within it.
-    w = Window.partitionBy("chrom").orderBy("seg_start")
-    ahead = segments.select("chrom", F.coalesce(F.lag("seg_end").over(w), F.lit(0)).alias("start"), F.col("seg_start").alias("end"), F.lit("gap").alias("kind"))
+    ahead = segments.select("chrom", F.coalesce("before", F.lit(0)).alias("start"), F.col("seg_start").alias("end"), F.lit("gap").alias("kind"))
     tail = segments.groupBy("chrom").agg(F.max("seg_end").alias("start")).withColumn("end", F.lit(1 << 62)).withColumn("kind", F.lit("tail"))
     gaps = ahead.unionByName(tail).where("start < end")
     inner = gaps.where("kind = 'gap'").select("chrom", "start", "end", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))

@@ -22,14 +22,14 @@ def rank_pieces(pieces: DataFrame, *, read: str = "read_idx") -> DataFrame:
 def virtual_pairs(pieces: DataFrame, *, q: int = 1, min_order: int = 2, max_order: int = 50) -> DataFrame:
     """All pairs of pieces inside each read of min_order <= pieces < max_order; positions are midpoints, mapq the lesser.
 
-    Pieces of a read are gathered into one sorted array (fewer than max_order, others are
-    dropped first) and expanded in place: one shuffle by read instead of a self-join.
+    Pieces of a read are gathered into one sorted array (fewer than max_order) and expanded
+    in place: one shuffle by read instead of a self-join.  Larger reads are counted before
+    the shuffle and taken out, so none is gathered.  Pieces without a read make no pairs.
     """
-    kept = pieces.where(F.col("mapq") >= q)
-    w = Window.partitionBy("read_idx")
-    bounded = kept.withColumn("_n", F.count("*").over(w)).where(F.col("_n").between(min_order, max_order - 1))
+    kept = pieces.where((F.col("mapq") >= q) & F.col("read_idx").isNotNull())
+    large = kept.groupBy("read_idx").agg(F.count("*").alias("_n")).where(F.col("_n") >= max_order).select("read_idx")
     item = F.struct("target", "target_start", "target_end", "ordinal", "strand", "mapq")
-    reads = bounded.groupBy("read_idx").agg(F.sort_array(F.collect_list(item)).alias("a"))
+    reads = kept.join(large, "read_idx", "left_anti").groupBy("read_idx").agg(F.sort_array(F.collect_list(item)).alias("a")).where(F.size("a") >= min_order)
     one = reads.select("read_idx", "a", F.posexplode("a").alias("i", "x"))
     both = one.select("read_idx", "x", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("y"))
     return both.select(
