@@ -155,6 +155,28 @@ def test_realign_takes_the_anchor(spark):
     assert got == {(1, 1): ("X", 30), (1, 2): ("X", 20), (1, 3): ("X", 1), (2, 1): ("Z", 0)}
 
 
+def test_candidates_are_aligned_whole(spark):
+    """A read longer than its candidate loses nothing; a candidate longer than the read pays a gap."""
+    rows = [(1, 1, "TTACGTACGTTT", "ACGTACGT"), (1, 2, "TTACGTACGTTT", "GACGTACGTC"), (2, 1, "ACGT", "ACGT"), (2, 2, "ACGT", "ACGT")]
+    got = {(r.group, r.ordinal): (r.score, r.mapq, r.primary) for r in rescue.realign_sequences(spark.createDataFrame(rows, "group long, ordinal long, seq string, candidate string")).collect()}
+    assert set(got) == {(1, 1), (1, 2)}
+    assert got[1, 1] == (16, 2, True) and got[1, 2][0] < 16 and got[1, 2][1:] == (0, False)
+
+
+def test_realign_reads_keeps_every_read(spark):
+    """Two pieces go by contacts, among alternatives near the best score; other reads go by their anchor."""
+    schema = "read_idx long, piece int, ordinal int, primary boolean, target string, score long, identity double, mapq int"
+    rows = [
+        (1, 1, 1, True, "A", 100, 0.9, 0), (1, 1, 2, False, "B", 96, 0.5, 0), (1, 1, 3, False, "C", 90, 0.9, 0), (1, 2, 1, True, "D", 50, 0.9, 9),
+        (2, 1, 1, True, "A", 100, 0.9, 0),
+        (3, 1, 1, True, "X", 90, 0.9, 30), (3, 2, 1, True, "X", 90, 0.9, 30), (3, 3, 1, True, "Y", 100, 0.9, 0), (3, 3, 2, False, "X", 95, 0.1, 0),
+        (4, 1, 1, True, "X", 90, 0.9, 30), (4, 2, 1, True, "X", 90, 0.9, 0), (4, 3, 1, True, "Y", 100, 0.9, 0), (4, 3, 2, False, "X", 94, 0.9, 0),
+    ]
+    scores = spark.createDataFrame([("B", "D", 5.0), ("C", "D", 9.0)], "contig1 string, contig2 string, score double")
+    got = {(r.read_idx, r.piece): (r.target, r.mapq) for r in rescue.realign_reads(spark.createDataFrame(rows, schema), scores, q=3).collect()}
+    assert got == {(1, 1): ("B", 3), (1, 2): ("D", 9), (2, 1): ("A", 0), (3, 1): ("X", 30), (3, 2): ("X", 30), (3, 3): ("X", 3), (4, 1): ("X", 30), (4, 2): ("X", 3), (4, 3): ("Y", 0)}
+
+
 def test_variants(spark):
     fa = spark.createDataFrame([("c", "AAAACCCCGGGG")], "name string, seq string")
     v = spark.createDataFrame([("c", 2, "A", "T"), ("c", 5, "CC", "G"), ("c", 6, "C", "A"), ("c", 12, "G", "T")], "chrom string, pos long, ref string, alt string")

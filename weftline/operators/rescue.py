@@ -39,21 +39,54 @@ def realign_paf(paf: DataFrame, *, q: int = 1, score_share: float = 1.0, identit
     return out.select(paf.columns)
 
 
-def realign_by_contacts(paf: DataFrame, scores: DataFrame, *, alpha: float = 0.05, beta: float = 1.0) -> DataFrame:
-    """For reads of two pieces, the pair of alternatives with the largest beta * graph score + alpha * (sum of mapq).
+def _two_pieces(paf: DataFrame) -> DataFrame:
+    return paf.groupBy("read_idx").agg(F.count_distinct("piece").alias("n"), F.min("piece").alias("p1"), F.max("piece").alias("p2")).where("n = 2").drop("n")
 
-    scores: contig1, contig2, score.  Ties: the earliest alternatives.
-    """
-    two = paf.groupBy("read_idx").agg(F.count_distinct("piece").alias("n"), F.min("piece").alias("p1"), F.max("piece").alias("p2")).where("n = 2")
+
+def _best_mates(paf: DataFrame, two: DataFrame, scores: DataFrame, alpha: float, beta: float, top: int | None, score_share: float) -> DataFrame:
+    """read_idx, value and b, the chosen alternatives of both pieces, for the reads of two."""
     t = paf.join(two, "read_idx")
-    a = t.where("piece = p1").select("read_idx", F.col("ordinal").alias("o1"), F.col("target").alias("t1"), F.col("mapq").alias("m1"))
-    b = t.where("piece = p2").select("read_idx", F.col("ordinal").alias("o2"), F.col("target").alias("t2"), F.col("mapq").alias("m2"))
-    pairs = a.join(b, "read_idx").withColumn("contig1", F.least("t1", "t2")).withColumn("contig2", F.greatest("t1", "t2")).join(scores, ["contig1", "contig2"], "left")
+    if top is None:
+        t = t.withColumn("_r", F.col("ordinal"))
+    else:
+        piece = Window.partitionBy("read_idx", "piece")
+        t = t.withColumn("_r", F.row_number().over(piece.orderBy(F.desc("score"), F.desc("primary"), "ordinal"))).withColumn("_best", F.max("score").over(piece))
+        t = t.where((F.col("_r") <= top) & (F.col("score") >= score_share * F.col("_best")))
+    side = lambda k: t.where(f"piece = p{k}").select("read_idx", F.col(f"p{k}"), F.col("ordinal").alias(f"o{k}"), F.col("target").alias(f"t{k}"), F.col("mapq").alias(f"m{k}"), F.col("_r").alias(f"r{k}"))
+    pairs = side(1).join(side(2), "read_idx").withColumn("contig1", F.least("t1", "t2")).withColumn("contig2", F.greatest("t1", "t2")).join(scores, ["contig1", "contig2"], "left")
     value = beta * F.coalesce("score", F.lit(0.0)) + alpha * (F.col("m1") + F.col("m2"))
-    best = pairs.groupBy("read_idx").agg(F.max_by(F.struct("o1", "t1", "o2", "t2"), F.struct(value.alias("v"), (-F.col("o1")).alias("x"), (-F.col("o2")).alias("y"))).alias("b"), F.max(value).alias("value"))
+    order = F.struct(value.alias("v"), (-F.col("r1")).alias("x"), (-F.col("r2")).alias("y"))
+    return pairs.groupBy("read_idx").agg(F.max_by(F.struct("p1", "o1", "t1", "p2", "o2", "t2"), order).alias("b"), F.max(value).alias("value"))
+
+
+def realign_by_contacts(paf: DataFrame, scores: DataFrame, *, alpha: float = 0.05, beta: float = 1.0, top: int | None = 4, score_share: float = 0.95) -> DataFrame:
+    """For reads of two pieces, the pair of alternatives with the largest beta * graph score + alpha * (sum of mapq).
+
+    scores: contig1, contig2, score.  Of each piece the top best-scored alternatives count
+    that reach score_share of its best score; on ties the better-scored ones, then primaries,
+    then the earliest.  top None: all alternatives, the earliest on ties.
+    """
+    best = _best_mates(paf, _two_pieces(paf), scores, alpha, beta, top, score_share)
     return best.select("read_idx", F.col("b.t1").alias("target1"), F.col("b.t2").alias("target2"), "value")
 
 
+def realign_reads(paf: DataFrame, scores: DataFrame, *, q: int = 1, alpha: float = 0.05, beta: float = 1.0, top: int = 4, score_share: float = 0.95) -> DataFrame:
+    """One row for each piece of every read: reads of two pieces by realign_by_contacts(), others by their anchor.
+
+    Columns as in realign_paf().  Rows chosen by contacts get mapq max(q, 1) where theirs is
+    below q.  For the others, secondaries count only where the primary is off the anchor,
+    whatever their identity.
+    """
+    two = _two_pieces(paf)
+    best = _best_mates(paf, two, scores, alpha, beta, top, score_share)
+    mates = best.select("read_idx", F.explode(F.array(*[F.struct(F.col(f"b.p{k}").alias("piece"), F.col(f"b.o{k}").alias("ordinal")) for k in (1, 2)])).alias("m"))
+    paired = paf.join(mates.select("read_idx", "m.piece", "m.ordinal"), ["read_idx", "piece", "ordinal"])
+    kind = dict(paf.dtypes)["mapq"]
+    paired = paired.withColumn("mapq", F.when(F.col("mapq") < q, F.lit(max(q, 1))).otherwise(F.col("mapq")).cast(kind)).withColumn("primary", F.lit(True))
+    rest = realign_paf(paf.join(two, "read_idx", "left_anti"), q=q, score_share=score_share, identity_share=0.0, off_anchor_only=True)
+    return paired.select(paf.columns).unionByName(rest.withColumn("mapq", F.col("mapq").cast(kind)))
+
+
 def methylation_scores(alns: DataFrame, *, match: int = 0, read_penalty: int = 2, ref_penalty: int = 2, mapq: int = 2) -> DataFrame:
     """Groups whose best new score is unique swap their primary and get the mapq.
 
@@ -207,11 +240,12 @@ def realign_sequences(reads: DataFrame, *, band: int = 5) -> DataFrame:
     """group, ordinal, score, mapq, primary: candidates scored anew; the best gets mapq 2, others 0; groups with two best drop out.
 
     reads: group, ordinal, seq, candidate.  A group is one read piece with its few candidates.
+    A candidate is aligned whole with a stretch of the read; what the read has around it is free.
     """
 
     def run(batches):
         for t in batches:
-            yield pd.DataFrame({"group": t["group"], "ordinal": t["ordinal"], "score": [banded_score(a, b, band=band) for a, b in zip(t["seq"], t["candidate"], strict=True)]})
+            yield pd.DataFrame({"group": t["group"], "ordinal": t["ordinal"], "score": [banded_score(b, a, band=band) for a, b in zip(t["seq"], t["candidate"], strict=True)]})
 
     scored = reads.select("group", "ordinal", "seq", "candidate").mapInPandas(run, "group long, ordinal long, score long")
     w = Window.partitionBy("group")

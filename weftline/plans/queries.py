@@ -661,11 +661,12 @@ def _alternatives(s, d):
     t = roles.paf(s, d).select("read_idx", (F.col("ordinal") % 3).alias("piece"), F.col("ordinal").alias("ordinal"), "target", F.col("matches").alias("score"), (F.col("matches") / F.col("aln_length")).alias("identity"), (F.col("mapq") % 4).alias("mapq"), "target_start")
     from pyspark.sql import Window
 
-    w = Window.partitionBy("read_idx", "piece").orderBy("ordinal", "target", "target_start")
-    return t.withColumn("ordinal", F.row_number().over(w)).withColumn("primary", F.col("ordinal") == 1).withColumn("target", F.expr("concat('c', CAST(substring(target, 4) AS INT) % 8)"))
+    w = Window.partitionBy("read_idx", "piece").orderBy("ordinal", "target", "target_start", "score", "identity", "mapq")
+    t = t.withColumn("target", F.expr("concat('c', CAST(substring(target, 4) AS INT) % 8)"))
+    return t.withColumn("ordinal", F.row_number().over(w)).withColumn("primary", F.col("ordinal") == 1)
 
 
-_ALT = """alt AS (SELECT read_idx, ordinal % 3 AS piece, row_number() OVER (PARTITION BY read_idx, ordinal % 3 ORDER BY ordinal, target, target_start) AS ordinal, concat('c', CAST(substr(target, 4) AS INT) % 8) AS target, matches AS score, matches / aln_length::DOUBLE AS identity, mapq % 4 AS mapq, target_start FROM paf)"""
+_ALT = """alt AS (SELECT read_idx, ordinal % 3 AS piece, row_number() OVER (PARTITION BY read_idx, ordinal % 3 ORDER BY ordinal, concat('c', CAST(substr(target, 4) AS INT) % 8), target_start, matches, matches / aln_length::DOUBLE, mapq % 4) AS ordinal, concat('c', CAST(substr(target, 4) AS INT) % 8) AS target, matches AS score, matches / aln_length::DOUBLE AS identity, mapq % 4 AS mapq, target_start FROM paf)"""
 _ANCHOR = """votes AS (SELECT read_idx, target, count(*) AS n FROM alt WHERE ordinal = 1 AND mapq >= 2 GROUP BY ALL),
 anchor AS (SELECT read_idx, arg_min(target, struct_pack(a := -n, b := target)) AS anchor FROM votes GROUP BY 1),
 one AS (SELECT read_idx, piece, score AS s1, identity AS i1, mapq AS m1 FROM alt WHERE ordinal = 1),
@@ -686,7 +687,27 @@ mate AS (SELECT a.read_idx, a.ordinal AS o1, b.ordinal AS o2, a.target AS t1, b.
 def _(s, d):
     t = _alternatives(s, d)
     scores = s.createDataFrame([(f"c{a}", f"c{b}", 1.0 / (1 + abs(a - b))) for a in range(8) for b in range(a, 8)], "contig1 string, contig2 string, score double")
-    return X.realign_by_contacts(t, scores).withColumn("value", F.round("value", 6))
+    return X.realign_by_contacts(t, scores, top=None).withColumn("value", F.round("value", 6))
+
+
+_MATES = """two AS (SELECT read_idx FROM alt GROUP BY 1 HAVING count(DISTINCT piece) = 2),
+ranked AS (SELECT alt.*, row_number() OVER (PARTITION BY read_idx, piece ORDER BY score DESC, ordinal) AS r, max(score) OVER (PARTITION BY read_idx, piece) AS high FROM alt JOIN two USING (read_idx)),
+near AS (SELECT * FROM ranked WHERE r <= 4 AND score >= 0.95::DOUBLE * high),
+mate AS (SELECT a.read_idx, a.piece AS p1, b.piece AS p2, a.ordinal AS o1, b.ordinal AS o2, a.r AS r1, b.r AS r2, 1.0::DOUBLE / (1 + abs(CAST(substr(a.target, 2) AS INT) - CAST(substr(b.target, 2) AS INT)))::DOUBLE + 0.05::DOUBLE * (a.mapq + b.mapq) AS value FROM near a JOIN near b ON a.read_idx = b.read_idx AND a.piece < b.piece),
+pick AS (SELECT *, row_number() OVER (PARTITION BY read_idx ORDER BY value DESC, r1, r2) AS k FROM mate),
+taken AS (SELECT read_idx, p1 AS piece, o1 AS ordinal FROM pick WHERE k = 1 UNION ALL SELECT read_idx, p2, o2 FROM pick WHERE k = 1),
+votes AS (SELECT read_idx, target, count(*) AS n FROM alt WHERE ordinal = 1 AND mapq >= 2 GROUP BY ALL),
+anchor AS (SELECT read_idx, arg_min(target, struct_pack(a := -n, b := target)) AS anchor FROM votes GROUP BY 1),
+one AS (SELECT read_idx, piece, score AS s1, mapq AS m1, target AS t1 FROM alt WHERE ordinal = 1),
+fit AS (SELECT alt.*, coalesce(m1 < 2 AND target = anchor AND (ordinal = 1 OR (score >= 0.95::DOUBLE * s1 AND t1 <> anchor)), false) AS ok FROM alt ANTI JOIN two USING (read_idx) JOIN one USING (read_idx, piece) LEFT JOIN anchor USING (read_idx)),
+best AS (SELECT *, row_number() OVER (PARTITION BY read_idx, piece ORDER BY ok DESC, CASE WHEN ok THEN score END DESC, ordinal) AS r FROM fit WHERE ok OR ordinal = 1),
+every AS (SELECT alt.*, mapq < 2 AS up FROM alt JOIN taken USING (read_idx, piece, ordinal) UNION ALL SELECT * EXCLUDE (ok, r), ok FROM best WHERE r = 1)"""
+
+
+@query("ALN2_realign_reads", sql("SELECT read_idx, piece, CAST(ordinal AS INT) AS ordinal, target, score, identity, CASE WHEN up THEN 2 ELSE mapq END AS mapq, target_start, true AS \"primary\" FROM every", "paf", also=_ALT + ", " + _MATES))
+def _(s, d):
+    scores = s.createDataFrame([(f"c{a}", f"c{b}", 1.0 / (1 + abs(a - b))) for a in range(8) for b in range(a, 8)], "contig1 string, contig2 string, score double")
+    return X.realign_reads(_alternatives(s, d), scores, q=2)
 
 
 _METH = "al AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ordinal, CAST(l_quantity AS INT) AS score, l_linenumber % 3 AS mapq, l_partkey % 5 AS m, l_suppkey % 3 AS a, l_partkey % 2 AS b FROM lineitem), sc AS (SELECT *, ordinal = 1 AS pri, score + 1 * m - 2 * a - 2 * b AS new_score FROM al), t AS (SELECT *, max(new_score) OVER w AS top, count(*) OVER w AS n, max(CASE WHEN pri THEN mapq END) OVER w AS own FROM sc WINDOW w AS (PARTITION BY g)), u AS (SELECT *, count(*) FILTER (new_score = top) OVER (PARTITION BY g) AS tops FROM t), v AS (SELECT *, n > 1 AND own < 2 AND tops = 1 AS ch FROM u)"
