@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir.
@@ -28,6 +31,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession):
+    """Shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def spool(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there.
+
+    A lost executor costs a re-read, not a recomputation.  The shuffle files of the write
+    are removed when it ends.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spool_path = path
+    return out
+
+
+def unspool(*frames: DataFrame) -> None:
+    """Delete tables of spool() that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_spool_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
