@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import new_path, shared_dir
+from ..functions.scratch import new_path, shared_dir, spool, unspool
 
 __all__ = ["SPACES", "ascii_lower", "free_name", "held_filter", "keyed", "new_path", "numbered", "shared_dir", "shingles", "small", "spool", "unspool", "words"]
 
@@ -16,36 +14,6 @@ __all__ = ["SPACES", "ascii_lower", "free_name", "held_filter", "keyed", "new_pa
 SPACES = "\t\n\x0b\x0c\r"
 #: Files of a table whose names are broadcast; a table of more is copied to get row numbers.
 NUMBERED_FILES = 100_000
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _shuffles_end_with_their_query(spark: SparkSession):
-    """Shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there.
-
-    A lost executor costs a re-read, not a recomputation.  The shuffle files of the write
-    are removed when it ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    with _shuffles_end_with_their_query(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._spool_path = path
-    return out
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
@@ -70,16 +38,6 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return placed.join(F.broadcast(files), "_file").withColumn("_row", F.shiftleft("_number", 38) + F.col("_place")).drop("_file", "_place", "_number")
 
 
-def unspool(*frames: DataFrame) -> None:
-    """Delete tables of spool() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_spool_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def free_name(wanted: str, columns: list[str]) -> str:
     """wanted, with underscores put before it until no column has that name, in any case."""
     taken = {c.lower() for c in columns}

@@ -10,12 +10,15 @@ from .decontamination import OP3_SQL, op3_decontamination
 from .html_text import op10_html_text
 from .jaccard_join import op6_jaccard_join
 from .mixing import op7_mixing, op7_sql
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_pu import op8_quality_pu
 from .quality_rules import op4_quality_rules
+from .sharding import op12_sharding
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op5_token_counts
 from .token_files import op2_token_ids
 from .tool_calls import op1_tool_calls
+from .turn_repair import op13_turn_repair
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_pu": op8_quality_pu,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_html_text": op10_html_text,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_sharding": op12_sharding,
+        "op13_turn_repair": op13_turn_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_mixing": op7_sql()}
+    return {"op3_decontamination": OP3_SQL, "op7_mixing": op7_sql(), "op11_prefix_trie": OP11_SQL}
