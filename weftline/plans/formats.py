@@ -9,6 +9,7 @@ from ..operators import contacts as C
 from ..operators import clm as L
 from ..operators import pairs as R
 from ..operators import pieces as P
+from ..sources import bam as B
 from ..sources import readers as I
 from ..sources import writers as W
 from . import roles
@@ -160,6 +161,57 @@ def _(s, d):
     return I.read_sam(s, path).select("name", "flag", "rname", "pos", "mapq", "cigar", "nm", "as_score", "mm", "ml")
 
 
+_BAM = """reads AS (SELECT name, CAST(CASE WHEN length(s) % 3 = 0 THEN 16 ELSE 0 END AS INT) AS flag, concat('ctg', length(s) % 5 + 1) AS rname, CAST(substr(name, 2) AS BIGINT) * 10 + 1 AS pos, CAST(length(s) % 61 AS INT) AS mapq,
+ CASE WHEN s = '' THEN '*' ELSE concat(length(s), 'M') END AS cigar, CASE WHEN s = '' THEN '*' ELSE s END AS seq, CASE WHEN s = '' THEN '*' ELSE translate(s, 'ACGT', '!+5?') END AS qual FROM (SELECT name, coalesce(seq, '') AS s FROM fasta))"""
+_BAM_ROW = "name, flag, rname, pos, mapq, cigar, seq, qual"
+
+
+def _bam_reads(s, d):
+    t = roles.fasta(s, d).selectExpr("name", "coalesce(seq, '') AS s")
+    return t.selectExpr(
+        "name", "CASE WHEN length(s) % 3 = 0 THEN 16 ELSE 0 END AS flag", "concat('ctg', length(s) % 5 + 1) AS rname", "CAST(substr(name, 2) AS BIGINT) * 10 + 1 AS pos", "length(s) % 61 AS mapq",
+        "CASE WHEN s = '' THEN '*' ELSE concat(length(s), 'M') END AS cigar", "CASE WHEN s = '' THEN '*' ELSE s END AS seq", "CASE WHEN s = '' THEN '*' ELSE translate(s, 'ACGT', '!+5?') END AS qual",
+    )
+
+
+def _bam_dir(records, s, d, **options):
+    path = new_path(s, "format")
+    B.write_bam(records, roles.sizes(s, d), path, **options)
+    return path
+
+
+@query("SRC9_bam", sql(f"SELECT {_BAM_ROW} FROM reads", "fasta", also=_BAM))
+def _(s, d):
+    path = _bam_dir(_bam_reads(s, d), s, d)
+    return s.read.format("bam_records").option("split_bytes", 1 << 20).load(path).select(*_BAM_ROW.split(", "))
+
+
+@query("SRC9_bam_region", sql(f"SELECT {_BAM_ROW} FROM reads WHERE rname = 'ctg2' AND pos >= 501 AND pos < 100000", "fasta", also=_BAM))
+def _(s, d):
+    path, index = _bam_dir(_bam_reads(s, d), s, d), new_path(s, "index")
+    B.build_index(s, path, index)
+    return B.read_bam(s, path, index).where("rname = 'ctg2' AND pos >= 501 AND pos < 100000").select(*_BAM_ROW.split(", "))
+
+
+@query("SNK8_pairs2bam", sql("SELECT read_idx::VARCHAR AS name, CAST(65 + CASE WHEN strand1 = '-' THEN 16 ELSE 0 END AS INT) AS flag, chrom1 AS rname, pos1 AS pos, mapq, '1M' AS cigar, chrom2 AS rnext, pos2 AS pnext FROM pairs UNION ALL SELECT read_idx::VARCHAR, CAST(129 + CASE WHEN strand2 = '-' THEN 16 ELSE 0 END AS INT), chrom2, pos2, mapq, '1M', chrom1, pos1 FROM pairs", "pairs"))
+def _(s, d):
+    path = _bam_dir(R.to_sam(roles.pairs(s, d)).withColumnRenamed("qname", "name"), s, d)
+    return s.read.format("bam_records").load(path).select("name", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext")
+
+
+@query(
+    "LIM2_split_bam",
+    sql(
+        "SELECT concat('split_', f, '.bam') AS file, count(*) AS records, count(DISTINCT name) AS reads, min(name) AS first, max(name) AS last FROM placed GROUP BY f",
+        also=_SAM + ", placed AS (SELECT name, (min(p) OVER (PARTITION BY name) - 1) // 1000 AS f FROM (SELECT name, row_number() OVER (ORDER BY name) AS p FROM sam))",
+    ),
+)
+def _(s, d):
+    path = _bam_dir(_sam(s, d).select("name", "flag", "rname", "pos", "mapq", "cigar"), s, d, rows_per_file=1000)
+    t = s.read.format("bam_records").load(path)
+    return t.groupBy("file").agg(F.count("*").alias("records"), F.count_distinct("name").alias("reads"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
 @query("SRC10_vcf", sql("SELECT chrom, s + 1 AS pos, 'A' AS ref, 'C' AS alt FROM bed", "bed"))
 def _(s, d):
     return I.read_vcf(s, _text(roles.bed(s, d), s, "chrom", "start + 1", "name", "'A'", "'C'", "'.'", "'PASS'", "'.'")).select("chrom", "pos", "ref", "alt")

@@ -1,214 +1,352 @@
-"""BAM as a Spark data source: spark.dataSource.register(BamSource), then spark.read.format("bam_records").load(path).
-
-A file is cut into ranges of split_bytes (an option; 64 MiB by default), each one a
-partition.  A task looks for the first compressed block of its range and, in what that
-and the next blocks inflate to, for the first place from which records follow each other
-plausibly; it reads the records that start in blocks of its range.  Blocks are inflated
-one after the other and records are decoded as they come; nothing but the blocks of the
-record at hand is held.
+"""BAM as Spark data sources, with an exact index of record borders.
+
+    spark.dataSource.register(bam.BamSource)
+    spark.read.format("bam_records").load(path)          # ranges of split_bytes, borders told by their looks
+    bam.build_index(spark, path, index)                  # one distributed pass
+    bam.read_bam(spark, path, index).where("rname = 'chr1' and pos between 1000 and 2000")
+    bam.write_bam(records, sizes, path)                  # one file a task
+
+Without an index a file is cut into ranges of split_bytes (64 MiB by default), each one a
+partition, which yields the records that start in blocks of the range.  The first of them
+is the first place from which CHAIN records follow each other, each with a name, operations
+that add up to its sequence, and tags that end where it ends; blocks are inflated until
+that is decided, however long a record is, and only what is open is held.
+
+The index makes this exact.  Its pass tells for each range the first record at or after its
+start and the first at or after its end.  The first range starts at the header's end,
+which is known, so where each range starts as the one before it ends, all borders are
+right; a range that doesn't is walked again from where it must start.  Bodies of records
+are skipped, blocks inside a body aren't inflated.  Beside the ranges it keeps, for stretches
+of CHUNK bytes, their references and least and largest positions: a filter on rname and
+pos, which Spark pushes down, opens only the stretches that can hold such records.
 """
 
 from __future__ import annotations
 
+import json
 import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-#: Letters of 4-bit bases and of CIGAR operations in the format.
+from ..functions.ranks import ranked
+from ..functions.scratch import new_path, spool, unspool
+from . import bgzf
+
+#: Letters of 4-bit bases and of CIGAR operations in the format, and the operations that take bases of the read.
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
-SCHEMA = "name string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
+_TAKES = {0, 1, 4, 7, 8}
+SCHEMA = "name string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>, kinds map<string,string>, file string"
+#: Records in a row that make a border; bytes of a range, and of a stretch of the index.
+CHAIN = 4
+SPLIT = 64 << 20
+CHUNK = 1 << 18
+_LONGEST = 1 << 29
 _SIZES = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+_HIGH = bytes(ord(BASES[b >> 4]) for b in range(256))
+_LOW = bytes(ord(BASES[b & 15]) for b in range(256))
+_TO_QUAL = bytes(min(b + 33, 255) for b in range(256))
+_FROM_QUAL = bytes(max(b - 33, 0) for b in range(256))
+_CODE = bytes(BASES.find(chr(b).upper()) if chr(b).upper() in BASES else 15 for b in range(256))
 
 
-class _Inflated:
-    """The bytes of a BGZF file from a block on, read forward, with the place of the block that each comes from."""
+# ---- records in bytes ------------------------------------------------------------------------------------------
 
-    def __init__(self, raw, offset: int = 0) -> None:
-        self.raw, self.next = raw, offset
-        self.held, self.at = b"", 0
-        #: (where in held, place in the file) of each block that is held.
-        self.blocks: list[tuple[int, int]] = []
-        raw.seek(offset)
 
-    def more(self) -> bool:
-        """Inflate one more block."""
-        head = self.raw.read(12)
-        if len(head) < 12:
-            return False
-        extra = self.raw.read(struct.unpack_from("<H", head, 10)[0])
-        size = _block_size(extra)
-        data = self.raw.read(size - 12 - len(extra) - 8)
-        self.raw.read(8)
-        cut = max((k for k, (start, _) in enumerate(self.blocks) if start <= self.at), default=0)
-        drop = self.blocks[cut][0] if self.blocks else 0
-        self.blocks = [(start - drop, place) for start, place in self.blocks[cut:]] + [(len(self.held) - drop, self.next)]
-        self.held = self.held[drop:] + zlib.decompress(data, -15)
-        self.at -= drop
-        self.next += size
-        return True
-
-    def fill(self, n: int) -> bool:
-        """Whether n bytes are at hand."""
-        while len(self.held) - self.at < n:
-            if not self.more():
-                return False
-        return True
+def _tags(data: bytes) -> tuple[dict[str, str], dict[str, str]]:
+    """Values and kinds of the tags."""
+    out, kinds, at = {}, {}, 0
+    while at + 3 <= len(data):
+        key, kind = data[at : at + 2].decode("latin-1"), chr(data[at + 2])
+        at += 3
+        kinds[key] = kind if kind not in "cCsSI" else "i"
+        if kind in "ZH":
+            end = data.index(b"\0", at)
+            out[key], at = data[at:end].decode("utf-8", "replace"), end + 1
+        elif kind == "B":
+            sub, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
+            values = np.frombuffer(data, "<" + {"c": "i1", "C": "u1", "s": "i2", "S": "u2", "i": "i4", "I": "u4", "f": "f4"}[sub], n, at + 5)
+            out[key], at = ",".join([sub, *map(str, values.tolist())]), at + 5 + values.nbytes
+        else:
+            value = struct.unpack_from(f"<{_SIZES[kind]}", data, at)[0]
+            out[key], at = value.decode("latin-1") if kind == "A" else str(value), at + struct.calcsize(_SIZES[kind])
+    return out, kinds
 
-    def read(self, n: int) -> bytes:
-        self.fill(n)
-        out = self.held[self.at : self.at + n]
-        self.at += len(out)
-        return out
 
-    def place(self) -> int | None:
-        """Place in the file of the block that the next byte is in; None at the end."""
-        if not self.fill(1):
-            return None
-        return max(place for start, place in self.blocks if start <= self.at)
-
-
-def _block_size(extra: bytes) -> int:
-    at = 0
-    while at + 6 <= len(extra):
-        n = struct.unpack_from("<H", extra, at + 2)[0]
-        if extra[at : at + 2] == b"BC":
-            return struct.unpack_from("<H", extra, at + 4)[0] + 1
-        at += 4 + n
-    raise ValueError("not a BGZF block")
-
-
-def _first_block(raw, begin: int, end: int) -> int | None:
-    """Place of the first block that starts in [begin, end): a header that inflates and is followed by another, or by the end."""
-    size = raw.size()
-    at = begin
-    while at < end:
-        raw.seek(at)
-        window = raw.read(1 << 17)
-        k = window.find(b"\x1f\x8b\x08\x04")
-        if k < 0:
-            if len(window) < 4:
-                return None
-            at += len(window) - 3
-            continue
-        at += k
-        if at >= end:
-            return None
-        try:
-            f = _Inflated(raw, at)
-            if f.more() and (f.next == size or f.more()):
-                return at
-        except (ValueError, struct.error, zlib.error):
-            pass
-        at += 1
-    return None
+def _tags_end(data: bytearray, at: int, end: int) -> bool:
+    """Whether tags from at on end at end."""
+    while at + 4 <= end:
+        kind = chr(data[at + 2])
+        at += 3
+        if kind in "ZH":
+            at = data.find(b"\0", at, end) + 1
+            if not at:
+                return False
+        elif kind == "B":
+            sub = chr(data[at])
+            if sub not in _SIZES or sub == "A" or at + 5 > end:
+                return False
+            at += 5 + struct.unpack_from("<I", data, at + 1)[0] * struct.calcsize(_SIZES[sub])
+        elif kind in _SIZES:
+            at += struct.calcsize(_SIZES[kind])
+        else:
+            return False
+    return at == end
 
 
-def _plausible(held: bytes, at: int, n_refs: int) -> int | None:
-    """Where the next record starts, if one can start at at: len(held) or more if that isn't at hand."""
+def _record_end(held: bytearray, at: int, n_refs: int) -> int | None:
+    """Where the record at at ends, if there can be one; minus the bytes that must be held to tell; None if there can't."""
     if at + 36 > len(held):
-        return len(held)
+        return -(at + 36)
     size, ref, pos, l_name, _, _, n_ops, _, l_seq, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", held, at)
-    if not (32 <= size < 1 << 28 and -1 <= ref < n_refs and -1 <= next_ref < n_refs and pos >= -1 and next_pos >= -1 and l_name > 0 and l_seq >= 0):
+    if not (32 <= size < _LONGEST and -1 <= ref < n_refs and -1 <= next_ref < n_refs and pos >= -1 and next_pos >= -1 and l_name > 0 and l_seq >= 0):
         return None
-    if 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq > size:
+    body = at + 36 + l_name + 4 * n_ops
+    end = at + 4 + size
+    if body + (l_seq + 1) // 2 + l_seq > end:
         return None
+    if body > len(held):
+        return -body
     name = held[at + 36 : at + 36 + l_name]
-    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
+    if name[-1] or any(not 33 <= c <= 126 for c in name[:-1]):
         return None
-    return at + 4 + size
-
-
-def _first_record(f: _Inflated, n_refs: int, chain: int = 8) -> bool:
-    """Move to the first place from which records follow each other: chain of them, or as far as the bytes at hand go."""
-    for _ in range(8):
-        if not f.more():
-            break
-    for at in range(len(f.held)):
-        step: int | None = at
-        for k in range(chain):
-            if step is not None and step >= len(f.held):
-                step = at if k else None
-                break
-            step = _plausible(f.held, step, n_refs)
-            if step is None:
-                break
-        if step is not None and _plausible(f.held, at, n_refs) != len(f.held):
-            f.at = at
+    taken = 0
+    for v in struct.unpack_from(f"<{n_ops}I", held, at + 36 + l_name):
+        if v & 15 >= len(OPS):
+            return None
+        taken += (v >> 4) * (v & 15 in _TAKES)
+    if n_ops and l_seq and taken != l_seq:
+        return None
+    if end > len(held):
+        return -end
+    return end if _tags_end(held, body + (l_seq + 1) // 2 + l_seq, end) else None
+
+
+def _follow(f: bgzf.Inflated, at: int, n_refs: int) -> bool:
+    """Whether CHAIN records, or as many as there are to the end of the file, follow each other from at on."""
+    for k in range(CHAIN):
+        while (end := _record_end(f.held, at, n_refs)) is not None and end < 0:
+            if not f.fill(-end - f.at):
+                return k > 0 and at == len(f.held)
+        if end is None:
+            return False
+        at = end
+    return True
+
+
+def _candidates(held: bytearray, at: int, n_refs: int) -> np.ndarray:
+    """Places from at on where the fixed fields of a record could stand."""
+    b = np.frombuffer(bytes(held[at:]), np.uint8).astype(np.uint32)
+    if len(b) < 36:
+        return np.zeros(0, np.int64)
+    word = (b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24).view(np.int32)
+    n = len(b) - 35
+    size, ref, pos, l_seq, next_ref, next_pos = (word[k : k + n] for k in (0, 4, 8, 20, 24, 28))
+    fits = (size >= 32) & (size < _LONGEST) & (ref >= -1) & (ref < n_refs) & (pos >= -1) & (l_seq >= 0) & (l_seq <= size) & (next_ref >= -1) & (next_ref < n_refs) & (next_pos >= -1) & (b[12 : 12 + n] > 0)
+    return np.flatnonzero(fits) + at
+
+
+def _first_record(f: bgzf.Inflated, n_refs: int) -> bool:
+    """Move to the first place where a record starts; False if the file ends before."""
+    while f.fill(36):
+        found = next((k for k in _candidates(f.held, f.at, n_refs).tolist() if _follow(f, k, n_refs)), None)
+        if found is not None:
+            f.at = found
             return True
+        # Every place but the last 35 bytes has been looked at.
+        f.at = max(f.at, len(f.held) - 35)
+        if not f.more():
+            return False
     return False
 
 
-def _tags(data: bytes) -> dict[str, str]:
-    out, at = {}, 0
-    while at + 3 <= len(data):
-        key, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = data.index(b"\0", at)
-            out[key], at = data[at:end].decode(), end + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<I", data, at + 1)[0]
-            values = struct.unpack_from(f"<{n}{_SIZES[sub]}", data, at + 5)
-            out[key], at = ",".join([sub, *map(str, values)]), at + 5 + n * struct.calcsize(_SIZES[sub])
-        else:
-            value = struct.unpack_from(f"<{_SIZES[kind]}", data, at)[0]
-            out[key], at = value.decode() if kind == "A" else str(value), at + struct.calcsize(_SIZES[kind])
-    return out
-
-
-def _header(f: _Inflated) -> list[str]:
-    """Names of the references; moves to the first record."""
+def header(f: bgzf.Inflated) -> tuple[str, list[tuple[str, int]]]:
+    """Text, and names and lengths of the references; moves to the first record."""
     if f.read(4) != b"BAM\1":
         raise ValueError("not a BAM file")
-    f.read(struct.unpack("<i", f.read(4))[0])
-    names = []
+    text = f.read(struct.unpack("<i", f.read(4))[0]).decode("utf-8", "replace").rstrip("\0")
+    refs = []
     for _ in range(struct.unpack("<i", f.read(4))[0]):
-        names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode())
-        f.read(4)
-    return names
+        name = f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode()
+        refs.append((name, struct.unpack("<i", f.read(4))[0]))
+    return text, refs
+
+
+def _decode(d: bytes, name_of, file: str | None) -> tuple:
+    ref, pos, l_name, mapq, _, n_ops, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", d)
+    at = 32
+    name = d[at : at + l_name - 1].decode("utf-8", "replace")
+    at += l_name
+    cigar = "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", d, at))
+    at += 4 * n_ops
+    packed = d[at : at + (l_seq + 1) // 2]
+    seq = bytearray(2 * len(packed))
+    seq[0::2], seq[1::2] = packed.translate(_HIGH), packed.translate(_LOW)
+    at += len(packed)
+    qual = d[at : at + l_seq]
+    at += l_seq
+    text = "*" if not qual or qual[0] == 255 else qual.translate(_TO_QUAL).decode("latin-1")
+    return name, flag, name_of(ref), pos + 1, mapq, cigar or "*", name_of(next_ref), next_pos + 1, tlen, seq[:l_seq].decode() or "*", text, *_tags(d[at:]), file
+
+
+def _next_size(f: bgzf.Inflated) -> int | None:
+    """Bytes of the next record, behind its size; None at the end."""
+    size = f.read(4)
+    if not size:
+        return None
+    if len(size) < 4:
+        raise ValueError("the file ends inside a record")
+    return struct.unpack("<i", size)[0]
+
+
+def _between(f: bgzf.Inflated, refs: list, end: int, file: str | None) -> Iterator[tuple]:
+    """Rows of the records from where f stands to the virtual offset end."""
+    name_of = lambda k: refs[k][0] if k >= 0 else "*"
+    while f.place() < end and (size := _next_size(f)) is not None:
+        data = f.read(size)
+        if len(data) < size:
+            raise ValueError("the file ends inside a record")
+        yield _decode(data, name_of, file)
+
+
+def _seek(raw, begin: int, n_refs: int, after_header: bgzf.Inflated) -> bgzf.Inflated | None:
+    """At the first record that starts in a block at or behind begin; None if there is none."""
+    if not begin:
+        return after_header
+    first = bgzf.first_block(raw, begin, raw.size())
+    if first is None:
+        return None
+    if first <= after_header.place() >> 16:
+        # The header reaches up to here.
+        return at_header(raw)
+    f = bgzf.Inflated(raw, first)
+    return f if _first_record(f, n_refs) else None
+
 
+def at_header(raw) -> bgzf.Inflated:
+    f = bgzf.Inflated(raw)
+    header(f)
+    return f
 
-def records(raw, begin: int = 0, end: int | None = None) -> Iterator[tuple]:
+
+def records(raw, begin: int = 0, end: int | None = None, file: str | None = None) -> Iterator[tuple]:
     """Rows of SCHEMA of the records of a seekable BAM file that start in blocks of [begin, end)."""
-    f = _Inflated(raw)
-    names = _header(f)
-    if begin:
-        first = _first_block(raw, begin, raw.size() if end is None else end)
-        if first is None:
-            return
-        f = _Inflated(raw, first)
-        if not _first_record(f, len(names)):
-            return
-    name_of = lambda k: names[k] if k >= 0 else "*"
-    while (place := f.place()) is not None and (end is None or place < end) and len(size := f.read(4)) == 4:
-        d = f.read(struct.unpack("<i", size)[0])
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", d)
-        at = 32
-        name = d[at : at + l_name - 1].decode()
-        at += l_name
-        cigar = "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", d, at))
-        at += 4 * n_ops
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in d[at : at + (l_seq + 1) // 2])[:l_seq]
-        at += (l_seq + 1) // 2
-        qual = d[at : at + l_seq]
-        at += l_seq
-        text = "*" if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode()
-        yield name, flag, name_of(ref), pos + 1, mapq, cigar or "*", name_of(next_ref), next_pos + 1, tlen, seq or "*", text, _tags(d[at:])
+    f = bgzf.Inflated(raw)
+    _, refs = header(f)
+    f = _seek(raw, begin, len(refs), f)
+    if f is not None:
+        yield from _between(f, refs, (raw.size() if end is None else end) << 16, file)
+
+
+# ---- the index -------------------------------------------------------------------------------------------------
+
+
+def walk(raw, begin: int, end: int, start: int | None = None, chunk: int = CHUNK) -> tuple[int, int, list[dict]]:
+    """Virtual offsets of the first records at or behind begin and end, and what stretches between them hold.
+
+    start: where the first record is known to be.
+    """
+    f = bgzf.Inflated(raw)
+    _, refs = header(f)
+    over = raw.size() << 16
+    if start is None:
+        f = _seek(raw, begin, len(refs), f)
+        start = over if f is None else f.place()
+    else:
+        f = None
+    if start >= min(end << 16, over):
+        return start, start, []
+    f = f or bgzf.at_place(raw, start)
+    made: list[dict] = []
+    at = start
+    held: dict[int, list[int]] = {}
+
+    def put(upto: int) -> None:
+        for ref, (n, low, high) in held.items():
+            made.append({"from": at, "upto": upto, "rname": refs[ref][0] if ref >= 0 else "*", "n": n, "low": low + 1, "high": high + 1})
+        held.clear()
+
+    while (here := f.place()) < end << 16 and here < over:
+        if (here >> 16) - (at >> 16) >= chunk:
+            put(here)
+            at = here
+        size = _next_size(f)
+        fixed = f.read(32)
+        ref, pos = struct.unpack_from("<ii", fixed)
+        f.skip(size - 32)
+        n, low, high = held.get(ref, (0, pos, pos))
+        held[ref] = [n + 1, min(low, pos), max(high, pos)]
+    put(here)
+    return start, here, made
+
+
+_CHUNK_TYPE = pa.list_(pa.struct([("from", pa.int64()), ("upto", pa.int64()), ("rname", pa.string()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
+_WALKED = pa.schema([("file", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("next", pa.int64()), ("chunks", _CHUNK_TYPE)])
+_WALKED_DDL = "file string, begin long, end long, first long, next long, chunks array<struct<from: long, upto: long, rname: string, n: long, low: long, high: long>>"
+
+
+def _walks(uri: str, chunk: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
 
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with fs.open_input_file(r["file"]) as raw:
+                    first, after, chunks = walk(raw, r["begin"], r["end"], r["start"], chunk)
+                yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("file", "begin", "end")}, "first": first, "next": after, "chunks": chunks}], _WALKED)
+
+    return run
+
+
+def _files(uri: str) -> list[tuple[str, int]]:
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri)
+    info = fs.get_file_info(path)
+    found = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".bam")]
+    return sorted((x.path, x.size) for x in found)
+
+
+def build_index(spark: SparkSession, path: str, index: str, *, split_bytes: int = SPLIT, chunk_bytes: int = CHUNK) -> None:
+    """Write the index of the BAM files of path: index/ranges and index/chunks, two tables."""
+    files = spark.createDataFrame(_files(path), "file string, size long").where("size > 0")
+    begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("begin")
+    ranges = files.select("file", "size", begins).select("file", "begin", F.least(F.col("begin") + split_bytes, "size").alias("end"), F.lit(None).cast("long").alias("start"))
+    ranges = spool(ranges, "bam-ranges")
+    n = max(1, ranges.count())
+    run = _walks(path, chunk_bytes)
+    walked = spool(ranges.repartition(min(n, 10_000), "file", "begin").mapInArrow(run, _WALKED_DDL), "bam-walked")
+    unspool(ranges)
+    while True:
+        borders = walked.select("file", "begin", "end", "first", F.lag("next").over(Window.partitionBy("file").orderBy("begin")).alias("start"))
+        wrong = spool(borders.where("start <> first").select("file", "begin", "end", "start"), "bam-wrong")
+        n = wrong.count()
+        if not n:
+            break
+        again = wrong.repartition(min(n, 10_000), "file", "begin").mapInArrow(run, _WALKED_DDL)
+        after = spool(walked.join(wrong.select("file", "begin"), ["file", "begin"], "left_anti").select("file", "begin", "end", "first", "next", "chunks").unionByName(again), "bam-walked")
+        unspool(walked, wrong)
+        walked = after
+    walked.select("file", "first", "next").where("first < next").write.parquet(f"{index}/ranges")
+    chunks = walked.select("file", F.explode("chunks").alias("c")).select("file", "c.*")
+    chunks.repartitionByRange("rname", "low").sortWithinPartitions("rname", "low").write.parquet(f"{index}/chunks")
+    unspool(walked, wrong)
 
-class BamSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "bam_records"
 
-    def schema(self) -> str:
-        return SCHEMA
+def read_bam(spark: SparkSession, path: str, index: str, *, split_bytes: int = SPLIT) -> DataFrame:
+    """Rows of SCHEMA, read by the index of build_index(); filters on rname and pos open only what they need."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(IndexedBamSource)
+    return spark.read.format("bam_indexed").options(path=path, index=index, split_bytes=str(split_bytes)).load()
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+
+# ---- data sources ----------------------------------------------------------------------------------------------
 
 
 class _Range(InputPartition):
@@ -219,19 +357,307 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.uri = options["path"]
-        self.split = int(options.get("split_bytes", 64 << 20))
+        self.split = int(options.get("split_bytes", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
+        return [_Range(x, begin, min(begin + self.split, size)) for x, size in _files(self.uri) for begin in range(0, size, self.split)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
         import pyarrow.fs as pafs
 
-        fs, path = pafs.FileSystem.from_uri(self.uri)
-        info = fs.get_file_info(path)
-        files = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".bam")]
-        return [_Range(x.path, begin, min(begin + self.split, x.size)) for x in files for begin in range(0, x.size, self.split)]
+        fs, _ = pafs.FileSystem.from_uri(self.uri)
+        with fs.open_input_file(partition.path) as raw:
+            yield from records(raw, partition.begin, partition.end, partition.path.rpartition("/")[2])
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+
+class _Stretches(InputPartition):
+    def __init__(self, path: str, stretches: list[tuple[int, int]]) -> None:
+        self.path, self.stretches = path, stretches
+
+
+class _IndexedReader(DataSourceReader):
+    """A partition is some stretches of a file, of about split_bytes."""
+
+    def __init__(self, options) -> None:
+        self.uri, self.index = options["path"], options["index"]
+        self.split = int(options.get("split_bytes", SPLIT))
+        self.rname, self.low, self.high = None, None, None
+
+    def pushFilters(self, filters: list) -> Iterable:
+        """Takes note of what stretches can be left out by; Spark applies all filters again."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("rname",) and isinstance(f, EqualTo):
+                self.rname = value
+            elif column == ("pos",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = value if self.low is None else max(self.low, value)
+            if column == ("pos",) and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                self.high = value if self.high is None else min(self.high, value)
+            yield f
+
+    def stretches(self) -> list[tuple[str, int, int]]:
+        import pyarrow.compute as pc
+        import pyarrow.dataset as pads
         import pyarrow.fs as pafs
 
+        fs, path = pafs.FileSystem.from_uri(self.index)
+        if self.rname is None and self.low is None and self.high is None:
+            t = pads.dataset(f"{path}/ranges", filesystem=fs, format="parquet").to_table()
+            return sorted(zip(t["file"].to_pylist(), t["first"].to_pylist(), t["next"].to_pylist(), strict=True))
+        tests = [pc.field("n") > 0]
+        tests += [pc.field("rname") == self.rname] if self.rname is not None else []
+        tests += [pc.field("high") >= self.low] if self.low is not None else []
+        tests += [pc.field("low") <= self.high] if self.high is not None else []
+        every = tests[0]
+        for t in tests[1:]:
+            every = every & t
+        t = pads.dataset(f"{path}/chunks", filesystem=fs, format="parquet").to_table(columns=["file", "from", "upto"], filter=every)
+        return sorted(set(zip(t["file"].to_pylist(), t["from"].to_pylist(), t["upto"].to_pylist(), strict=True)))
+
+    def partitions(self) -> list[InputPartition]:
+        made: list[_Stretches] = []
+        held = 0
+        for path, begin, end in self.stretches():
+            if not made or made[-1].path != path or held >= self.split:
+                made.append(_Stretches(path, []))
+                held = 0
+            parts = made[-1].stretches
+            if parts and parts[-1][1] == begin:
+                parts[-1] = (parts[-1][0], end)
+            else:
+                parts.append((begin, end))
+            held += (end >> 16) - (begin >> 16)
+        return made
+
+    def read(self, partition: _Stretches | None) -> Iterator[tuple]:
+        import pyarrow.fs as pafs
+
+        if partition is None:  # no stretch is left
+            return
         fs, _ = pafs.FileSystem.from_uri(self.uri)
         with fs.open_input_file(partition.path) as raw:
-            yield from records(raw, partition.begin, partition.end)
+            _, refs = header(bgzf.Inflated(raw))
+            for begin, end in partition.stretches:
+                yield from _between(bgzf.at_place(raw, begin), refs, end, partition.path.rpartition("/")[2])
+
+
+class BamSource(DataSource):
+    """bam_records: reads by ranges, and writes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_records"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options, schema)
+
+
+class IndexedBamSource(DataSource):
+    """bam_indexed: reads by an index."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_indexed"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _IndexedReader(self.options)
+
+
+# ---- writing ---------------------------------------------------------------------------------------------------
+
+#: Tags of the format that hold whole numbers.
+WHOLE = {"AM", "AS", "CM", "CP", "FI", "H0", "H1", "H2", "HI", "IH", "MQ", "NH", "NM", "OP", "PQ", "SM", "TC", "UQ"}
+
+
+def _bin(begin: int, end: int) -> int:
+    """The smallest bin of the format's scheme that holds [begin, end)."""
+    end -= 1
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> shift == end >> shift:
+            return first + (begin >> shift)
+    return 0
+
+
+def _encode_tag(key: str, value: str, kind: str | None) -> bytes:
+    kind = kind or ("i" if key in WHOLE else "Z")
+    out = key.encode("latin-1")[:2] + kind.encode()
+    if kind in "ZH":
+        return out + value.encode() + b"\0"
+    if kind == "A":
+        return out + value.encode("latin-1")[:1]
+    if kind == "f":
+        return out + struct.pack("<f", float(value))
+    if kind == "B":
+        sub, *values = value.split(",")
+        return out + sub.encode() + struct.pack(f"<I{len(values)}{_SIZES[sub]}", len(values), *[float(v) if sub == "f" else int(v) for v in values])
+    n = int(value)
+    return out[:2] + (b"i" + struct.pack("<i", n) if -(1 << 31) <= n < 1 << 31 else b"I" + struct.pack("<I", n))
+
+
+def encode(row: dict, ref_of: dict[str, int]) -> bytes:
+    """A record of the format from a row with the columns of SCHEMA; absent or null ones are empty."""
+    get = lambda k, other: other if row.get(k) is None else row[k]
+    name, cigar, seq, qual = get("name", "*").encode(), get("cigar", "*"), get("seq", "*"), get("qual", "*")
+    if not 1 <= len(name) <= 254:
+        raise ValueError(f"a read's name has 1 to 254 bytes, not {len(name)}")
+    ops, number, span = [], 0, 0
+    for ch in "" if cigar == "*" else cigar:
+        if ch.isdigit():
+            number = number * 10 + int(ch)
+        else:
+            code = OPS.index(ch)
+            ops.append(number << 4 | code)
+            span += number if code in (0, 2, 3, 7, 8) else 0
+            number = 0
+    bases = b"" if seq == "*" else seq.encode("latin-1", "replace")
+    codes = bases.translate(_CODE) + b"\0" * (len(bases) % 2)
+    packed = bytes((np.frombuffer(codes[0::2], np.uint8) << 4 | np.frombuffer(codes[1::2], np.uint8)).astype(np.uint8))
+    scores = b"\xff" * len(bases) if qual == "*" else qual.encode("latin-1").translate(_FROM_QUAL)
+    if len(scores) != len(bases):
+        raise ValueError("a read has as many qualities as bases")
+    ref = ref_of[get("rname", "*")] if get("rname", "*") != "*" else -1
+    mate = get("rnext", "*")
+    next_ref = -1 if mate == "*" else ref if mate == "=" else ref_of[mate]
+    pos = int(get("pos", 0)) - 1
+    tags, kinds = get("tags", {}), get("kinds", {})
+    extra = b"".join(_encode_tag(k, v, kinds.get(k)) for k, v in tags.items() if v is not None)
+    if len(ops) > 65_535:  # the format's way for long alignments
+        extra += b"CGBI" + struct.pack(f"<I{len(ops)}I", len(ops), *ops)
+        ops = [len(bases) << 4 | 4, span << 4 | 3]
+    in_bin = 4680 if pos < 0 else _bin(pos, pos + max(span, 1))
+    fixed = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, int(get("mapq", 255)), in_bin & 0xFFFF, len(ops), int(get("flag", 0)), len(bases), next_ref, int(get("pnext", 0)) - 1, int(get("tlen", 0)))
+    body = fixed + name + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + scores + extra
+    return struct.pack("<i", len(body)) + body
+
+
+def encode_header(refs: list[tuple[str, int]], text: str = "") -> bytes:
+    text = text or "@HD\tVN:1.6\tSO:unknown\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in refs)
+    data = text.encode()
+    out = [b"BAM\1", struct.pack("<i", len(data)), data, struct.pack("<i", len(refs))]
+    for n, size in refs:
+        out.append(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size))
+    return b"".join(out)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str | None, n: int) -> None:
+        self.name, self.n = name, n
+
+
+class _Writer(DataSourceWriter):
+    """Each task writes a whole BAM file beside the others, under a name of its own; a commit moves the files of the tasks that count into place."""
+
+    def __init__(self, options, schema) -> None:
+        self.uri, self.refs_uri = options["path"], options["references"]
+        self.split = options.get("file_column")
+        self.columns = schema.names
+
+    def _fs(self, uri: str):
+        import pyarrow.fs as pafs
+
+        return pafs.FileSystem.from_uri(uri)
+
+    def write(self, iterator) -> WriterCommitMessage:
+        import uuid
+
+        fs, path = self._fs(self.uri)
+        refs_fs, refs_path = self._fs(self.refs_uri)
+        with refs_fs.open_input_stream(refs_path) as f:
+            refs = [tuple(x) for x in json.loads(f.read().decode())]
+        ref_of = {n: k for k, (n, _) in enumerate(refs)}
+        made: list[tuple[str, str | None, int]] = []
+        stream, open_for, held = None, None, bytearray()
+
+        def close() -> None:
+            nonlocal stream
+            if stream is not None:
+                for b in bgzf.blocks(bytes(held)):
+                    stream.write(b)
+                held.clear()
+                stream.write(bgzf.END)
+                stream.close()
+                stream = None
+
+        for row in iterator:
+            row = dict(zip(self.columns, row, strict=True))
+            key = row.pop(self.split) if self.split else None
+            if stream is None or key != open_for:
+                close()
+                name = uuid.uuid4().hex
+                fs.create_dir(f"{path}/_temporary", recursive=True)
+                stream = fs.open_output_stream(f"{path}/_temporary/{name}.bam")
+                for b in bgzf.blocks(encode_header(refs)):
+                    stream.write(b)
+                open_for = key
+                made.append([name, key, 0])
+            held += encode(row, ref_of)
+            made[-1][2] += 1
+            if len(held) >= bgzf.MOST:
+                whole = len(held) - len(held) % bgzf.MOST
+                for b in bgzf.blocks(bytes(held[:whole])):
+                    stream.write(b)
+                del held[:whole]
+        close()
+        return _Written(json.dumps(made), sum(m[2] for m in made))
+
+    def commit(self, messages) -> None:
+        fs, path = self._fs(self.uri)
+        fs.create_dir(path, recursive=True)
+        for k, m in enumerate(messages):
+            for j, (name, key, _) in enumerate(json.loads(m.name) if m is not None else []):
+                fs.move(f"{path}/_temporary/{name}.bam", f"{path}/part-{k:05d}-{j:03d}.bam" if key is None else f"{path}/split_{key}.bam")
+        self._clear(fs, path)
+        with fs.open_output_stream(f"{path}/_SUCCESS"):
+            pass
+
+    def abort(self, messages) -> None:
+        self._clear(*self._fs(self.uri))
+
+    def _clear(self, fs, path: str) -> None:
+        import pyarrow.fs as pafs
+
+        if fs.get_file_info(f"{path}/_temporary").type != pafs.FileType.NotFound:
+            fs.delete_dir(f"{path}/_temporary")
+
+
+def _references(spark: SparkSession, sizes: DataFrame) -> str:
+    """A file with the names and lengths of sizes (contig, size), in order of name, for the tasks that write; every BAM file holds them all."""
+    import pyarrow.fs as pafs
+
+    uri = new_path(spark, "bam-references")
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_output_stream(path) as f:
+        f.write(json.dumps([[r.contig, r.size] for r in sizes.select("contig", "size").orderBy("contig").toLocalIterator()]).encode())
+    return uri
+
+
+def write_bam(records: DataFrame, sizes: DataFrame, path: str, *, rows_per_file: int = 0, order: str = "name") -> None:
+    """BAM files of records (columns of SCHEMA, in any order, absent ones are empty) with the references of sizes.
+
+    One file a task; or, with rows_per_file, files split_0.bam, split_1.bam ... in the order of
+    names, cut where rows_per_file records are reached and the name changes next: a read
+    is never in two files.
+    """
+    spark = records.sparkSession
+    spark.dataSource.register(BamSource)
+    known = [c.split()[0] for c in SCHEMA.split(", ") if c != "file string"]
+    records = records.select(*[c for c in known if c in records.columns])
+    options = {"path": path, "references": _references(spark, sizes)}
+    if not rows_per_file:
+        records.write.format("bam_records").options(**options).mode("append").save()
+        return
+    placed = ranked(records, ["name", "flag", "rname", "pos"], "_place", name="bam-order")
+    first = spool(placed.groupBy("name").agg(F.min("_place").alias("_first")), "bam-firsts")
+    parts = placed.join(first, "name").withColumn("_part", F.expr(f"_first div {rows_per_file}"))
+    parts = parts.repartition("_part").sortWithinPartitions("_part", "_place").select(*records.columns, "_part")
+    parts.write.format("bam_records").options(**options, file_column="_part").mode("append").save()
+    unspool(placed, first)
