@@ -796,10 +796,6 @@ def _(s, d):
     return U.kprune(t, _values(s, d))
 
 
-def _strong(s, d):
-    return _counts(s, d).where("contig1 <> contig2").select(F.col("contig1").alias("a"), F.col("contig2").alias("b"))
-
-
 _EDGES = "ed AS (SELECT DISTINCT o_custkey AS a, o_custkey * 7 % 1000 AS b FROM orders WHERE o_custkey <> o_custkey * 7 % 1000), two AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT a AS node, a AS l FROM two UNION SELECT two.b, reach.l FROM reach JOIN two ON two.a = reach.node)"
 
 
@@ -809,9 +805,14 @@ def _(s, d):
     return G.connected_components(e)
 
 
-@query("GRF6_cliques")
+_CLIQUES = """e AS (SELECT DISTINCT fragment1 AS a, fragment2 AS b FROM f WHERE fragment1 <> fragment2), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), nb AS (SELECT a, list(b) AS n FROM two GROUP BY a),
+ c AS (SELECT [a] AS members, n AS common FROM nb UNION ALL SELECT list_append(c.members, nb.a), list_intersect(c.common, nb.n) FROM (SELECT members, common, unnest(common) AS x FROM c) c JOIN nb ON nb.a = x AND x > c.members[-1])"""
+
+
+@query("GRF6_cliques", sql("SELECT array_to_string(members, ' ') AS members, len(members) AS size FROM c WHERE len(common) = 0 AND len(members) >= 3", "pairs", "bed", also=_FRAG + ", " + _CLIQUES))
 def _(s, d):
-    return G.clique_reads(_strong(s, d))
+    met = R.fragments(roles.pairs(s, d), roles.bed(s, d)).where("fragment1 <> fragment2").select(F.col("fragment1").alias("a"), F.col("fragment2").alias("b")).distinct()
+    return G.clique_reads(met).select(F.array_join("members", " ").alias("members"), F.size("members").cast("long").alias("size"))
 
 
 _TOUR = "tour AS (SELECT cluster, contig, sum(size) OVER (PARTITION BY cluster ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS mid FROM clusters, len)"
