@@ -10,6 +10,7 @@ from ..operators import clm as L
 from ..operators import pairs as R
 from ..operators import pieces as P
 from ..sources import bam as B
+from ..sources import gztext as Z
 from ..sources import readers as I
 from ..sources import writers as W
 from . import roles
@@ -37,6 +38,13 @@ def _(s, d):
     return I.text_lines(s, path, 8)
 
 
+@query("SRC1_block_text", sql("SELECT concat(name, ' ', coalesce(seq, '')) AS value FROM fasta", "fasta"))
+def _(s, d):
+    path = new_path(s, "format")
+    Z.write_lines(roles.fasta(s, d).selectExpr("concat(name, ' ', coalesce(seq, '')) AS value"), path)
+    return Z.read_lines(s, path, split_bytes=1 << 19)
+
+
 @query("SRC2_sizes", sql("SELECT contig, size FROM sizes", "sizes"))
 def _(s, d):
     return I.read_sizes(s, _text(roles.sizes(s, d), s))
@@ -217,6 +225,15 @@ def _(s, d):
     return I.read_vcf(s, _text(roles.bed(s, d), s, "chrom", "start + 1", "name", "'A'", "'C'", "'.'", "'PASS'", "'.'")).select("chrom", "pos", "ref", "alt")
 
 
+@query("SRC10_vcf_region", sql("SELECT chrom, s + 1 AS pos, name AS id FROM bed WHERE chrom = 'ctg3' AND s + 1 BETWEEN 2001 AND 6000", "bed"))
+def _(s, d):
+    path, index = new_path(s, "format"), new_path(s, "index")
+    rows = roles.bed(s, d).repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
+    Z.write_lines(rows.selectExpr("concat_ws('\t', chrom, start + 1, name, 'A', 'C', '.', 'PASS', '.') AS value"), path)
+    Z.build_index(s, path, index)
+    return I.read_vcf_region(s, path, index, "ctg3", 2001, 6000).select("chrom", "pos", "id")
+
+
 @query("SNK4_contacts", sql("SELECT contig1, contig2, count::DOUBLE AS count FROM contacts", "contacts"))
 def _(s, d):
     return I.read_contacts(s, _text(C.count_contacts(roles.pairs(s, d)), s, "contig1", "contig2", "count"))

@@ -31,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.ranks import ranked
 from ..functions.scratch import new_path, spool, unspool
 from . import bgzf
+from .taskfiles import TaskFilesWriter, Written, files, filesystem
 
 #: Letters of 4-bit bases and of CIGAR operations in the format, and the operations that take bases of the read.
 BASES = "=ACMGRSVTWYHKDBN"
@@ -292,9 +293,7 @@ _WALKED_DDL = "file string, begin long, end long, first long, next long, chunks
 
 def _walks(uri: str, chunk: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
-
-        fs, _ = pafs.FileSystem.from_uri(uri)
+        fs, _ = filesystem(uri)
         for batch in batches:
             for r in batch.to_pylist():
                 with fs.open_input_file(r["file"]) as raw:
@@ -304,20 +303,11 @@ def _walks(uri: str, chunk: int):
     return run
 
 
-def _files(uri: str) -> list[tuple[str, int]]:
-    import pyarrow.fs as pafs
-
-    fs, path = pafs.FileSystem.from_uri(uri)
-    info = fs.get_file_info(path)
-    found = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".bam")]
-    return sorted((x.path, x.size) for x in found)
-
-
 def build_index(spark: SparkSession, path: str, index: str, *, split_bytes: int = SPLIT, chunk_bytes: int = CHUNK) -> None:
     """Write the index of the BAM files of path: index/ranges and index/chunks, two tables."""
-    files = spark.createDataFrame(_files(path), "file string, size long").where("size > 0")
+    found = spark.createDataFrame(files(path, ".bam"), "file string, size long").where("size > 0")
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("begin")
-    ranges = files.select("file", "size", begins).select("file", "begin", F.least(F.col("begin") + split_bytes, "size").alias("end"), F.lit(None).cast("long").alias("start"))
+    ranges = found.select("file", "size", begins).select("file", "begin", F.least(F.col("begin") + split_bytes, "size").alias("end"), F.lit(None).cast("long").alias("start"))
     ranges = spool(ranges, "bam-ranges")
     n = max(1, ranges.count())
     run = _walks(path, chunk_bytes)
@@ -360,12 +350,10 @@ class _Reader(DataSourceReader):
         self.split = int(options.get("split_bytes", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(x, begin, min(begin + self.split, size)) for x, size in _files(self.uri) for begin in range(0, size, self.split)]
+        return [_Range(x, begin, min(begin + self.split, size)) for x, size in files(self.uri, ".bam") for begin in range(0, size, self.split)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        import pyarrow.fs as pafs
-
-        fs, _ = pafs.FileSystem.from_uri(self.uri)
+        fs, _ = filesystem(self.uri)
         with fs.open_input_file(partition.path) as raw:
             yield from records(raw, partition.begin, partition.end, partition.path.rpartition("/")[2])
 
@@ -398,9 +386,8 @@ class _IndexedReader(DataSourceReader):
     def stretches(self) -> list[tuple[str, int, int]]:
         import pyarrow.compute as pc
         import pyarrow.dataset as pads
-        import pyarrow.fs as pafs
 
-        fs, path = pafs.FileSystem.from_uri(self.index)
+        fs, path = filesystem(self.index)
         if self.rname is None and self.low is None and self.high is None:
             t = pads.dataset(f"{path}/ranges", filesystem=fs, format="parquet").to_table()
             return sorted(zip(t["file"].to_pylist(), t["first"].to_pylist(), t["next"].to_pylist(), strict=True))
@@ -548,93 +535,52 @@ def encode_header(refs: list[tuple[str, int]], text: str = "") -> bytes:
     return b"".join(out)
 
 
-class _Written(WriterCommitMessage):
-    def __init__(self, name: str | None, n: int) -> None:
-        self.name, self.n = name, n
-
-
-class _Writer(DataSourceWriter):
-    """Each task writes a whole BAM file beside the others, under a name of its own; a commit moves the files of the tasks that count into place."""
+class _Writer(TaskFilesWriter):
+    """One file a task, or one for each value of file_column, by which rows come sorted."""
 
     def __init__(self, options, schema) -> None:
-        self.uri, self.refs_uri = options["path"], options["references"]
-        self.split = options.get("file_column")
-        self.columns = schema.names
-
-    def _fs(self, uri: str):
-        import pyarrow.fs as pafs
-
-        return pafs.FileSystem.from_uri(uri)
-
-    def write(self, iterator) -> WriterCommitMessage:
-        import uuid
+        super().__init__(options["path"], ".bam")
+        self.refs_uri, self.split, self.columns = options["references"], options.get("file_column"), schema.names
 
-        fs, path = self._fs(self.uri)
-        refs_fs, refs_path = self._fs(self.refs_uri)
-        with refs_fs.open_input_stream(refs_path) as f:
+    def write(self, iterator) -> Written:
+        fs, path = filesystem(self.refs_uri)
+        with fs.open_input_stream(path) as f:
             refs = [tuple(x) for x in json.loads(f.read().decode())]
         ref_of = {n: k for k, (n, _) in enumerate(refs)}
-        made: list[tuple[str, str | None, int]] = []
-        stream, open_for, held = None, None, bytearray()
+        made: list[tuple[str, str | None]] = []
+        stream, held = None, bytearray()
+
+        def put(most: int) -> None:
+            for b in bgzf.blocks(bytes(held[:most])):
+                stream.write(b)
+            del held[:most]
 
         def close() -> None:
-            nonlocal stream
             if stream is not None:
-                for b in bgzf.blocks(bytes(held)):
-                    stream.write(b)
-                held.clear()
+                put(len(held))
                 stream.write(bgzf.END)
                 stream.close()
-                stream = None
 
         for row in iterator:
             row = dict(zip(self.columns, row, strict=True))
             key = row.pop(self.split) if self.split else None
-            if stream is None or key != open_for:
+            if stream is None or key != made[-1][1]:
                 close()
-                name = uuid.uuid4().hex
-                fs.create_dir(f"{path}/_temporary", recursive=True)
-                stream = fs.open_output_stream(f"{path}/_temporary/{name}.bam")
-                for b in bgzf.blocks(encode_header(refs)):
-                    stream.write(b)
-                open_for = key
-                made.append([name, key, 0])
+                name, stream = self.new_file()
+                made.append((name, key))
+                held += encode_header(refs)
+                put(len(held))
             held += encode(row, ref_of)
-            made[-1][2] += 1
             if len(held) >= bgzf.MOST:
-                whole = len(held) - len(held) % bgzf.MOST
-                for b in bgzf.blocks(bytes(held[:whole])):
-                    stream.write(b)
-                del held[:whole]
+                put(len(held) - len(held) % bgzf.MOST)
         close()
-        return _Written(json.dumps(made), sum(m[2] for m in made))
-
-    def commit(self, messages) -> None:
-        fs, path = self._fs(self.uri)
-        fs.create_dir(path, recursive=True)
-        for k, m in enumerate(messages):
-            for j, (name, key, _) in enumerate(json.loads(m.name) if m is not None else []):
-                fs.move(f"{path}/_temporary/{name}.bam", f"{path}/part-{k:05d}-{j:03d}.bam" if key is None else f"{path}/split_{key}.bam")
-        self._clear(fs, path)
-        with fs.open_output_stream(f"{path}/_SUCCESS"):
-            pass
-
-    def abort(self, messages) -> None:
-        self._clear(*self._fs(self.uri))
-
-    def _clear(self, fs, path: str) -> None:
-        import pyarrow.fs as pafs
-
-        if fs.get_file_info(f"{path}/_temporary").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{path}/_temporary")
+        return Written(made)
 
 
 def _references(spark: SparkSession, sizes: DataFrame) -> str:
     """A file with the names and lengths of sizes (contig, size), in order of name, for the tasks that write; every BAM file holds them all."""
-    import pyarrow.fs as pafs
-
     uri = new_path(spark, "bam-references")
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = filesystem(uri)
     with fs.open_output_stream(path) as f:
         f.write(json.dumps([[r.contig, r.size] for r in sizes.select("contig", "size").orderBy("contig").toLocalIterator()]).encode())
     return uri

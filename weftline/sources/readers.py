@@ -1,6 +1,7 @@
 """Readers: every format has a fixed schema, nothing is inferred.  Compressed text is read as Spark reads it.
 
-A gzip file isn't splittable; text_lines() deals its lines out again.  Numbers that don't
+A gzip file of one member isn't splittable; text_lines() deals its lines out again.  Files
+of many members are (gztext).  Numbers that don't
 parse: rows of PAF are dropped, Pore-C fields become 0, a missing mapq of pairs is 60.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import gztext
+
 SIZES = "contig string, size long"
 POREC = "read_idx long, query_length int, query_start int, query_end int, strand string, target string, target_start long, target_end long, mapq short, identity float, filter_reason string"
 PAIRS = "read_idx string, chrom1 string, pos1 long, chrom2 string, pos2 long, strand1 string, strand2 string, mapq short"
@@ -20,7 +23,8 @@ PAF_COLUMNS = (("query", "string"), ("query_length", "int"), ("query_start", "in
 
 
 def text_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    out = spark.read.text(path)
+    """value: the lines of plain or compressed text; .mgz and .bgz files are cut at their members."""
+    out = gztext.read_lines(spark, path) if path.endswith((".mgz", ".bgz")) else spark.read.text(path)
     return out.repartition(partitions) if partitions else out
 
 
@@ -203,3 +207,11 @@ def with_modifications(records: DataFrame) -> DataFrame:
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     rows = _table(spark, path, "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string")
     return rows.where(F.col("pos").isNotNull())
+
+
+def read_vcf_region(spark: SparkSession, path: str, index: str, chrom: str, low: int, high: int) -> DataFrame:
+    """Variants of block-compressed VCF files that overlap [low, high], read from the members that gztext.build_index() names."""
+    f = gztext.region_lines(spark, path, index, chrom, low, high).where(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("f"))
+    names = (("chrom", "string"), ("pos", "long"), ("id", "string"), ("ref", "string"), ("alt", "string"), ("qual", "string"), ("filter", "string"), ("info", "string"))
+    rows = f.select(*[F.get("f", F.lit(k)).try_cast(kind).alias(n) for k, (n, kind) in enumerate(names)])
+    return rows.where((F.col("chrom") == chrom) & (F.col("pos") <= high) & (F.col("pos") + F.length("ref") - 1 >= low))
