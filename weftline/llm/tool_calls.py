@@ -16,12 +16,16 @@ messages that depend on them follow that turn.
 
 Validation: arguments are checked against the JSON schema of the tool.  KEYWORDS lists
 the schema words that are supported; words that only describe are ignored, and a schema
-with any other word is refused before anything runs.
+with any other word, or with a value that a word can't have, is refused before anything
+runs.  Numbers are compared exactly, as they are written: 0.3 is a multiple of 0.1.
 
 Canonical JSON: keys sorted by code points, no spaces, UTF-8 as it is.  Whole numbers
 below 1e21 are written as integers (1, 1.0 and 1e0 are the same), integers of any length
 digit by digit, other numbers with the fewest digits that read back the same.
 
+Identifiers: a string is itself, anything else is known by its canonical JSON, so 1, 1.0
+and "1" are one identifier, and objects that differ in the order of keys are.
+
 Defined cases: a null text is "", a null role is JSON null; null ids or turns are keys
 like others for plain messages but carry no links.  Text that isn't such an object is
 plain content; so is text that nests more than MAX_NEST levels, holds a number beyond the
@@ -37,7 +41,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterable, Iterator, Mapping
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +94,7 @@ def canonical(value) -> str:
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
         return _number(value)
+    sys.set_int_max_str_digits(0)  # whole numbers of any length
     return json.dumps(value, ensure_ascii=False)
 
 
@@ -127,6 +134,7 @@ def _double(text: str) -> float:
 def _loads(text: str):
     if _too_deep(text):
         return None
+    sys.set_int_max_str_digits(0)
     try:
         return json.loads(text, parse_constant=_refuse, parse_float=_double)
     except ValueError:
@@ -141,18 +149,56 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, _TYPES[kind])
 
 
-def check_schema(schema) -> None:
-    """Raise ValueError for words and types that valid() doesn't know."""
+def _exact(value: float) -> Fraction:
+    return Fraction(repr(value)) if isinstance(value, float) else Fraction(value)
+
+
+def _finite(value) -> bool:
+    return _is(value, "number") and abs(value) != float("inf") and value == value
+
+
+def _texts(value) -> bool:
+    return isinstance(value, (list, tuple)) and all(isinstance(v, str) for v in value)
+
+
+#: What the value of a schema word must be.
+_FITS = {
+    "type": lambda v: isinstance(v, str) or _texts(v) and len(v) > 0,
+    "enum": lambda v: isinstance(v, (list, tuple)),
+    "properties": lambda v: isinstance(v, Mapping) and _texts(list(v)),
+    "required": _texts,
+    "uniqueItems": lambda v: isinstance(v, bool),
+    "pattern": lambda v: isinstance(v, str),
+    **dict.fromkeys(("minProperties", "maxProperties", "minItems", "maxItems", "minLength", "maxLength"), lambda v: _finite(v) and v >= 0 and v == int(v)),
+    **dict.fromkeys(("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"), _finite),
+    "multipleOf": lambda v: _finite(v) and v > 0,
+    **dict.fromkeys(("allOf", "anyOf", "oneOf"), lambda v: isinstance(v, (list, tuple)) and len(v) > 0),
+}
+
+
+def check_schema(schema, depth: int = 0) -> None:
+    """Raise ValueError for words, types and values of words that valid() doesn't know."""
     if isinstance(schema, bool):
         return
-    if not isinstance(schema, Mapping) or (unknown := set(schema) - KEYWORDS - NOTES):
-        raise ValueError(f"schema words not supported: {sorted(unknown) if isinstance(schema, Mapping) else schema!r}")
+    if depth > MAX_NEST or not isinstance(schema, Mapping) or not _texts(list(schema)):
+        raise ValueError(f"not a schema: {str(schema)[:200]}")
+    if unknown := set(schema) - KEYWORDS - NOTES:
+        raise ValueError(f"schema words not supported: {sorted(unknown)}")
+    for word, fits in _FITS.items():
+        if word in schema and not fits(schema[word]):
+            raise ValueError(f"schema word {word} can't be {str(schema[word])[:200]}")
     kinds = schema.get("type", [])
     if bad := set([kinds] if isinstance(kinds, str) else kinds) - set(_TYPES) - {"integer", "number"}:
         raise ValueError(f"schema types not known: {sorted(bad)}")
+    try:
+        re.compile(schema.get("pattern", ""))
+        for value in [*schema.get("enum", ()), schema.get("const")]:
+            canonical(value)
+    except (re.error, TypeError, ValueError, RecursionError, OverflowError) as e:
+        raise ValueError(f"schema values not supported: {e}") from e
     inner = [*schema.get("properties", {}).values(), *schema.get("allOf", ()), *schema.get("anyOf", ()), *schema.get("oneOf", ())]
     for s in inner + [schema[k] for k in ("items", "additionalProperties", "not") if k in schema]:
-        check_schema(s)
+        check_schema(s, depth + 1)
 
 
 def valid(value, schema) -> bool:
@@ -182,7 +228,7 @@ def valid(value, schema) -> bool:
     if _is(value, "number"):
         low, high = schema.get("minimum", value), schema.get("maximum", value)
         inside = low <= value <= high and not ("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]) and not ("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"])
-        return inside and ("multipleOf" not in schema or value % schema["multipleOf"] == 0)
+        return inside and ("multipleOf" not in schema or (_exact(value) / _exact(schema["multipleOf"])).denominator == 1)
     if isinstance(value, dict):
         known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         if any(k not in value for k in schema.get("required", ())) or not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
@@ -197,13 +243,17 @@ def valid(value, schema) -> bool:
     return True
 
 
+def _id(value) -> str:
+    return _whole(value if isinstance(value, str) else canonical(value))
+
+
 def _references(value) -> set[str]:
     found, stack = set(), [value]
     while stack:
         v = stack.pop()
         if isinstance(v, dict):
             if set(v) == {"$result"}:
-                found.add(_whole(str(v["$result"])))
+                found.add(_id(v["$result"]))
             else:
                 stack += v.values()
         elif isinstance(v, list):
@@ -230,12 +280,12 @@ def format_message(role: str | None, text: str | None, schemas: Mapping[str, Map
             out[verdict] += 1
             needs |= _references(args)
             if call.get("id") is not None:
-                out["calls"].append(_whole(str(call["id"])))
+                out["calls"].append(_id(call["id"]))
             calls.append({"id": call.get("id"), "name": name, "arguments": args})
         body = {"role": role, "content": loaded.get("content"), "tool_calls": calls}
         out["needs"] = sorted(needs)
     elif role == "tool" and isinstance(loaded, dict) and loaded.get("tool_call_id") is not None:
-        out["result"] = _whole(str(loaded["tool_call_id"]))
+        out["result"] = _id(loaded["tool_call_id"])
         body = {"role": role, "tool_call_id": loaded["tool_call_id"], "content": loaded.get("content")}
     out["json"] = _whole(canonical(body))
     return out
