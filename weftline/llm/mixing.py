@@ -4,9 +4,10 @@ Tokens are counted by cell (source, language, topic).  Raking multiplies the cel
 weights in turn so that their sums meet the target of each source, each language and
 each topic.  Its state is one factor for each value of each margin.  A round is one job:
 the factor of a source needs only the source's own cells, and sums by language and topic
-(PAIRS combinations at most, else an error) then give the factors of these two.  It ends
-when a round changes no factor by more than TOLERANCE, relatively, so that all margins
-are met; targets that contradict each other end in an error after MAX_ROUNDS.  A cell's
+then give the factors of these two (with more than PAIRS combinations of them, all factors
+are tables).  It ends when all margins are met to TOLERANCE, relatively, or to COARSE once
+a round hardly helps, as where targets can only be met by cells that fade out; targets
+that contradict each other end in an error after MAX_ROUNDS.  A cell's
 weight over its tokens gives the probability of its documents, scaled (and held at 1
 where need be) so that the expected tokens are the wanted share.  A document stays if
 the hash of its id falls below its probability, so a rerun, another partitioning or
@@ -39,11 +40,12 @@ from .common import SPACES, free_name, small, spool, unspool
 
 MARGINS = ("_source", "_lang", "_topic")
 RESULT = (*MARGINS, "_n_tokens", "_p", "_sampled")
-#: Relative change of a factor in a round at which raking ends, and rounds after which it fails.
-TOLERANCE = 1e-13
+#: Relative error of the margins at which raking ends; where a round takes off less than a tenth of it, COARSE will do.
+TOLERANCE = 1e-12
+COARSE = 1e-3
 MAX_ROUNDS = 500
-#: Combinations of language and topic.
-PAIRS = 20_000
+#: Combinations of language and topic whose sums the driver keeps; with more, the factors are tables.
+PAIRS = 2_000
 #: Rounds of the SQL form, which has no test of convergence.
 SQL_ROUNDS = 40
 ALPHA = 0.7
@@ -81,12 +83,13 @@ def _target(share: float, value: str | None, wanted: Mapping[str | None, float]
     return share**alpha if wanted is None else float(wanted.get(value, share))
 
 
-def _source_targets(base: DataFrame, wanted: Mapping[str | None, float] | None, alpha: float) -> DataFrame:
-    seen = base.groupBy("_source").agg(F.sum("_share").alias("_s"))
+def _margin_targets(base: DataFrame, margin: str, wanted: Mapping[str | None, float] | None, alpha: float) -> DataFrame:
+    """_value and _t, its target, for each value of a margin."""
+    seen = base.groupBy(margin).agg(F.sum("_share").alias("_s"))
     weight = F.pow("_s", F.lit(alpha)) if wanted is None else F.col("_s")
     for value, w in (wanted or {}).items():
-        weight = F.when(F.col("_source").eqNullSafe(F.lit(value)), F.lit(float(w))).otherwise(weight)
-    out = spool(seen.select(F.col("_source").alias("_value"), weight.alias("_t")), "mix-targets")
+        weight = F.when(F.col(margin).eqNullSafe(F.lit(value)), F.lit(float(w))).otherwise(weight)
+    out = spool(seen.select(F.col(margin).alias("_value"), weight.alias("_t")), "mix-targets")
     whole = out.agg(F.sum("_t")).first()[0]
     return out.withColumn("_t", F.col("_t") / F.lit(whole or 1.0))
 
@@ -102,9 +105,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str | None, float]] | N
     pairs = spool(base.groupBy("_lang", "_topic").agg(F.sum("_share").alias("_s")).coalesce(1).withColumn("_pair", F.monotonically_increasing_id()), "mix-pairs")
     known = pairs.limit(PAIRS + 1).collect()
     if len(known) > PAIRS:
-        raise ValueError(f"more than {PAIRS} combinations of language and topic")
+        unspool(pairs)
+        return _rake_tables(base, targets, alpha, tolerance)
     known.sort(key=lambda r: r["_pair"])
-    of_source = _source_targets(base, targets.get("source"), alpha)
+    of_source = _margin_targets(base, "_source", targets.get("source"), alpha)
     named = pairs.select(F.col("_lang").alias("_l"), F.col("_topic").alias("_k"), "_pair")
     base = base.join(of_source, F.col("_source").eqNullSafe(F.col("_value"))).join(F.broadcast(named), F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_topic").eqNullSafe(F.col("_k")))
     base = spool(base.select(*MARGINS, "_tokens", "_share", "_t", "_pair"), "mix-base")
@@ -128,29 +132,73 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str | None, float]] | N
         held = F.sum(F.col("_share") * F.get(F.lit(by_pair), F.col("_pair").cast("int"))).over(Window.partitionBy("_source"))
         return base.withColumn("_f", F.when(held > 0, F.col("_t") / held).otherwise(F.lit(0.0)))
 
+    error = before = None
     for _ in range(MAX_ROUNDS):
-        before = of_pairs()
+        last, before = error, of_pairs()
         sums = [0.0] * len(known)
         for r in with_source(before).groupBy("_pair").agg(F.sum(F.col("_share") * F.col("_f")).alias("s")).collect():
             sums[r["_pair"]] = r["s"]
-        change = 0.0
+        error = 0.0
+        for m in ("lang", "topic"):
+            met = dict.fromkeys(aims[m], 0.0)
+            for v, f, s in zip(values[m], before, sums, strict=True):
+                met[v] += f * s
+            error = max([error, *(abs(met[v] / t - 1) if t else met[v] for v, t in aims[m].items())])
+        if _done(error, last, tolerance):
+            break
         for m, other in (("lang", "topic"), ("topic", "lang")):
             held = dict.fromkeys(aims[m], 0.0)
             for v, o, s in zip(values[m], values[other], sums, strict=True):
                 held[v] += s * factors[other][o]
-            new = {v: aims[m][v] / h if h > 0 else 0.0 for v, h in held.items()}
-            change = max([change, *(abs(f / factors[m][v] - 1) if factors[m][v] else f for v, f in new.items())])
-            factors[m] = new
-        if change <= tolerance:
-            break
+            factors[m] = {v: aims[m][v] / h if h > 0 else 0.0 for v, h in held.items()}
     else:
-        raise ValueError(f"the targets of sources, languages and topics can't be met together: after {MAX_ROUNDS} rounds factors still change by {change:.3g}")
-    weight = F.col("_share") * F.col("_f") * F.get(F.lit(of_pairs()), F.col("_pair").cast("int"))
+        raise _unmet(error)
+    weight = F.col("_share") * F.col("_f") * F.get(F.lit(before), F.col("_pair").cast("int"))
     out = spool(with_source(before).select(*MARGINS, "_tokens", weight.alias("_weight")), "raked")
     unspool(base)
     return out
 
 
+def _done(error: float, last: float | None, tolerance: float) -> bool:
+    """Whether margins are met: as well as asked for, or well enough and hardly better than a round before."""
+    return error <= tolerance or (last is not None and error <= COARSE and error > 0.9 * last)
+
+
+def _unmet(error: float) -> ValueError:
+    return ValueError(f"the targets of sources, languages and topics can't be met together: after {MAX_ROUNDS} rounds a margin is off by {error:.3g} of its target")
+
+
+def _rake_tables(base: DataFrame, targets: Mapping[str, Mapping[str | None, float]], alpha: float, tolerance: float) -> DataFrame:
+    """rake() with weights and margins in tables of any size: each round joins the cells with the sums of one margin after the other."""
+    aims = {m: _margin_targets(base, f"_{m}", targets.get(m), alpha) for m in ("source", "lang", "topic")}
+    now = spool(base.select(*MARGINS, "_tokens", F.col("_share").alias("_weight")), "mix-weights")
+
+    def sums(m: str) -> DataFrame:
+        """_v, its target _t and the sum of its weights."""
+        held = now.groupBy(F.col(f"_{m}").alias("_v")).agg(F.sum("_weight").alias("_sum"))
+        return spool(held.join(aims[m], F.col("_v").eqNullSafe(F.col("_value"))).select("_v", "_t", "_sum"), "mix-sums")
+
+    error = None
+    off = F.max(F.when(F.col("_t") > 0, F.abs(F.col("_sum") / F.col("_t") - 1)).otherwise(F.col("_sum")))
+    for _ in range(MAX_ROUNDS):
+        met = [sums(m) for m in aims]
+        last, error = error, max(x.agg(off).first()[0] for x in met)
+        unspool(*met)
+        if _done(error, last, tolerance):
+            break
+        for m in aims:
+            met = sums(m)
+            factor = F.when(F.col("_sum") > 0, F.col("_t") / F.col("_sum")).otherwise(F.lit(0.0))
+            after = now.join(met, F.col(f"_{m}").eqNullSafe(F.col("_v"))).select(*MARGINS, "_tokens", (F.col("_weight") * factor).alias("_weight"))
+            after = spool(after, "mix-weights")
+            unspool(now, met)
+            now = after
+    else:
+        raise _unmet(error)
+    unspool(*aims.values())
+    return now
+
+
 def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
     """The margins and _p = min(1, c * weight / tokens) with the expected tokens share * total.
 
