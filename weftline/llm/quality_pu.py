@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .shingling import slices, window_hashes, word_hashes
 
 THRESHOLD = 0.3
+#: Unlabelled rows below which the sample is of all rows.
+LEAST = 100
 MAX_ROWS = 8_000
 FOLDS = 5
 
@@ -173,23 +175,28 @@ def fold(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model | None:
-    """A model from max_rows trusted positives and max_rows unlabelled rows at most, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
+    """A model from max_rows trusted positives and max_rows unlabelled rows at most, chosen by a hash of the id.
+
+    Rows of the held-out fold take no part, nor do their labels.  Where fewer than LEAST rows
+    have no label, the sample that stands for all text is drawn from all rows, labelled
+    ones among them, as the risk needs the whole's distribution.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull() & (fold(F.col("id")) != 0))
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("id")) != 0))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     order = F.xxhash64("id", F.lit(7))
 
     def sample(ids: DataFrame) -> np.ndarray:
-        chosen = ids.select("id").orderBy(order, "id").limit(max_rows)
+        chosen = ids.select("id").distinct().orderBy(order, "id").limit(max_rows)
         made = rows.join(F.broadcast(chosen), "id").mapInArrow(_features, "id long, x array<float>")
         # An id may have any number of rows: the limit holds for rows, too.
         got = made.orderBy(order, "id", "x").limit(max_rows).select("x").collect()
         return np.array([r["x"] for r in got], dtype=float).reshape(-1, WIDTH)
 
-    positive = sample(known.where((F.col("y") == 1) & (fold(F.col("id")) != 0)))
+    positive = sample(known.where("y = 1"))
     unlabelled = sample(rows.select("id").join(known, "id", "left_anti"))
-    if len(unlabelled) < 100:
-        unlabelled = sample(rows.select("id"))
+    if len(unlabelled) < LEAST:
+        unlabelled = sample(rows)
     if len(positive) < 2 or len(unlabelled) < 2:
         return None
     # Collected order follows partitions; training doesn't.
