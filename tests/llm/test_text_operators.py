@@ -565,11 +565,54 @@ def test_schema_words():
     assert not ok(True, {"enum": [1]}) and ok(1.0, {"enum": [1]}) and ok("b", {"anyOf": [{"const": "a"}, {"pattern": "^b"}]})
     assert not ok({"x": "y"}, {"additionalProperties": {"type": "integer"}}) and not ok(5, {"oneOf": [{"minimum": 1}, {"maximum": 9}]}) and ok([1, 2], {"uniqueItems": True, "maxItems": 2})
     tool_calls.check_schema(tool_calls.SCHEMAS["search"])
-    for bad in ({"$ref": "#/x"}, {"properties": {"a": {"if": {}}}}, {"type": "date"}):
+    assert ok(0.3, {"multipleOf": 0.1}) and not ok(0.35, {"multipleOf": 0.1}) and ok(10**400, {"multipleOf": 0.5}) and not ok(10**400 + 1, {"multipleOf": 1e308}) and ok(1e308, {"multipleOf": 1e-300})
+    for bad in (
+        {"$ref": "#/x"}, {"properties": {"a": {"if": {}}}}, {"type": "date"}, {"multipleOf": 0}, {"multipleOf": -1}, {"maximum": "a"}, {"pattern": "("}, {"pattern": 3}, {"minLength": 1.5}, {"minItems": -1}, {"required": "a"}, {"required": [1]},
+        {"anyOf": []}, {"enum": 3}, {"properties": []}, {"items": 3}, {"type": 5}, {"type": []}, {"uniqueItems": 1}, {"minimum": True}, {"minimum": float("nan")}, {"const": object()}, {"not": None}, [], None,
+    ):
         with pytest.raises(ValueError):
             tool_calls.check_schema(bad)
 
 
+def test_no_message_or_schema_crashes():
+    """Values of every kind under every schema word: refused by check_schema, or judged without an exception."""
+    r = random.Random(12)
+    values = [None, True, 0, -1, 1.5, 1e308, 10**400, -(10**5000), "", "a(", "é" * 50, [], [1, "1", [1]], {}, {"a": 1}, {"a": {"b": []}}, {"$result": "x"}, {"$result": {"b": 1, "a": 2.0}}, [0.1] * 3, "\ud800"]
+    schemas = []
+    for word in sorted(tool_calls.KEYWORDS | tool_calls.NOTES):
+        for value in [*values, "string", ["integer", "null"], {"a": {"type": "number"}}, [{"minimum": 3}, True]]:
+            schemas.append({word: value})
+    for _ in range(300):
+        schemas.append({k: v for s in r.sample(schemas[: len(schemas)], 3) for k, v in s.items()})
+    known = 0
+    for schema in schemas:
+        try:
+            tool_calls.check_schema(schema)
+        except ValueError:
+            continue
+        known += 1
+        for value in values:
+            assert tool_calls.valid(value, schema) in (True, False)
+    assert known > 100
+    for value in values:
+        for text in (json.dumps({"tool_calls": [{"id": value, "name": value, "arguments": value}, value]}) if value != -(10**5000) else '{"tool_calls":[{"id":' + "9" * 5000 + ',"name":"search","arguments":{"limit":' + "9" * 5000 + "}}]}", "{", '{"tool_calls":3}'):
+            got = tool_calls.format_message("assistant", text, tool_calls.SCHEMAS)
+            assert isinstance(got["json"], str) and json.loads(got["json"])
+
+
+def test_long_numbers_and_ids_in_canonical_form(spark):
+    digits = "7" * 5000
+    rows = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":1,"name":"search","arguments":{"query":"q","limit":' + digits + "}}]}"),
+        (1, 1, "tool", '{"tool_call_id":1.0,"content":' + digits + "}"),
+        (2, 0, "assistant", '{"tool_calls":[{"id":{"b":1,"a":2},"name":"x","arguments":"{\\"n\\":' + digits + '}"}]}'),
+        (2, 1, "tool", '{"tool_call_id":{"a":2.0,"b":1e0},"content":true}'),
+    ]
+    got = {(x.conv_id, x.turn): x for x in tool_calls.format_chats(chat(spark, rows), tool_calls.SCHEMAS).collect()}
+    assert [got[k, 0].n_linked for k in (1, 2)] == [1, 1] and all(x.n_orphans == 0 for x in got.values())
+    assert got[1, 0].n_valid == 1 and f'"limit":{digits}' in got[1, 0].json and f'"content":{digits}' in got[1, 1].json and f'"n":{digits}' in got[2, 0].json
+
+
 @pytest.mark.parametrize("most", [0, 40, 2000])
 def test_decontamination_gates(spark, monkeypatch, most):
     """Classes gated by their sets, by their largest hash, or some of each, find the same; long items need several hits."""
@@ -621,6 +664,50 @@ def test_mixing_meets_all_margins(spark):
         assert all(abs(by[v] - t / total) < 1e-9 for v, t in target[m].items())
 
 
+@pytest.mark.parametrize("pairs", [2_000, 1])
+def test_mixing_with_cells_that_fade(spark, monkeypatch, pairs):
+    """A margin that can only be met without one cell is met, by factors at the driver and by tables; targets that contradict end in an error."""
+    monkeypatch.setattr(mixing, "PAIRS", pairs)
+    # With tables a round is nine jobs here, so less will do.
+    monkeypatch.setattr(mixing, "COARSE", 2e-3 if pairs > 1 else 0.05)
+    cells = spark.createDataFrame([("a", "x", "t", 50), ("a", "y", "t", 20), ("b", "y", "t", 30)], "_source string, _lang string, _topic string, _tokens long")
+    half = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}
+    got = {(x._source, x._lang): x._weight for x in mixing.rake(cells, half).collect()}
+    bound = 3 * mixing.COARSE
+    assert abs(got["a", "x"] - 0.5) < bound and got["a", "y"] < bound and abs(got["b", "y"] - 0.5) < bound
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 4)
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.rake(cells, {**half, "source": {"a": 0.1, "b": 0.9}})
+
+
+def test_mixing_tables_agree(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, "w " * r.randint(1, 30) + ("license" if r.random() < 0.3 else ""), r.choice(("en", "de", None)), r.choice(("a", "b", "c", None)), 0) for i in range(500)]
+    d = spark.createDataFrame(rows, DOC)
+    one = {x.doc_id: x._p for x in mixing.mix(d).collect()}
+    monkeypatch.setattr(mixing, "PAIRS", 1)
+    two = {x.doc_id: x._p for x in mixing.mix(d).collect()}
+    assert all(abs(one[k] - two[k]) < 1e-9 for k in one) and len(one) == 500
+
+
+def test_pu_few_unlabelled_and_repeated_ids(spark):
+    """Without unlabelled rows all rows stand for the whole; an id of very many rows is joined once; the held-out fold is left out."""
+    d, marks = labelled(spark, 300)
+    seen = []
+    real = quality_pu.fit
+    quality_pu.fit = lambda p, u, **k: seen.append((len(p), len(u))) or real(p, u, **k)
+    try:
+        model = quality_pu.train(d, marks)
+        quality_pu.train(d.where("doc_id <> 1").union(d.where("doc_id = 1").crossJoin(spark.range(50_000).select())), marks.where("doc_id % 2 = 0"), max_rows=70)
+    finally:
+        quality_pu.fit = real
+    import zlib
+
+    learned = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0][1] == len(learned) and seen[1][1] == 70
+    assert model is not None
+
+
 def test_pu_sample_is_bounded(spark):
     """An id of many rows doesn't make the sample larger."""
     d, marks = labelled(spark, 300)
