@@ -8,11 +8,12 @@ k = m - ceil(t m) + 1 + r smallest of its shingle hashes (the bottom-k MinHash),
 r = c / 16: a document that holds ceil(t m) of the m shingles holds r + 1 of any such k,
 so probing for r + 1 hits loses no leak, and a large item needs several.
 
-Each class has its own gate for document hashes: a class of few sketch hashes lets
-through just these; a larger class lets through hashes up to its largest one, and what
-passes no gate is dropped before anything is exploded or joined.  So a few small items,
-whose sketches reach over nearly all hash values, don't open the gate of the large
-classes.  Candidates are then verified by the exact shingle strings, joined one by one.
+The sketches are broadcast, and each hash of a document is looked up where it is read:
+one that is in no sketch goes no further, whatever its class and however many classes and
+items there are.  Sketches of more than BROADCAST_ROWS hashes are joined by shuffle
+instead, behind the bound of each class: a hash goes on once for each class whose largest sketch hash
+isn't below it, with the class beside it.  Candidates are then verified by the exact
+shingle strings, joined one by one.
 
 Defined cases: words are lower-cased (A-Z) runs without ASCII white space; an item
 with fewer words than a shingle is its whole sequence, as is a document.  Items or
@@ -34,8 +35,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Rows of sketches or items that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Sketch hashes of a size class up to which its gate is their set; beyond it, their largest.
-SET_HASHES = 2_000
 #: Least size of a class over the hits that its items need besides one.
 HITS = 16
 
@@ -86,15 +85,9 @@ def leaks(
     more = F.floor(F.pow(F.lit(2.0), class_) / HITS).cast("int")
     k = m - F.ceil(m * percent / 100).cast("int") + 1 + more
     sketches = spool(hashes.where(m > 0).select("item_id", "_i", class_.alias("_class"), (more + 1).alias("_need"), F.explode(F.slice("_h", 1, k)).alias("_h")), "benchmark-sketches")
-    gate = _gate(sketches)
-    if gate is None:
-        empty = "doc_id long, item_id long, n_item_shingles long, n_shared long"
-        return docs.sparkSession.createDataFrame([], empty)
-
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("_t")).where("doc_id is not null and _t is not null").withColumn("_d", F.xxhash64("_t"))
-    probes = _hashed(texts, "_t", width, "doc_id", "_d").select("doc_id", "_d", F.expr(gate).alias("_h"))
-    probes = probes.select("doc_id", "_d", F.explode_outer("_h").alias("_h"))
-    hits = probes.join(small(sketches, BROADCAST_ROWS), "_h").groupBy("doc_id", "_d", "item_id", "_i", "_need").agg(F.count_distinct("_h").alias("_k"))
+    hits = _probed(_hashed(texts, "_t", width, "doc_id", "_d"), sketches)
+    hits = hits.groupBy("doc_id", "_d", "item_id", "_i", "_need").agg(F.count_distinct("_h").alias("_k"))
     found = spool(hits.where("_k >= _need").select("doc_id", "_d").distinct(), "leak-candidates")
 
     # Verification: the shingles of candidate documents, one by one, against those of the items.
@@ -107,23 +100,16 @@ def leaks(
     return best.select("doc_id", "item_id", F.col("_b.m").alias("n_item_shingles"), F.col("_b.n_shared").alias("n_shared"))
 
 
-def _gate(sketches: DataFrame) -> str | None:
-    """SQL for the hashes in _h that some class lets through; None without sketches.
-
-    What reaches the driver is a row for each class, of which there are as many as the
-    logarithm of the longest item, and SET_HASHES hashes for each of them at most.
-    """
-    classes = sketches.groupBy("_class").agg(F.count("*").alias("n"), F.max("_h").alias("bound")).collect()
-    if not classes:
-        return None
-    few = [c["_class"] for c in classes if c["n"] <= SET_HASHES]
-    bounds = [c["bound"] for c in classes if c["n"] > SET_HASHES]
-    tests = [f"h <= {max(bounds)}L"] if bounds else []
-    if few:
-        known = sorted({r["_h"] for r in sketches.where(F.col("_class").isin(few)).select("_h").collect()})
-        # The least 64-bit number can't be written as a literal.
-        tests.append("h IN (" + ", ".join(f"{h}L" if h > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for h in known) + ")")
-    return f"filter(_h, h -> {' OR '.join(tests)})"
+def _probed(hashed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The hashes of documents that are in sketches, with the items they belong to."""
+    if sketches.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        probes = hashed.select("doc_id", "_d", F.explode_outer("_h").alias("_h"))
+        return probes.join(F.broadcast(sketches.drop("_class")), "_h")
+    # A row for each class, of which there are as many as the logarithm of the longest item.
+    bounds = F.broadcast(sketches.groupBy("_class").agg(F.max("_h").alias("_bound")).agg(F.collect_list(F.struct("_class", "_bound")).alias("_bounds")))
+    probes = hashed.join(bounds).select("doc_id", "_d", "_bounds", F.explode_outer(F.array_distinct("_h")).alias("_h"))
+    probes = probes.select("doc_id", "_d", "_h", F.explode_outer(F.filter("_bounds", lambda b: F.col("_h") <= b["_bound"])).alias("_b"))
+    return probes.select("doc_id", "_d", "_h", F.col("_b._class").alias("_class")).join(sketches, ["_class", "_h"])
 
 
 def clean(docs: DataFrame, items: DataFrame, *, row_col: str | None = None, **options) -> DataFrame:
