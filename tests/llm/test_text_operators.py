@@ -613,10 +613,10 @@ def test_long_numbers_and_ids_in_canonical_form(spark):
     assert got[1, 0].n_valid == 1 and f'"limit":{digits}' in got[1, 0].json and f'"content":{digits}' in got[1, 1].json and f'"n":{digits}' in got[2, 0].json
 
 
-@pytest.mark.parametrize("most", [0, 40, 2000])
+@pytest.mark.parametrize("most", [0, 40, 500_000])
 def test_decontamination_gates(spark, monkeypatch, most):
-    """Classes gated by their sets, by their largest hash, or some of each, find the same; long items need several hits."""
-    monkeypatch.setattr(decontamination, "SET_HASHES", most)
+    """Sketches that are broadcast, and sketches that are joined behind the bounds of their classes, find the same; long items need several hits."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
     r = random.Random(3)
     items = [" ".join(f"w{r.randrange(500)}" for _ in range(n)) for n in (1, 4, 5, 6, 9, 20, 24, 60, 150, 400)]
     texts = []
@@ -636,6 +636,42 @@ def test_decontamination_gates(spark, monkeypatch, most):
     assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(i, t) for i, t in enumerate(texts) if not any(k == i for k, _ in want)] + [(0, "nothing of it"), (None, "clean text")])
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_decontamination_keeps_size_classes_apart(spark, monkeypatch, most):
+    """Two classes of over 10,000 sketch hashes: what goes on to the join."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    items = [(k, " ".join(word() for _ in range(25 if k % 4 else 400))) for k in range(2400)]
+    m = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(k, " ".join(word() for _ in range(300))) for k in range(50)] + [(50, items[0][1]), (51, items[1][1])], "doc_id long, text string")
+    seen = {}
+    real = decontamination._probed
+
+    def watched(hashed, sketches):
+        out = real(hashed, sketches)
+        of = {x._class: x.n for x in sketches.groupBy("_class").agg(F.count("*").alias("n")).collect()}
+        seen["classes"] = sorted(of.values())
+        if most:
+            seen["hits"] = out.count()
+        else:
+            bound = {x._class: x.b for x in sketches.groupBy("_class").agg(F.max("_h").alias("b")).collect()}
+            hashes = [h for x in hashed.collect() for h in x._h]
+            seen["passed"] = {c: sum(h <= b for h in hashes) / len(hashes) for c, b in bound.items()}
+        return out
+
+    monkeypatch.setattr(decontamination, "_probed", watched)
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(d, m).collect()}
+    assert got == {(50, 0), (51, 1)}
+    assert sum(n > 10_000 for n in seen["classes"]) >= 2
+    if most:
+        # Just the hashes of the two items that are there.
+        assert seen["hits"] < 400
+    else:
+        small, large = (seen["passed"][c] for c in (4, 8))
+        assert large < 0.5 < small
+
+
 def test_names_that_clash(spark):
     names = ["_t", "_w", "_stats", "_p", "_Source", "_c_source", "_f", "_row", "n", "h", "x", "key", "id"]
     d = spark.createDataFrame([(1, "a b c d e f", "en", "s"), (2, "a b c d e f", "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
