@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.functions import intervals
+from weftline.functions import intervals, select
 from weftline.operators import alleles, clm, contacts, depth, graph, ordering, pairs, prune, rescue, sequences, simulation
 from weftline.sources import bam, readers, writers
 
@@ -327,10 +327,38 @@ def test_methylation_support_is_consistency(spark):
 def test_large_samples_are_the_same(spark, monkeypatch):
     t = some_pairs(spark, 300, 4)
     small = {n: sorted(map(tuple, pairs.sample_number(t, n).collect())) for n in (1, 77, 299, 300, 500)}
-    monkeypatch.setattr(pairs, "TOP_ROWS", 0)
+    monkeypatch.setattr(select, "FEW", 0)
     assert {n: sorted(map(tuple, pairs.sample_number(t, n).collect())) for n in small} == small
 
 
+def test_selection_by_digits(spark, monkeypatch):
+    """Exactly n rows at any n, with rows that repeat; shares far below a millionth; reads up to a number of pairs."""
+    monkeypatch.setattr(select, "FEW", 5)
+    monkeypatch.setattr(select, "DIGIT", 7)
+    t = some_pairs(spark, 200, 6)
+    t = t.union(t.limit(1).crossJoin(spark.range(150).select())).repartition(5).cache()
+    whole = sorted(map(tuple, t.collect()))
+    for n in (0, 1, 6, 100, 180, 349, 350, 999):
+        got = sorted(map(tuple, pairs.sample_number(t, n).collect()))
+        assert len(got) == min(n, 350)
+        assert not [x for x in got if got.count(x) > whole.count(x)]
+    drawn = t.select(select.wide_draw(3, F.col("read_idx")).alias("d")).collect()
+    assert all(0 <= x.d < 1 << 60 for x in drawn) and len({x.d for x in drawn}) == 200
+    many = spark.range(400_000).select(F.col("id").alias("read_idx"), F.lit(1).alias("pos1"), F.lit(1).alias("pos2"), F.lit(9).alias("mapq"))
+    assert abs(pairs.sample_fraction(many, 1e-4).count() - 40) < 35 and pairs.sample_fraction(many, 1e-12).count() == 0
+    least = many.agg(F.min(pairs._pair_draw(42)).alias("m")).first().m
+    assert pairs.sample_fraction(many, (least + 1024) / 2**60).count() == 1 and (least / 2**60) < 1e-4
+    pieces = spark.createDataFrame([(i, k, "A", 0, 9, "+", 5) for i in range(60) for k in range(i % 6)], "read_idx long, ordinal int, target string, target_start long, target_end long, strand string, mapq int")
+    order = sorted((x.d, x.read_idx) for x in pieces.select("read_idx", select.wide_draw(42, F.col("read_idx")).alias("d")).distinct().collect() if x.read_idx % 6 > 1)
+    for target in (0, 1, 17, 60, 10**6):
+        before, want = 0, set()
+        for _, i in order:
+            if before < target:
+                want.add(i)
+            before += (i % 6) * (i % 6 - 1) // 2
+        assert {x.read_idx for x in pairs.sample_reads(pieces, target=target).collect()} == want
+
+
 def test_methods_of_normalisation(spark):
     import pytest
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, midpoint
 from ..functions.intervals import disjoint, inside, locate, overlap_filter
+from ..functions.scratch import spool
+from ..functions.select import crossing, share, smallest, wide_draw
 
-#: Rows of a sample that each task holds as its top list.
-TOP_ROWS = 10_000
 PAIR = ["read_idx", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2", "mapq"]
 
 
@@ -234,45 +234,37 @@ def merge_pairs(first: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
+def _pair_draw(seed: int) -> Column:
+    return wide_draw(seed, F.col("read_idx"), F.col("pos1"), F.col("pos2"))
+
+
 def sample_fraction(pairs: DataFrame, p: float, *, q: int = 0, seed: int = 42) -> DataFrame:
-    """Rows with mapq >= q, each with probability p, by a repeatable draw."""
-    return pairs.where(F.col("mapq") >= q).where(draw(seed, F.col("read_idx"), F.col("pos1"), F.col("pos2")) < p * 1_000_003)
+    """Rows with mapq >= q, each with probability p, by a repeatable draw of 60 bits."""
+    return pairs.where(F.col("mapq") >= q).where(_pair_draw(seed) < share(p))
 
 
 def sample_number(pairs: DataFrame, n: int, *, q: int = 0, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if fewer) in the order of the draw, then of the columns.
-
-    Few rows are a bounded top list of each task.  For many, the draws are counted (a
-    bounded number of values), rows below the last draw that fits all stay where they are,
-    and only those with just that draw are ordered.
-    """
-    d = draw(seed, F.col("read_idx"), F.col("pos1"), F.col("pos2"))
-    rows = pairs.where(F.col("mapq") >= q)
-    if n <= TOP_ROWS:
-        return rows.orderBy(d, *pairs.columns).limit(n)
-    per = rows.groupBy(d.alias("d")).agg(F.count("*").alias("k"))
-    running = per.select("d", "k", F.sum("k").over(Window.orderBy("d")).alias("upto"))
-    last = running.where(F.col("upto") >= n).orderBy("d").select("d", (n - F.col("upto") + F.col("k")).alias("rest")).first()
-    if last is None:
-        return rows
-    return rows.where(d < last["d"]).unionByName(rows.where(d == last["d"]).orderBy(*pairs.columns).limit(last["rest"]))
+    """Exactly n rows (all, if fewer): those of the smallest draws, ties in the order of the columns."""
+    return smallest(pairs.where(F.col("mapq") >= q), _pair_draw(seed), n)
 
 
 def sample_reads(pieces: DataFrame, *, mode: str = "pairs", target: float = 0, q: int = 1, min_order: int = 2, max_order: int = 50, seed: int = 42) -> DataFrame:
     """All rows of reads taken in the order of a draw until pairs, reads or a share (frac) of reads is reached.
 
-    The running sum goes over draw values, pre-summed by value, not over reads: the single
-    ordered window holds at most as many rows as there are draw values.
+    The draw up to which all reads are taken is found by its digits; only the reads around
+    it are ordered.
     """
     ok = pieces.groupBy("read_idx").agg(F.sum(F.when(F.col("mapq") >= q, 1).otherwise(0)).alias("k"))
     ok = ok.where((F.col("k") >= min_order) & (F.col("k") < max_order))
-    ok = ok.withColumn("x", F.expr("k * (k - 1) div 2") if mode == "pairs" else F.lit(1).cast("long")).withColumn("d", draw(seed, F.col("read_idx")))
-    per = ok.groupBy("d").agg(F.sum("x").alias("x"))
-    w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select("d", F.coalesce(F.sum("x").over(w), F.lit(0)).alias("before"), F.sum("x").over(Window.partitionBy()).alias("all"))
-    goal = F.col("all") * F.lit(float(target)) if mode == "frac" else F.lit(float(target))
-    inner = Window.partitionBy("d").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = ok.join(before, "d").withColumn("cum", F.col("before") + F.coalesce(F.sum("x").over(inner), F.lit(0))).where(F.col("cum") < goal)
+    ok = spool(ok.select("read_idx", (F.expr("k * (k - 1) div 2") if mode == "pairs" else F.lit(1)).cast("long").alias("x"), wide_draw(seed, F.col("read_idx")).alias("d")), "sample-reads")
+    goal = target * ok.count() if mode == "frac" else target
+    found = crossing(ok, goal) if goal > 0 else (0, 0, 0)
+    chosen = ok
+    if found is not None:
+        low, high, before = found
+        running = F.sum("x").over(Window.orderBy("d", "read_idx").rowsBetween(Window.unboundedPreceding, -1))
+        around = ok.where((F.col("d") >= low) & (F.col("d") < high)).withColumn("before", F.lit(before) + F.coalesce(running, F.lit(0)))
+        chosen = ok.where(F.col("d") < low).select("read_idx").union(around.where(F.col("before") < goal).select("read_idx"))
     return pieces.join(chosen.select("read_idx"), "read_idx", "left_semi")
 
 
@@ -285,7 +277,7 @@ def sample_alignments(pieces: DataFrame, *, mode: str = "pairs", target: float =
     x = {"pairs": F.expr("k * (k - 1) div 2"), "reads": F.lit(1), "bases": F.col("bases"), "frac": F.lit(1)}[mode]
     total = per.agg(F.sum(x).alias("_all"))
     p = F.lit(float(target)) if mode == "frac" else F.lit(float(target)) / F.greatest(F.col("_all"), F.lit(1))
-    chosen = per.crossJoin(F.broadcast(total)).where(draw(seed, F.col("read_idx")) < p * 1_000_003)
+    chosen = per.crossJoin(F.broadcast(total)).where(wide_draw(seed, F.col("read_idx")) < share(p))
     return pieces.join(chosen.select("read_idx"), "read_idx", "left_semi")
 
 

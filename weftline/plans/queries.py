@@ -22,7 +22,7 @@ from ..operators import sequences as S
 from ..operators import simulation as M
 from ..operators import stats as T
 from . import pipelines, roles
-from .roles import draw_sql, sql
+from .roles import draw_sql, sql, wide_draw_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -473,17 +473,23 @@ def _(s, d):
 # ---- sampling and sets -----------------------------------------------------------------------------------------
 
 
-@query("SMP2_pairs_sample", sql(f"SELECT {PAIR} FROM pairs WHERE mapq >= 2 AND {draw_sql(42, 'read_idx', 'pos1', 'pos2')} < 0.25::DOUBLE * 1000003", "pairs"))
+@query("SMP2_pairs_sample", sql(f"SELECT {PAIR} FROM pairs WHERE mapq >= 2 AND {wide_draw_sql(42, 'read_idx', 'pos1', 'pos2')} < 0.25::DOUBLE * 1152921504606846976", "pairs"))
 def _(s, d):
     return R.sample_fraction(roles.pairs(s, d), 0.25, q=2)
 
 
-@query("SMP1_pairs_number", sql(f"SELECT {PAIR} FROM pairs ORDER BY {draw_sql(42, 'read_idx', 'pos1', 'pos2')}, read_idx, chrom1, pos1, chrom2, pos2, strand1, strand2, mapq LIMIT 500", "pairs"))
+@query("SMP1_pairs_number", sql(f"SELECT {PAIR} FROM pairs ORDER BY {wide_draw_sql(42, 'read_idx', 'pos1', 'pos2')}, read_idx, chrom1, pos1, chrom2, pos2, strand1, strand2, mapq LIMIT 500", "pairs"))
 def _(s, d):
     return R.sample_number(roles.pairs(s, d), 500)
 
 
-_OK = "ok AS (SELECT read_idx, n * (n - 1) // 2 AS x, {draw} AS d FROM (SELECT read_idx, count(*) FILTER (mapq >= 1) AS n FROM paf GROUP BY 1) WHERE n >= 2 AND n < 50)".replace("{draw}", draw_sql(42, "read_idx"))
+@query("LIM1_pairs_half", sql(f"SELECT {PAIR} FROM pairs ORDER BY {wide_draw_sql(7, 'read_idx', 'pos1', 'pos2')}, read_idx, chrom1, pos1, chrom2, pos2, strand1, strand2, mapq LIMIT (SELECT count(*) // 2 FROM pairs)", "pairs"))
+def _(s, d):
+    t = roles.pairs(s, d)
+    return R.sample_number(t, t.count() // 2, seed=7).select(*PAIR.split(", "))
+
+
+_OK = "ok AS (SELECT read_idx, n * (n - 1) // 2 AS x, {draw} AS d FROM (SELECT read_idx, count(*) FILTER (mapq >= 1) AS n FROM paf GROUP BY 1) WHERE n >= 2 AND n < 50)".replace("{draw}", wide_draw_sql(42, "read_idx"))
 
 
 @query("SMP3_porec_sample", sql(f"SELECT {PIECE} FROM paf WHERE read_idx IN (SELECT read_idx FROM (SELECT read_idx, coalesce(sum(x) OVER (ORDER BY d, read_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ok) WHERE before < 2000)", "paf", also=_OK))
@@ -491,7 +497,7 @@ def _(s, d):
     return R.sample_reads(roles.pieces(s, d), target=2000).select(*PIECE.split(", "))
 
 
-@query("SMP4_paf_sample", sql(f"SELECT {PIECE} FROM paf WHERE read_idx IN (SELECT read_idx FROM ok WHERE d < least(1e18, 3000.0::DOUBLE / (SELECT greatest(sum(x), 1) FROM ok)) * 1000003)", "paf", also=_OK))
+@query("SMP4_paf_sample", sql(f"SELECT {PIECE} FROM paf WHERE read_idx IN (SELECT read_idx FROM ok WHERE d < least(1e18, 3000.0::DOUBLE / (SELECT greatest(sum(x), 1) FROM ok)) * 1152921504606846976)", "paf", also=_OK))
 def _(s, d):
     return R.sample_alignments(roles.pieces(s, d), target=3000, q=1, min_order=2).select(*PIECE.split(", "))
 

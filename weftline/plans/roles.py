@@ -105,3 +105,8 @@ def draw_sql(seed: int | str, *keys: str) -> str:
     for k in keys:
         out = f"((({out}) * 48271 + (({k}) % 1000003) * 69621 + 12345) % 1000003)"
     return out
+
+
+def wide_draw_sql(seed: int | str, *keys: str) -> str:
+    """functions.select.wide_draw in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(keys)})), 1, 15) AS BIGINT)"
