@@ -48,6 +48,33 @@ def test_orientations_add_up(spark):
             assert all(x + y == 2000 for x, y in zip(v, both[a, b, "--"]))
 
 
+def test_hot_pair_is_cut_into_chunks(spark, tmp_path):
+    """A pair with a third of all rows, in few places: no row holds more than a chunk, lines of the file are whole."""
+    r = random.Random(3)
+    rows = [(i, "A", r.randint(0, 20), "B", r.randint(0, 20), "+", "+", 5) for i in range(900)] + [(i, r.choice("ABC"), r.randint(0, 999), r.choice("ABC"), r.randint(0, 999), "+", "-", 5) for i in range(1800)]
+    t = spark.createDataFrame(rows, PAIR).repartition(5)
+    lists = clm.distance_lists(t, sizes(spark), max_depth_ratio=None, chunk=64)
+    got = {}
+    for x in sorted(lists.collect(), key=lambda x: x.chunk):
+        assert len(x["values"]) <= 64 and x.chunk == len(got.get((x.contig1, x.contig2, x.strand1 + x.strand2), [])) // 64
+        got.setdefault((x.contig1, x.contig2, x.strand1 + x.strand2), []).extend(x["values"])
+    ends = {}
+    for _, a, p, b, q, *_ in rows:
+        if a != b:
+            (a, p), (b, q) = sorted([(a, p), (b, q)])
+            ends.setdefault((a, b), []).append((p, q))
+    assert got == {(a, b, s): [{"++": 1000 - p + q, "+-": 2000 - p - q, "-+": p + q, "--": p + 1000 - q}[s] for p, q in sorted(v)] for (a, b), v in ends.items() for s in ("++", "+-", "-+", "--")}
+    writers.write_clm(lists, f"file://{tmp_path}/clm")
+    back = {(x.contig1, x.contig2, x.strand1 + x.strand2): x["values"] for x in readers.read_clm(spark, str(tmp_path / "clm")).collect()}
+    assert back == got and max(map(len, got.values())) > 900
+    merged = clm.merge_lists(lists, lists.where("contig1 = 'A'"))
+    twice = {}
+    for x in sorted(merged.collect(), key=lambda x: x.chunk):
+        twice.setdefault((x.contig1, x.contig2, x.strand1 + x.strand2), []).extend(x["values"])
+        assert x["count"] == len(got[x.contig1, x.contig2, x.strand1 + x.strand2]) * (2 if x.contig1 == "A" else 1)
+    assert twice == {k: v + v if k[0] == "A" else v for k, v in got.items()}
+
+
 def test_virtual_pairs_number(spark):
     rows = [(i % 5, k, "ABC"[k % 3], 10 * k, 10 * k + 7, "+", 5) for i in range(5) for k in range(i + 1)]
     t = spark.createDataFrame(rows, "read_idx long, ordinal int, target string, target_start long, target_end long, strand string, mapq int")

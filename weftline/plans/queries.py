@@ -300,18 +300,26 @@ lists AS (SELECT chrom1, chrom2, count(*) AS n, list(struct_pack(p := pos1, r :=
 
 
 def _clm(s, d):
-    return L.distance_lists(roles.pairs(s, d), roles.sizes(s, d), q=0, min_contacts=2, max_depth_ratio=1.5)
+    return L.distance_lists(roles.pairs(s, d), roles.sizes(s, d), q=0, min_contacts=2, max_depth_ratio=1.5, chunk=_CLM_CHUNK)
 
 
-_ORIENT = " UNION ALL ".join(
-    f"SELECT chrom1 AS contig1, '{s}' AS strand1, chrom2 AS contig2, '{t}' AS strand2, n AS count, array_to_string([greatest(0, {v}) FOR x IN v], ' ') AS distances FROM lists, len"
-    for s, t, v in (("+", "+", "size - x.p + x.r"), ("+", "-", "size - x.p + size - x.r"), ("-", "+", "x.p + x.r"), ("-", "-", "x.p + size - x.r"))
+#: Distances in a row here, few enough for lists of several rows in small tables.
+_CLM_CHUNK = 100
+_FORMS = (("+", "+", "size - x.p + x.r"), ("+", "-", "size - x.p + size - x.r"), ("-", "+", "x.p + x.r"), ("-", "-", "x.p + size - x.r"))
+_ORIENT = " UNION ALL ".join(f"SELECT chrom1 AS contig1, '{s}' AS strand1, chrom2 AS contig2, '{t}' AS strand2, n AS count, array_to_string([greatest(0, {v}) FOR x IN v], ' ') AS distances FROM lists, len" for s, t, v in _FORMS)
+_CHUNKS = " UNION ALL ".join(
+    f"SELECT chrom1 AS contig1, '{s}' AS strand1, chrom2 AS contig2, '{t}' AS strand2, n AS count, k AS chunk, array_to_string([greatest(0, {v}) FOR x IN v[k * {_CLM_CHUNK} + 1:(k + 1) * {_CLM_CHUNK}]], ' ') AS distances FROM (SELECT *, unnest(range((n + {_CLM_CHUNK - 1}) // {_CLM_CHUNK})) AS k FROM lists), len"
+    for s, t, v in _FORMS
 )
 
 
-@query("AGG3_clm", sql(_ORIENT, "pairs", also=_KEPT))
+def _listed(t):
+    return t.select("contig1", "strand1", "contig2", "strand2", "count", "chunk", F.array_join(F.col("values").cast("array<string>"), " ").alias("distances"))
+
+
+@query("AGG3_clm", sql(_CHUNKS, "pairs", also=_KEPT))
 def _(s, d):
-    return _clm(s, d).select("contig1", "strand1", "contig2", "strand2", "count", F.array_join(F.col("values").cast("array<string>"), " ").alias("distances"))
+    return _listed(_clm(s, d))
 
 
 @query("AGG4_depth_blacklist", sql("SELECT * FROM bad", "pairs", also=_KEPT))
@@ -450,10 +458,16 @@ for _method, _form in _FORMS.items():
         return out.select("contig1", "contig2", F.round("value", digits).alias("value"))
 
 
-@query("AGG17_mergeclm", sql(f"SELECT contig1, strand1, contig2, strand2, 2 * count AS count, concat(distances, ' ', distances) AS distances FROM ({_ORIENT})", "pairs", also=_KEPT))
+@query(
+    "AGG17_mergeclm",
+    sql(
+        f"SELECT contig1, strand1, contig2, strand2, 2 * count AS count, chunk + second * ((count + {_CLM_CHUNK - 1}) // {_CLM_CHUNK}) AS chunk, distances FROM ({_CHUNKS}), (SELECT unnest([0, 1]) AS second)",
+        "pairs", also=_KEPT,
+    ),
+)
 def _(s, d):
     t = _clm(s, d)
-    return L.merge_lists(t, t).select("contig1", "strand1", "contig2", "strand2", "count", F.array_join(F.col("values").cast("array<string>"), " ").alias("distances"))
+    return _listed(L.merge_lists(t, t))
 
 
 @query("SRC11_contacts_of_clm", sql("SELECT chrom1 AS contig1, chrom2 AS contig2, n AS count FROM lists", "pairs", also=_KEPT))

@@ -124,12 +124,12 @@ def read_contacts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_clm(spark: SparkSession, path: str) -> DataFrame:
-    """contig1, strand1, contig2, strand2, count, values; repeated keys stay rows (merge_lists joins them)."""
+    """contig1, strand1, contig2, strand2, count, chunk (0: a line is a row), values; repeated keys stay rows (merge_lists numbers them on)."""
     rows = _table(spark, path, "key string, count long, v string")
     one, two = F.split("key", " ")[0], F.split("key", " ")[1]
     cut = lambda k: (F.substring(k, F.lit(1), F.length(k) - 1), F.substring(k, -1, 1))
     (a, s), (b, t) = cut(one), cut(two)
-    return rows.select(a.alias("contig1"), s.alias("strand1"), b.alias("contig2"), t.alias("strand2"), "count", F.split(F.trim("v"), " ").cast("array<long>").alias("values"))
+    return rows.select(a.alias("contig1"), s.alias("strand1"), b.alias("contig2"), t.alias("strand2"), "count", F.lit(0).cast("long").alias("chunk"), F.split(F.trim("v"), " ").cast("array<long>").alias("values"))
 
 
 def read_split_contacts(spark: SparkSession, path: str, whitelist: DataFrame | None = None) -> DataFrame:

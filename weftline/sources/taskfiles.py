@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
 def filesystem(uri: str):
@@ -62,3 +63,32 @@ class TaskFilesWriter(DataSourceWriter):
 
         if fs.get_file_info(f"{path}/_temporary").type != pafs.FileType.NotFound:
             fs.delete_dir(f"{path}/_temporary")
+
+
+class _PiecesWriter(TaskFilesWriter):
+    def write(self, iterator) -> Written:
+        name, stream = self.new_file()
+        for (value,) in iterator:
+            stream.write((value or "").encode())
+        stream.close()
+        return Written([(name, None)])
+
+
+class PiecesSource(DataSource):
+    """text_pieces: writes the column value as it is, without anything between rows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_pieces"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _PiecesWriter(self.options["path"], ".txt")
+
+
+def write_pieces(rows: DataFrame, path: str) -> None:
+    """Files of the pieces of text in value, in the order of the rows of each partition: a line can be put together from any number of rows."""
+    rows.sparkSession.dataSource.register(PiecesSource)
+    rows.select("value").write.format("text_pieces").option("path", path).mode("append").save()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .taskfiles import write_pieces
 
 PAIRS = ("read_idx", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2", "mapq")
 
@@ -44,11 +45,16 @@ def write_table(df: DataFrame, path: str, **options) -> None:
 
 
 def write_clm(lists: DataFrame, path: str) -> None:
-    """Four lines a pair in the order ++, +-, -+, --."""
-    order = F.concat("strand1", "strand2")
+    """Four lines a pair in the order ++, +-, -+, --, each put together from its chunks as they are written; a line is in one file."""
     key = F.concat("contig1", "strand1", F.lit(" "), "contig2", "strand2")
-    lines = lists.orderBy("contig1", "contig2", F.translate(order, "+-", "01"))
-    lines.select(F.concat_ws("\t", key, F.col("count").cast("string"), F.array_join(F.col("values").cast("array<string>"), " ")).alias("value")).write.text(path)
+    order = ["contig1", "contig2", F.translate(F.concat("strand1", "strand2"), "+-", "01")]
+    head = F.when(F.col("chunk") == 0, F.concat_ws("\t", key, F.col("count").cast("string"), F.lit(""))).otherwise(F.lit(" "))
+    # The list's last chunk ends the line.
+    last = lists.groupBy("contig1", "contig2", "strand1", "strand2").agg(F.max("chunk").alias("_last"))
+    rows = lists.join(last, ["contig1", "contig2", "strand1", "strand2"])
+    tail = F.when(F.col("chunk") == F.col("_last"), F.lit("\n")).otherwise(F.lit(""))
+    text = F.concat(head, F.array_join(F.col("values").cast("array<string>"), " "), tail)
+    write_pieces(rows.repartitionByRange(*order).sortWithinPartitions(*order, "chunk").select(text.alias("value")), path)
 
 
 def write_mnd(rows: DataFrame, path: str) -> None:
