@@ -10,6 +10,7 @@ from ..operators import clm as L
 from ..operators import pairs as R
 from ..operators import pieces as P
 from ..sources import bam as B
+from ..sources import fasta as T
 from ..sources import gztext as Z
 from ..sources import readers as I
 from ..sources import writers as W
@@ -146,6 +147,13 @@ def _(s, d):
     return I.read_fasta(s, path)
 
 
+@query("SRC8_fasta_tiles", sql("SELECT name, t AS tile, t * 300 AS start, substr(s, t * 300 + 1, 310) AS seq FROM (SELECT name, coalesce(seq, '') AS s, unnest(range(greatest(1, (length(coalesce(seq, '')) + 299) // 300))) AS t FROM fasta)", "fasta"))
+def _(s, d):
+    path = new_path(s, "format")
+    W.write_fasta(roles.fasta(s, d).withColumn("seq", F.coalesce("seq", F.lit(""))), path)
+    return T.read_tiles(s, path, tile=300, right=10, split_bytes=5000)
+
+
 @query("SRC8_fastq", sql("SELECT name, seq, translate(seq, 'ACGT', '!+5?') AS qual FROM fasta WHERE seq IS NOT NULL", "fasta"))
 def _(s, d):
     path = new_path(s, "format")

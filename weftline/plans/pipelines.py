@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..operators import pieces as P
 from ..operators.pairs import virtual_pairs
 
@@ -22,5 +22,15 @@ def paf_to_pairs(paf: DataFrame, *, q: int = 1, min_order: int = 2, max_order: i
 
 
 def number_reads(paf: DataFrame) -> DataFrame:
-    """read_idx from a hash of the query name: stable however the input is dealt."""
-    return paf.withColumn("read_idx", F.xxhash64("query"))
+    """read_idx: 0, 1, 2 ... in the order of the names in query, the same however the input is dealt.
+
+    Names are counted where ranges of them are written, and each range gets the number of
+    names before it: no window over all names, and no two names share a number.
+    """
+    names = ranked(paf.select("query").distinct(), ["query"], "read_idx", name="read-names")
+    return paf.drop("read_idx").join(names, "query")
+
+
+def named_paf_to_pairs(paf: DataFrame, **options) -> DataFrame:
+    """paf_to_pairs() of alignments that have names of reads (query) only."""
+    return paf_to_pairs(number_reads(paf), **options)

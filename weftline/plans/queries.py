@@ -21,6 +21,7 @@ from ..operators import rescue as X
 from ..operators import sequences as S
 from ..operators import simulation as M
 from ..operators import stats as T
+from ..sources.fasta import tiles_of
 from . import pipelines, roles
 from .roles import draw_sql, sql, wide_draw_sql
 
@@ -901,4 +902,35 @@ def _(s, d):
     return pipelines.paf_to_pairs(roles.paf(s, d), min_identity=0.93)
 
 
+_NUMBERED = "named AS (SELECT *, concat('r', read_idx) AS query FROM paf), numbered AS (SELECT dense_rank() OVER (ORDER BY query) - 1 AS read_idx, * EXCLUDE (read_idx) FROM named)"
+
+
+def _named(s, d):
+    return roles.paf(s, d).withColumn("query", F.concat(F.lit("r"), F.col("read_idx").cast("string"))).drop("read_idx")
+
+
+@query("WIN5_number_reads", sql("SELECT DISTINCT query, read_idx FROM numbered", "paf", also=_NUMBERED))
+def _(s, d):
+    return pipelines.number_reads(_named(s, d)).select("query", "read_idx").distinct()
+
+
+@query(
+    "RUN_named_paf2pairs",
+    sql(
+        f"SELECT {PAIR} FROM pairs",
+        "paf",
+        also=_NUMBERED + ", " + _QUAL.replace("FROM paf)", "FROM numbered WHERE mapq >= 1)") + ", " + _STATUS.replace("p > 4", "p > 50")
+        + ", ok AS (SELECT * FROM marked JOIN st USING (read_idx) WHERE status = 'pass' AND filter_reason = 'pass'), ranked AS (SELECT *, row_number() OVER (PARTITION BY read_idx ORDER BY target, target_start, target_end, ordinal, strand, mapq) AS rn, count(*) OVER (PARTITION BY read_idx) AS n FROM ok), "
+        + roles.SQL["pairs"],
+    ),
+)
+def _(s, d):
+    return pipelines.named_paf_to_pairs(_named(s, d), min_identity=0.93)
+
+
+@query("STR13_tile_minimizers")
+def _(s, d):
+    return A.sketch_tiles(tiles_of(roles.fasta(s, d), tile=200, left=18, right=36), 200, 19, 19)
+
+
 from . import formats  # noqa: E402, F401  (its queries of readers and writers register themselves)
