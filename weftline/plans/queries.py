@@ -18,6 +18,7 @@ from ..operators import pairs as R
 from ..operators import pieces as P
 from ..operators import prune as U
 from ..operators import rescue as X
+from ..operators import seeds as N
 from ..operators import sequences as S
 from ..operators import simulation as M
 from ..operators import stats as T
@@ -765,6 +766,15 @@ def _(s, d):
     return X.realign_sequences(t.withColumn("candidate", F.when(F.col("ordinal") == 1, F.col("c1")).otherwise(F.reverse("c1"))))
 
 
+@query("ALN4_seeded_aligner")
+def _(s, d):
+    fa = roles.fasta(s, d)
+    # Every other read is from the other strand; each 37th base is read as A.
+    turned = F.when(F.crc32(F.col("name").cast("binary")) % 2 == 0, F.col("seq")).otherwise(revcomp(F.col("seq")))
+    reads = fa.select("name", F.regexp_replace(turned, "(.{36}).", "$1A").alias("seq"))
+    return N.align(reads, fa, most=10)
+
+
 # The clips before a reverse read are those at the end of its CIGAR, of which _sam has none.
 _NAMED = """good AS (SELECT name, CASE WHEN flag & 16 <> 0 THEN 0 ELSE CAST(regexp_extract(cigar, '^([0-9]+)S', 1) AS BIGINT) END AS qs, rname AS chrom, pos, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, mapq FROM sam WHERE flag & 1796 = 0 AND mapq >= 5),
 placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY qs, chrom, pos, strand, mapq) AS rn FROM good),
