@@ -72,6 +72,7 @@ def parse(page: str) -> list[Node]:
     root = Node("html", frozenset(), None, 0)
     nodes = [root]
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements and the block each is in
+    open_: Counter[str] = Counter()  # of the stack above the root, by name
     links = 0
     hidden = 0
     at, end = 0, len(page)
@@ -89,12 +90,13 @@ def parse(page: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    for name, _ in stack[k:]:
-                        hidden -= name in HIDDEN
-                        links -= name == "a"
-                    del stack[k:]
+            # An end that nothing open has is no reason to look through the stack.
+            while open_[tag]:
+                name, _ = stack.pop()
+                open_[name] -= 1
+                hidden -= name in HIDDEN
+                links -= name == "a"
+                if name == tag:
                     break
             continue
         attrs = m[3] or ""
@@ -112,13 +114,16 @@ def parse(page: str) -> list[Node]:
             if tag == "body" and hidden:
                 while len(stack) > 1:
                     stack.pop()
+                open_.clear()
                 hidden = links = 0
             continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
+            ending = ITEMS.get(tag, set()) | {"p"}
+            for k in range(len(stack) - 1 if any(open_[name] for name in ending) else 0, 0, -1):
                 name = stack[k][0]
-                if name == "p" or name in ITEMS.get(tag, ()):
+                if name in ending:
                     for gone, _ in stack[k:]:
+                        open_[gone] -= 1
                         hidden -= gone in HIDDEN
                         links -= gone == "a"
                     del stack[k:]
@@ -134,10 +139,12 @@ def parse(page: str) -> list[Node]:
                 parent.items.append(node)
                 nodes.append(node)
                 stack.append((tag, node))
+                open_[tag] += 1
                 continue
         hidden += tag in HIDDEN
         links += tag == "a"
         stack.append((tag, stack[-1][1]))
+        open_[tag] += 1
     return nodes
 
 
