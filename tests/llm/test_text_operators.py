@@ -829,6 +829,18 @@ def test_html_pages_by_hand():
         assert g.split("\n") == blocks
 
 
+def test_html_of_many_open_tags():
+    """Tags that never end and ends that match nothing take time in proportion."""
+    import time
+
+    from weftline.llm import dom
+
+    for page in ("<b>" * 200_000 + "x</i>" * 20_000, "<p>" + "<b>" * 100_000 + "</x>" * 100_000 + "<div>y</div>" * 20_000, "<a><b>" * 50_000 + "</b>" * 100_000):
+        begin = time.time()
+        nodes = dom.parse(page)
+        assert time.time() - begin < 6 and nodes[0].tag == "html"
+
+
 def test_html_odd_pages(spark):
     """Deep, long, repeated and broken pages, clashing columns; training in a task gives the same trees."""
     import numpy as np
