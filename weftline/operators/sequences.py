@@ -132,7 +132,7 @@ def extract_clusters(fasta: DataFrame, clusters: DataFrame, trim: int = 25_000)
     rows = rows.withColumn("s", F.when(head, F.col("s") + trim).otherwise(F.col("s")))
     tail = ranged & (F.col("e") - F.col("s") > 3 * trim) & (F.col("_n") - F.col("e") < trim)
     rows = rows.withColumn("e", F.when(tail, F.col("e") - trim).otherwise(F.col("e")))
-    return rows.select("cluster", F.col("item").alias("name"), F.substring(F.col("seq"), F.col("s") + 1, F.col("e") - F.col("s")).alias("seq"))
+    return rows.select("cluster", F.col("item").alias("name"), F.substring(F.col("seq"), F.col("s") + 1, F.greatest(F.lit(0), F.col("e") - F.col("s"))).alias("seq"))
 
 
 def fold_cigar(cigar: Column) -> Column:

@@ -137,13 +137,10 @@ def _(s, d):
     return I.read_bedmethyl(s, path).select("chrom", "start", "end", "coverage", "percent")
 
 
-_SEQ = "length(seq) > 0"
-
-
-@query("SRC8_fasta", sql(f"SELECT name, seq FROM fasta WHERE {_SEQ}", "fasta"))
+@query("SRC8_fasta", sql("SELECT name, coalesce(seq, '') AS seq FROM fasta", "fasta"))
 def _(s, d):
     path = new_path(s, "format")
-    W.write_fasta(roles.fasta(s, d).where(_SEQ), path)
+    W.write_fasta(roles.fasta(s, d).withColumn("seq", F.coalesce("seq", F.lit(""))), path)
     return I.read_fasta(s, path)
 
 

@@ -590,14 +590,11 @@ _ITEMS = "items AS (SELECT concat('c', doc_id % 7) AS cluster, CASE WHEN doc_id
 
 @query(
     "STR9_extract_fasta",
-    sql("SELECT cluster, contig AS name, substr(seq, s2 + 1, (CASE WHEN r AND e - s2 > 60 AND length(seq) - e < 20 THEN e - 20 ELSE e END) - s2) AS seq FROM (SELECT *, CASE WHEN r AND e - s > 60 AND s < 20 THEN s + 20 ELSE s END AS s2 FROM (SELECT cluster, contig, seq, doc_id % 3 <> 0 AS r, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 10 END AS s, CASE WHEN doc_id % 3 = 0 THEN length(seq) ELSE least(400, length(seq)) END AS e FROM items JOIN fasta ON name = concat('d', doc_id))) WHERE s2 <= e", "fasta", also=_ITEMS),
+    sql("SELECT cluster, contig AS name, substr(seq, s2 + 1, greatest(0, (CASE WHEN r AND e - s2 > 60 AND length(seq) - e < 20 THEN e - 20 ELSE e END) - s2)) AS seq FROM (SELECT *, CASE WHEN r AND e - s > 60 AND s < 20 THEN s + 20 ELSE s END AS s2 FROM (SELECT cluster, contig, seq, doc_id % 3 <> 0 AS r, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 10 END AS s, CASE WHEN doc_id % 3 = 0 THEN length(seq) ELSE least(400, length(seq)) END AS e FROM items JOIN fasta ON name = concat('d', doc_id)))", "fasta", also=_ITEMS),
 )
 def _(s, d):
     items = roles.table(s, d, "documents").selectExpr("concat('c', doc_id % 7) AS cluster", "CASE WHEN doc_id % 3 = 0 THEN concat('d', doc_id) ELSE concat('d', doc_id, '|', 11, '_', 400) END AS contig")
-    return S.extract_clusters(roles.fasta(s, d).where("length(seq) >= 10"), items, 20)
-
-
-_SQL["STR9_extract_fasta"] = _SQL["STR9_extract_fasta"].replace("WHERE s2 <= e", "WHERE length(seq) >= 10")
+    return S.extract_clusters(roles.fasta(s, d), items, 20)
 
 
 @query(
