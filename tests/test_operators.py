@@ -108,6 +108,31 @@ def test_components_and_cliques(spark):
     assert [r.members for r in graph.clique_reads(e).collect()] == [["1", "2", "3"]]
 
 
+def test_components_of_random_graphs(spark):
+    r = random.Random(9)
+    for n, m in ((50, 20), (200, 220), (30, 0)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (7000, 7000)]
+        up = {}
+
+        def top(v):
+            while up.setdefault(v, v) != v:
+                v = up[v]
+            return v
+
+        for a, b in edges:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+        got = {x.node: x.component for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+        assert got == {v: top(v) for v in up}
+
+
+def test_mates_stand_at_the_same_places(spark, tmp_path):
+    rows = [("same", f"A{k}", "!!", f"C{k}", "??") for k in range(200)] + [(f"n{k}", f"G{k}", "!!", f"T{k}", "??") for k in range(50)]
+    writers.write_paired_fastq(spark.createDataFrame(rows, "name string, seq1 string, qual1 string, seq2 string, qual2 string").repartition(7), str(tmp_path / "m"), rows_per_file=30)
+    one, two = ([p.read_text().split("\n")[1::4] for p in sorted((tmp_path / f"m_R{k}").glob("part-*"))] for k in (1, 2))
+    assert [[x[1:] for x in p] for p in one] == [[x[1:] for x in p] for p in two] and sum(map(len, one)) == 250
+
+
 def test_order_is_not_worse(spark):
     r = np.random.default_rng(2)
     n = 8

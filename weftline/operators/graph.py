@@ -9,22 +9,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
-from ..functions.scratch import cut, spool, unspool
+from ..functions.scratch import spool, unspool
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """links (a > b), hung to lesser nodes.  large: the greater neighbours of each node go to its least one; else its lesser ones do, and itself."""
+    if large:
+        sides = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        out = sides.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        low = links.groupBy("a").agg(F.min("b").alias("m"))
+        out = links.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for every node of edges (a, b): least labels of neighbours, then of labels."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
-    while True:
-        near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        hooked = labels.join(near, "a").select("a", F.least("l", "m").alias("n"), "l")
-        jump = hooked.select(F.col("a").alias("n"), F.col("n").alias("up"))
-        after = cut(hooked.join(jump, "n", "left").select("a", F.least("n", F.coalesce("up", "n")).alias("l"), F.col("l").alias("old")))
-        if not after.where("l <> old").limit(1).count():
+    """node, component (its least node) for every node of edges (a, b).
+
+    Links are hung to lesser nodes until each node has one link, to the least of its
+    component.  Their number falls to that of the nodes on the way, links that are done
+    among them; each round's links are a written table, and the one before is deleted.
+    """
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).where("node is not null").distinct()
+    now = spool(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-links")
+    mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    before = now.agg(*mark).first()
+    while before[0]:
+        after = spool(_star(_star(now, True), False), "component-links")
+        found = after.agg(*mark).first()
+        unspool(now)
+        now = after
+        if found == before:
             break
-        labels = after.select("a", "l")
-    return labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
+        before = found
+    return nodes.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def peel(edges: DataFrame, *, slack: float = 0.5) -> DataFrame:

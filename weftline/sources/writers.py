@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import spool, unspool
 from .taskfiles import write_pieces
 
 PAIRS = ("read_idx", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2", "mapq")
@@ -71,13 +72,15 @@ def write_fastq(reads: DataFrame, path: str, *, rows_per_file: int = 0) -> None:
 
 
 def write_paired_fastq(reads: DataFrame, path: str, *, rows_per_file: int = 0) -> None:
-    """path_R1 and path_R2: the mates (seq1, qual1 and seq2, qual2) of name, in the same order.
+    """path_R1 and path_R2: the mates (seq1, qual1 and seq2, qual2) of name, at the same places of both.
 
-    Rows are ordered by name first, so that mates stand at the same place of both.
+    Rows are ordered once and written; both sides are read from that table, in its splits.
     """
-    ordered = reads.orderBy("name")
+    rows = reads.select("name", "seq1", "qual1", "seq2", "qual2")
+    stored = spool(rows.repartitionByRange("name").sortWithinPartitions("name"), "mates")
     for k in ("1", "2"):
-        write_fastq(ordered.select("name", F.col(f"seq{k}").alias("seq"), F.col(f"qual{k}").alias("qual")), f"{path}_R{k}", rows_per_file=rows_per_file)
+        write_fastq(stored.select("name", F.col(f"seq{k}").alias("seq"), F.col(f"qual{k}").alias("qual")), f"{path}_R{k}", rows_per_file=rows_per_file)
+    unspool(stored)
 
 
 def write_by_cluster(df: DataFrame, path: str, column: str = "cluster") -> None:
