@@ -150,15 +150,20 @@ def aligned_sites(seq: str, cigar: str, start: int, reverse: bool, mm: str, ml:
     n = len(seq)
     read = seq.translate(_COMPLEMENT)[::-1] if reverse else seq
     sites = methylated_sites(read, mm, ml, cutoff)
-    out = []
-    q, t = 0, start
+    if not sites:
+        return []
+    places = np.fromiter(sites, np.int64, len(sites))
+    called = np.fromiter(sites.values(), bool, len(sites))
+    places = n - 1 - places if reverse else places
+    order = np.argsort(places)
+    places, called = places[order], called[order]
+    out: list[tuple[int, bool]] = []
+    q, t = 0, start - reverse
     for length, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
         length = int(length)
         if op in "M=X":
-            for k in range(length):
-                called = sites.get(n - 1 - (q + k) if reverse else q + k)
-                if called is not None:
-                    out.append((t + k - 1 if reverse else t + k, called))
+            i, j = np.searchsorted(places, (q, q + length))
+            out += zip((places[i:j] - q + t).tolist(), called[i:j].tolist(), strict=True)
         q += length * (op in "MIS=X")
         t += length * (op in "MDN=X")
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,10 +114,12 @@ def mask_kmers(fasta: DataFrame, k: int = 19, ploidy: int = 12) -> DataFrame:
         for batch in batches:
             out = []
             for seq, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                chars = bytearray(seq or "", "utf-8")
-                for i in at or ():
-                    chars[i : i + k] = b"N" * k
-                out.append(chars.decode())
+                chars = np.frombuffer((seq or "").encode(), np.uint8).copy()
+                edges = np.zeros(len(chars) + 1, np.int64)
+                np.add.at(edges, np.array(at or (), np.int64), 1)
+                np.add.at(edges, np.array(at or (), np.int64) + k, -1)
+                chars[np.cumsum(edges)[:-1] > 0] = ord("N")
+                out.append(chars.tobytes().decode())
             yield pa.RecordBatch.from_pydict({"name": batch.column(0), "seq": pa.array(out, pa.string())})
 
     return fasta.join(starts, "name", "left").select("name", "seq", "_at").mapInArrow(run, "name string, seq string")
@@ -179,11 +182,12 @@ def modify_sequence(fasta: DataFrame, sites: DataFrame, min_frac: float = 0.5) -
         for batch in batches:
             out = []
             for seq, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                chars = bytearray(seq or "", "utf-8")
-                for i in at or ():
-                    if 0 <= i < len(chars) - 1 and chars[i + 1] in b"Gg":
-                        chars[i] = ord("m")
-                out.append(chars.decode())
+                chars = np.frombuffer((seq or "").encode(), np.uint8).copy()
+                places = np.array(at or (), np.int64)
+                places = places[(places >= 0) & (places < len(chars) - 1)]
+                # Judged on the sequence as given.
+                chars[places[np.isin(chars[places + 1], (ord("G"), ord("g")))]] = ord("m")
+                out.append(chars.tobytes().decode())
             yield pa.RecordBatch.from_pydict({"name": batch.column(0), "seq": pa.array(out, pa.string())})
 
     return fasta.join(chosen, "name", "left").select("name", "seq", "_at").mapInArrow(run, "name string, seq string")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import revcomp
+from ..functions.ranks import ranked
 from ..operators import alleles as A
 from ..operators import clm as L
 from ..operators import contacts as C
@@ -935,6 +936,11 @@ def _(s, d):
     return pipelines.named_paf_to_pairs(_named(s, d), min_identity=0.93)
 
 
+@query("SORT1_sizes_order", sql("SELECT contig, size, row_number() OVER (ORDER BY contig) - 1 AS place FROM sizes", "sizes"))
+def _(s, d):
+    return ranked(roles.sizes(s, d), ["contig"], "place")
+
+
 @query("STR13_tile_minimizers")
 def _(s, d):
     return A.sketch_tiles(tiles_of(roles.fasta(s, d), tile=200, left=18, right=36), 200, 19, 19)
