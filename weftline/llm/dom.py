@@ -72,7 +72,7 @@ def parse(page: str) -> list[Node]:
     root = Node("html", frozenset(), None, 0)
     nodes = [root]
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements and the block each is in
-    open_: Counter[str] = Counter()  # of the stack above the root, by name
+    open_: dict[str, int] = {}  # number of each name on the stack above the root
     links = 0
     hidden = 0
     at, end = 0, len(page)
@@ -91,7 +91,7 @@ def parse(page: str) -> list[Node]:
         tag = m[2].lower()
         if m[1]:
             # An end that nothing open has is no reason to look through the stack.
-            while open_[tag]:
+            while open_.get(tag):
                 name, _ = stack.pop()
                 open_[name] -= 1
                 hidden -= name in HIDDEN
@@ -118,10 +118,11 @@ def parse(page: str) -> list[Node]:
                 hidden = links = 0
             continue
         if tag in BLOCK:
-            ending = ITEMS.get(tag, set()) | {"p"}
-            for k in range(len(stack) - 1 if any(open_[name] for name in ending) else 0, 0, -1):
+            ending = ITEMS.get(tag, ())
+            searched = open_.get("p") or ending and any(open_.get(name) for name in ending)
+            for k in range(len(stack) - 1 if searched else 0, 0, -1):
                 name = stack[k][0]
-                if name in ending:
+                if name == "p" or name in ending:
                     for gone, _ in stack[k:]:
                         open_[gone] -= 1
                         hidden -= gone in HIDDEN
@@ -139,12 +140,12 @@ def parse(page: str) -> list[Node]:
                 parent.items.append(node)
                 nodes.append(node)
                 stack.append((tag, node))
-                open_[tag] += 1
+                open_[tag] = open_.get(tag, 0) + 1
                 continue
         hidden += tag in HIDDEN
         links += tag == "a"
         stack.append((tag, stack[-1][1]))
-        open_[tag] += 1
+        open_[tag] = open_.get(tag, 0) + 1
     return nodes
 
 
