@@ -24,7 +24,7 @@ def ranked(df: DataFrame, order: Sequence[str | Column], column: str, *, name: s
     table = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     number = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long")
     files = table.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_number", number)
-    before = F.sum("_n").over(Window.orderBy("_number").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_n").over(Window.orderBy("_number", "_file").rowsBetween(Window.unboundedPreceding, -1))
     files = spool(files.select("_file", F.coalesce(before, F.lit(0)).alias("_before")), f"{name}-files")
     out = table.join(F.broadcast(files), "_file").withColumn(column, F.col("_before") + F.col("_at")).drop("_file", "_at", "_before")
     out._spool_path = path
