@@ -186,14 +186,21 @@ def maximal_cliques(edges: DataFrame, *, min_size: int = 3) -> DataFrame:
 
 
 def clique_reads(edges: DataFrame, *, min_size: int = 3) -> DataFrame:
-    """component, clique (0, 1 ... in its component) and members: maximal cliques as virtual reads."""
-    text = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    """component, number (0, 1 ... in the order of all components), clique (0, 1 ... in its component) and members: maximal cliques as virtual reads."""
+    text = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).where("a <> b")
     cliques = maximal_cliques(text, min_size=min_size)
-    home = connected_components(text.where("a <> b")).select(F.col("node").alias("_node"), "component")
+    home = spool(connected_components(text).select(F.col("node").alias("_node"), "component"), "clique-homes")
+    numbers = ranked(home.select("component").distinct(), ["component"], "number", name="clique-numbers")
     rows = cliques.withColumn("_node", F.get("members", F.lit(0))).join(home, "_node").select("component", "members")
     placed = ranked(rows, ["component", "members"], "_place", name="clique-reads")
-    first = spool(placed.groupBy("component").agg(F.min("_place").alias("_first")), "clique-firsts")
-    return placed.join(first, "component").select("component", (F.col("_place") - F.col("_first")).alias("clique"), "members")
+    first = spool(placed.groupBy("component").agg(F.min("_place").alias("_first")).join(numbers, "component"), "clique-firsts")
+    return placed.join(first, "component").select("component", "number", (F.col("_place") - F.col("_first")).alias("clique"), "members")
+
+
+def clique_lines(reads: DataFrame) -> DataFrame:
+    """value: a line for each of clique_reads(), its name v_read_comp<number>_cl<clique> and its members, separated by tabs."""
+    name = F.concat(F.lit("v_read_comp"), F.col("number").cast("string"), F.lit("_cl"), F.col("clique").cast("string"))
+    return reads.select(F.concat_ws("\t", name, F.array_join("members", "\t")).alias("value"))
 
 
 def fitness(tours: DataFrame, sizes: DataFrame, edges: DataFrame) -> DataFrame:

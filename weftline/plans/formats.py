@@ -212,6 +212,12 @@ def _(s, d):
     return s.read.format("bam_records").load(path).select("name", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext")
 
 
+@query("SNK8_slide2raw_bam", sql("SELECT regexp_replace(name, '_[0-9]+$', '') AS name, CASE WHEN name LIKE '%\\_0' ESCAPE '\\' THEN flag ELSE flag | 2048 END AS flag, rname, pos, mapq, cigar FROM sam", also=_SAM))
+def _(s, d):
+    path = _bam_dir(P.slide_to_raw(_sam(s, d)).select("name", "flag", "rname", "pos", "mapq", "cigar"), s, d)
+    return s.read.format("bam_records").load(path).select("name", "flag", "rname", "pos", "mapq", "cigar")
+
+
 @query(
     "LIM2_split_bam",
     sql(

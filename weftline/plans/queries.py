@@ -838,10 +838,22 @@ _CLIQUES = """e AS (SELECT DISTINCT fragment1 AS a, fragment2 AS b FROM f WHERE
  c AS (SELECT [a] AS members, n AS common FROM nb UNION ALL SELECT list_append(c.members, nb.a), list_intersect(c.common, nb.n) FROM (SELECT members, common, unnest(common) AS x FROM c) c JOIN nb ON nb.a = x AND x > c.members[-1])"""
 
 
+_HOMES = """reach AS (SELECT a AS node, a AS l FROM two UNION SELECT two.b, reach.l FROM reach JOIN two ON two.a = reach.node), home AS (SELECT node, min(l) AS comp FROM reach GROUP BY 1), num AS (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS n FROM (SELECT DISTINCT comp FROM home)),
+ k AS (SELECT n, members, row_number() OVER (PARTITION BY n ORDER BY members) - 1 AS cl FROM c JOIN home ON home.node = members[1] JOIN num USING (comp) WHERE len(common) = 0 AND len(members) >= 3)"""
+
+
+def _met(s, d):
+    return R.fragments(roles.pairs(s, d), roles.bed(s, d)).where("fragment1 <> fragment2").select(F.col("fragment1").alias("a"), F.col("fragment2").alias("b")).distinct()
+
+
 @query("GRF6_cliques", sql("SELECT array_to_string(members, ' ') AS members, len(members) AS size FROM c WHERE len(common) = 0 AND len(members) >= 3", "pairs", "bed", also=_FRAG + ", " + _CLIQUES))
 def _(s, d):
-    met = R.fragments(roles.pairs(s, d), roles.bed(s, d)).where("fragment1 <> fragment2").select(F.col("fragment1").alias("a"), F.col("fragment2").alias("b")).distinct()
-    return G.clique_reads(met).select(F.array_join("members", " ").alias("members"), F.size("members").cast("long").alias("size"))
+    return G.clique_reads(_met(s, d)).select(F.array_join("members", " ").alias("members"), F.size("members").cast("long").alias("size"))
+
+
+@query("GRF6_clique_lines", sql("SELECT concat('v_read_comp', n, '_cl', cl, chr(9), array_to_string(members, chr(9))) AS value FROM k", "pairs", "bed", also=_FRAG + ", " + _CLIQUES + ", " + _HOMES))
+def _(s, d):
+    return G.clique_lines(G.clique_reads(_met(s, d)))
 
 
 _TOUR = "tour AS (SELECT cluster, contig, sum(size) OVER (PARTITION BY cluster ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS mid FROM clusters, len)"
