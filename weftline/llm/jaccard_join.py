@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from .common import keyed, small, spool, unspool
 from .components import components
 from .shingling import mix, shingle_sets, slices, word_hashes
+from .sql import words
 
 SHINGLE = 5
 PERCENT = 80
@@ -365,3 +366,19 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs of different sets that share a shingle are counted; ids are taken to be unique and not null.
+OP6_SQL = f"""
+WITH RECURSIVE {words("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+w AS (SELECT doc_id, p, count(*) OVER ahead AS n, md5(array_to_string(list(word) OVER ahead, ' ')) AS h FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, h FROM w WHERE n = 5 OR p = 1),
+d AS (SELECT doc_id, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS same FROM s GROUP BY doc_id),
+c AS (SELECT same, min(doc_id) AS first, min(n) AS n FROM d GROUP BY same),
+u AS (SELECT first, n, h FROM c JOIN s ON s.doc_id = first),
+l AS (SELECT a.first AS x, b.first AS y FROM u AS a JOIN u AS b ON a.h = b.h AND a.first <> b.first GROUP BY a.first, b.first, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT first AS x, first AS y FROM c UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+m AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT documents.doc_id, coalesce(d.n, 0) AS n_shingles, coalesce(m.low, documents.doc_id) AS component_id
+FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id LEFT JOIN c ON c.same = d.same LEFT JOIN m ON m.x = c.first
+"""

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP3_SQL, op3_decontamination
 from .html_text import op10_html_text
-from .jaccard_join import op6_jaccard_join
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .mixing import op7_mixing, op7_sql
 from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_pu import op8_quality_pu
 from .quality_rules import op4_quality_rules
-from .sharding import op12_sharding
-from .substring_dedup import op9_substring_dedup
+from .sharding import OP12_SQL, op12_sharding
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .token_counts import op5_token_counts
 from .token_files import op2_token_ids
 from .tool_calls import op1_tool_calls
-from .turn_repair import op13_turn_repair
+from .turn_repair import op13_sql, op13_turn_repair
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -40,4 +40,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_mixing": op7_sql(), "op11_prefix_trie": OP11_SQL}
+    return {
+        "op3_decontamination": OP3_SQL,
+        "op6_jaccard_join": OP6_SQL,
+        "op7_mixing": op7_sql(),
+        "op9_substring_dedup": OP9_SQL,
+        "op11_prefix_trie": OP11_SQL,
+        "op12_sharding": OP12_SQL,
+        "op13_turn_repair": op13_sql(),
+    }

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
 from .common import free_name, numbered, spool, unspool
+from .sql import CRC_TABLE, crc32
 
 SHARDS = 24
 SEED = 12
@@ -35,12 +36,17 @@ SEED = 12
 RESULT = {"shard", "slot"}
 
 
+def _draw(seed: int, id_: Column) -> Column:
+    """60 bits of an MD5 of seed and id; null for a null id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def interleave(rows: DataFrame, n_shards: int = SHARDS, *, source: Column, id_: Column, ties: tuple[Column, ...] = (), seed: int = SEED) -> DataFrame:
     """rows with shard and slot.  Give it narrow rows: they are sorted twice. ties: what orders rows of the same source and id."""
     rows = rows.drop(*[c for c in rows.columns if c.lower() in RESULT])
     names = {k: free_name(f"_{k}", rows.columns) for k in ("source", "hash", "id", "place", "begin", "n", "rank", "whole", "shard")}
     tied = [free_name(f"_tie{k}", rows.columns) for k in range(len(ties))]
-    keyed = rows.select("*", source.alias(names["source"]), F.xxhash64(F.lit(seed), id_).alias(names["hash"]), id_.alias(names["id"]), *[t.alias(n) for t, n in zip(ties, tied, strict=True)])
+    keyed = rows.select("*", source.alias(names["source"]), _draw(seed, id_).alias(names["hash"]), id_.alias(names["id"]), *[t.alias(n) for t, n in zip(ties, tied, strict=True)])
     order = [names["source"], names["hash"], names["id"], *tied]
     shuffled = ranked(keyed, order, names["place"], name="shard-shuffled")
     of_source = free_name("_of", shuffled.columns)
@@ -89,3 +95,13 @@ def write_shards(docs: DataFrame, out_dir: str, n_shards: int = SHARDS, *, seed:
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+OP12_SQL = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, {crc32("coalesce(text, '')")} AS crc, substr(md5('{SEED}:' || CAST(doc_id AS VARCHAR)), 1, 15) AS h FROM documents, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h NULLS FIRST, doc_id NULLS FIRST, size, crc) AS r, count(*) OVER (PARTITION BY source) AS n FROM d),
+m AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n), source NULLS FIRST, h NULLS FIRST, doc_id NULLS FIRST, size, crc) - 1 AS place, count(*) OVER () AS whole FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(place * {SHARDS} // whole AS INT) AS shard,
+  place - (place * {SHARDS} // whole * whole + {SHARDS - 1}) // {SHARDS} AS slot, CAST(NULL AS INT) AS grown_shard, source FROM m
+"""

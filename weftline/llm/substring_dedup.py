@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import spool, unspool
 from .shingling import slices, window_hashes, word_hashes
+from .sql import words
 
 WINDOW = 20
 #: A perfect difference set.
@@ -174,3 +175,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: A window is known by an MD5 of its words; ids are taken to be unique and not null.
+OP9_SQL = f"""
+WITH {words()},
+w AS (SELECT *, CASE WHEN count(*) OVER ahead = {WINDOW} THEN md5(array_to_string(list(word) OVER ahead, ' ')) END AS h FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+s AS (SELECT *, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS again FROM w),
+g AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM s),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents AS d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
 from .common import SPACES, spool, unspool
+from .sql import CRC_TABLE, crc32
 
 #: Turns of a block.
 BLOCK = 20_000
@@ -292,3 +293,54 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = every.join(gaps, F.col("conv_id").eqNullSafe(F.col("_g")), "left").join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
     zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *_COUNTS)]
     return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(_EMPTY)).alias("repaired_sha256"))
+
+
+def op13_sql() -> str:
+    """A turn at a time: for each role retained last, the least (cost, audit) and what has been repaired so far, carried whole."""
+    never = 1_000_000_000
+    names = {S: "system", U: "user", A: "assistant"}
+    columns = {NOTHING: "n", S: "s", U: "u", A: "a"}
+    kind = "STRUCT(cost BIGINT, audit VARCHAR, lines VARCHAR)"
+
+    def state(cost: str, audit: str, lines: str) -> str:
+        return f"{{'cost': {cost}, 'audit': {audit}, 'lines': {lines}}}"
+
+    def inserted(before: int, to: int) -> list[str]:
+        other = {U: "assistant", A: "user"}[to]
+        return [other] * BEFORE[to][before]
+
+    def after(to: int) -> str:
+        c = columns[to]
+        options = [state(f"x.{c}.cost + {DELETE}", f"x.{c}.audit || 'D'", f"x.{c}.lines")]
+        for before in ([] if to == NOTHING else [NOTHING] if to == S else columns):
+            b, put = columns[before], [] if to == S else inserted(before, to)
+            empty = "".join(f" || chr(10) || '{r}:'" for r in put)
+            own = f"CASE WHEN f.fault = {CUT_OFF} THEN {TRUNCATED} ELSE 0 END + {INSERT * len(put)}"
+            for letter, price, role, fits in (("K", KEEP, "f.role", f"f.initial = '{c}'"), ("R", REROLE, f"'{names[to]}'", "false" if to == S else "true")):
+                cost = f"CASE WHEN {fits} AND f.fault IN ({FINE}, {CUT_OFF}) THEN x.{b}.cost + {price} + {own} ELSE {never} END"
+                options.append(state(cost, f"x.{b}.audit || '{'I' * len(put)}{letter}'", f"x.{b}.lines{empty} || chr(10) || {role} || ':' || f.text"))
+        return f"CAST(list_sort([{', '.join(options)}])[1] AS {kind}) AS {c}"
+
+    begin = ", ".join(f"CAST({state(str(0 if t == NOTHING else never), chr(39) * 2, chr(39) * 2)} AS {kind}) AS {c}" for t, c in columns.items())
+    ends = []
+    for t, c in columns.items():
+        tail = {0: [], 1: ["assistant"], 2: ["user", "assistant"]}[AT_END[t]]
+        ends.append(state(f"x.{c}.cost + {INSERT * len(tail)}", f"x.{c}.audit || '{'I' * len(tail)}'", f"x.{c}.lines" + "".join(f" || chr(10) || '{r}:'" for r in tail)))
+    spaces = " || ".join(f"chr({ord(c)})" for c in " " + SPACES)
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k, (SELECT unnest([0, 1]) AS again) WHERE kind <> 0 AND (again = 0 OR kind = 3)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(concat_ws(':', coalesce(CAST(conv_id AS VARCHAR), ''), octet_length(encode(role)), role, text))) AS p FROM d),
+q AS (SELECT *, left(role, 1) AS initial, right(rtrim(text, {spaces}), 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS nth FROM p),
+f AS (SELECT *, CASE WHEN last = '' THEN {BLANK} WHEN nth > 1 THEN {DUPLICATE} WHEN last IN ('.', '!', '?') THEN {FINE} ELSE {CUT_OFF} END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY p) AS above FROM q),
+c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = {BLANK}) AS blank, count(*) FILTER (fault = {DUPLICATE}) AS duplicate,
+  count(*) FILTER (fault = {CUT_OFF}) AS truncated, count(*) FILTER (above IS NOT NULL AND above || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+x AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {begin} FROM c
+  UNION ALL SELECT x.conv_id, x.i + 1, {", ".join(after(t) for t in columns)} FROM x JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.p = x.i + 1),
+e AS (SELECT c.*, list_sort([{", ".join(ends)}])[1] AS best FROM x JOIN c ON c.conv_id IS NOT DISTINCT FROM x.conv_id AND c.n = x.i)
+SELECT o.conv_id, {", ".join(f"CAST(coalesce({k}, 0) AS BIGINT) AS {k}" for k in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(substr(best.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
