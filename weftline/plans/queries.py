@@ -619,25 +619,59 @@ def _(s, d):
     return S.sam_to_fastq(t, fasta=True)
 
 
-@query("STR13_minimizers")
+def _minimizers_sql(k: int, w: int) -> str:
+    """sk: name, pos, rev, hash.  A k-mer's hash gathers its bases' numbers, each turned by its place; a run's least hash comes with its place behind it."""
+    bases = [int(x) for x in A._SEEDS[:4]]
+
+    def turned(x: int, r: int) -> int:
+        return (x << r | x >> 64 - r) & (1 << 64) - 1
+
+    numbers = [f"({c}, {j}, {turned(bases[c], k - 1 - j)}::UBIGINT, {turned(bases[3 - c], j)}::UBIGINT)" for c in range(4) for j in range(k)]
+    return f"""turned AS (SELECT * FROM (VALUES {", ".join(numbers)}) AS v(c, j, ahead, back)),
+base AS (SELECT name, unnest(q) AS c, generate_subscripts(q, 1) - 1 AS p FROM (SELECT name, list_transform(string_split(seq, ''), lambda x: strpos('ACGT', x) - 1) AS q FROM fasta WHERE seq <> '')),
+kmer AS (SELECT name, p - j AS p, bit_xor(ahead) AS ahead, bit_xor(back) AS back FROM base JOIN turned USING (c) WHERE p >= j GROUP BY name, p - j HAVING count(*) = {k}),
+least_of AS (SELECT name, p, min(least(ahead, back)::UHUGEINT * 1099511627776::UHUGEINT + p::UHUGEINT) OVER run AS low, count(*) OVER run AS m, count(*) OVER (PARTITION BY name) AS n FROM kmer
+  WINDOW run AS (PARTITION BY name ORDER BY p ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING)),
+chosen AS (SELECT DISTINCT name, CAST(low % 1099511627776::UHUGEINT AS BIGINT) AS p FROM least_of WHERE m = least({w}, n)),
+sk AS (SELECT name, p AS pos, back < ahead AS rev, CAST(least(ahead, back)::HUGEINT - CASE WHEN least(ahead, back) >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT) AS hash FROM kmer JOIN chosen USING (name, p)),
+often AS (SELECT hash, count(*) AS n FROM sk GROUP BY hash),
+mz AS (SELECT name, count(*) AS minimizers, count(*) FILTER (n = 1) AS unique_minimizers FROM sk JOIN often USING (hash) GROUP BY name),
+anchor AS (SELECT a.name AS contig1, b.name AS contig2, a.pos AS pos1, b.pos AS pos2, a.rev <> b.rev AS rev FROM sk AS a JOIN sk AS b ON a.hash = b.hash AND a.name < b.name JOIN often ON often.hash = a.hash WHERE n <= 1000)"""
+
+
+_MINIMIZERS = _minimizers_sql(19, 19)
+#: The longest increasing chains of anchors, an anchor at a time: the ends of the best chains of each length, and the first of them that isn't below the new one gives way to it.
+_CHAINS = """turn AS (SELECT *, CASE WHEN rev THEN -pos2 ELSE pos2 END AS v FROM anchor),
+link AS (SELECT *, row_number() OVER (PARTITION BY contig1, contig2, rev ORDER BY pos1, v DESC) AS i, count(*) OVER (PARTITION BY contig1, contig2, rev) AS n FROM turn),
+chain AS (SELECT contig1, contig2, rev, i, n, [v] AS ends FROM link WHERE i = 1 AND n >= 5
+  UNION ALL SELECT l.contig1, l.contig2, l.rev, l.i, l.n, list_concat(list_concat(list_filter(c.ends, lambda e: e < l.v), [l.v]), c.ends[len(list_filter(c.ends, lambda e: e < l.v)) + 2:])
+  FROM chain AS c JOIN link AS l ON l.contig1 = c.contig1 AND l.contig2 = c.contig2 AND l.rev = c.rev AND l.i = c.i + 1),
+scored AS (SELECT contig1, contig2, rev, a.minimizers AS mz1, b.minimizers AS mz2, len(ends) AS mz_shared, pow(2.0::DOUBLE * len(ends) / (a.minimizers + b.minimizers), 1.0::DOUBLE / 19) AS similarity
+  FROM chain JOIN mz AS a ON a.name = contig1 JOIN mz AS b ON b.name = contig2 WHERE i = n),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY contig1, contig2 ORDER BY similarity DESC, rev) = 1),
+one AS (SELECT contig1, contig2, mz1, mz2, mz_shared, round(similarity, 6) AS similarity, CAST(CASE WHEN rev THEN -1 ELSE 1 END AS INT) AS strand FROM best WHERE similarity >= 0.85)"""
+_SKETCH_SQL = sql("SELECT name, pos, rev, hash FROM sk", "fasta", also=_MINIMIZERS)
+
+
+@query("STR13_minimizers", _SKETCH_SQL)
 def _(s, d):
     return A.sketch(roles.fasta(s, d), 19, 19)
 
 
-@query("AGG20_minimizer_counts")
+@query("AGG20_minimizer_counts", sql("SELECT * FROM mz", "fasta", also=_MINIMIZERS))
 def _(s, d):
     return A.minimizer_counts(A.sketch(roles.fasta(s, d), 19, 19))
 
 
-@query("JOIN13_minimizer_anchors")
+@query("JOIN13_minimizer_anchors", sql("SELECT * FROM anchor", "fasta", also=_MINIMIZERS))
 def _(s, d):
     return A.anchors(A.sketch(roles.fasta(s, d), 19, 19))
 
 
-@query("GRF4_alleles")
+@query("GRF4_alleles", sql("SELECT * FROM one UNION ALL SELECT contig2, contig1, mz2, mz1, mz_shared, similarity, strand FROM one", "fasta", also=_MINIMIZERS + ",\n" + _CHAINS))
 def _(s, d):
     k = A.sketch(roles.fasta(s, d), 19, 19)
-    return A.similarities(A.anchors(k), A.minimizer_counts(k))
+    return A.similarities(A.anchors(k), A.minimizer_counts(k)).withColumn("similarity", F.round("similarity", 6))
 
 
 # The first and the sixth C of a read as sequenced are called with enough probability, the third isn't.
@@ -953,7 +987,7 @@ def _(s, d):
     return ranked(roles.sizes(s, d), ["contig"], "place")
 
 
-@query("STR13_tile_minimizers")
+@query("STR13_tile_minimizers", _SKETCH_SQL)
 def _(s, d):
     return A.sketch_tiles(tiles_of(roles.fasta(s, d), tile=200, left=18, right=36), 200, 19, 19)
 
