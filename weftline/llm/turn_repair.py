@@ -18,7 +18,8 @@ A stretch of turns acts on the states as a matrix of costs and ranks, and matric
 multiplied: turns are cut into blocks of BLOCK places in the order of (conversation,
 turn).  A conversation that reaches over blocks has its matrices made block by block, in
 any tasks, and combined, which gives each block the states that it starts and ends in;
-then every block is repaired by itself.  A task holds a block of turns without texts, and
+then every block is repaired by itself.  Steps recur, so each is worked out once in a task
+and kept (_Machine).  A task holds a block of turns without texts, and
 a conversation's edits only in its audit.
 
 Defined cases: turns are ordered null first, ties by role and by a hash of the text.  A
@@ -106,6 +107,43 @@ def _step(live: dict, state: int, fault: int) -> dict:
     return {t: (best[t][0], k, *best[t][2:]) for k, (_, t) in enumerate(ranks)}
 
 
+class _Machine:
+    """The steps as moves between sets of states, each worked out once.
+
+    Costs are kept as differences to the least, so sets recur.  What can't lead to the
+    cheapest repair goes: an A can do all that S can, and all that NOTHING can but keep an s,
+    which it can delete.  Then differences are bounded and the sets are few.
+    """
+
+    def __init__(self) -> None:
+        self.sets: list[dict] = []
+        self.numbers: dict[tuple, int] = {}
+        self.moves: dict[tuple, tuple] = {}
+
+    def number(self, live: dict) -> int:
+        """live: {state: (cost, rank)}."""
+        key = tuple(sorted((t, *v) for t, v in live.items()))
+        if key not in self.numbers:
+            self.numbers[key] = len(self.sets)
+            self.sets.append(live)
+        return self.numbers[key]
+
+    def move(self, at: int, state: int, fault: int) -> tuple[int, int, dict]:
+        """The set after one more turn, the cost that all of its states share, and {state: (state before, edits)}."""
+        key = (at, state, fault)
+        found = self.moves.get(key)
+        if found is None:
+            after = _step(self.sets[at], state, fault)
+            if A in after:
+                spare = {S: 0, NOTHING: DELETE}
+                after = {t: v for t, v in after.items() if v[0] <= after[A][0] + spare.get(t, v[0])}
+            least = min(v[0] for v in after.values())
+            order = sorted(after, key=lambda t: after[t][1])
+            number = self.number({t: (after[t][0] - least, k) for k, t in enumerate(order)})
+            found = self.moves[key] = number, least, {t: v[2:] for t, v in after.items()}
+        return found
+
+
 def _end(live: dict) -> int:
     """The state that the cheapest repair ends in."""
     return min(live, key=lambda t: (live[t][0] + INSERT * AT_END[t], live[t][1]))
@@ -140,16 +178,19 @@ _MATRIX = pa.schema([("conv_id", pa.int64()), ("_block", pa.int64()), ("costs",
 
 
 def _matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Costs (-1: can't be) and ranks of a block's ends by its starts, four by four."""
+    """Costs (-1: can't be, or can't be the cheapest) and ranks of a block's ends by its starts, four by four."""
+    machine = _Machine()
 
     def rows() -> Iterator[tuple]:
         for (conv, block), turns in _groups(batches, 2):
             costs, ranks = [], []
             for start in range(4):
-                live = {start: (0, 0)}
+                at, total = machine.number({start: (0, 0)}), 0
                 for _, state, fault in turns:
-                    live = _step(live, state, fault)
-                costs += [live[t][0] if t in live else -1 for t in range(4)]
+                    at, least, _ = machine.move(at, state, fault)
+                    total += least
+                live = machine.sets[at]
+                costs += [total + live[t][0] if t in live else -1 for t in range(4)]
                 ranks += [live[t][1] if t in live else -1 for t in range(4)]
             yield conv, block, costs, ranks
 
@@ -190,18 +231,19 @@ _EDITS = pa.schema([("_place", pa.int64()), ("edits", pa.string()), ("roles", pa
 
 def _edits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edits at each turn and the role that each of them gives (null: none, or its own)."""
+    machine = _Machine()
 
     def rows() -> Iterator[tuple]:
         for _, turns in _groups(batches, 2):
             _, _, _, enter, leave, last = turns[0]
-            live, steps = {NOTHING if enter is None else enter: (0, 0)}, []
+            held, steps = machine.number({NOTHING if enter is None else enter: (0, 0)}), []
             for _, state, fault, *_ in turns:
-                live = _step(live, state, fault)
-                steps.append(live)
-            at = _end(live) if leave is None else leave
+                held, _, came = machine.move(held, state, fault)
+                steps.append(came)
+            at = _end(machine.sets[held]) if leave is None else leave
             extra = "I" * AT_END[at] if last or leave is None else ""
             for (place, *_), step in zip(reversed(turns), reversed(steps), strict=True):
-                _, _, before, edits = step[at]
+                before, edits = step[at]
                 # A role follows from what stands before: an inserted turn leads from the state before to the state after.
                 roles: list = [None] * len(edits)
                 for k in range(len(edits) - 1):
