@@ -198,6 +198,44 @@ def test_jaccard_small_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_jaccard_unlinked_group_meets_few_places(spark, monkeypatch):
+    """Hashes of many like texts that don't link are joined with one place, not with each block of the texts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3000)
+    monkeypatch.setattr(jaccard_join, "PART", 3000)
+    most, written = [], jaccard_join.spool
+
+    def watched(df, name):
+        out = written(df, name)
+        if name == "set-places":
+            most.append(out.groupBy("h").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "spool", watched)
+    passage = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    texts = [f"{passage('a', 300)} {passage(f'b{i}', 50)} {passage(f'c{j}', 50)}" for i in range(6) for j in range(6)]
+    texts.append(texts[7].replace("c1x", "d", 9))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, texts)).collect()}
+    assert got == {i: i for i in range(36)} | {36: 7}
+    assert most == [1]
+
+
+def test_jaccard_many_small_blocks_same_result(spark, monkeypatch):
+    """Blocks and parts of any size, and links that the first search leaves to the second, give the same components."""
+    d = documents(spark, corpus(4) + corpus(5))
+    want = {tuple(r) for r in jaccard_join.jaccard_components(d).collect()}
+    monkeypatch.setattr(jaccard_join, "BLOCK", 600)
+    monkeypatch.setattr(jaccard_join, "PART", 500)
+    real, calls = jaccard_join._search, []
+
+    def second_only(held, members, routes):
+        calls.append(1)
+        return real(held, members, routes.where("false") if len(calls) == 1 else routes)
+
+    monkeypatch.setattr(jaccard_join, "_search", second_only)
+    assert {tuple(r) for r in jaccard_join.jaccard_components(d).collect()} == want
+    assert len(calls) == 2
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(documents(spark, [])).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (4, "a B c d e f"), (6, None)], "doc_id long, text string")

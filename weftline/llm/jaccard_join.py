@@ -15,10 +15,11 @@ or more.  No link is lost and no group of copies is expanded into pairs:
    group of near copies through stars instead of pairs.
 4. Second search, between different components only.  Documents with too few hashes
    in other components drop out, first by their prefixes, then by their whole sets.
-   The rest are sent to each block that holds enough of their rarest hashes in other
-   components.  Blocks are as many as the hashes of their documents need, and the documents
-   searched for in a block come in parts bounded by their hashes, so a task holds a
-   bounded number of bytes besides one document.
+   The rest are dealt into blocks by the most frequent of their rarest hashes, so that
+   texts with a passage in common are together, and are sent to each place that holds enough of
+   their rarest hashes in components of smaller number.  Blocks are as many as the hashes of
+   their documents need, and the documents searched for in a block come in parts bounded by
+   their hashes, so a task holds a bounded number of bytes besides one document.
 5. The search is DivideSkip: the inverted lists of a block that belong to the sought
    set are ordered by length; the longest are put aside, the short ones are merged
    with a heap, whatever occurs T - L times in them is looked up in the long ones by
@@ -250,6 +251,32 @@ def _search(held: DataFrame, members: DataFrame, routes: DataFrame) -> DataFrame
     return links
 
 
+def _routes(rare: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Second search: (id, block) of all documents, (id, n, block) of what is searched for, and the written tables behind them.
+
+    rare: id, comp, n, hs, key.  A place is a key of more than BLOCK, cut into several blocks,
+    or all smaller keys of one hash value, which are one block.  Hashes are joined with places,
+    not with blocks, so the hashes of a large group of like texts meet one place, however many
+    blocks it has; only its documents are repeated for these.  Of two components that link, the
+    one with the larger number searches for the other.
+    """
+    docs = rare.select("id", "n", "key").distinct()
+    large = spool(docs.groupBy("key").agg(F.ceil(_weight() / BLOCK).cast("long").alias("cuts")).where("cuts > 1"), "set-large-keys")
+    n_blocks = _blocks(docs.agg(_weight()).first()[0])
+    cuts = small(large, BROADCAST_ROWS)
+    place = F.when(F.col("cuts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(n_blocks))).alias("place")
+    block, one = F.xxhash64("place", "cut").alias("block"), F.lit(1).cast("long")  # an int hashes otherwise than a long
+    at_key = rare.join(cuts, "key", "left")
+    placed = at_key.select("id", place, F.pmod(F.xxhash64("id"), F.coalesce("cuts", one)).alias("cut"))
+    placed = spool(placed.select("id", block).distinct(), "set-blocks")
+    at = spool(at_key.select("comp", place, F.explode("hs").alias("h")).groupBy("h", "place").agg(F.min("comp").alias("low")), "set-places")
+    # A set has each hash once, so rows are distinct hashes; a hot one's partition can be split.
+    met = rare.select("id", "comp", "n", F.explode("hs").alias("h")).join(at, "h").where("low < comp").groupBy("id", "n", "place").agg(F.count("*").alias("met"))
+    found = met.where(F.col("met") >= least_marked("n")).join(cuts, F.col("place") == F.col("key"), "left")
+    each = found.select("id", "n", "place", F.explode(F.sequence(one - 1, F.coalesce("cuts", one) - 1)).alias("cut"))
+    return placed, each.select("id", "n", block), [placed, at, large]
+
+
 def _written_components(links: DataFrame, name: str) -> DataFrame:
     found = components(links)
     out = spool(found, name)
@@ -309,25 +336,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     unspool(active, likely)
     wide, tokens = tokens, spool(_narrow(tokens.select("id", "comp", "n", "h"), need_of("n")), "set-tokens")
     unspool(wide)
-    left = spool(_docs(tokens), "set-left")
-    n_blocks = _blocks(left.agg(_weight()).first()[0])
     # Of each set the rarest hashes: linked sets share the first k of their common ones inside both cuts.
     order = F.sort_array(F.collect_set(F.struct("df", "h")))
-    rare = tokens.groupBy("id", "comp", "n").agg(order.alias("a"))
-    rare = rare.select("id", "comp", "n", F.explode(F.slice("a", F.lit(1), (F.size("a") - need_of("n") + F.ceil(F.col("n") / 10)).cast("int"))).alias("x"))
-    rare = spool(rare.select("id", "comp", "n", "x.h"), "set-rare")
+    cut = F.slice("a", F.lit(1), (F.size("a") - need_of("n") + F.ceil(F.col("n") / 10)).cast("int"))
+    rare = tokens.groupBy("id", "comp", "n").agg(order.alias("a")).select("id", "comp", "n", cut.alias("a"))
+    # Key of a document: the most frequent of them.  Those of one passage or one group of copies have one key.
+    rare = spool(rare.select("id", "comp", "n", F.col("a.h").alias("hs"), F.element_at("a", -1)["h"].alias("key")), "set-rare")
     unspool(tokens)
-    # Block of a document: by component, so that a group of copies is together; a large one is cut.
-    sizes = left.groupBy("comp").agg(F.ceil(_weight() / BLOCK).cast("int").alias("cuts"))
-    placed = left.join(sizes, "comp").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
-    placed = spool(placed.select("id", F.pmod(F.xxhash64("comp", "cut"), F.lit(n_blocks)).alias("block")).distinct(), "set-blocks")
-    unspool(left)
-    at = spool(rare.join(placed, "id").groupBy("h", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")), "set-places")
-    # A set has each hash once, so rows are distinct hashes; a hot one's partition can be split.
-    met = rare.join(at, "h").where("low <> comp or high <> comp").groupBy("id", "n", "block").agg(F.count("*").alias("met"))
-    routes = met.where(F.col("met") >= least_marked("n")).select("id", "n", "block")
+    placed, routes, wide = _routes(rare)
     second = _written_components(_search(held, placed, routes), "second-components")
-    unspool(sets, rare, placed, at)
+    unspool(sets, rare, *wide)
 
     # Document -> class -> first component -> second component.
     named = first.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
