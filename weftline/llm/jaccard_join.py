@@ -339,7 +339,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Of each set the rarest hashes: linked sets share the first k of their common ones inside both cuts.
     order = F.sort_array(F.collect_set(F.struct("df", "h")))
     cut = F.slice("a", F.lit(1), (F.size("a") - need_of("n") + F.ceil(F.col("n") / 10)).cast("int"))
-    rare = tokens.groupBy("id", "comp", "n").agg(order.alias("a")).select("id", "comp", "n", cut.alias("a"))
+    # Texts of one id and size that are few hashes together have no links.
+    rare = tokens.groupBy("id", "comp", "n").agg(order.alias("a")).where(F.size("a") >= need_of("n")).select("id", "comp", "n", cut.alias("a"))
     # Key of a document: the most frequent of them.  Those of one passage or one group of copies have one key.
     rare = spool(rare.select("id", "comp", "n", F.col("a.h").alias("hs"), F.element_at("a", -1)["h"].alias("key")), "set-rare")
     unspool(tokens)
