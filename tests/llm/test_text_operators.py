@@ -117,6 +117,36 @@ def test_token_files_edges(spark, tmp_path):
     assert [r.doc_id for r in token_files.read_token_files(spark, f"file://{tmp_path}/b", m).orderBy("start").collect()] == [None, 3, 3, 3]
 
 
+def test_encoder_cuts(library):
+    """Cuts before white space and punctuation leave the library's ids as they are."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    signs = [*" \n\t\r", *"aZ7_'.,!-\x7f\x1c\x00", *"\x85\xa0\u1680\u2003\u200b\u2028\u205f\u3000\u180e", *"éß×÷Ωж漢\u0301²—”€😀", "'s", "'ll", "the", "\r\n", "  "]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(4_000)] + [None, "", " ", "<|endoftext|>", "a. <|endoftext|>\n b", "\n", "it's '' ''s.", "é,", "×,"]
+    r.shuffle(texts)
+    encoder = token_files.ChunkEncoder(token_files.default_tokenizer())
+    column = pa.array(texts)
+    got = encoder.encode(column.slice(0, 1_500)) + encoder.encode(column.slice(1_500))
+    assert got == encoder.library([t or "" for t in texts])
+    assert encoder.encode(pa.array(["", None])) == [b"", b""]
+    assert encoder.encode(pa.array(["<|endoftext|>"])) == encoder.library(["<|endoftext|>"])
+
+
+def test_encoder_learns_words_once(library):
+    """A word with other marks behind it isn't new: 1,000 words and 20 marks are 1,020 chunks, not 20,000."""
+    import pyarrow as pa
+
+    encoder = token_files.ChunkEncoder(token_files.default_tokenizer())
+    learnt, learn = [], encoder.learn
+    encoder.learn = lambda new: learn(learnt.extend(new) or new)
+    marks = ["." * k + "," for k in range(10)] + ["!" * k + "?" for k in range(10)]
+    texts = ["".join(f" x{chr(97 + k // 100)}{chr(97 + k // 10 % 10)}{chr(97 + k % 10)}{m}" for k in range(1_000)) for m in marks]
+    got = encoder.encode(pa.array(texts))
+    assert len(learnt) == len(set(learnt)) == 1_020
+    assert got == encoder.library(texts)
+
+
 def plain_stats(t):
     t = t or ""
     w = WORD.findall(t)

@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import Memo, chunks
+from .chunks import Memo, places
 from .common import new_path, spool
 from .shingling import slices
 
@@ -96,28 +97,49 @@ class ChunkEncoder:
             part = rest[begin : begin + 20_000]
             yield from zip(part, self.library(part), strict=True)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
-        memo, old = self.memo, self.memo.old
-        #: What these texts need, apart from the memo: a table that fits the cache.
-        here = {"": b""}
-        recalled, new = {}, []
-        for p in {p for row in pieces if row for p in row}:
-            ids = memo.get(p)
-            if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    if p:
-                        new.append(p)
-                    continue
-                recalled[p] = ids
-            here[p] = ids
-        recalled.update(self.learn(new))
-        here.update(recalled)
-        memo.make_room(len(recalled))
-        memo.update(recalled)
-        get = here.__getitem__
-        return [self.library([t])[0] if row is None else b"".join(map(get, row)) for t, row in zip(texts, pieces, strict=True)]
+    def known(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        found = list(map(self.memo.get, distinct))
+        missing = [c for c, ids in zip(distinct, found, strict=True) if ids is None]
+        old = self.memo.old
+        fresh = {c: ids for c in missing if (ids := old.get(c)) is not None}
+        fresh.update([(c.encode(), ids) for c, ids in self.learn([c.decode() for c in missing if c not in fresh])])
+        self.memo.make_room(len(fresh))
+        self.memo.update(fresh)
+        return [fresh[c] if ids is None else ids for c, ids in zip(distinct, found, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array.
+
+        All texts are cut in one go; chunks are numbered by Arrow, so that Python sees each
+        distinct one once, and the ids are put together by number.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            odd |= np.asarray(pc.match_substring(texts, s))
+        whole = np.flatnonzero(odd).tolist()
+        others = pc.if_else(pa.array(odd), "", texts) if whole else texts
+        offsets = np.frombuffer(others.buffers()[1], dtype=np.int64)[others.offset : others.offset + len(others) + 1]
+        first = int(offsets[0])
+        data = np.frombuffer(others.buffers()[2] or b"", dtype=np.uint8)[first : int(offsets[-1])]
+        offsets = offsets - first
+        begins = places(data, offsets)
+        found = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)]
+        ).dictionary_encode()
+        known = self.known(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at, number = np.cumsum(sizes) - sizes, found.indices.to_numpy()
+        counts = sizes[number]
+        ends = np.append(0, np.cumsum(counts))
+        steps = np.repeat(at[number] - ends[:-1], counts) + np.arange(ends[-1])
+        raw = np.frombuffer(b"".join(known), dtype="<u4")[steps].tobytes()
+        edges = (ends[np.searchsorted(begins, offsets)] * 4).tolist()
+        out = [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+        for k in whole:
+            out[k] = self.library([texts[k].as_py()])[0]
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -254,8 +276,7 @@ def write_token_files(
                     sink = fs.open_output_stream(own)
                     writer = FrameWriter(sink, frame_tokens, level)
                 doc_ids = batch.column(0).slice(begin, stop - begin).to_pylist()
-                texts = [t or "" for t in batch.column(1).slice(begin, stop - begin).to_pylist()]
-                for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
+                for doc_id, ids in zip(doc_ids, encode(batch.column(1).slice(begin, stop - begin)), strict=True):
                     writer.add(NULL_ID if doc_id is None else doc_id, ids + end)
         if writer is None:
             return
