@@ -1,5 +1,6 @@
 """Hand-made cases for operators that SQL can't express, and properties."""
 
+import itertools
 import random
 import struct
 import zlib
@@ -102,6 +103,47 @@ def test_kprune(spark):
     assert prune.kprune(a, c, whitelist=w).count() == 0 and prune.kprune(a, c, whitelist=w, partial_whitelist=True).count() == 2
 
 
+def test_small_matchings_equal_large_ones(monkeypatch):
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        w = r.integers(0, 4, (r.integers(1, 7), r.integers(1, 7))).astype(float)
+        small = prune.best_matching(w)
+        monkeypatch.setattr(prune, "SMALL", 0)
+        assert prune.best_matching(w) == small
+        monkeypatch.undo()
+
+
+def test_cells_of_any_best_matching():
+    r = random.Random(4)
+    for _ in range(300):
+        n, m = r.randint(1, 5), r.randint(1, 5)
+        w = np.array([[r.choice((0, 0, 1, 2, 3)) for _ in range(m)] for _ in range(n)], dtype=float)
+        if n > m:
+            ways = [{(i, j) for j, i in enumerate(p)} for p in itertools.permutations(range(n), m)]
+        else:
+            ways = [set(enumerate(p)) for p in itertools.permutations(range(m), n)]
+        totals = [sum(w[c] for c in way) for way in ways]
+        wanted = set().union(*[way for way, t in zip(ways, totals) if t == max(totals)])
+        assert {(int(i), int(j)) for i, j in zip(*np.nonzero(prune.in_best_matchings(w)))} == wanted
+        cells = [(f"a{i}", f"b{j}", float(w[i, j])) for i in range(n) for j in range(m) if w[i, j]]
+        assert prune.matched_cells(cells) == {(f"a{i}", f"b{j}") for i, j in wanted if w[i, j]}
+
+
+def test_kprune_matches_large_groups_once(spark):
+    # Two groups of 40: a matrix of 1,600 cells for each of 1,600 pairs would be 2,560,000 rows.
+    names = {g: [f"{g}{k:02d}" for k in range(40)] for g in "ab"}
+    alleles = [(x, y, 1, 9, 9, 8, 0.9) for g in names.values() for x in g for y in g if x != y]
+    a = spark.createDataFrame(alleles, "contig1 string, contig2 string, ordinal int, mz1 long, mz2 long, mz_shared long, similarity double")
+    r = random.Random(6)
+    w = np.array([[r.random() for _ in range(40)] for _ in range(40)])
+    c = spark.createDataFrame([(names["a"][i], names["b"][j], float(w[i, j])) for i in range(40) for j in range(40)], "contig1 string, contig2 string, value double")
+    got = {(x.contig1, x.contig2) for x in prune.kprune(a, c).collect()}
+    kept = {(names["a"][i], names["b"][j]) for i, j in prune.best_matching(w)}
+    assert got == {(x, y) for x in names["a"] for y in names["b"]} - kept
+    plan = prune.kprune(a, c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+
+
 def test_components_and_cliques(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (8, 9), (9, 7)], "a long, b long")
     assert {(r.node, r.component) for r in graph.connected_components(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
