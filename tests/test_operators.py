@@ -3,6 +3,7 @@
 import itertools
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +104,21 @@ def test_kprune(spark):
     assert prune.kprune(a, c, whitelist=w).count() == 0 and prune.kprune(a, c, whitelist=w, partial_whitelist=True).count() == 2
 
 
+def test_scores_in_step_equal_single_ones():
+    r = random.Random(1)
+    dna = lambda n, letters="ACGT": "".join(r.choice(letters) for _ in range(n))
+    pairs_ = []
+    for _ in range(400):
+        b = dna(r.choice((0, 1, 2, 3, 8, 20, 60, 100)))
+        a = "".join(c if r.random() > 0.1 else r.choice(("", "A", c + "G")) for c in b) if r.random() < 0.7 else dna(r.choice((0, 1, 5, 40)), "AC")
+        pairs_.append((a[r.randrange(4) :], b))
+    for options in ({}, {"band": 0}, {"band": 2, "gap_open": -1}, {"gap_extend": -3}):
+        assert rescue.banded_scores(pairs_, **options).tolist() == [rescue.banded_score(a, b, **options) for a, b in pairs_]
+    start = time.process_time()
+    rescue.banded_scores([(dna(300), dna(302)) for _ in range(1000)])
+    assert time.process_time() - start < 2  # one after the other it takes over 5 s
+
+
 def test_small_matchings_equal_large_ones(monkeypatch):
     r = np.random.default_rng(3)
     for _ in range(300):

@@ -241,6 +241,77 @@ def banded_score(a: str, b: str, *, band: int = 5, match: int = 2, mismatch: int
     return int(h.max())
 
 
+def banded_scores(pairs: list[tuple[str, str]], *, band: int = 5, match: int = 2, mismatch: int = -5, gap_open: int = -2, gap_extend: int = -1) -> np.ndarray:
+    """banded_score() of many pairs (a, b), row by row of all at once."""
+    out = np.zeros(len(pairs), np.int64)
+    width = np.array([max(band, abs(len(b) - len(a)) + band) for a, b in pairs], np.int64)
+    rows = np.array([len(a) for a, _ in pairs], np.int64)
+    order = np.lexsort((-rows, np.ceil(np.log(np.maximum(width, 1)) / np.log(1.3))))
+    at = 0
+    while at < len(order):
+        # Bands of about one width, and no more text than fits.
+        group, most, widest = [], 0, 0
+        while at < len(order) and len(group) < 4096:
+            k = int(order[at])
+            most, widest = max(most, len(pairs[k][1]), int(rows[k])), max(widest, int(width[k]))
+            if group and (width[k] > 1.4 * width[group[0]] + 1 or width[group[0]] > 1.4 * width[k] + 1 or (most + 4 * widest) * (len(group) + 1) > 1 << 25):
+                break
+            group.append(k)
+            at += 1
+        group.sort(key=lambda k: -rows[k])
+        out[group] = _scores_in_step([pairs[k] for k in group], width[group], match, mismatch, gap_open, gap_extend)
+    return out
+
+
+def _scores_in_step(pairs: list[tuple[str, str]], width: np.ndarray, match: int, mismatch: int, gap_open: int, gap_extend: int) -> np.ndarray:
+    """Scores of pairs that come by falling length of a.  Row i holds of each the columns i - w to i + w, where w is the largest width."""
+    low, w = -(10**9), int(width.max())
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    wide, many = 2 * w + 1, len(pairs)
+    a, b = np.zeros((int(n.max()), many), np.uint8), np.zeros((max(int(m.max()), int(n.max())) + 2 * wide, many), np.uint8)
+    for k, (x, y) in enumerate(pairs):
+        a[: n[k], k] = np.frombuffer(x.encode("latin-1", "replace"), np.uint8)
+        b[w : w + m[k], k] = np.frombuffer(y.encode("latin-1", "replace"), np.uint8)
+    d = np.arange(wide)[:, None]
+    in_band = np.abs(d - w) <= width
+    h = np.where((d >= w) & (d - w <= m), 0, low).astype(np.int32)
+    e = np.full((wide, many), low, np.int32)
+    # The best gap along b from columns left of the rows held, in steps of d as below.
+    left = np.full(many, 2 * low, np.int64)
+    step = (d * gap_extend).astype(np.int32)
+    out = h.max(axis=0).astype(np.int64)
+    active = many
+    for i in range(1, int(n.max(initial=0)) + 1):
+        if n[active - 1] < i:
+            active = int(np.searchsorted(-n, -i, side="right"))
+            h, e, left, in_band, m = h[:, :active].copy(), e[:, :active].copy(), left[:active], in_band[:, :active].copy(), m[:active]
+        # A column that is left behind goes on downwards only.
+        gone = np.maximum(e[0], h[0] + gap_open) + gap_extend
+        left = np.maximum(left + 2 * gap_extend, np.where(i - 1 - w >= 0, gone.astype(np.int64) + gap_open + gap_extend, 2 * low))
+        new = h + np.where(b[i - 1 : i - 1 + wide, :active] == a[i - 1, :active], np.int32(match), np.int32(mismatch))
+        e[:-1] = np.maximum(e[1:], h[1:] + gap_open) + gap_extend
+        # The new column has been above the band: a gap from the first row on.
+        e[-1] = gap_open + i * gap_extend
+        np.maximum(new, e, out=new)
+        lead = new - step
+        lead += gap_open
+        lead[0] = np.maximum(lead[0], left)
+        np.maximum.accumulate(lead, axis=0, out=lead)
+        lead[:-1] += step[1:]
+        np.maximum(new[1:], lead[:-1], out=new[1:])
+        new[0] = np.maximum(new[0], left)
+        fits = in_band
+        if i - w < 0:
+            fits = fits & (d >= w - i)
+        if i + w > m.min():
+            fits = fits & (d - w + i <= m)
+        h = np.where(fits, new, np.int32(low))
+        done = int(np.searchsorted(-n[:active], -i, side="left"))
+        if done < active:
+            out[done:active] = h[:, done:].max(axis=0)
+    return out
+
+
 def realign_sequences(reads: DataFrame, *, band: int = 5) -> DataFrame:
     """group, ordinal, score, mapq, primary: candidates scored anew; the best gets mapq 2, others 0; groups with two best drop out.
 
@@ -250,7 +321,7 @@ def realign_sequences(reads: DataFrame, *, band: int = 5) -> DataFrame:
 
     def run(batches):
         for t in batches:
-            yield pd.DataFrame({"group": t["group"], "ordinal": t["ordinal"], "score": [banded_score(b, a, band=band) for a, b in zip(t["seq"], t["candidate"], strict=True)]})
+            yield pd.DataFrame({"group": t["group"], "ordinal": t["ordinal"], "score": banded_scores([(b or "", a or "") for a, b in zip(t["seq"], t["candidate"], strict=True)], band=band)})
 
     scored = reads.select("group", "ordinal", "seq", "candidate").mapInPandas(run, "group long, ordinal long, score long")
     w = Window.partitionBy("group")
