@@ -42,6 +42,20 @@ def test_depth_and_contacts_count_every_pair(spark):
     assert contacts.count_contacts(t, q=0).agg(F.sum("count")).first()[0] == 60
 
 
+def test_every_bin_is_listed_without_a_shuffle_of_bins(spark, monkeypatch):
+    monkeypatch.setattr(depth, "STRETCH", 7)
+    r = random.Random(8)
+    lasts = {"a": 0, "b": 6, "c": 7, "d": 40, "e": -1}
+    held = {(c, b): r.randint(1, 9) for c, last in lasts.items() for b in [-1, 0, last, last + 1, *r.sample(range(60), 12)]}
+    contigs = spark.createDataFrame([(c, 10 * (last + 1), last) for c, last in lasts.items()], "contig string, size long, last long")
+    counts = spark.createDataFrame([(*k, v) for k, v in held.items()], "contig string, bin long, value long")
+    got = depth.every_bin(contigs, counts)
+    assert sorted((x.contig, x.bin, x.value) for x in got.collect()) == [(c, b, held.get((c, b), 0)) for c, last in lasts.items() for b in range(last + 1)]
+    # The bins are listed behind the last join.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(_from") < plan.index("Join")
+
+
 def test_orientations_add_up(spark):
     t = clm.distance_lists(some_pairs(spark), sizes(spark), max_depth_ratio=None)
     both = {(r.contig1, r.contig2, r.strand1 + r.strand2): r["values"] for r in t.collect()}
