@@ -133,6 +133,20 @@ def test_scores_in_step_equal_single_ones():
     assert time.process_time() - start < 2  # one after the other it takes over 5 s
 
 
+def test_pairs_in_clusters_are_dropped_without_a_prune_table(spark, monkeypatch):
+    names = ["a", "b", "c", "d", "e", None]
+    t = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(itertools.product(names, names))], "read_idx int, chrom1 string, chrom2 string")
+    # c is in two clusters, e in none, b twice in one.
+    c = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "b"), ("1", "c"), ("2", "c"), ("2", "d"), (None, "a"), (None, "e"), ("2", None)], "cluster string, contig string")
+    a, b = c.select("cluster", F.col("contig").alias("contig1")), c.select("cluster", F.col("contig").alias("contig2"))
+    prune_ = a.join(b, "cluster").where("contig1 < contig2").select("contig1", "contig2")
+    rows = lambda df: sorted(r.read_idx for r in df.select(t.columns).collect())
+    for most in (500_000, 0):
+        monkeypatch.setattr(pairs, "BROADCAST_CONTIGS", most)
+        assert rows(pairs.drop_clustered_ordered(t, c)) == rows(pairs.drop_ordered(t, prune_))
+        assert rows(pairs.drop_clustered(t, c)) == rows(pairs.drop_unordered(t, prune_))
+
+
 def test_small_matchings_equal_large_ones(monkeypatch):
     r = np.random.default_rng(3)
     for _ in range(300):
