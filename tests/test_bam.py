@@ -193,3 +193,60 @@ def test_long_alignments_and_bins():
     d = bam.encode({"name": "a", "rname": "t", "pos": 10, "cigar": "1M1I" * 40_000, "seq": "AC" * 40_000}, ref_of)
     assert struct.unpack_from("<H", d, 16)[0] == 2
     assert bam._bin(0, 1) == 4681 and bam._bin(0, 1 << 15) == 585 and bam._bin((1 << 14) - 1, (1 << 14) + 1) == 585
+
+
+def test_rows_in_batches_equal_single_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    ref_of = {"t": 0, "u": 1, "v": 2}
+    cigar = lambda: r.choice(("*", "5M", "3S10M2D", "7H900M", "1M70000N3M"))
+    place = lambda: r.choice((None, 0, 1, 16_384, r.randrange(1 << 29)))
+    rows = [{"name": r.choice((f"r{k}", "\u00e9\u00e9", None)), "flag": r.choice((None, 4, 65_535)), "rname": r.choice(("t", "u", "*", None)), "pos": place(), "mapq": r.choice((None, 0, 254)), "cigar": r.choice((cigar(), None)), "rnext": r.choice(("=", "*", "v", None)), "pnext": place(), "tlen": r.choice((None, -3, 9))} for k in range(500)]
+    kinds = pa.schema([("name", pa.string()), ("flag", pa.int32()), ("rname", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("rnext", pa.string()), ("pnext", pa.int64()), ("tlen", pa.int64())])
+    batch = pa.RecordBatch.from_pylist(rows, kinds)
+    for part, of in ((batch, rows), (batch.slice(17, 200), rows[17:217]), (batch.select(["name"]), [{"name": x["name"]} for x in rows])):
+        made = bam.encode_batch(part, ref_of).to_pylist()
+        assert made == [bam.encode(x, ref_of) for x in of]
+    extra = [{**x, "seq": "AC" if k % 2 else "*", "tags": {"NM": "3"} if k % 3 else None} for k, x in enumerate(rows[:50])]
+    full = pa.RecordBatch.from_pylist([{**x, "tags": list((x["tags"] or {}).items())} for x in extra], pa.schema([*kinds, ("seq", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))]))
+    assert bam.encode_batch(full, ref_of).to_pylist() == [bam.encode(x, ref_of) for x in extra]
+
+    names = ["t", "u", "v", "*"]
+    for group in (rows, extra):
+        held = [bam.encode(x, ref_of) for x in group]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])])[:-1].tolist()
+        got = bam._decode_batch(b"".join(held), offsets, pa.array(names), "f")
+        assert [tuple(dict(v) if isinstance(v, list) else v for v in x.values()) for x in got.to_pylist()] == [bam._decode(x[4:], lambda k: names[k], "f") for x in held]
+    with pytest.raises(ValueError):
+        bam.encode_batch(pa.RecordBatch.from_pylist([{"name": "a", "flag": 70_000}], pa.schema([("name", pa.string()), ("flag", pa.int32())])), ref_of)
+
+
+def test_batches_equal_rows_over_all_splits():
+    rows = [{"name": f"r{k}", "rname": "t", "pos": k + 1, "cigar": "5M"} for k in range(9000)]
+    sizes = [("t", 1 << 20)]
+    data = b"".join(bgzf.blocks(bam.encode_header(sizes))) + b"".join(b for k in range(0, 9000, 500) for b in bgzf.blocks(b"".join(bam.encode(x, {"t": 0}) for x in rows[k : k + 500]))) + bgzf.END
+    for raw, split in ((Raw(data), 3000), (Raw(data), 1 << 20)):
+        got, opened = [], bam._Opener()
+        for begin in range(0, len(data), split):
+            f = bam._seek(raw, begin, 1, opened(raw))
+            if f is not None:
+                got += [x for b in bam._batches(f, opened.names, min(begin + split, len(data)) << 16, None) for x in b.column(0).to_pylist()]
+        assert got == [x["name"] for x in rows]
+        assert opened.start is not None
+    with pytest.raises(ValueError):
+        cut = Raw(b"".join(bgzf.blocks(bam.encode_header(sizes))) + b"".join(bgzf.blocks(bam.encode(rows[0], {"t": 0})[:-3])))
+        opened = bam._Opener()
+        list(bam._batches(opened(cut), opened.names, len(cut.getvalue()) << 16, None))
+
+
+def test_short_files_share_a_task(spark, tmp_path):
+    sizes = spark.createDataFrame([("t", 1000)], "contig string, size long")
+    rows = spark.createDataFrame([(f"r{k:03d}", 0, "t", k + 1) for k in range(200)], "name string, flag int, rname string, pos long")
+    bam.write_bam(rows, sizes, f"file://{tmp_path}/b", rows_per_file=4)
+    reader = bam._Reader({"path": f"file://{tmp_path}/b"})
+    assert [len(t.ranges) for t in reader.partitions()] == [50]
+    t = spark.read.format("bam_records").load(f"file://{tmp_path}/b")
+    assert sorted((x.name, x.pos) for x in t.collect()) == [(f"r{k:03d}", k + 1) for k in range(200)]
+    assert t.select("file").distinct().count() == 50

@@ -29,9 +29,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.ranks import ranked
 from ..functions.scratch import new_path, spool, unspool
@@ -47,6 +48,9 @@ SCHEMA = "name string, flag int, rname string, pos long, mapq int, cigar string,
 CHAIN = 4
 SPLIT = 64 << 20
 CHUNK = 1 << 18
+#: Bytes of files that a task reads one after the other, and of records that are decoded at once.
+TASK = 16 << 20
+BATCH = 1 << 20
 _LONGEST = 1 << 29
 _SIZES = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 _HIGH = bytes(ord(BASES[b >> 4]) for b in range(256))
@@ -215,6 +219,98 @@ def _between(f: bgzf.Inflated, refs: list, end: int, file: str | None) -> Iterat
         yield _decode(data, name_of, file)
 
 
+_FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("tlen", "<i4")])
+_MAP = pa.map_(pa.string(), pa.string())
+_ARROW = pa.schema([(k, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}.get(kind, _MAP)) for k, kind in (c.split(" ", 1) for c in SCHEMA.split(", "))])
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kind) -> pa.Array:
+    """An array of the stretches of data, as text or as bytes."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
+
+
+def _decode_batch(held: bytes, offsets: list[int], names: pa.Array, file: str | None) -> pa.RecordBatch:
+    """_decode() of the records at offsets.  names: those of the references, and * at last.  Records without bases and tags are read together."""
+    data, at = np.frombuffer(held, np.uint8), np.array(offsets)
+    fixed = np.ascontiguousarray(data[at[:, None] + np.arange(36)]).view(_FIXED)[:, 0]
+    l_name, n_ops = fixed["l_name"].astype(np.int64), fixed["n_ops"].astype(np.int64)
+    body = at + 36 + l_name
+    named = None
+    if not fixed["l_seq"].any() and (body + 4 * n_ops == at + 4 + fixed["size"]).all() and l_name.all():
+        try:
+            named = _gathered(data, at + 36, l_name - 1, pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:  # a name that isn't UTF-8
+            pass
+    if named is None:
+        name_of = lambda k: names[k].as_py()
+        rows = [_decode(held[k + 4 : k + 4 + int(n)], name_of, file) for k, n in zip(offsets, fixed["size"], strict=True)]
+        rows = [[list(x.items()) if isinstance(x, dict) else x for x in r] for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+    cigars = _gathered(data, body, 4 * n_ops, pa.binary()).dictionary_encode()
+    texts = ["".join(f"{v >> 4}{OPS[v & 15]}" for v in np.frombuffer(x, "<u4").tolist()) or "*" for x in cigars.dictionary.to_pylist()]
+    n = len(at)
+    long = lambda k, plus=0: pa.array(fixed[k].astype(np.int64) + plus)
+    whole = lambda k: pa.array(fixed[k].astype(np.int32))
+    # -1 stands for no reference, as the last name does.
+    ref = lambda k: names.take(pa.array(np.where(fixed[k] < 0, len(names) - 1, fixed[k])))
+    none = pa.MapArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.string()), pa.array([], pa.string()))
+    star = pa.repeat(pa.scalar("*"), n)
+    columns = [named, whole("flag"), ref("ref"), long("pos", 1), whole("mapq"), pa.array(texts, pa.string()).take(cigars.indices), ref("next_ref"), long("next_pos", 1), long("tlen"), star, star, none, none, pa.repeat(pa.scalar(file, pa.string()), n)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
+def _batches(f: bgzf.Inflated, names: pa.Array, end: int, file: str | None) -> Iterator[pa.RecordBatch]:
+    """_between() in batches of records."""
+    unpack = struct.Struct("<i").unpack_from
+    while True:
+        while len(f.held) - f.at < BATCH and f.next <= end >> 16 and f.more():
+            pass
+        limit = next((start + (end & 0xFFFF if place == end >> 16 else 0) for start, place in f.blocks if place >= end >> 16), 1 << 62) - f.before
+        held, at, offsets, over = f.held, f.at, [], len(f.held)
+        while at < limit and at + 4 <= over:
+            size = unpack(held, at)[0]
+            if size < 32:
+                raise ValueError("a record is shorter than can be")
+            if at + 4 + size > over:
+                break
+            offsets.append(at - f.at)
+            at += 4 + size
+        if offsets:
+            yield _decode_batch(bytes(held[f.at : at]), offsets, names, file)
+            f.at = at
+        elif at >= limit:
+            return
+        elif not f.more():
+            if at < len(f.held):
+                raise ValueError("the file ends inside a record")
+            return
+
+
+class _Opener:
+    """Opens BAM files; files that begin with the same header, as those of one run do, have it read once."""
+
+    def __init__(self) -> None:
+        self.start, self.names = None, None
+
+    def __call__(self, raw) -> bgzf.Inflated:
+        """At the first record."""
+        if self.start is not None:
+            raw.seek(0)
+            if raw.read(len(self.start)) == self.start:
+                return bgzf.Inflated(raw, len(self.start))
+        f = bgzf.Inflated(raw)
+        _, refs = header(f)
+        self.start, self.names = None, pa.array([n for n, _ in refs] + ["*"], pa.string())
+        here = f.place()
+        if not here & 0xFFFF:
+            raw.seek(0)
+            self.start = raw.read(here >> 16)
+            f = bgzf.Inflated(raw, here >> 16)
+        return f
+
+
 def _seek(raw, begin: int, n_refs: int, after_header: bgzf.Inflated) -> bgzf.Inflated | None:
     """At the first record that starts in a block at or behind begin; None if there is none."""
     if not begin:
@@ -339,9 +435,11 @@ def read_bam(spark: SparkSession, path: str, index: str, *, split_bytes: int = S
 # ---- data sources ----------------------------------------------------------------------------------------------
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int) -> None:
-        self.path, self.begin, self.end = path, begin, end
+class _Ranges(InputPartition):
+    """Ranges of files, (path, begin, end) each."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        self.ranges = ranges
 
 
 class _Reader(DataSourceReader):
@@ -350,12 +448,29 @@ class _Reader(DataSourceReader):
         self.split = int(options.get("split_bytes", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(x, begin, min(begin + self.split, size)) for x, size in files(self.uri, ".bam") for begin in range(0, size, self.split)]
+        made: list[_Ranges] = []
+        room = 0
+        for path, size in files(self.uri, ".bam"):
+            for begin in range(0, size, self.split):
+                # A task reads short files one after the other.
+                if room <= 0:
+                    made.append(_Ranges([]))
+                    room = min(self.split, TASK)
+                made[-1].ranges.append((path, begin, min(begin + self.split, size)))
+                room -= min(self.split, size - begin)
+        return made
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Ranges | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no file
+            return
         fs, _ = filesystem(self.uri)
-        with fs.open_input_file(partition.path) as raw:
-            yield from records(raw, partition.begin, partition.end, partition.path.rpartition("/")[2])
+        opened = _Opener()
+        for path, begin, end in partition.ranges:
+            with fs.open_input_file(path) as raw:
+                f = opened(raw)
+                f = _seek(raw, begin, len(opened.names) - 1, f)
+                if f is not None:
+                    yield from _batches(f, opened.names, end << 16, path.rpartition("/")[2])
 
 
 class _Stretches(InputPartition):
@@ -384,7 +499,6 @@ class _IndexedReader(DataSourceReader):
             yield f
 
     def stretches(self) -> list[tuple[str, int, int]]:
-        import pyarrow.compute as pc
         import pyarrow.dataset as pads
 
         fs, path = filesystem(self.index)
@@ -416,16 +530,17 @@ class _IndexedReader(DataSourceReader):
             held += (end >> 16) - (begin >> 16)
         return made
 
-    def read(self, partition: _Stretches | None) -> Iterator[tuple]:
+    def read(self, partition: _Stretches | None) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs
 
         if partition is None:  # no stretch is left
             return
         fs, _ = pafs.FileSystem.from_uri(self.uri)
         with fs.open_input_file(partition.path) as raw:
-            _, refs = header(bgzf.Inflated(raw))
+            opened = _Opener()
+            opened(raw)
             for begin, end in partition.stretches:
-                yield from _between(bgzf.at_place(raw, begin), refs, end, partition.path.rpartition("/")[2])
+                yield from _batches(bgzf.at_place(raw, begin), opened.names, end, partition.path.rpartition("/")[2])
 
 
 class BamSource(DataSource):
@@ -490,12 +605,8 @@ def _encode_tag(key: str, value: str, kind: str | None) -> bytes:
     return out[:2] + (b"i" + struct.pack("<i", n) if -(1 << 31) <= n < 1 << 31 else b"I" + struct.pack("<I", n))
 
 
-def encode(row: dict, ref_of: dict[str, int]) -> bytes:
-    """A record of the format from a row with the columns of SCHEMA; absent or null ones are empty."""
-    get = lambda k, other: other if row.get(k) is None else row[k]
-    name, cigar, seq, qual = get("name", "*").encode(), get("cigar", "*"), get("seq", "*"), get("qual", "*")
-    if not 1 <= len(name) <= 254:
-        raise ValueError(f"a read's name has 1 to 254 bytes, not {len(name)}")
+def _operations(cigar: str) -> tuple[list[int], int]:
+    """Operations as numbers, and the bases of the reference that they span."""
     ops, number, span = [], 0, 0
     for ch in "" if cigar == "*" else cigar:
         if ch.isdigit():
@@ -505,6 +616,16 @@ def encode(row: dict, ref_of: dict[str, int]) -> bytes:
             ops.append(number << 4 | code)
             span += number if code in (0, 2, 3, 7, 8) else 0
             number = 0
+    return ops, span
+
+
+def encode(row: dict, ref_of: dict[str, int]) -> bytes:
+    """A record of the format from a row with the columns of SCHEMA; absent or null ones are empty."""
+    get = lambda k, other: other if row.get(k) is None else row[k]
+    name, cigar, seq, qual = get("name", "*").encode(), get("cigar", "*"), get("seq", "*"), get("qual", "*")
+    if not 1 <= len(name) <= 254:
+        raise ValueError(f"a read's name has 1 to 254 bytes, not {len(name)}")
+    ops, span = _operations(cigar)
     bases = b"" if seq == "*" else seq.encode("latin-1", "replace")
     codes = bases.translate(_CODE) + b"\0" * (len(bases) % 2)
     packed = bytes((np.frombuffer(codes[0::2], np.uint8) << 4 | np.frombuffer(codes[1::2], np.uint8)).astype(np.uint8))
@@ -526,6 +647,66 @@ def encode(row: dict, ref_of: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def _bins(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """_bin() of many."""
+    out, end = np.zeros(len(begin), np.int64), end - 1
+    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        out = np.where(begin >> shift == end >> shift, first + (begin >> shift), out)
+    return out
+
+
+def encode_batch(batch: pa.RecordBatch, ref_of: dict[str, int]) -> pa.Array:
+    """encode() of each row, as binary.  Rows without bases and tags are put together column by column."""
+    n = batch.num_rows
+    column = lambda k, other, kind: batch.column(k).cast(kind).fill_null(other) if k in batch.schema.names else pa.repeat(pa.scalar(other, kind), n)
+    number = lambda k, other: column(k, other, pa.int64()).to_numpy(zero_copy_only=False)
+    plain = lambda k: k not in batch.schema.names or pc.all(pc.equal(batch.column(k).fill_null("*"), "*")).as_py() is not False
+    bare = lambda k: k not in batch.schema.names or not np.diff(batch.column(k).offsets.to_numpy()).any()
+    if not (plain("seq") and plain("qual") and bare("tags")):
+        return pa.array([encode(row, ref_of) for row in _rows(batch)], pa.binary())
+    names = column("name", "*", pa.string()).cast(pa.binary())
+    lengths = pc.binary_length(names).to_numpy(zero_copy_only=False)
+    if ((lengths < 1) | (lengths > 254)).any():
+        raise ValueError("a read's name has 1 to 254 bytes")
+    cigars = column("cigar", "*", pa.string()).dictionary_encode()
+    parsed = [_operations(x) for x in cigars.dictionary.to_pylist()]
+    if any(len(ops) > 65_535 for ops, _ in parsed):
+        return pa.array([encode(row, ref_of) for row in _rows(batch)], pa.binary())
+    which = cigars.indices.to_numpy()
+    n_ops, span = np.array([len(ops) for ops, _ in parsed], np.int64)[which], np.array([x for _, x in parsed], np.int64)[which]
+    ops = pa.array([struct.pack(f"<{len(o)}I", *o) for o, _ in parsed], pa.binary()).take(cigars.indices)
+
+    def refs(k: str, same: int) -> np.ndarray:
+        coded = column(k, "*", pa.string()).dictionary_encode()
+        of = {"*": -1} | ({"=": same} if same else {})
+        return np.array([of[x] if x in of else ref_of[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+
+    ref = refs("rname", 0)
+    mate = refs("rnext", -2)
+    pos = number("pos", 0) - 1
+    fixed = np.zeros(n, _FIXED)
+    fixed["size"] = 32 + lengths + 1 + 4 * n_ops
+    fixed["ref"], fixed["pos"], fixed["l_name"], fixed["n_ops"] = ref, pos, lengths + 1, n_ops
+    fixed["bin"] = np.where(pos < 0, 4680, _bins(np.maximum(pos, 0), np.maximum(pos, 0) + np.maximum(span, 1))) & 0xFFFF
+    fixed["next_ref"], fixed["next_pos"] = np.where(mate == -2, ref, mate), _fits(number("pnext", 0) - 1)
+    _fits(pos)
+    fixed["mapq"], fixed["flag"], fixed["tlen"] = _fits(number("mapq", 255), 0, 255), _fits(number("flag", 0), 0, 0xFFFF), _fits(number("tlen", 0))
+    head = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 36).astype(np.int32)), pa.py_buffer(fixed.tobytes())])
+    return pc.binary_join_element_wise(head, names, pa.scalar(b"\0"), ops, pa.scalar(b""))
+
+
+def _fits(values: np.ndarray, low: int = -(1 << 31), high: int = (1 << 31) - 1) -> np.ndarray:
+    if len(values) and not low <= values.min() <= values.max() <= high:
+        raise ValueError(f"a number of a record isn't in {low} to {high}")
+    return values
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows with maps as dictionaries."""
+    for row in batch.to_pylist():
+        yield {k: dict(v) if isinstance(v, list) else v for k, v in row.items()}
+
+
 def encode_header(refs: list[tuple[str, int]], text: str = "") -> bytes:
     text = text or "@HD\tVN:1.6\tSO:unknown\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in refs)
     data = text.encode()
@@ -535,8 +716,8 @@ def encode_header(refs: list[tuple[str, int]], text: str = "") -> bytes:
     return b"".join(out)
 
 
-class _Writer(TaskFilesWriter):
-    """One file a task, or one for each value of file_column, by which rows come sorted."""
+class _Writer(TaskFilesWriter, DataSourceArrowWriter):
+    """One file a task, or one for each value of file_column, by which rows come sorted.  The header is made once, in blocks of its own."""
 
     def __init__(self, options, schema) -> None:
         super().__init__(options["path"], ".bam")
@@ -547,6 +728,7 @@ class _Writer(TaskFilesWriter):
         with fs.open_input_stream(path) as f:
             refs = [tuple(x) for x in json.loads(f.read().decode())]
         ref_of = {n: k for k, (n, _) in enumerate(refs)}
+        head = b"".join(bgzf.blocks(encode_header(refs)))
         made: list[tuple[str, str | None]] = []
         stream, held = None, bytearray()
 
@@ -561,18 +743,27 @@ class _Writer(TaskFilesWriter):
                 stream.write(bgzf.END)
                 stream.close()
 
-        for row in iterator:
-            row = dict(zip(self.columns, row, strict=True))
-            key = row.pop(self.split) if self.split else None
-            if stream is None or key != made[-1][1]:
-                close()
-                name, stream = self.new_file()
-                made.append((name, key))
-                held += encode_header(refs)
-                put(len(held))
-            held += encode(row, ref_of)
-            if len(held) >= bgzf.MOST:
-                put(len(held) - len(held) % bgzf.MOST)
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            keys, cuts = [None], [0, batch.num_rows]
+            if self.split:
+                coded = batch.column(self.split).dictionary_encode()
+                borders = np.flatnonzero(np.diff(coded.indices.to_numpy())) + 1
+                cuts = [0, *borders.tolist(), batch.num_rows]
+                keys = [coded[k].as_py() for k in cuts[:-1]]
+            done = encode_batch(batch.select([k for k in self.columns if k != self.split]), ref_of)
+            at = np.frombuffer(done.buffers()[1], np.int32)[done.offset : done.offset + len(done) + 1]
+            data = memoryview(done.buffers()[2])
+            for key, first, last in zip(keys, cuts[:-1], cuts[1:], strict=True):
+                if stream is None or key != made[-1][1]:
+                    close()
+                    name, stream = self.new_file()
+                    made.append((name, key))
+                    stream.write(head)
+                held += data[at[first] : at[last]]
+                if len(held) >= bgzf.MOST:
+                    put(len(held) - len(held) % bgzf.MOST)
         close()
         return Written(made)
 
