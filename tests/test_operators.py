@@ -253,6 +253,24 @@ def test_alleles_find_a_copy(spark):
     assert got == {("x", "y", -1), ("y", "x", -1)}
 
 
+def test_short_kmers_are_masked_as_long_ones(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(f"s{k}", "".join(r.choice("ACGT"[: r.randint(1, 4)]) for _ in range(r.choice((0, 1, 3, 4, 5, 30, 90))))) for k in range(60)] + [("none", None)]
+    for extra in ([], [("x", "ACGNNNNNACGTTTNNNN"), ("y", "acgtacgtacgt"), ("z", "\u00e9\u00e9AC")]):
+        t = spark.createDataFrame(rows + extra, "name string, seq string").repartition(3)
+        for k, ploidy in ((4, 20), (3, 60), (1, 5)):
+            got = dict(sequences.mask_kmers(t, k, ploidy).collect())
+            assert (sequences._mask_short(t, k, ploidy) is None) == bool(extra)
+            monkeypatch.setattr(sequences, "SHORT", 0)
+            assert got == dict(sequences.mask_kmers(t, k, ploidy).collect())
+            monkeypatch.undo()
+    import pyarrow as pa
+
+    text = pa.array(["", "ACGTACGTAC", "AC", "GGGNGGG", "TTTTTTTT"]).slice(1)
+    whole = [x.tolist() for _, x in sequences._windows(text, 3)]
+    assert [v for _, x in sequences._windows(text, 3, 4) for v in x.tolist()] == sum(whole, [])
+
+
 def test_mask_and_modify(spark):
     t = spark.createDataFrame([("a", "ACGTACGTTT"), ("b", "GGG"), ("c", None)], "name string, seq string")
     got = dict(sequences.mask_kmers(t, 4, 2).collect())

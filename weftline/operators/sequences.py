@@ -6,10 +6,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import revcomp
+from ..functions.scratch import spool, unspool
+from ..sources.taskfiles import files, filesystem
+
+#: Letters of the longest k-mer of which a task can hold a number for each.
+SHORT = 11
+_BASE = np.full(256, 4, np.int32)
+_BASE[[ord(ch) for ch in "ACGT"]] = range(4)
 
 
 def sizes(fasta: DataFrame) -> DataFrame:
@@ -101,12 +109,109 @@ def kmer_positions(fasta: DataFrame, kmers: DataFrame, k: int = 19) -> DataFrame
     return _kmers(fasta, k).join(wanted, "kmer", "left_semi").select("name", (F.col("i") - 1).cast("long").alias("start"), (F.col("i") - 1 + k).cast("long").alias("end"))
 
 
+def _windows(text: pa.Array, k: int, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+    """The windows of an array of sequences, over their joined bytes, for at most so many starts: the first start, and each window's number in base 4, -1 where a letter isn't one of ACGT, -2 where it leaves its sequence."""
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends[1:] - ends[0]
+    over = np.zeros(len(data), bool)
+    crossing = (ends[:, None] - np.arange(1, k)).ravel()
+    over[crossing[crossing >= 0]] = True
+    for first in range(0, len(data), most):
+        code = _BASE[data[first : first + most + k - 1]]
+        n = min(most, len(data) - first)
+        code = np.concatenate([code, np.zeros(max(0, n + k - 1 - len(code)), np.int32)])
+        number, other = np.zeros(n, np.int32), np.zeros(n, bool)
+        plain = not (code > 3).any()
+        for j in range(k):
+            number *= 4
+            number += code[j : j + n] & 3
+            if not plain:
+                other |= code[j : j + n] > 3
+        number[other] = -1
+        number[over[first : first + n]] = -2
+        yield first, number
+
+
+def _dense_counts(k: int):
+    """kmer (its number), n of all windows of a task; -1 for those with other letters."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, other = np.zeros(4**k, np.int64), 0
+        for batch in batches:
+            for _, number in _windows(pc.fill_null(batch.column(0), ""), k):
+                other += int((number == -1).sum())
+                number = number[number >= 0]
+                if len(number) > len(counts) >> 3:
+                    counts += np.bincount(number, minlength=4**k)
+                else:
+                    at, n = np.unique(number, return_counts=True)
+                    counts[at] += n
+        at = np.flatnonzero(counts)
+        for first in range(0, len(at), 1 << 16):
+            part = at[first : first + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"kmer": part, "n": counts[part]})
+        yield pa.RecordBatch.from_pydict({"kmer": np.array([-1] * bool(other), np.int64), "n": np.array([other] * bool(other), np.int64)})
+
+    return run
+
+
+def _both_strands(k: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            rest, turned = number, np.zeros(len(number), np.int64)
+            for _ in range(k):
+                turned, rest = turned * 4 + 3 - (rest & 3), rest >> 2
+            yield batch
+            yield pa.RecordBatch.from_arrays([pa.array(turned), batch.column(1)], ["kmer", "n"])
+
+    return run
+
+
+def _mask_short(fasta: DataFrame, k: int, ploidy: int) -> DataFrame | None:
+    """mask_kmers() for few possible k-mers: each task counts them all, and looks them up in a table of a bit for each.  None if a window has another letter than ACGT."""
+    counts = spool(fasta.select("seq").mapInArrow(_dense_counts(k), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")), "kmer-counts")
+    if counts.where("kmer < 0").limit(1).count():
+        unspool(counts)
+        return None
+    many = counts.mapInArrow(_both_strands(k), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")).where(F.col("n") > ploidy).select("kmer")
+    uri = spool(many, "kmer-many")._spool_path
+    unspool(counts)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as pads
+
+        found = [path for path, _ in files(uri, ".parquet")]
+        often = np.zeros(4**k, bool)
+        for part in pads.dataset(found, filesystem=filesystem(uri)[0], format="parquet").to_batches(columns=["kmer"]) if found else ():
+            often[part.column(0).to_numpy()] = True
+        for batch in batches:
+            text = pc.fill_null(batch.column(1), "")
+            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+            chars = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].copy()
+            edges = np.zeros(len(chars) + 1, np.int8)
+            for first, number in _windows(text, k):
+                starts = np.flatnonzero((number >= 0) & often[number]) + first
+                # A place is the start of one window and the end of one at most.
+                edges[starts] += 1
+                edges[starts + k] -= 1
+            chars[np.cumsum(edges[:-1], dtype=np.int32) > 0] = ord("N")
+            seq = pa.StringArray.from_buffers(len(text), pa.py_buffer(ends - ends[0]), pa.py_buffer(chars))
+            yield pa.RecordBatch.from_arrays([batch.column(0), seq], ["name", "seq"])
+
+    return fasta.select(F.col("name").cast("string").alias("name"), "seq").mapInArrow(run, "name string, seq string")
+
+
 def mask_kmers(fasta: DataFrame, k: int = 19, ploidy: int = 12) -> DataFrame:
     """Bases inside windows whose k-mer is counted more than ploidy times become N.
 
     All windows are judged on the sequence as given, so the result has no order of
-    replacement.  Places are gathered by sequence.
+    replacement.  k-mers of up to SHORT letters are counted and looked up as numbers, where
+    sequences are of A, C, G and T only; else places are gathered by sequence.
     """
+    if k <= SHORT and (short := _mask_short(fasta, k, ploidy)) is not None:
+        return short
     many = kmer_counts(fasta, k).where(F.col("n") > ploidy).select("kmer")
     starts = _kmers(fasta, k).join(many, "kmer", "left_semi").groupBy("name").agg(F.collect_list(F.col("i") - 1).alias("_at"))
 
