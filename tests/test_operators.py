@@ -271,6 +271,21 @@ def test_short_kmers_are_masked_as_long_ones(spark, monkeypatch):
     assert [v for _, x in sequences._windows(text, 3, 4) for v in x.tolist()] == sum(whole, [])
 
 
+def test_similar_contigs_in_shares(spark, monkeypatch):
+    r = random.Random(13)
+    base = "".join(r.choice("ACGT") for _ in range(400))
+    rows = [(f"c{k}", "".join(c if r.random() > 0.01 else "A" for c in base)) for k in range(12)] + [("d", "".join(r.choice("ACGT") for _ in range(300)))]
+    sketches = alleles.sketch(spark.createDataFrame(rows, "name string, seq string"), 11, 5)
+    wanted = sorted(map(tuple, alleles.similarities(alleles.anchors(sketches), alleles.minimizer_counts(sketches), k=11).collect()))
+    assert wanted and sorted(map(tuple, alleles.similar_contigs(sketches, k=11).collect())) == wanted
+    made = []
+    monkeypatch.setattr(alleles, "ANCHORS", 1000)
+    chained = alleles.chains
+    monkeypatch.setattr(alleles, "chains", lambda m: chained(made.append(m.count()) or m))
+    assert sorted(map(tuple, alleles.similar_contigs(sketches, k=11).collect())) == wanted
+    assert len(made) == 8 and sum(made) == alleles.anchors(sketches).count() and max(made) < 0.6 * sum(made)
+
+
 def test_mask_and_modify(spark):
     t = spark.createDataFrame([("a", "ACGTACGTTT"), ("b", "GGG"), ("c", None)], "name string, seq string")
     got = dict(sequences.mask_kmers(t, 4, 2).collect())
